@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from talentloom.llm.chat_format import op9_chat_format
+from talentloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from talentloom.llm.packing import op1_packing
 from talentloom.llm.token_counts import op3_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op3_token_counts, op6_exact_dedup, op9_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_exact_dedup": OP6_SQL}
