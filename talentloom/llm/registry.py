@@ -11,13 +11,14 @@ from talentloom.llm.decontaminate import op8_decontamination
 from talentloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from talentloom.llm.packing import op1_packing
 from talentloom.llm.quality import op2_quality
+from talentloom.llm.repeats import op10_remove_repeats
 from talentloom.llm.token_counts import op3_token_counts
 from talentloom.llm.url_filter import op5_url_filter
 from talentloom.llm.warc import OP4_SQL, op4_warc_derivatives
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op3_token_counts, op4_warc_derivatives, op5_url_filter, op6_exact_dedup, op8_decontamination, op9_chat_format)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op3_token_counts, op4_warc_derivatives, op5_url_filter, op6_exact_dedup, op8_decontamination, op9_chat_format, op10_remove_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
