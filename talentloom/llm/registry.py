@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from talentloom.llm.chat_format import op9_chat_format
 from talentloom.llm.decontaminate import op8_decontamination
 from talentloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from talentloom.llm.near_dups import op7_near_duplicates
 from talentloom.llm.packing import op1_packing
 from talentloom.llm.quality import op2_quality
 from talentloom.llm.repeats import op10_remove_repeats
@@ -18,7 +20,7 @@ from talentloom.llm.warc import OP4_SQL, op4_warc_derivatives
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op3_token_counts, op4_warc_derivatives, op5_url_filter, op6_exact_dedup, op8_decontamination, op9_chat_format, op10_remove_repeats)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op3_token_counts, op4_warc_derivatives, op5_url_filter, op6_exact_dedup, op7_near_duplicates, op8_decontamination, op9_chat_format, op10_remove_repeats)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
