@@ -23,7 +23,7 @@ from talentloom.llm.shards import LAST_ID, batch_of, buckets, ids_of, member, pa
 
 SLICE = 1 << 19
 #: Bytes of keys that one bucket's task sees, about.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 5 << 20
 #: A trigger in more shards than this has its phrases parted into single strings, which are dealt out by their own hash.
 HOT_SHARDS = 4096
 #: Dictionary entries whose suffixes are sorted at once, unless a trigger has more.

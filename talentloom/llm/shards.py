@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a shard, about; one long text may exceed it.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 LAST_ID = 2**63 - 1
 
 
