@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from talentloom.functions import scoring
+from talentloom.functions import context, scoring
 from talentloom.functions.durations import months_of, years_of
 from talentloom.operators import tables, vectors
 from talentloom.plans.profiles import PROFILES_SQL, profiles, table
@@ -234,3 +234,20 @@ def context_filters(spark, sf_dir):
     years = years_of(F.col("total_experience"))
     dear = F.col("expected_salary") / 100_000 <= 5 * 1.2
     return profiles(spark, sf_dir).filter(((years >= 10 - 0.5) | years.isNull()) & (dear | F.col("expected_salary").isNull())).select("profile_id", "total_experience")
+
+
+REQUEST = context.Request(role="urgent machinery", domain="things", skills=("machinery", "high"), location="nation_1", min_years=5, max_years=9, max_lakh=2)
+THINGS = {"things": ("machinery", "furniture", "low")}
+_TEXTS = "list_concat(list_concat(list_concat(skills, may_also), labels), flatten(list_transform(experience, lambda x: [x.title, lower(x.company), x.from_date, x.until])))"
+
+
+@query(f"""WITH {PROFILES_SQL}, p AS (SELECT *, try_cast(regexp_extract(total_experience, '(\\d+(?:\\.\\d+)?)', 1) AS double) AS own, CASE WHEN expected_salary > 1000000 THEN expected_salary / 100000 ELSE expected_salary END AS pay FROM profiles),
+s AS (SELECT profile_id, CASE WHEN coalesce(contains(experience[1].title, 'urgent'), false) THEN 1.0::double WHEN {_ANY('experience[1:3]', "contains(x.title, 'urgent machinery')")} THEN 0.8 WHEN {_ANY('labels', "contains(x, 'urgent machinery')")} THEN 0.7 WHEN {_ANY('experience[1:3]', "contains(x.title, 'urgent') OR contains(x.title, 'machinery')")} THEN 0.6 WHEN {_ANY('list_concat(skills, may_also)', "contains(x, 'urgent') OR contains(x, 'machinery')")} THEN 0.4 ELSE 0.0 END AS role,
+ least(1.0::double, {_sum(_TEXTS, _hits('x', THINGS['things']))} / 3.0::double) AS domain, CASE WHEN contains(current_city, 'nation_1') THEN 1.0::double WHEN {_ANY('looking_for', "contains(x, 'nation_1')")} THEN 0.8 ELSE 0.0 END AS location,
+ ({_ANY(_TEXTS, "length(x) > 2 AND (contains(x, 'machinery') OR contains('machinery', x))")}::int + {_ANY(_TEXTS, "length(x) > 2 AND (contains(x, 'high') OR contains('high', x))")}::int) / 2.0::double AS skills,
+ CASE WHEN own BETWEEN 5 AND 9 THEN 1.0::double WHEN own < 5 THEN greatest(0.0, 1 - (5 - own) / 5) WHEN own - 9 <= 2 THEN 0.9 ELSE 0.7 END AS experience, CASE WHEN pay = 0 THEN 0.0::double WHEN pay <= 2 THEN 1.0 ELSE greatest(0.0, 1 - (pay - 2) / 2) END AS salary FROM p)
+SELECT profile_id, round(least(1.0, greatest(0.0, (role * 0.6 + domain * 0.4) * 0.4 + location * 0.3 + skills * 0.15 + experience * 0.1 + salary * 0.05)), 5) AS relevance FROM s""")
+def context_relevance(spark, sf_dir):
+    """Profiles by their graded relevance to a request."""
+    parts = context.relevance(REQUEST, domains=THINGS)
+    return profiles(spark, sf_dir).select("profile_id", F.round(parts["relevance"], 5).alias("relevance"))
