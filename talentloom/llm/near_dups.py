@@ -18,9 +18,9 @@ from talentloom.llm.textbytes import mix
 
 SIZE = 5
 #: Bytes of packed tokens that one bucket's task sees, about.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 5 << 20
 #: Shingles of the sets that one verifying task holds, about, and that one part of a large group holds.
-TASK_SHINGLES, PART_SHINGLES = 1_500_000, 400_000
+TASK_SHINGLES, PART_SHINGLES = 1_000_000, 400_000
 #: Seeds of the further token orders.
 ORDERS = (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47)
 
@@ -173,22 +173,28 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple
 def _links(nodes: DataFrame) -> DataFrame:
     """``u, v``: links between classes, enough to connect what similar pairs connect.
 
-    Classes meet at the tokens of their prefixes. Tokens with the same classes are one group. A group
-    with more shingles than ``PART_SHINGLES`` is parted by class; each pair of parts is a task's work of its own.
+    Classes meet at the tokens of their prefixes; tokens with the same classes count once. What hangs together by such tokens is a cluster, which
+    travels to one task, each set once, if it has at most ``TASK_SHINGLES``. The tokens of a larger cluster are tasks of their own; one with more
+    shingles than ``PART_SHINGLES`` is parted by class, and each pair of parts is a task's work.
     """
     met = nodes.select("class", "n", F.explode("prefix").alias("token"))
-    groups = met.groupBy("token").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(7))).alias("y")).filter("classes > 1")
-    groups = cut(groups.groupBy("classes", "weight", "x", "y").agg(F.min("token").alias("token")).withColumn("parts", F.ceil(F.col("weight") / PART_SHINGLES).cast("int")).select("token", "classes", "weight", "parts"))
-    n, total = groups.agg(F.count(F.lit(1)), F.sum(F.col("weight") * F.col("parts"))).first()
-    tasks = max(1, -(-(total or 0) // TASK_SHINGLES))
+    groups = met.groupBy("token").agg(F.count(F.lit(1)).alias("classes"), F.min("class").alias("hub"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(7))).alias("y")).filter("classes > 1")
+    groups = cut(groups.groupBy("classes", "hub", "weight", "x", "y").agg(F.min("token").alias("token")).select("token", "hub", F.ceil(F.col("weight") / PART_SHINGLES).cast("int").alias("parts")))
+    shared = cut(met.join(checked(groups), "token"))
+    cluster = components(shared.select(F.col("class").alias("u"), F.col("hub").alias("v"))).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
+    sizes = cut(cluster.join(nodes.select("class", "n"), "class").groupBy("cluster").agg(F.sum("n").alias("whole")))
+    placed = cut(cluster.join(sizes, "cluster"))
+    whole = placed.filter(F.col("whole") <= TASK_SHINGLES).select("class", F.lit(0).cast("long").alias("token"), "cluster", F.lit(0).alias("part"), F.lit(0).alias("low"), F.lit(0).alias("high"))
     part = F.pmod(F.xxhash64("class", "token"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(part, j).alias("low"), F.greatest(part, j).alias("high")))
-    work = met.select("class", "token").join(checked(groups), "token").select("class", "token", part.alias("part"), F.explode(pairs).alias("pair")).select("class", "token", "part", "pair.low", "pair.high")
-    work = work.join(nodes.select("class", "shingles"), "class").withColumn("task", F.pmod(F.xxhash64("token", "low", "high"), F.lit(tasks)))
+    large = shared.join(placed.filter(F.col("whole") > TASK_SHINGLES).select("class", "cluster"), "class").select("class", "token", "cluster", part.alias("part"), F.explode(pairs).alias("pair")).select("class", "token", "cluster", "part", "pair.low", "pair.high")
+    total = sizes.agg(F.sum("whole")).first()[0] or 0
+    task = F.pmod(F.xxhash64("token", "low", "high", F.when(F.col("token") == 0, F.col("cluster"))), F.lit(max(1, -(-2 * total // TASK_SHINGLES))))
+    work = whole.unionByName(large).join(nodes.select("class", "shingles"), "class").withColumn("key", F.xxhash64("cluster")).withColumn("task", task)
 
     def verify(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        keys = np.column_stack([table.column(c).to_numpy() for c in ("token", "low", "high")])
+        keys = np.column_stack([table.column(c).to_numpy() for c in ("key", "token", "low", "high")])
         classes, part, stored = table.column("class").to_pylist(), table.column("part").to_numpy(), table.column("shingles")
         order = np.lexsort(keys.T)
         new = np.flatnonzero(np.concatenate(([True], (keys[order][1:] != keys[order][:-1]).any(1))))
@@ -196,7 +202,7 @@ def _links(nodes: DataFrame) -> DataFrame:
         for a, z in zip(new, np.append(new[1:], len(order))):
             rows = order[a:z]
             sets = [np.frombuffer(stored[int(i)].as_py(), np.uint64) for i in rows]
-            side = part[rows] if keys[rows[0], 1] != keys[rows[0], 2] else None
+            side = part[rows] if keys[rows[0], 2] != keys[rows[0], 3] else None
             out += [(classes[rows[i]], classes[rows[j]]) for i, j in linked(sets, side)]
         return pa.Table.from_arrays([pa.array(x, pa.string()) for x in (zip(*out) if out else ((), ()))], names=["u", "v"])
 

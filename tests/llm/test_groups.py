@@ -71,7 +71,8 @@ def test_components_against_brute_force(spark, small, monkeypatch):
         more.append((5000 + i, " ".join(words)))
     docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     want = brute.components(unique(docs))
-    for part in (400_000, 500):
+    for task, part in ((1_000_000, 400_000), (2000, 400_000), (2000, 500)):
+        monkeypatch.setattr(near_dups, "TASK_SHINGLES", task)
         monkeypatch.setattr(near_dups, "PART_SHINGLES", part)
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(docs).collect()} == want
 
