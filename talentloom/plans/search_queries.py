@@ -158,14 +158,14 @@ def ranking_stats(spark, sf_dir):
 
 
 @query(f"""WITH {PROFILES_SQL}, {_RANKED}, x AS (SELECT profile_id, overall / 100 AS s, years, len(met) / 4.0::double AS share FROM r JOIN m USING (profile_id))
-SELECT profile_id, round(least(1.0::double, s * CASE WHEN years BETWEEN 5 AND 12 THEN 1.1::double ELSE 1 END * CASE WHEN share >= 0.8 THEN 1.15::double ELSE 1 END), 4) AS boosted FROM x""")
+SELECT profile_id, round(least(1.0::double, s * CASE WHEN years BETWEEN 5 AND 12 THEN 1.1::double ELSE 1 END * CASE WHEN share >= 0.8 THEN 1.15::double ELSE 1 END), 6) AS boosted FROM x""")
 def boosted_matches(spark, sf_dir):
     """Scores that came from outside (here: the overall match), joined by id and raised for fitting experience and skills, to 1 at most."""
     given = candidate_scores(spark, sf_dir)
     years = years_of(F.col("total_experience"))
     share = F.col("skills_score") / 100
     up = F.when(years.between(5, 12), 1.1).otherwise(1.0)
-    return profiles(spark, sf_dir).join(given, "profile_id").select("profile_id", F.round(F.least(F.lit(1.0), F.col("overall") / 100 * up * F.when(share >= 0.8, 1.15).otherwise(1.0)), 4).alias("boosted"))
+    return profiles(spark, sf_dir).join(given, "profile_id").select("profile_id", F.round(F.least(F.lit(1.0), F.col("overall") / 100 * up * F.when(share >= 0.8, 1.15).otherwise(1.0)), 6).alias("boosted"))
 
 
 def candidate_scores(spark, sf_dir):
