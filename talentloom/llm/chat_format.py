@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from talentloom.llm.cuts import cut
+
 #: Turns whose numbers fall into one block take their prefix sums together; the blocks' sums are added up afterwards.
 BLOCK = 512
 
@@ -45,16 +47,16 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 256, histo
     that a repeated target never counts twice.
 
     Sums are taken within blocks of turn numbers and then over the blocks, so a long conversation is spread over tasks; no window exceeds the budget in one row.
-    Null texts and roles are empty. Rows are ordered by turn (null first), then role, then text; equal rows are all kept. A null ``conv_id`` is
+    Null texts and roles are empty. Rows are ordered by turn (null first), then role, then escaped text; equal rows are all kept. A null ``conv_id`` is
     a conversation like any other. The first system turn is the one that is retained. Other columns are left out; no rows give no windows.
     """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     rows = turns.select(
-        "conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-(2**62))).alias("turn"), role.alias("role"), text.alias("body"), size(text).cast("long").alias("size"),
+        "conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-(2**62))).alias("turn"), role.alias("role"), size(text).cast("long").alias("size"),
         F.concat(F.lit(OPEN), escaped(role), F.lit(SHUT)).alias("head"), escaped(text).alias("shown"),
     ).withColumn("block", F.floor(F.col("turn") / BLOCK))
-    order = ["turn", "role", "body"]
-    system = rows.filter("role = 'system'").groupBy("conv_id").agg(F.min(F.struct(*order, "size", "head", "shown")).alias("system"))
+    order = ["turn", "role", "shown"]
+    system = rows.filter("role = 'system'").groupBy("conv_id").agg(F.min(F.struct(*order, "size", "head")).alias("system"))
     same_conv = F.col("r.conv_id").eqNullSafe(F.col("s.conv_id"))
     half = F.greatest(F.lit(1), F.floor((F.lit(budget - history) - F.coalesce("system.size", F.lit(0))) / 2))
     rows = rows.alias("r").join(system.alias("s"), same_conv, "left").select("r.*", half.alias("half")).withColumn("long", (F.col("size") > F.col("half")).cast("long"))
@@ -66,10 +68,10 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 256, histo
     within = Window.partitionBy("conv_id", "block").orderBy(*order)
     running = within.rowsBetween(Window.unboundedPreceding, 0)
     here = F.col("r.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("r.block") == F.col("b.block"))
-    placed = (
+    placed = cut(
         rows.withColumns({"at": F.row_number().over(within) - 1, "sum": F.sum("size").over(running), "longs": F.sum("long").over(running)})
         .alias("r").join(before.alias("b"), here)
-        .select("r.*", (F.col("at") + F.col("n_before")).alias("idx"), F.floor((F.col("sum") + F.col("sizes_before") - 1) / F.col("half")).alias("cell"), (2 * (F.col("longs") + F.col("longs_before")) - F.col("long")).alias("parted"))
+        .select("r.conv_id", "role", "head", "shown", "size", (F.col("at") + F.col("n_before")).alias("idx"), F.floor((F.col("sum") + F.col("sizes_before") - 1) / F.col("half")).alias("cell"), (2 * (F.col("longs") + F.col("longs_before")) - F.col("long")).alias("parted"))
     )
     piece = F.struct(F.col("idx"), F.col("head"), F.col("shown"), F.col("size"), F.col("role"), F.lit(True).alias("new"))
     new = placed.groupBy("conv_id", "cell", "parted").agg(F.array_sort(F.collect_list(piece)).alias("new")).withColumn("window_id", F.col("new")[0]["idx"])

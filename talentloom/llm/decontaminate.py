@@ -267,7 +267,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
                     low = own.stop
                     yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.array(n_words[own], pa.int64()), pa.array(lists[own], _SPANS), pa.array(items[own], pa.list_(pa.string()))], names=[*names, "n_words", "spans", "items"])
 
-        return texts.mapInArrow(run, schema)
+        return texts.mapInArrow(textbytes.of_batches(run), schema)
 
     found = searched(blocks[0])
     if len(blocks) > 1:
@@ -309,7 +309,7 @@ def _without(docs: DataFrame, phrases: Phrases, text_col: str) -> DataFrame:
                 low += part.num_rows
                 yield part.set_column(place, part.schema.field(place), pa.array(texts, part.schema.field(place).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(textbytes.of_batches(run), docs.schema)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

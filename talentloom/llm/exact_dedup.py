@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentloom.llm.cuts import checked, cut
+from talentloom.llm.textbytes import of_batches, of_group
 
 #: Fingerprints that one filter takes in before it is handed on, and that one merge task sees.
 FILTER_KEYS = 1 << 20
@@ -85,7 +86,7 @@ def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
         keys, counts = merge_filters(group.column("filter").to_pylist())
         return pa.table({"fp": pa.array(keys[counts > 1].view(np.int64))})
 
-    return fingerprints.select("fp").mapInArrow(build, "block int, filter binary").groupBy("block").applyInArrow(merge, "fp long")
+    return fingerprints.select("fp").mapInArrow(of_batches(build), "block int, filter binary").groupBy("block").applyInArrow(of_group(merge), "fp long")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

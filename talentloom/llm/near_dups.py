@@ -90,7 +90,7 @@ def _token_counts(texts: DataFrame, n: int) -> DataFrame:
                 out.append((shard, packed(own[n_sets > 1]), n_sets[n_sets > 1].astype("<u4").tobytes()))
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 3, (pa.int32(), pa.binary(), pa.binary()))], names=["shard", "tokens", "counts"])
 
-    return texts.groupBy("shard").applyInArrow(gather, "bucket int, shard int, tokens binary, counts binary").groupBy("bucket").applyInArrow(meet, "shard int, tokens binary, counts binary")
+    return texts.groupBy("shard").applyInArrow(textbytes.of_group(gather), "bucket int, shard int, tokens binary, counts binary").groupBy("bucket").applyInArrow(textbytes.of_group(meet), "shard int, tokens binary, counts binary")
 
 
 def _prefixes(texts: DataFrame, told: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def _prefixes(texts: DataFrame, told: DataFrame) -> DataFrame:
         return pa.Table.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 4, kinds))], names=["doc_id", "class", "n", "prefix", "shingles"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(gather, f"doc_id {kind}, class string, n long, prefix array<long>, shingles binary")
+    return texts.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(textbytes.of_cogroup(gather), f"doc_id {kind}, class string, n long, prefix array<long>, shingles binary")
 
 
 class Postings:
@@ -206,7 +206,7 @@ def _links(nodes: DataFrame) -> DataFrame:
             out += [(classes[rows[i]], classes[rows[j]]) for i, j in linked(sets, side)]
         return pa.Table.from_arrays([pa.array(x, pa.string()) for x in (zip(*out) if out else ((), ()))], names=["u", "v"])
 
-    return work.groupBy("task").applyInArrow(verify, "u string, v string")
+    return work.groupBy("task").applyInArrow(textbytes.of_group(verify), "u string, v string")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

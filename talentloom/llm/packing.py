@@ -185,8 +185,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, eos: int = 2, id
                 yield out()
         if rows:
             yield out()
+        enc.forget()
 
-    return texts.mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return texts.mapInArrow(textbytes.of_batches(run), f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def _slide(x: np.ndarray, pick) -> np.ndarray:
 
 
 def triggers(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of all triggers: a position is one if its hash is the least within some window of LENGTH bytes of its text.
+    """Positions and keys (mixed hashes) of all triggers: a position is one if its hash is the least within some window of LENGTH bytes of its text.
 
     So each window of LENGTH bytes holds a trigger, and equal windows hold equal triggers at equal places.
     """
@@ -66,7 +66,7 @@ def triggers(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.zeros(PLACES - 1, np.uint64)
     most = _slide(np.concatenate([edge, least, edge]), np.maximum)
     found = np.flatnonzero((hashes == most[: len(hashes)]) & (most[: len(hashes)] != 0))
-    return found, hashes[found]
+    return found, mix(hashes[found])  # least hashes are small; mixed again, they spread over the whole range
 
 
 def reach(places: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, id_col: st
         for part, counts in counted(batches):
             yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([x.tobytes() for x in counts], pa.binary()), part.column("doc_id").cast("string")], names=["label", "counts", "key"])
 
-    found = sorted(rows.select("label", "text", "doc_id").mapInArrow(run, "label double, counts binary, key string").collect(), key=lambda x: x.key)
+    found = sorted(rows.select("label", "text", "doc_id").mapInArrow(textbytes.of_batches(run), "label double, counts binary, key string").collect(), key=lambda x: x.key)
     counts = np.array([np.frombuffer(x.counts, np.float32) for x in found], np.float32).reshape(len(found), TRIGRAMS + _REST)
     return Space(counts, np.array([x.label for x in found]))
 
@@ -147,7 +147,7 @@ def score(docs: DataFrame, space: Space, id_col: str = "doc_id", text_col: str =
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(textbytes.of_batches(run), StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 THRESHOLD = 0.3

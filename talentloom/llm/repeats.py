@@ -20,6 +20,7 @@ from talentloom.llm import textbytes
 from talentloom.llm.cuts import checked, cut
 from talentloom.llm.phrases import CONTEXT, LENGTH, PLACES, SIDE, TRIGGER, context_keys, contexts, reach, trigger_hashes, triggers
 from talentloom.llm.shards import LAST_ID, batch_of, buckets, ids_of, member, packed, runs, sharded, text_bytes, unpacked
+from talentloom.llm.textbytes import mix
 
 SLICE = 1 << 19
 #: Bytes of keys that one bucket's task sees, about.
@@ -89,7 +90,7 @@ def _shared_triggers(texts: DataFrame, n: int, hot: int) -> DataFrame:
                 out.append((shard, packed(cold), packed(warm)))
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 3, (pa.int32(), pa.binary(), pa.binary()))], names=["shard", "shared", "hot"])
 
-    return texts.groupBy("shard").applyInArrow(gather, "bucket int, shard int, keys binary, many binary").groupBy("bucket").applyInArrow(meet, "shard int, shared binary, hot binary")
+    return texts.groupBy("shard").applyInArrow(textbytes.of_group(gather), "bucket int, shard int, keys binary, many binary").groupBy("bucket").applyInArrow(textbytes.of_group(meet), "shard int, shared binary, hot binary")
 
 
 def _collected(table: pa.Table, column: str, width: int = 6) -> np.ndarray:
@@ -128,7 +129,7 @@ def _entries(texts: DataFrame, shared: DataFrame, n: int) -> DataFrame:
         out = [(b, shard, keys[once[s]].tobytes(), packed(h[once[s]]), rows[once[s]].tobytes(), first[once[s]].tobytes()) for b, s in _by_bucket(h[once], n)]
         return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [()] * 6, kinds)], names=names)
 
-    return texts.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(gather, "bucket int, shard int, keys binary, hashes binary, phrases binary, firsts binary")
+    return texts.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(textbytes.of_cogroup(gather), "bucket int, shard int, keys binary, hashes binary, phrases binary, firsts binary")
 
 
 def suffix_minima(phrases: np.ndarray, left: np.ndarray, right: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -194,13 +195,13 @@ def _resolved(entries: DataFrame) -> DataFrame:
             pick = np.repeat(a - np.concatenate(([0], np.cumsum(z - a)[:-1])), z - a) + np.arange(int((z - a).sum()))
             told = smaller | (z > a)
             single = phrases[mine][phrases[mine][:, -2].astype(int) + phrases[mine][:, -1] == SIDE]
-            parted = np.unique(np.concatenate([trigger_hashes(x[SIDE : SIDE + TRIGGER]) for x in single]) >> np.uint64(16)) if len(single) else h[:0]
+            parted = np.unique(mix(np.concatenate([trigger_hashes(x[SIDE : SIDE + TRIGGER]) for x in single])) >> np.uint64(16)) if len(single) else h[:0]
             if told.any() or len(parted):
                 out.append((shard, keys[mine][smaller].tobytes(), least[e[smaller]].tobytes(), np.repeat(keys[mine], z - a).tobytes(), odd_place[pick].astype(np.uint8).tobytes(), odd_first[pick].tobytes(), packed(parted)))
         names = ["shard", "keys", "firsts", "odd_keys", "odd_places", "odd_firsts", "parted"]
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 7, (pa.int32(), *[pa.binary()] * 6))], names=names)
 
-    return entries.groupBy("bucket").applyInArrow(meet, "shard int, keys binary, firsts binary, odd_keys binary, odd_places binary, odd_firsts binary, parted binary")
+    return entries.groupBy("bucket").applyInArrow(textbytes.of_group(meet), "shard int, keys binary, firsts binary, odd_keys binary, odd_places binary, odd_firsts binary, parted binary")
 
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
@@ -257,7 +258,7 @@ def _cut_out(texts: DataFrame, resolved: DataFrame) -> DataFrame:
         return pa.Table.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(spans, _SPANS), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.groupBy("shard").cogroup(resolved.groupBy("shard")).applyInArrow(apply, f"doc_id {kind}, n_bytes long, spans {SPANS}, kept binary")
+    return texts.groupBy("shard").cogroup(resolved.groupBy("shard")).applyInArrow(textbytes.of_cogroup(apply), f"doc_id {kind}, n_bytes long, spans {SPANS}, kept binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT_SHARDS) -> DataFrame:

@@ -6,7 +6,8 @@ All helpers run inside Spark tasks on one slice of an Arrow batch at a time, so
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -130,3 +131,48 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]
         else:
             out.append(run_hashes(hashes[low:high], n) if n else hashes[:0])
     return out
+
+
+def settle() -> None:
+    """Gives memory that a finished piece of work has freed back to the system: idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def of_batches(work: Callable) -> Callable:
+    """``work`` over a partition's batches, which settles at the end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            settle()
+
+    return run
+
+
+def of_group(work: Callable) -> Callable:
+    """``work`` on a group's table, which settles after each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return work(table)
+        finally:
+            settle()
+
+    return run
+
+
+def of_cogroup(work: Callable) -> Callable:
+    """``work`` on two groups' tables, which settles after each."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return work(left, right)
+        finally:
+            settle()
+
+    return run

@@ -26,10 +26,11 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
             for part in textbytes.slices(batch, "text"):
                 n = pa.array([enc.count(x) for x in part.column("text").to_pylist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), n], names=["doc_id", "n_bytes", "n_tokens"])
+        enc.forget()
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return texts.mapInArrow(textbytes.of_batches(count), f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from struct import pack
 from tokenizers import Tokenizer
 
 #: Pre-tokens, and chunks between white space, that a worker remembers; beyond that it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 #: The pre-token pattern that is known here, as the file has it.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -117,6 +117,11 @@ class Encoder:
         self.words = _Words(self.tokenizer.model, whole_tokens(path) if whole is None else whole)
         self.chunks = _Chunks(self.words)
 
+    def forget(self) -> None:
+        """Drops what is remembered, at the end of a task: a worker that waits for its next one needs little memory."""
+        self.words.restart()
+        self.chunks.clear()
+
     def by_library(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return pack(f"<{len(ids)}I", *ids)

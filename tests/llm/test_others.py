@@ -92,7 +92,8 @@ def test_warc_files(spark, tmp_path):
 
 def brute_chat(rows):
     out = {}
-    order = lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")
+    spelled = lambda t: t.replace("\\", "\\e").replace("<", "\\l").replace("[", "\\b").replace("|", "\\p")
+    order = lambda r: (r[1] is not None, r[1] or 0, r[2] or "", spelled(r[3] or ""))
     for conv in {r[0] for r in rows}:
         own = sorted((r for r in rows if r[0] == conv), key=order)
         said = "".join(f"{r or ''}\n{t or ''}\n" for _, _, r, t in own)
