@@ -1,6 +1,25 @@
+import zlib
+
 import corpus_pipeline as p
 
 
+def whole(pieces):
+    """Each document's ids, put together from its pieces; the pieces follow each other without gaps, in sequences of at most 4096."""
+    out, ends = {}, {}
+    for x in sorted(pieces, key=lambda x: (x.doc_id, x.start)):
+        assert x.start == len(out.get(x.doc_id, b"")) // 4 and x.length == len(x.ids) // 4 and zlib.crc32(x.ids) == x.ids_crc32
+        out[x.doc_id] = out.get(x.doc_id, b"") + x.ids
+        ends.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for spans in ends.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert all(len(out[x.doc_id]) == 4 * x.doc_tokens for x in pieces)
+    return out
+
+
 def test_stages(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     before, clean = docs, {r.doc_id: r.text for r in docs.collect()}
@@ -13,7 +32,7 @@ def test_stages(spark, small):
     assert all(clean[r.doc_id] == r.text or len(r.text) < len(clean[r.doc_id]) for r in kept)
     pieces = p.STAGES[-1][1](spark, before, small).collect()
     assert {x.doc_id for x in pieces} == {r.doc_id for r in kept}
-    assert sorted((x.doc_id, x.start, x.ids_crc32) for x in p.run(spark, small).collect()) == sorted((x.doc_id, x.start, x.ids_crc32) for x in pieces)
+    assert whole(p.run(spark, small).collect()) == whole(pieces)  # where texts are cut depends on how rows lie in partitions; what they hold does not
 
 
 def test_odd_rows(spark, odd, none, small):
@@ -22,6 +41,6 @@ def test_odd_rows(spark, odd, none, small):
             docs = stage(spark, docs, small)
             assert docs.columns == odd.columns
         ids = {r.doc_id for r in docs.collect()}
-        assert 7 not in ids and 12 not in ids and (not ids or {None, 6, 9, 11, 13, 14} <= ids)
+        assert not ids & {7, 12, 14} and (not ids or {None, 6, 9, 11, 13} <= ids)  # 14 shares 21 of 23 shingles with 13
         assert p.STAGES[-1][1](spark, docs, small).select("doc_id").distinct().count() == len(ids)
     assert p.STAGES[0][1](spark, odd, small).columns == odd.columns
