@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentloom.llm import textbytes
+from talentloom.llm.cuts import checked, cut
 
 WINDOW = 10
 #: Words of one shard's index, and bytes of its texts, after which the shard is closed.
@@ -219,12 +221,12 @@ def _searched(batches: Iterator[pa.RecordBatch], phrases: Phrases, column: str)
         yield shard, shard.found()
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> list[Phrases]:
-    """The items' phrases in blocks of about ``BLOCK_WORDS`` words, each of which the driver holds at a time."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> tuple[int, Iterator[Phrases]]:
+    """The items' phrases in blocks of about ``BLOCK_WORDS`` words, and how many; the driver makes one block at a time, when it is asked for."""
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // (6 * BLOCK_WORDS)))
-    return [Phrases([tuple(x) for x in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()], window) for k in range(n)]
+    return n, (Phrases([tuple(x) for x in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()], window) for k in range(n))
 
 
 SPANS = "array<struct<first:bigint,last:bigint,start:bigint,end:bigint>>"
@@ -246,15 +248,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     repeated items count once. Ids may be null or repeat: one row for each input row. Other columns are left out.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    blocks = _blocks(benchmark, "item_id", "text", window)
-    if len(blocks) > 1:
-        texts = texts.withColumn("row", F.monotonically_increasing_id())
+    n, blocks = _blocks(benchmark, "item_id", "text", window)
+    if n > 1:
+        texts = cut(texts.withColumn("row", F.monotonically_increasing_id()))
+    return _spans(texts, blocks).drop("row").withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"]))
+
+
+def _spans(texts: DataFrame, blocks: Iterator[Phrases]) -> DataFrame:
+    """``contamination``'s columns but ``n_hit``, for each row of ``doc_id, row, text``; ``row`` tells rows apart and may be missing where there is one block. Each block is searched for in the texts as they are."""
     names = [x for x in texts.columns if x != "text"]
-    schema = f"doc_id {kind}, {'row long, ' if len(blocks) > 1 else ''}n_words long, spans {SPANS}, items array<string>"
+    schema = ", ".join([*(f"{x} {texts.schema[x].dataType.simpleString()}" for x in names), f"n_words long, spans {SPANS}, items array<string>"])
 
     def searched(phrases: Phrases) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(phrases)
+        shared = texts.sparkSession.sparkContext.broadcast(phrases)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for shard, (spans, items) in _searched(batches, shared.value, "text"):
@@ -269,22 +275,58 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
         return texts.mapInArrow(textbytes.of_batches(run), schema)
 
-    found = searched(blocks[0])
-    if len(blocks) > 1:
-        for x in blocks[1:]:
-            found = found.unionByName(searched(x))
-        found = found.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        joined = lambda a, x: F.struct(F.element_at(a, -1)["first"].alias("first"), F.greatest(F.element_at(a, -1)["last"], x["last"]).alias("last"), F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], x["end"]).alias("end"))
-        touches = lambda a, x: (F.size(a) > 0) & (F.element_at(a, -1)["last"] >= x["first"])
-        found = found.withColumn("spans", F.aggregate("spans", F.array().cast(SPANS), lambda a, x: F.when(touches(a, x), F.array_append(F.slice(a, 1, F.size(a) - 1), joined(a, x))).otherwise(F.array_append(a, x)))).drop("row")
-    return found.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"]))
+    parts = [searched(x) for x in blocks]
+    if len(parts) == 1:
+        return parts[0]
+    found = reduce(DataFrame.unionByName, parts)
+    found = found.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    joined = lambda a, x: F.struct(F.element_at(a, -1)["first"].alias("first"), F.greatest(F.element_at(a, -1)["last"], x["last"]).alias("last"), F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], x["end"]).alias("end"))
+    touches = lambda a, x: (F.size(a) > 0) & (F.element_at(a, -1)["last"] >= x["first"])
+    return found.withColumn("spans", F.aggregate("spans", F.array().cast(SPANS), lambda a, x: F.when(touches(a, x), F.array_append(F.slice(a, 1, F.size(a) - 1), joined(a, x))).otherwise(F.array_append(a, x))))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
-    """The documents, columns as they are, without the byte ranges of ``contamination``'s spans in their texts; clean texts stay untouched."""
-    for phrases in _blocks(benchmark, "item_id", "text", window):
-        docs = _without(docs, phrases, text_col)
-    return docs
+    """The documents, columns as they are, without the byte ranges of ``contamination``'s spans in their texts; clean texts stay untouched.
+
+    A benchmark of several blocks is searched for in the texts as they come in; the merged ranges of all blocks are cut
+    out at once. The documents are written once for that, so that their rows keep their numbers.
+    """
+    n, blocks = _blocks(benchmark, "item_id", "text", window)
+    if n == 1:
+        return _without(docs, next(blocks), text_col)
+    row, spans = (_free(x, docs.columns) for x in ("row", "spans"))
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    texts = numbered.select(F.lit(0).cast("long").alias("doc_id"), F.col(row).alias("row"), F.col(text_col).alias("text"))
+    found = cut(_spans(texts, blocks).filter(F.size("spans") > 0).select(F.col("row").alias(row), F.col("spans").alias(spans)))
+    joined = numbered.join(checked(found), row, "left").select(*docs.columns, spans)
+    place, schema = docs.columns.index(text_col), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ranges = {d: [(x["start"], x["end"]) for x in own] for d, own in enumerate(batch.column(batch.num_columns - 1).to_pylist()) if own}
+            rest = batch.select(range(batch.num_columns - 1))
+            yield rest.set_column(place, rest.schema.field(place), _cut_out(rest.column(place), ranges))
+
+    return joined.mapInArrow(textbytes.of_batches(run), schema)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    lowered = {x.lower() for x in taken}
+    while name in lowered:
+        name += "_"
+    return name
+
+
+def _cut_out(column: pa.Array, ranges: dict[int, list[tuple[int, int]]]) -> pa.Array:
+    """The texts without byte ranges, by the text's place."""
+    texts = column.to_pylist()
+    for d, own in ranges.items():
+        raw, kept, at = texts[d].encode(), [], 0
+        for x, y in own:
+            kept.append(raw[at:x])
+            at = y
+        texts[d] = b"".join([*kept, raw[at:]]).decode()
+    return pa.array(texts, column.type)
 
 
 def _without(docs: DataFrame, phrases: Phrases, text_col: str) -> DataFrame:
@@ -298,16 +340,9 @@ def _without(docs: DataFrame, phrases: Phrases, text_col: str) -> DataFrame:
                 ranges.setdefault(d, []).append((x, y))
             low = 0
             for part in shard.parts:
-                texts = part.column(text_col).to_pylist()
-                for d in range(low, low + part.num_rows):
-                    if d in ranges:
-                        raw, kept, at = texts[d - low].encode(), [], 0
-                        for x, y in ranges[d]:
-                            kept.append(raw[at:x])
-                            at = y
-                        texts[d - low] = b"".join([*kept, raw[at:]]).decode()
+                own = {d - low: ranges[d] for d in range(low, low + part.num_rows) if d in ranges}
                 low += part.num_rows
-                yield part.set_column(place, part.schema.field(place), pa.array(texts, part.schema.field(place).type))
+                yield part.set_column(place, part.schema.field(place), _cut_out(part.column(place), own))
 
     return docs.mapInArrow(textbytes.of_batches(run), docs.schema)
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -137,3 +138,39 @@ def test_passages_are_cut_out(spark):
     docs = spark.createDataFrame([(1, f"Keep, {item.upper()}! and this", 5), (2, "clean text", 6)], "doc_id long, text string, n_words int")
     got = decontaminate.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     assert [tuple(r) for r in sorted(got)] == [(1, "Keep, ! and this", 5), (2, "clean text", 6)]
+
+
+def test_overlapping_items_of_several_blocks_are_cut_once(spark, monkeypatch):
+    pick = random.Random(7)
+    base = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(base[i * 3 : i * 3 + 20])) for i in range(14)] + [(90, "w2 w50 tail")]
+    rows = [(1, " ".join(base[:25])), (2, None), (3, ""), (4, "w2 " + " ".join(base[10:30]) + " w50 tail"), (4, "clean words only")]
+    for i in range(40):
+        a, b = sorted(pick.sample(range(60), 2))
+        rows.append((100 + i, "Vor; " + ", ".join(base[a:b]) + " é w2 w50 " + pick.choice(["tail", "w50", ""])))
+    docs = spark.createDataFrame([(i, t, i, None) for i, t in rows], "doc_id long, text string, ROW long, spans string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+
+    def clean(text):
+        if text is None:
+            return None
+        words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
+        hit = set()
+        for _, item in items:
+            w = item.split()
+            n = min(10, len(w))
+            for k in range(len(w) - n + 1):
+                for j in range(len(words) - n + 1):
+                    if [x[2] for x in words[j : j + n]] == w[k : k + n]:
+                        hit.update(range(j, j + n))
+        gone = set()
+        for k in hit:
+            gone.update(range(words[k][0], words[k + 1][0] if k + 1 in hit else words[k][1]))
+        return "".join(c for k, c in enumerate(text) if k not in gone)
+
+    want = sorted((i, repr(clean(t)), i) for i, t in rows)
+    for words in (decontaminate.BLOCK_WORDS, 40, 5):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", words)
+        got = decontaminate.decontaminate(docs, benchmark)
+        assert got.columns == docs.columns
+        assert sorted((r.doc_id, repr(r.text), r.ROW) for r in got.collect()) == want
