@@ -2,22 +2,115 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentloom.functions.similarity import sequence_ratio
 from talentloom.functions.text import comparable
 
 THRESHOLD = 0.70
+#: Bytes of new texts that are broadcast at once; more are compared block by block.
+BLOCK_BYTES = 16 << 20
+#: Pairs after which a task hands on what it has found.
+PAIRS = 50_000
+
+
+def reached(matcher: SequenceMatcher, threshold: float) -> float | None:
+    """The matcher's ratio; none if it is below the threshold, which is known once what is still open can't reach it."""
+    la, lb = len(matcher.a), len(matcher.b)
+    if not la + lb:
+        return 1.0 if threshold <= 1 else None
+    parts, matched, left = [(0, la, 0, lb)], 0, min(la, lb)
+    while parts:
+        if 2.0 * (matched + left) / (la + lb) < threshold:
+            return None
+        a, a_end, b, b_end = parts.pop()
+        left -= min(a_end - a, b_end - b)
+        i, j, n = matcher.find_longest_match(a, a_end, b, b_end)
+        matched += n
+        for part in ((a, i, b, j), (i + n, a_end, j + n, b_end)) if n else ():
+            if part[0] < part[1] and part[2] < part[3]:
+                parts.append(part)
+                left += min(part[1] - part[0], part[3] - part[2])
+    ratio = 2.0 * matched / (la + lb)
+    return ratio if ratio >= threshold else None
+
+
+class Block:
+    """New texts by owner and length."""
+
+    def __init__(self, table: pa.Table):
+        self.keys = table.column(1).combine_chunks()
+        self.ids, texts = self.keys.to_pylist(), table.column(2).to_pylist()
+        rows: dict[str, list[int]] = {}
+        for row, owner in enumerate(table.column(0).to_pylist()):
+            rows.setdefault(owner, []).append(row)
+        self.texts = texts
+        self.rows = {owner: sorted(own, key=lambda row: len(texts[row])) for owner, own in rows.items()}
+        self.lengths = {owner: np.array([len(texts[row]) for row in own]) for owner, own in self.rows.items()}
+
+    def candidates(self, owner: str, length: int, threshold: float) -> list[int]:
+        """The owner's rows whose length allows the threshold."""
+        if owner not in self.rows:
+            return []
+        lengths = self.lengths[owner]
+        some = np.flatnonzero((lengths + length == 0) | (2.0 * np.minimum(lengths, length) / np.maximum(lengths + length, 1) >= threshold))
+        return [self.rows[owner][k] for k in some]
 
 
 def similar_texts(new: DataFrame, stored: DataFrame, owner: list[str], key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
     """``key, match, ratio`` for each new text and each stored one of the same owner whose ratio reaches the threshold.
 
-    Two texts of lengths a <= b reach a ratio of 2a / (a + b) at most, so others are not compared. New text first: the ratio is not symmetric.
+    Without owner columns all are compared with all; a null owner is an owner. Rows without a key or text have no pairs.
+    Two texts of lengths a <= b reach a ratio of 2a / (a + b) at most, so others are not compared. New text first: the
+    ratio is not symmetric. Stored rows are dealt out to tasks by a hash of key and text, so an owner with many is
+    spread; new texts are broadcast in blocks of about ``BLOCK_BYTES``.
     """
-    new = new.select(*owner, F.col(key), comparable(F.col(text)).alias("__new"))
-    stored = stored.select(*owner, F.col(key).alias("match"), comparable(F.col(text)).alias("__old"))
-    short, long = F.least(F.length("__new"), F.length("__old")), F.greatest(F.length("__new"), F.length("__old"))
-    pairs = new.join(stored, owner).filter((F.col(key) != F.col("match")) & (2 * short >= threshold * (short + long)))
-    return pairs.withColumn("ratio", sequence_ratio("__new", "__old")).filter(F.col("ratio") >= threshold).select(key, "match", "ratio")
+    whose = F.to_json(F.struct(*owner), {"ignoreNullFields": "false"}) if owner else F.lit("")
+    given = lambda df, name, as_: df.select(whose.alias("__owner"), F.col(key).alias(name), comparable(F.col(text)).alias(as_)).dropna(subset=[name, as_])
+    new, stored = given(new, key, "__new"), given(stored, "match", "__old")
+    spark = new.sparkSession
+    stored = stored.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("match", "__old"))
+    n = max(1, -(-(new.agg(F.sum(F.octet_length("__new"))).first()[0] or 0) // BLOCK_BYTES))
+    schema = f"`{key}` {new.schema[key].dataType.simpleString()}, match {stored.schema['match'].dataType.simpleString()}, ratio double"
+
+    def compared(table: pa.Table) -> DataFrame:
+        shared = spark.sparkContext.broadcast(table)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = Block(shared.value)
+            for batch in batches:
+                matches = batch.column(1)
+                found: list[tuple[int, int, float]] = []
+
+                def pairs() -> pa.RecordBatch:
+                    ours, theirs, ratios = zip(*found)
+                    out = [block.keys.take(pa.array(ours, pa.int64())), matches.take(pa.array(theirs, pa.int64())), pa.array(ratios, pa.float64())]
+                    found.clear()
+                    return pa.RecordBatch.from_arrays(out, names=[key, "match", "ratio"])
+
+                for at, (own, match, old) in enumerate(zip(*(x.to_pylist() for x in batch.columns))):
+                    matcher = SequenceMatcher(None, "", "")
+                    some = block.candidates(own, len(old), threshold)
+                    if some:
+                        matcher.set_seq2(old)
+                    for row in some:
+                        if block.ids[row] != match:
+                            matcher.set_seq1(block.texts[row])
+                            ratio = reached(matcher, threshold)
+                            if ratio is not None:
+                                found.append((row, at, ratio))
+                        if len(found) >= PAIRS:
+                            yield pairs()
+                if found:
+                    yield pairs()
+
+        return stored.mapInArrow(run, schema)
+
+    blocks = (new.filter(F.pmod(F.xxhash64(key, "__new"), F.lit(n)) == k).toArrow() for k in range(n))
+    return reduce(DataFrame.unionByName, map(compared, blocks))

@@ -1,3 +1,4 @@
+import random
 from difflib import SequenceMatcher
 
 from pyspark.sql import Row
@@ -7,6 +8,7 @@ from talentloom.functions import durations, ingest, scoring, text
 from talentloom.functions.similarity import sequence_ratio
 from talentloom.operators import tables
 from talentloom.operators.similar_texts import similar_texts
+from talentloom.plans import table_queries
 
 
 def value(spark, expression, **columns):
@@ -94,6 +96,33 @@ def test_similar_texts(spark):
     assert got == {(2, 1)}
 
 
+def test_similar_texts_of_null_owners_and_without_owners(spark, monkeypatch):
+    pick = random.Random(3)
+    words = "john works at acme with python and docker every day while others paint zebras".split()
+    texts = [" ".join(pick.choices(words, k=pick.choice([1, 3, 8, 40, 60]))) for _ in range(25)]
+    texts += [t.replace("a", "", 3) + " x" for t in texts] + ["", "", None]
+    rows = [(["u", "v", None][i % 25 % 3], i, t) for i, t in enumerate(texts)] + [("u", None, texts[0])]
+    df = spark.createDataFrame(rows, "owner string, id int, body string")
+    plain = {r.id: r.t for r in df.select("id", text.comparable(F.col("body")).alias("t")).collect() if r.id is not None and r.t is not None}
+    whose = {i: o for o, i, _ in rows}
+    for owner in ([], ["owner"]):
+        want = {(a, b, SequenceMatcher(None, plain[a], plain[b]).ratio()) for a in plain for b in plain if a % 3 == 0 and a != b and (not owner or whose[a] == whose[b])}
+        want = {x for x in want if x[2] >= 0.7}
+        assert any(whose[a] is None and whose[b] is None for a, b, _ in want)
+        for size in (1 << 20, 600):
+            monkeypatch.setattr("talentloom.operators.similar_texts.BLOCK_BYTES", size)
+            got = [tuple(r) for r in similar_texts(df.filter("id % 3 = 0"), df, owner, "id", "body").collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_similar_documents_across_languages(spark, tmp_path):
+    body = "a near copy of this text is filed under another language by mistake"
+    rows = [(20, body, "en"), (21, body + " now", "de"), (40, body, None), (41, "nothing of the kind", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.match) for r in table_queries.similar_documents(spark, str(tmp_path)).collect()}
+    assert got == {(20, 21), (20, 40), (40, 20), (40, 21)}
+
+
 def test_scoped(spark):
     users = spark.createDataFrame([("admin",)], "user_id string")
     rows = spark.createDataFrame([("admin",), ("user",), ("other",)], "user_id string")
