@@ -8,7 +8,7 @@ from talentloom.functions import durations, ingest, scoring, text
 from talentloom.functions.similarity import sequence_ratio
 from talentloom.operators import tables
 from talentloom.operators.similar_texts import similar_texts
-from talentloom.plans import table_queries
+from talentloom.plans import ingest_queries, table_queries
 
 
 def value(spark, expression, **columns):
@@ -123,6 +123,13 @@ def test_similar_documents_across_languages(spark, tmp_path):
     assert got == {(20, 21), (20, 40), (40, 20), (40, 21)}
 
 
+def test_normalised_values_of_all_rows(spark, small):
+    got = {r.p_partkey: tuple(r)[1:] for r in ingest_queries.normalised_values(spark, small).collect()}
+    keys = {r[0] for r in spark.read.parquet(f"{small}/part.parquet").select("p_partkey").collect()}
+    assert set(got) == keys
+    assert all(got[k] == (919000000000.0 + k, None, 919000000000.0 + k) for k in keys if k % 11 == 1)  # "+91" and ten digits
+
+
 def test_scoped(spark):
     users = spark.createDataFrame([("admin",)], "user_id string")
     rows = spark.createDataFrame([("admin",), ("user",), ("other",)], "user_id string")
