@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from talentloom.functions.similarity import sequence_ratio
+
 
 def term_counts(df: DataFrame, terms: Column) -> DataFrame:
     """``term, n``: how often each normalised term occurs in an array column."""
@@ -55,15 +57,17 @@ GENERIC = ("and", "the", "with", "for", "from", "this", "that", "have", "will",
 
 
 def completion_score(text: Column, prefix: str, semantic: Column | None = None) -> Column:
-    """How well a text completes a prefix: equal, beginning, containing, or with its characters in order."""
+    """How well a text completes a prefix: equal, beginning, containing, similar, or with its characters in order."""
     semantic = F.lit(0.0) if semantic is None else semantic
     low, p = F.lower(text), prefix.lower()
     at = F.locate(p, low)
+    alike = sequence_ratio(F.lit(p), low)
     in_order = F.replace(low, F.lit(" "), F.lit("")).rlike(".*".join(("\\" + c if not c.isalnum() else c) for c in p)) if len(p) >= 2 else F.lit(False)
     return (
         F.when(low == p, F.greatest(F.lit(1.0), semantic + 0.5))
         .when(at == 1, F.greatest(F.lit(0.9) - (F.length(text) - len(p)) * 0.01, semantic + 0.3))
         .when(at > 1, F.greatest(F.lit(0.7) - (at - 1) * 0.01, semantic + 0.2))
+        .when(alike > 0.7, F.greatest(alike * 0.5, semantic + 0.1))
         .when(in_order, F.greatest(F.lit(0.3), semantic))
         .otherwise(semantic)
     )

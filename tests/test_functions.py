@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from talentloom.functions import durations, ingest, scoring, text
 from talentloom.functions.similarity import sequence_ratio
-from talentloom.operators import tables
+from talentloom.operators import tables, terms
 from talentloom.operators.similar_texts import similar_texts
 from talentloom.plans import ingest_queries, table_queries
 
@@ -123,6 +123,17 @@ def test_similar_documents_across_languages(spark, tmp_path):
     assert got == {(20, 21), (20, 40), (40, 20), (40, 21)}
 
 
+def test_completion_of_misspelt_prefixes(spark):
+    score = lambda s, prefix, **more: value(spark, terms.completion_score(F.col("s"), prefix, **more), s=s)
+    assert abs(score("Python", "pyhton") - 0.5 * 10 / 12) < 1e-9  # "py", "t" or "h", "on" in order
+    assert abs(score("python", "pythn") - 0.5 * 10 / 11) < 1e-9  # in order too, but more alike
+    assert abs(score("python", "pyhton", semantic=F.lit(0.6)) - 0.7) < 1e-9
+    assert score("a long text with p, y and n", "pyn") == 0.3 and score("docker", "pyhton") == 0
+    counts = spark.createDataFrame([("python", 5), ("docker", 5)], "term string, n long")
+    none = spark.createDataFrame([], "term string, other string, n long, strength double")
+    assert [r.term for r in terms.completions(counts, none, "pyhton").collect()] == ["python"]
+
+
 def test_normalised_values_of_all_rows(spark, small):
     got = {r.p_partkey: tuple(r)[1:] for r in ingest_queries.normalised_values(spark, small).collect()}
     keys = {r[0] for r in spark.read.parquet(f"{small}/part.parquet").select("p_partkey").collect()}
