@@ -64,11 +64,11 @@ def detected_types(spark, sf_dir):
 
 @query(rf"""WITH t AS (SELECT p_partkey, {_DUCK} AS v FROM part) SELECT p_partkey, try_cast(replace(regexp_extract(lower(v), '(\d[\d,]*(?:\.\d+)?)', 1), ',', '') AS double) * CASE WHEN regexp_matches(lower(v), '\d\s*(?:lakh|lac)') THEN 1e5 WHEN regexp_matches(lower(v), '\d\s*(?:crore|cr)') THEN 1e7 WHEN regexp_matches(lower(v), '\d\s*k') THEN 1e3 ELSE 1 END AS amount,
 CASE WHEN regexp_matches(lower(v), 'immediate|asap|^0$|zero') THEN 0 ELSE coalesce(try_cast(regexp_extract(lower(v), '(\d+)\s*(?:days?|d)', 1) AS int), try_cast(regexp_extract(lower(v), '(\d+)\s*(?:weeks?|w)', 1) AS int) * 7, try_cast(regexp_extract(lower(v), '(\d+)\s*(?:months?|mon?|m)', 1) AS int) * 30) END AS notice_days,
-round(CASE WHEN contains(v, '%') THEN try_cast(regexp_extract(v, '(\d+(?:\.\d+)?)', 1) AS double) WHEN try_cast(regexp_extract(v, '(\d+(?:\.\d+)?)\s*/\s*(\d+(?:\.\d+)?)', 2) AS double) > 0 THEN try_cast(regexp_extract(v, '(\d+(?:\.\d+)?)\s*/\s*(\d+(?:\.\d+)?)', 1) AS double) / try_cast(regexp_extract(v, '(\d+(?:\.\d+)?)\s*/\s*(\d+(?:\.\d+)?)', 2) AS double) * 100 WHEN try_cast(regexp_extract(v, '(\d+(?:\.\d+)?)', 1) AS double) <= 10 THEN try_cast(regexp_extract(v, '(\d+(?:\.\d+)?)', 1) AS double) * 10 ELSE try_cast(regexp_extract(v, '(\d+(?:\.\d+)?)', 1) AS double) END, 6) AS percent FROM t""")
+CASE WHEN contains(v, '%') THEN try_cast(regexp_extract(v, '(\d+(?:\.\d+)?)', 1) AS double) WHEN try_cast(regexp_extract(v, '(\d+(?:\.\d+)?)\s*/\s*(\d+(?:\.\d+)?)', 2) AS double) > 0 THEN try_cast(regexp_extract(v, '(\d+(?:\.\d+)?)\s*/\s*(\d+(?:\.\d+)?)', 1) AS double) / try_cast(regexp_extract(v, '(\d+(?:\.\d+)?)\s*/\s*(\d+(?:\.\d+)?)', 2) AS double) * 100 WHEN try_cast(regexp_extract(v, '(\d+(?:\.\d+)?)', 1) AS double) <= 10 THEN try_cast(regexp_extract(v, '(\d+(?:\.\d+)?)', 1) AS double) * 10 ELSE try_cast(regexp_extract(v, '(\d+(?:\.\d+)?)', 1) AS double) END AS percent FROM t""")
 def normalised_values(spark, sf_dir):
     """Money in units, notice in days, marks in percent."""
     rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(_SPARK).alias("v"))
-    return rows.select("p_partkey", ingest.amount(F.col("v")).alias("amount"), ingest.notice_days(F.col("v")).alias("notice_days"), F.round(ingest.percent(F.col("v")), 6).alias("percent"))
+    return rows.select("p_partkey", ingest.amount(F.col("v")).alias("amount"), ingest.notice_days(F.col("v")).alias("notice_days"), ingest.percent(F.col("v")).alias("percent"))
 
 
 _ROW = "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_name END AS name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'c' || c_custkey || '@mail.example' END AS email, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE (9000000000 + c_custkey)::varchar END AS phone, c_mktsegment AS role, 18 + c_custkey % 45 AS age, (c_custkey % 40)::double AS years, 1990 + c_custkey % 35 AS graduated, c_acctbal * 100 AS pay FROM customer"
