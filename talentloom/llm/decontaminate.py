@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from talentloom.llm import textbytes
 from talentloom.llm.cuts import checked, cut
 
 WINDOW = 10
-#: Words of one shard's index, and bytes of its texts, after which the shard is closed.
+#: Words of a shard, and bytes of its texts, after which it is closed; a longer text is indexed stretch by stretch.
 SHARD_WORDS = 400_000
 SHARD_BYTES = 24 << 20
 #: Words of benchmark items that are searched for at once; more are searched for block by block.
@@ -54,21 +55,21 @@ class Wavelet:
 
 
 def suffix_order(codes: np.ndarray) -> np.ndarray:
-    """Start positions of all suffixes in their order, by prefix doubling. The last code is smaller than all others and unique."""
-    n = len(codes)
-    rank, width = codes.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
+    """Start positions of all suffixes in their order, by prefix doubling over those that are still tied. The last code is smaller than all others and unique."""
+    n, width = len(codes), 1
+    order = np.argsort(codes, kind="stable")
+    rank, key, open_ = np.empty(n, np.int64), codes[order], np.arange(n)
     while True:
-        key = rank[order] if width == 1 else key[order]  # noqa: F821
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
-        rank = new
-        if n == 0 or rank[order[-1]] == n - 1:
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(first, len(open_)))
+        rank[order[open_]] = np.repeat(open_[first], size)
+        open_ = open_[np.repeat(size > 1, size)]
+        if not len(open_):
             return order
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - width)] = rank[width:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
+        tied = order[open_]
+        key = rank[tied] * n + rank[tied + width]
+        by_key = np.argsort(key, kind="stable")
+        order[open_], key = tied[by_key], key[by_key]
         width *= 2
 
 
@@ -111,98 +112,121 @@ class FMIndex:
         return out
 
 
+def _ranges(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers low, low + 1, ... of each range, one range after the other."""
+    return np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 class Phrases:
-    """The distinct windows of benchmark items, as codes of their own vocabulary, with the items that have them."""
+    """The distinct windows of benchmark items, as places in the items' words, with the items that have them."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        column = pa.array([x[1] for x in items], pa.string())
-        raw, at = textbytes.buffers(column)
+        raw, at = textbytes.buffers(pa.array([x[1] for x in items], pa.string()))
         starts, ends, first = textbytes.words(raw, at, textbytes.ALNUM)
-        hashes = textbytes.word_hashes(raw, starts, ends, textbytes.ALNUM)
-        self.vocabulary, codes = np.unique(hashes, return_inverse=True)
-        codes = (codes + 2).astype(np.int32)
-        found: dict[int, dict[bytes, set[str]]] = {}
-        for i, (name, _) in enumerate(items):
-            own = codes[first[i] : first[i + 1]]
-            n = min(window, len(own))
-            if n:
-                for view in np.lib.stride_tricks.sliding_window_view(own, n):
-                    found.setdefault(n, {}).setdefault(view.tobytes(), set()).add(name)
-        #: length -> (patterns, items of each)
-        self.by_length = {n: (np.array([np.frombuffer(k, np.int32) for k in x]), list(x.values())) for n, x in sorted(found.items())}
-        self.shortest = min(self.by_length, default=window)
-
-    def code(self, hashes: np.ndarray) -> np.ndarray:
-        """Codes of words; 1 for those that no item has."""
-        if not len(self.vocabulary) or not len(hashes):
-            return np.ones(len(hashes), np.int32)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, at + 2, 1).astype(np.int32)
+        self.names, self.window = [x[0] for x in items], window
+        self.raw, self.starts, self.ends = textbytes.LOWER[raw], starts, ends
+        self.hashes = textbytes.word_hashes(raw, starts, ends)
+        self.words, self.place = np.unique(self.hashes, return_index=True)
+        codes, n_words = np.searchsorted(self.words, self.hashes).astype(np.int32), np.diff(first)
+        #: length -> first words of the distinct windows, and for each window where its items begin in the list that follows
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in np.unique(np.minimum(n_words[n_words > 0], window)).tolist():
+            chosen = np.flatnonzero(np.minimum(n_words, window) == n)
+            n_windows = n_words[chosen] - n + 1
+            place, item = _ranges(first[chosen], n_windows), np.repeat(chosen, n_windows)
+            rows = np.ascontiguousarray(codes[place[:, None] + np.arange(n)]).view(f"V{4 * n}").ravel()
+            _, kept, which = np.unique(rows, return_index=True, return_inverse=True)
+            pairs = np.unique(which.astype(np.int64) * len(items) + item)
+            self.by_length[n] = place[kept], np.searchsorted(pairs // len(items), np.arange(len(kept) + 1)), pairs % len(items)
 
 
 class Shard:
-    """Texts of one shard: their batches, words, and the runs of words that some item has."""
+    """Texts of one shard: their batches and all their words."""
 
     def __init__(self, phrases: Phrases):
         self.phrases = phrases
         self.parts: list[pa.RecordBatch] = []
-        self.codes: list[np.ndarray] = []
-        self.where: list[np.ndarray] = []  # document, word number, first byte and end of each code; -1 for what parts runs
+        self.raws: list[np.ndarray] = []
+        self.hashes: list[np.ndarray] = []
+        self.where: list[np.ndarray] = []  # document, word number, first byte and end within the text, first byte within the part, part
         self.counts: list[np.ndarray] = []
         self.docs = self.words = self.bytes = 0
 
     def add(self, part: pa.RecordBatch, column: str) -> None:
         raw, at = textbytes.buffers(part.column(column))
         starts, ends, first = textbytes.words(raw, at, textbytes.ALNUM)
-        codes = self.phrases.code(textbytes.word_hashes(raw, starts, ends, textbytes.ALNUM))
         n = np.diff(first)
         doc = np.repeat(np.arange(len(n)), n)
-        # only runs of known words, within a text, that are as long as the shortest phrase can hold an occurrence
-        known = codes > 1
-        breaks = np.flatnonzero(np.concatenate(([True], (known[1:] != known[:-1]) | (doc[1:] != doc[:-1]), [True]))) if len(codes) else np.zeros(1, np.int64)
-        length = np.diff(breaks)
-        kept = np.repeat(known[breaks[:-1]] & (length >= self.phrases.shortest), length) if len(codes) else known
-        last = kept.copy()
-        if len(codes):
-            ends_run = np.zeros(len(codes), bool)
-            ends_run[breaks[1:] - 1] = True
-            last &= ends_run
-        pick = np.flatnonzero(kept)
-        at_code = np.arange(len(pick)) + np.concatenate(([0], np.cumsum(last[pick])[:-1])) if len(pick) else pick
-        total = len(pick) + int(last.sum())
-        text, where = np.ones(total, np.int32), np.full((total, 4), -1, np.int64)
-        text[at_code] = codes[pick]
-        where[at_code, 0] = doc[pick] + self.docs
-        where[at_code, 1] = pick - first[doc[pick]]
-        where[at_code, 2] = starts[pick] - at[doc[pick]]
-        where[at_code, 3] = ends[pick] - at[doc[pick]]
+        self.hashes.append(textbytes.word_hashes(raw, starts, ends))
+        self.where.append(np.stack([doc + self.docs, np.arange(len(doc)) - first[doc], starts - at[doc], ends - at[doc], starts, np.full(len(doc), len(self.parts))]))
+        self.raws.append(raw)
         self.parts.append(part)
-        self.codes.append(text)
-        self.where.append(where)
         self.counts.append(n)
         self.docs += len(n)
-        self.words += total
+        self.words += len(doc)
         self.bytes += len(raw)
 
+    def _same(self, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Whether the words at these numbers are, byte for byte, the items' words of these codes."""
+        same, size = np.zeros(len(at), bool), self.located[3, at] - self.located[2, at]
+        theirs = self.phrases.place[codes]
+        start = self.phrases.starts[theirs]
+        size_fits = self.phrases.ends[theirs] - start == size
+        for k, raw in enumerate(self.raws):
+            own = np.flatnonzero((self.located[5, at] == k) & size_fits)
+            n = size[own]
+            if len(own):
+                equal = textbytes.LOWER[raw[_ranges(self.located[4, at[own]], n)]] == self.phrases.raw[_ranges(start[own], n)]
+                same[own] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+        return same
+
+    def _occurrences(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Length of some windows, which of them occur, and the number of the first word of each occurrence.
+
+        The index holds all words of the shard, texts parted by a mark, and knows nothing of the items. The items' words are looked up in the shard's
+        vocabulary; windows with a word that it lacks can't occur.
+        """
+        hashes, doc = np.concatenate(self.hashes), self.located[0]
+        step = len(hashes) if len(hashes) <= 2 * SHARD_WORDS else SHARD_WORDS
+        for low in range(0, len(hashes), max(1, step)):
+            part = slice(low, low + step + self.phrases.window - 1)
+            vocabulary, codes = np.unique(hashes[part], return_inverse=True)
+            apart = np.concatenate(([0], np.cumsum(doc[part][1:] != doc[part][:-1])))
+            text = np.ones(len(codes) + int(apart[-1]), np.int64)
+            text[np.arange(len(codes)) + apart] = codes + 2
+            at = np.minimum(np.searchsorted(vocabulary, self.phrases.hashes), len(vocabulary) - 1)
+            known = vocabulary[at] == self.phrases.hashes
+            absent = np.concatenate(([0], np.cumsum(~known)))
+            if not known.any():
+                continue
+            index = FMIndex(text, len(vocabulary) + 1)
+            number = np.cumsum(text > 1) - 1
+            for n, (place, _, _) in self.phrases.by_length.items():
+                some = np.flatnonzero(absent[place + n] == absent[place])
+                first, end = index.search((at[place[some][:, None] + np.arange(n)] + 2).astype(np.int32))
+                times = (end - first).astype(np.int64)
+                found = number[index.locate(_ranges(first.astype(np.int64), times))] + low
+                yield n, np.repeat(some, times), found
+
     def found(self) -> tuple[np.ndarray, list[list[str]]]:
         """The spans of hit words (document, first word, word after the last, first byte, end), and the items of each document."""
         items: list[set[str]] = [set() for _ in range(self.docs)]
-        where = np.concatenate(self.where) if self.where else np.zeros((0, 4), np.int64)
-        cover = np.zeros(len(where) + 1, np.int64)
-        if len(where) and self.phrases.by_length:
-            index = FMIndex(np.concatenate(self.codes), len(self.phrases.vocabulary) + 1)
-            for n, (patterns, owners) in self.phrases.by_length.items():
-                low, high = index.search(patterns)
-                times = (high - low).astype(np.int64)
-                which = np.repeat(np.arange(len(patterns)), times)
-                rows = np.repeat(low.astype(np.int64), times) + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-                at = index.locate(rows)
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + n, -1)
-                pairs = np.unique(np.stack([where[at, 0], which]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
-                for d, k in pairs.T.tolist():
-                    items[d] |= owners[k]
-        hit = where[np.cumsum(cover[:-1]) > 0]
+        self.located = np.concatenate(self.where, axis=1) if self.where else np.zeros((6, 0), np.int64)
+        cover = np.zeros(self.located.shape[1] + 1, np.int64)
+        for n, which, at in self._occurrences() if self.located.shape[1] and self.phrases.by_length else ():
+            # bytes decide
+            place, first, owners = self.phrases.by_length[n]
+            words = np.unique(np.stack([(at[:, None] + np.arange(n)).ravel(), np.searchsorted(self.phrases.words, self.phrases.hashes[(place[which][:, None] + np.arange(n)).ravel()])]), axis=1)
+            wrong = words[0, ~self._same(words[0], words[1])]
+            if len(wrong):
+                kept = np.searchsorted(wrong, at) == np.searchsorted(wrong, at + n)
+                which, at = which[kept], at[kept]
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + n, -1)
+            pairs = np.unique(self.located[0, at] * len(place) + which)
+            for d, k in zip((pairs // len(place)).tolist(), (pairs % len(place)).tolist()):
+                items[d].update(self.phrases.names[i] for i in owners[first[k] : first[k + 1]])
+        hit = self.located[:, np.cumsum(cover[:-1]) > 0].T
         new = np.flatnonzero(np.concatenate(([True], (hit[1:, 0] != hit[:-1, 0]) | (hit[1:, 1] != hit[:-1, 1] + 1)))) if len(hit) else np.zeros(0, np.int64)
         last = np.append(new[1:], len(hit)) - 1
         spans = np.column_stack([hit[new, 0], hit[new, 1], hit[last, 1] + 1, hit[new, 2], hit[last, 3]]) if len(hit) else np.zeros((0, 5), np.int64)
@@ -237,15 +261,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     """``doc_id, n_words, spans, items, n_hit``: the words of every text that lie in an occurrence of a benchmark window.
 
     Words are runs of digits, letters and characters beyond ASCII, A-Z lower-cased. Windows are ``window`` consecutive
-    words of an item, all its words where it has fewer. Each task closes shards of bounded size, builds an FM-index
-    over a shard's runs of words that items have (other words part the runs, so nothing is lost), searches all windows
-    backwards and locates their occurrences. ``spans`` are the merged runs of hit words: numbers of the first word and
-    of the one after the last, and their byte range. ``items`` are item ids, sorted as strings. Nothing is shuffled: the
-    distinct windows of up to ``BLOCK_WORDS`` words are broadcast; a larger benchmark is searched for in blocks, whose
-    results are then merged by row.
-
-    Null and empty texts have no words. Items without words have no windows; a null item id is the empty string;
-    repeated items count once. Ids may be null or repeat: one row for each input row. Other columns are left out.
+    words of an item, all its words where it has fewer. Each task closes shards of bounded size and builds an FM-index
+    over all words of a shard, whatever the items are; windows are searched backwards, their occurrences located by sampled suffix positions
+    and compared byte for byte. ``spans`` are the merged runs of hit words: numbers of the first word and of the one after the last, and their
+    byte range. ``items`` are item ids, sorted as strings. Nothing is shuffled: the distinct windows of up to ``BLOCK_WORDS`` words are
+    broadcast. A larger benchmark is searched for block by block, each in the texts as they are and released afterwards; rows with hits are then merged.
+
+    Null and empty texts have no words. A text longer than a shard is indexed in stretches that overlap by a window. Items without words have no
+    windows; a null item id is the empty string; repeated items count once. Ids may be null or repeat: one row for each input
+    row. No documents give no rows, no items no spans. Other columns are left out.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     n, blocks = _blocks(benchmark, "item_id", "text", window)
@@ -259,8 +283,7 @@ def _spans(texts: DataFrame, blocks: Iterator[Phrases]) -> DataFrame:
     names = [x for x in texts.columns if x != "text"]
     schema = ", ".join([*(f"{x} {texts.schema[x].dataType.simpleString()}" for x in names), f"n_words long, spans {SPANS}, items array<string>"])
 
-    def searched(phrases: Phrases) -> DataFrame:
-        shared = texts.sparkSession.sparkContext.broadcast(phrases)
+    def searched(shared: Broadcast) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for shard, (spans, items) in _searched(batches, shared.value, "text"):
@@ -275,14 +298,22 @@ def _spans(texts: DataFrame, blocks: Iterator[Phrases]) -> DataFrame:
 
         return texts.mapInArrow(textbytes.of_batches(run), schema)
 
-    parts = [searched(x) for x in blocks]
-    if len(parts) == 1:
-        return parts[0]
-    found = reduce(DataFrame.unionByName, parts)
-    found = found.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    first, rest = searched(texts.sparkSession.sparkContext.broadcast(next(blocks))), []
+    for phrases in blocks:
+        shared = texts.sparkSession.sparkContext.broadcast(phrases)
+        rest.append(cut(searched(shared).filter(F.size("spans") > 0).select("row", "spans", "items")))
+        shared.destroy()
+    if not rest:
+        return first
+    first = cut(first)
+    found = reduce(DataFrame.unionByName, [first.filter(F.size("spans") > 0).select("row", "spans", "items"), *rest])
+    found = found.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     joined = lambda a, x: F.struct(F.element_at(a, -1)["first"].alias("first"), F.greatest(F.element_at(a, -1)["last"], x["last"]).alias("last"), F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], x["end"]).alias("end"))
     touches = lambda a, x: (F.size(a) > 0) & (F.element_at(a, -1)["last"] >= x["first"])
-    return found.withColumn("spans", F.aggregate("spans", F.array().cast(SPANS), lambda a, x: F.when(touches(a, x), F.array_append(F.slice(a, 1, F.size(a) - 1), joined(a, x))).otherwise(F.array_append(a, x))))
+    merged = F.aggregate("spans", F.array().cast(SPANS), lambda a, x: F.when(touches(a, x), F.array_append(F.slice(a, 1, F.size(a) - 1), joined(a, x))).otherwise(F.array_append(a, x)))
+    found = cut(found.select("row", merged.alias("all_spans"), F.col("items").alias("all_items")))
+    none = F.array()
+    return first.join(checked(found), "row", "left").select(*names, "n_words", F.coalesce("all_spans", none.cast(SPANS)).alias("spans"), F.coalesce("all_items", none.cast("array<string>")).alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:

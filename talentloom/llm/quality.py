@@ -44,7 +44,7 @@ def terms(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
             if b > a:
                 out[i, :TRIGRAMS] = np.bincount(code[a:b], minlength=TRIGRAMS)
     starts, ends, first = textbytes.words(raw, at, textbytes.NOT_SPACE)
-    hashes, length = textbytes.word_hashes(raw, starts, ends, textbytes.NOT_SPACE), ends - starts
+    hashes, length = textbytes.word_hashes(raw, starts, ends), ends - starts
     for i in range(n):
         a, b = first[i], first[i + 1]
         if b > a:

@@ -1,10 +1,10 @@
 """Removal of repeated byte strings by prefix-free parsing.
 
-Rolling-hash triggers cut every text into phrases, each reaching as far around its trigger as a string of LENGTH bytes can.
-Phrases that are the same everywhere are one dictionary entry; the parse says in which documents an entry occurs. Equal strings
-hold equal triggers at equal places, so only entries that share a trigger can share a string: the suffixes of these entries are
-sorted, and suffixes with the same first LENGTH bytes, adjacent in that order, take the smallest document of
-their entries' occurrences. Texts themselves never leave their shard.
+Trigger strings, chosen by a rolling hash, cut every text into phrases. A string of LENGTH bytes starts in one phrase and runs over its trigger into what
+follows, so it is a suffix of a dictionary phrase and a prefix of what the parse has next. Shards first exchange keys of phrases with their surroundings:
+what is the same throughout is settled by the smallest document that has it, wherever it lies. Only phrases whose trigger also occurs with other
+surroundings travel as bytes, once each: the suffix array of their dictionary and that of their parse
+combine into the corpus order, in which equal strings are neighbours. Texts themselves never leave their shard.
 """
 
 from __future__ import annotations
@@ -17,231 +17,209 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentloom.llm import textbytes
-from talentloom.llm.cuts import checked, cut
-from talentloom.llm.phrases import CONTEXT, LENGTH, PLACES, SIDE, TRIGGER, context_keys, contexts, reach, trigger_hashes, triggers
-from talentloom.llm.shards import LAST_ID, batch_of, buckets, ids_of, member, packed, runs, sharded, text_bytes, unpacked
-from talentloom.llm.textbytes import mix
+from talentloom.llm.cuts import BROADCAST_ROWS, checked, cut
+from talentloom.llm.phrases import LENGTH, SIDE, TRIGGER, padded_rows, parse, phrase_keys, single, string_minima
+from talentloom.llm.shards import LAST_ID, batch_of, buckets, ids_of, member, of_planes, packed, planes, runs, scaled, sharded, text_bytes, unpacked
 
 SLICE = 1 << 19
-#: Bytes of keys that one bucket's task sees, about.
-BUCKET_BYTES = 5 << 20
-#: A trigger in more shards than this has its phrases parted into single strings, which are dealt out by their own hash.
-HOT_SHARDS = 4096
-#: Dictionary entries whose suffixes are sorted at once, unless a trigger has more.
-SORTED_ENTRIES = 20_000
+#: Bytes of keys that one bucket's task sees, about, for a corpus of up to a GB.
+BUCKET_BYTES = 10 << 20
+#: A trigger that occurs so often in one of so many parts of the documents is hot: its strings are dealt out one by one.
+HOT, PARTS = 200, 1024
 
-_WINDOW = np.arange(PLACES)
+_BINARY = pa.binary()
 
 
-def parsed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int, int, np.ndarray, np.ndarray]]:
-    """Slices of the shard's texts with their triggers: bytes, offsets, number of the first text, of the first byte, places, hashes."""
-    text = byte = 0
-    for part in textbytes.slices(batch, "text", SLICE):
-        raw, at = textbytes.buffers(part.column("text"))
-        yield raw, at, text, byte, *triggers(raw, at)
-        text += part.num_rows
-        byte += len(raw)
+def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.Table:
+    columns = zip(*rows) if rows else [()] * len(kinds)
+    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds.values())], names=list(kinds))
 
 
-def narrowed(places: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The single strings of LENGTH bytes in the phrases: phrase, and what they hold to the left and right of the trigger."""
-    which, o = np.nonzero((_WINDOW >= SIDE - left[:, None]) & (_WINDOW <= right[:, None]))
-    return which, SIDE - o, o
+def _joined(table: pa.Table, column: str) -> list[bytes]:
+    return [x for x in table.column(column).to_pylist() if x]
 
 
-def _by_bucket(keys: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
-    """Ranges of sorted keys that fall into one bucket."""
-    b = buckets(keys, n)
+def _keys(table: pa.Table, column: str, width: int = 8) -> np.ndarray:
+    return unpacked(b"".join(_joined(table, column)), width)
+
+
+def _ids(table: pa.Table, column: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *map(of_planes, _joined(table, column))])
+
+
+def _by_bucket(triggers: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
+    """Ranges of sorted triggers that fall into one bucket."""
+    b = buckets(triggers, n)
     starts = runs(b)
     for a, z in zip(starts, np.append(starts[1:], len(b))):
         yield int(b[a]), slice(a, z)
 
 
-def _shared_triggers(texts: DataFrame, n: int, hot: int) -> DataFrame:
-    """``shard, shared, hot``: triggers of a shard that some other document has too; the hot ones apart. As packed hashes."""
+def _hot(texts: DataFrame, least: int, parts: int) -> np.ndarray:
+    """Triggers that occur ``least`` times or more in one of ``parts`` parts of the documents, at most ``cuts.BROADCAST_ROWS``: which ones only decides how their strings travel."""
 
-    def gather(table: pa.Table) -> pa.Table:
-        batch = batch_of(table)
-        ids, found = ids_of(batch), [(h >> np.uint64(16), first + reach(p, at)[0]) for _, at, first, _, p, h in parsed(batch)]
-        h, doc = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, t) for i, t in ((0, np.uint64), (1, np.int64)))
-        order = np.argsort(h, kind="stable")
-        h, doc = h[order], ids[doc[order]]
-        first = runs(h)
-        many = (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)) if len(first) else np.zeros(0, bool)
-        h, shard = h[first], table.column("shard")[0].as_py()
-        out = [(b, shard, packed(h[s]), many[s].astype(np.uint8).tobytes()) for b, s in _by_bucket(h, n)]
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "shard", "keys", "many"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in textbytes.slices(batch, "text", SLICE):
+                keys, n = np.unique(parse(*textbytes.buffers(part.column("text")))[1] >> np.uint64(16), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], names=["key", "n"])
 
-    def meet(table: pa.Table) -> pa.Table:
-        keys = [unpacked(x.as_py()) for x in table.column("keys")]
-        h, many = np.concatenate(keys), np.frombuffer(b"".join(x.as_py() for x in table.column("many")), np.uint8)
-        order = np.argsort(h, kind="stable")
-        first = runs(h[order])
-        size = np.diff(np.append(first, len(h)))
-        shared = np.empty(len(h), bool)
-        shared[order] = np.repeat((size > 1) | (np.maximum.reduceat(many[order], first) > 0), size)
-        crowded = np.empty(len(h), bool)
-        crowded[order] = np.repeat(size > hot, size)
-        ends, out = np.cumsum([len(x) for x in keys]), []
-        for k, (z, shard) in enumerate(zip(ends.tolist(), table.column("shard").to_pylist())):
-            own = slice(z - len(keys[k]), z)
-            cold, warm = h[own][shared[own] & ~crowded[own]], h[own][shared[own] & crowded[own]]
-            if len(cold) or len(warm):
-                out.append((shard, packed(cold), packed(warm)))
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 3, (pa.int32(), pa.binary(), pa.binary()))], names=["shard", "shared", "hot"])
+    some = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) == 0).select("text")
+    counts = some.mapInArrow(textbytes.of_batches(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return np.sort(np.array([x.key for x in counts.orderBy(F.desc("n"), "key").limit(BROADCAST_ROWS).collect()], np.uint64))
 
-    return texts.groupBy("shard").applyInArrow(textbytes.of_group(gather), "bucket int, shard int, keys binary, many binary").groupBy("bucket").applyInArrow(textbytes.of_group(meet), "shard int, shared binary, hot binary")
 
+def occurrences(batch: pa.RecordBatch, hot: np.ndarray) -> Iterator[tuple]:
+    """Slices of the shard's texts: bytes, the number of their first byte, and of every trigger its document, place, key, first and last start, and the key of all that its strings cover.
 
-def _collected(table: pa.Table, column: str, width: int = 6) -> np.ndarray:
-    return unpacked(b"".join(x.as_py() for x in table.column(column)), width)
+    The strings of a hot trigger stand one by one, each with its own key for a trigger.
+    """
+    text = byte = 0
+    for part in textbytes.slices(batch, "text", SLICE):
+        raw, at = textbytes.buffers(part.column("text"))
+        places, triggers, low, high = parse(raw, at)
+        warm = member(triggers >> np.uint64(16), hot)[0]
+        cold = len(warm) - int(warm.sum())
+        if cold < len(warm):
+            which, start = single(places[warm], low[warm], high[warm])
+            places, low, high = (np.concatenate(x) for x in ((places[~warm], places[warm][which]), (low[~warm], start), (high[~warm], start)))
+        keys = phrase_keys(raw, places, low, high)
+        triggers = np.concatenate([triggers[~warm], keys[cold:]])
+        yield raw, byte, np.searchsorted(at, low, "right") - 1 + text, places, triggers, low, high, keys
+        text += part.num_rows
+        byte += len(raw)
 
 
-def _entries(texts: DataFrame, shared: DataFrame, n: int) -> DataFrame:
-    """``bucket, shard, keys, hashes, phrases, firsts``: a shard's distinct phrases around shared triggers, each with its smallest document there."""
+def _settled(texts: DataFrame, hot: np.ndarray, n: int) -> DataFrame:
+    """``shard, keys, firsts, asked``: for a shard the keys that a document of another shard with a smaller id has too, with that id; and the keys of which it shall send the bytes."""
+    hot_keys = texts.sparkSession.sparkContext.broadcast(hot)
 
-    def gather(table: pa.Table, told: pa.Table) -> pa.Table:
-        names, kinds = ["bucket", "shard", "keys", "hashes", "phrases", "firsts"], [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+    def gather(table: pa.Table) -> pa.Table:
         batch = batch_of(table)
-        ids, cold, hot = ids_of(batch), np.sort(_collected(told, "shared")), np.sort(_collected(told, "hot"))
-        found: list[tuple] = []
-        for raw, at, text, _, places, h in parsed(batch):
-            h = h >> np.uint64(16)
-            warm = member(h, hot)[0]
-            doc, left, right = reach(places, at)
-            which, l1, r1 = narrowed(places[warm], left[warm], right[warm])
-            keep = member(h, cold)[0]
-            p, d = (np.concatenate([x[keep], x[warm][which]]) for x in (places, doc))
-            left, right = np.concatenate([left[keep], l1]), np.concatenate([right[keep], r1])
-            keys = context_keys(raw, p, left, right)
-            h = np.concatenate([h[keep], keys[int(keep.sum()) :] >> np.uint64(16)])
-            # in the slice each entry once, then in the shard
-            order = np.lexsort((ids[d + text], keys))
-            once = order[runs(keys[order])]
-            found.append((keys[once], h[once], np.column_stack([contexts(raw, p[once], left[once], right[once]), left[once], right[once]]).astype(np.uint8), ids[d[once] + text]))
+        ids, shard = ids_of(batch), table.column("shard")[0].as_py()
+        found = [(triggers >> np.uint64(16), keys, ids[doc]) for _, _, doc, _, triggers, _, _, keys in occurrences(batch, hot_keys.value)]
         if not found:
-            return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
-        keys, h, rows, first = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((first, keys))
-        once = order[runs(keys[order])]
-        once = once[np.argsort(h[once], kind="stable")]
-        shard = table.column("shard")[0].as_py() if table.num_rows else 0
-        out = [(b, shard, keys[once[s]].tobytes(), packed(h[once[s]]), rows[once[s]].tobytes(), first[once[s]].tobytes()) for b, s in _by_bucket(h[once], n)]
-        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [()] * 6, kinds)], names=names)
-
-    return texts.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(textbytes.of_cogroup(gather), "bucket int, shard int, keys binary, hashes binary, phrases binary, firsts binary")
-
-
-def suffix_minima(phrases: np.ndarray, left: np.ndarray, right: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each entry and place the smallest document among all entries with the same string there; LAST_ID where there is no string.
-
-    The entries' suffixes are sorted by their first LENGTH bytes, eight at a time as one big-endian number.
-    """
-    out = np.full((len(phrases), PLACES), LAST_ID, np.int64)
-    which, o = np.nonzero((_WINDOW >= SIDE - left[:, None]) & (_WINDOW <= right[:, None]))
-    strings = np.lib.stride_tricks.sliding_window_view(phrases, LENGTH, axis=1)[which, o]
-    padded = np.zeros((len(strings), 56), np.uint8)
-    padded[:, :LENGTH] = strings
-    numbers = padded.view(">u8").astype(np.uint64)
-    order = np.lexsort(numbers.T[::-1])
-    numbers = numbers[order]
-    new = np.flatnonzero(np.concatenate(([True], (numbers[1:] != numbers[:-1]).any(1)))) if len(order) else order
-    least = np.minimum.reduceat(first[which[order]], new) if len(order) else first[:0]
-    out[which[order], o[order]] = np.repeat(least, np.diff(np.append(new, len(order))))
-    return out
-
-
-def _resolved(entries: DataFrame) -> DataFrame:
-    """``shard, keys, firsts, odd_keys, odd_places, odd_firsts, parted``: what a shard has to know of its entries.
-
-    The smallest document of an entry, where it lies in another shard; single strings of an entry with a smaller
-    document than the entry (place by place); hashes of the triggers whose phrases were parted.
-    """
+            return _table([], bucket=pa.int32(), shard=pa.int32(), triggers=_BINARY, keys=_BINARY, firsts=_BINARY)
+        triggers, keys, first = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(keys, kind="stable")
+        start = runs(keys[order])
+        first = np.minimum.reduceat(first[order], start) if len(start) else first
+        once = order[start]
+        by_trigger = np.argsort(triggers[once], kind="stable")
+        triggers, keys, first = triggers[once][by_trigger], keys[once][by_trigger], first[by_trigger]
+        rows = [(b, shard, packed(triggers[s]), keys[s].tobytes(), planes(first[s])) for b, s in _by_bucket(triggers, n)]
+        return _table(rows, bucket=pa.int32(), shard=pa.int32(), triggers=_BINARY, keys=_BINARY, firsts=_BINARY)
 
     def meet(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")]
-        keys, h = np.concatenate(parts), _collected(table, "hashes")
-        phrases = np.frombuffer(b"".join(x.as_py() for x in table.column("phrases")), np.uint8).reshape(-1, CONTEXT + 2)
-        own = np.frombuffer(b"".join(x.as_py() for x in table.column("firsts")), np.int64)
-        order = np.lexsort((own, keys))
+        triggers, keys, first = _keys(table, "triggers", 6), _keys(table, "keys"), _ids(table, "firsts")
+        order = np.argsort(keys, kind="stable")
         start = runs(keys[order])
         entry = np.empty(len(keys), np.int64)
         entry[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(keys))))
-        once = order[start]  # the dictionary; its first rows have the smallest document
-        least = own[once]
-        by_trigger = np.argsort(h[once], kind="stable")
-        group = runs(h[once][by_trigger])
-        size = np.diff(np.append(group, len(once)))
-        odd: list[tuple] = []
-        several = np.flatnonzero(size > 1)
-        low = 0
-        while low < len(several):
-            high = low + max(1, int(np.searchsorted(np.cumsum(size[several[low:]]), SORTED_ENTRIES, "right")))
-            chosen = np.concatenate([by_trigger[group[g] : group[g] + size[g]] for g in several[low:high]])
-            rows = phrases[once[chosen]]
-            minima = suffix_minima(rows[:, :CONTEXT], rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64), least[chosen])
-            e, o = np.nonzero(minima < least[chosen][:, None])
-            odd.append((chosen[e], o, minima[e, o]))
-            low = high
-        odd_entry, odd_place, odd_first = (np.concatenate(x) for x in zip(*odd)) if odd else (np.zeros(0, np.int64),) * 3
-        by_entry = np.argsort(odd_entry, kind="stable")
-        odd_entry, odd_place, odd_first = odd_entry[by_entry], odd_place[by_entry], odd_first[by_entry]
-        out, ends = [], np.cumsum([len(x) for x in parts])
-        for k, shard in enumerate(table.column("shard").to_pylist()):
-            mine = slice(ends[k] - len(parts[k]), ends[k])
+        least, trigger = np.minimum.reduceat(first[order], start), triggers[order[start]]
+        by_trigger = np.argsort(trigger, kind="stable")
+        group = runs(trigger[by_trigger])
+        # bytes are asked for where other surroundings of the trigger have another first document
+        differ = np.minimum.reduceat(least[by_trigger], group) < np.maximum.reduceat(least[by_trigger], group)
+        several = np.empty(len(start), bool)
+        several[by_trigger] = np.repeat(differ, np.diff(np.append(group, len(start))))
+        rows, end = [], 0
+        for shard, own in zip(table.column("shard").to_pylist(), table.column("keys").to_pylist()):
+            mine = slice(end, end + len(own) // 8)
+            end = mine.stop
             e = entry[mine]
-            smaller = least[e] < own[mine]
-            a, z = np.searchsorted(odd_entry, e), np.searchsorted(odd_entry, e, "right")
-            pick = np.repeat(a - np.concatenate(([0], np.cumsum(z - a)[:-1])), z - a) + np.arange(int((z - a).sum()))
-            told = smaller | (z > a)
-            single = phrases[mine][phrases[mine][:, -2].astype(int) + phrases[mine][:, -1] == SIDE]
-            parted = np.unique(mix(np.concatenate([trigger_hashes(x[SIDE : SIDE + TRIGGER]) for x in single])) >> np.uint64(16)) if len(single) else h[:0]
-            if told.any() or len(parted):
-                out.append((shard, keys[mine][smaller].tobytes(), least[e[smaller]].tobytes(), np.repeat(keys[mine], z - a).tobytes(), odd_place[pick].astype(np.uint8).tobytes(), odd_first[pick].tobytes(), packed(parted)))
-        names = ["shard", "keys", "firsts", "odd_keys", "odd_places", "odd_firsts", "parted"]
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 7, (pa.int32(), *[pa.binary()] * 6))], names=names)
+            smaller, asked = least[e] < first[mine], several[e] & (least[e] == first[mine])
+            if smaller.any() or asked.any():
+                rows.append((shard, keys[mine][smaller].tobytes(), planes(least[e[smaller]]), keys[mine][asked].tobytes()))
+        return _table(rows, shard=pa.int32(), keys=_BINARY, firsts=_BINARY, asked=_BINARY)
 
-    return entries.groupBy("bucket").applyInArrow(textbytes.of_group(meet), "shard int, keys binary, firsts binary, odd_keys binary, odd_places binary, odd_firsts binary, parted binary")
+    sent = texts.groupBy("shard").applyInArrow(textbytes.of_group(gather), "bucket int, shard int, triggers binary, keys binary, firsts binary")
+    return sent.groupBy("bucket").applyInArrow(textbytes.of_group(meet), "shard int, keys binary, firsts binary, asked binary")
+
+
+def _odd(texts: DataFrame, settled: DataFrame, hot: np.ndarray, n: int) -> DataFrame:
+    """``shard, odd_keys, odd_places, odd_firsts``: single strings, by the key of what they lie in and the bytes before the trigger, that a smaller document has than that of the key."""
+    hot_keys = texts.sparkSession.sparkContext.broadcast(hot)
+    kinds = {"bucket": pa.int32(), "shard": pa.int32()} | dict.fromkeys(("triggers", "keys", "firsts", "phrases", "parse"), _BINARY)
+
+    def gather(table: pa.Table, told: pa.Table) -> pa.Table:
+        asked = np.sort(_keys(told, "asked"))
+        if not len(asked) or not table.num_rows:
+            return _table([], **kinds)
+        batch = batch_of(table)
+        ids, found = ids_of(batch), []
+        for raw, _, doc, places, triggers, low, high, keys in occurrences(batch, hot_keys.value):
+            some = np.flatnonzero(member(keys, asked)[0])
+            order = some[np.lexsort((ids[doc[some]], keys[some]))]
+            once = order[runs(keys[order])]
+            left, right = places[once] - low[once], high[once] + SIDE - places[once]
+            phrase = padded_rows(raw[::-1], len(raw) - places[once], left, SIDE)
+            following = padded_rows(raw, places[once] + TRIGGER, right, SIDE)
+            found.append((triggers[once], keys[once], ids[doc[once]], np.column_stack([phrase, left]).astype(np.uint8), np.column_stack([following, right]).astype(np.uint8)))
+        triggers, keys, first, phrase, following = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((first, keys))
+        once = order[runs(keys[order])]
+        once = once[np.argsort(triggers[once], kind="stable")]
+        rows, shard = [], table.column("shard")[0].as_py()
+        for b, s in _by_bucket(triggers[once] >> np.uint64(16), n):
+            o = once[s]
+            dictionary, number = np.unique(np.ascontiguousarray(phrase[o]).view(f"V{SIDE + 1}").ravel(), return_inverse=True)
+            entries = np.column_stack([number.astype("<u4").reshape(-1, 1).view(np.uint8), following[o]])
+            rows.append((b, shard, triggers[o].tobytes(), keys[o].tobytes(), planes(first[o]), dictionary.tobytes(), entries.tobytes()))
+        return _table(rows, **kinds)
+
+    def meet(table: pa.Table) -> pa.Table:
+        triggers, keys, first = _keys(table, "triggers"), _keys(table, "keys"), _ids(table, "firsts")
+        parts = [np.frombuffer(x, np.uint8).reshape(-1, SIDE + 5) for x in _joined(table, "parse")]
+        sizes = [len(x) // (SIDE + 1) for x in _joined(table, "phrases")]
+        number = np.concatenate([np.ascontiguousarray(x[:, :4]).view("<u4").ravel().astype(np.int64) + k for x, k in zip(parts, np.cumsum([0, *sizes]))])
+        every = np.frombuffer(b"".join(_joined(table, "phrases")), f"V{SIDE + 1}")
+        dictionary, where = np.unique(every, return_inverse=True)
+        phrases = dictionary.view(np.uint8).reshape(-1, SIDE + 1)
+        number, following = where[number], np.concatenate([x[:, 4:] for x in parts])
+        entry, place, least = string_minima(number, phrases[:, :SIDE], phrases[number, SIDE].astype(np.int64), triggers, following[:, :SIDE], following[:, SIDE].astype(np.int64), first)
+        rows, end = [], 0
+        for shard, own in zip(table.column("shard").to_pylist(), parts):
+            a, z = np.searchsorted(entry, [end, end + len(own)])
+            end += len(own)
+            if a < z:
+                rows.append((shard, keys[entry[a:z]].tobytes(), place[a:z].astype(np.uint8).tobytes(), planes(least[a:z])))
+        return _table(rows, shard=pa.int32(), odd_keys=_BINARY, odd_places=_BINARY, odd_firsts=_BINARY)
+
+    sent = texts.groupBy("shard").cogroup(settled.groupBy("shard")).applyInArrow(textbytes.of_cogroup(gather), "bucket int, shard int, triggers binary, keys binary, firsts binary, phrases binary, parse binary")
+    return sent.groupBy("bucket").applyInArrow(textbytes.of_group(meet), "shard int, odd_keys binary, odd_places binary, odd_firsts binary")
 
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _cut_out(texts: DataFrame, resolved: DataFrame) -> DataFrame:
+def _cut_out(texts: DataFrame, told: DataFrame, hot: np.ndarray) -> DataFrame:
     """``doc_id, n_bytes, spans, kept`` of every text of the shards."""
+    hot_keys = texts.sparkSession.sparkContext.broadcast(hot)
 
     def apply(table: pa.Table, told: pa.Table) -> pa.Table:
         batch = batch_of(table)
         ids, (data, at) = ids_of(batch), textbytes.buffers(batch.column("text"))
-        parted, found = np.sort(_collected(told, "parted")), []
-        for raw, offsets, text, byte, places, h in parsed(batch):
-            doc, left, right = reach(places, offsets)
-            warm = member(h >> np.uint64(16), parted)[0]
-            which, l1, r1 = narrowed(places[warm], left[warm], right[warm])
-            p, d = (np.concatenate([x, x[warm][which]]) for x in (places, doc))
-            left, right = np.concatenate([left, l1]), np.concatenate([right, r1])
-            found.append((context_keys(raw, p, left, right), p + byte, ids[d + text], left, right))
+        found = [(keys, low + byte, high + byte, places + byte, ids[doc]) for _, byte, doc, places, _, low, high, keys in occurrences(batch, hot_keys.value)]
         cover = np.zeros(len(data) + 1, np.int32)
         if found:
-            keys, p, own, left, right = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((own, keys))
-            first = runs(keys[order])
-            known, least = keys[order][first], own[order][first]
-            told_keys, told_least = _collected(told, "keys", 8), _collected(told, "firsts", 8).view(np.int64)
-            here, where = member(told_keys, known)
-            np.minimum.at(least, where[here], told_least[here])
+            keys, low, high, places, own = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(keys, kind="stable")
+            start = runs(keys[order])
+            known, least = keys[order][start], np.minimum.reduceat(own[order], start) if len(start) else own
+            here, where = member(_keys(told, "keys"), known)
+            np.minimum.at(least, where[here], _ids(told, "firsts")[here])
             gone = least[member(keys, known)[1]] < own
-            np.add.at(cover, p[gone] - left[gone], 1)
-            np.add.at(cover, p[gone] + TRIGGER + right[gone], -1)
-            odd = _collected(told, "odd_keys", 8)
-            place = np.frombuffer(b"".join(x.as_py() for x in told.column("odd_places")), np.uint8).astype(np.int64)
-            odd_least, by_key = _collected(told, "odd_firsts", 8).view(np.int64), np.argsort(odd, kind="stable")
+            np.add.at(cover, low[gone], 1)
+            np.add.at(cover, high[gone] + LENGTH, -1)
+            odd, place, odd_least = _keys(told, "odd_keys"), np.frombuffer(b"".join(_joined(told, "odd_places")), np.uint8).astype(np.int64), _ids(told, "odd_firsts")
+            by_key = np.argsort(odd, kind="stable")
             odd, place, odd_least = odd[by_key], place[by_key], odd_least[by_key]
             a, z = np.searchsorted(odd, keys), np.searchsorted(odd, keys, "right")
             n = z - a
-            pick = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
-            start, gone = np.repeat(p, n) - SIDE + place[pick], odd_least[pick] < np.repeat(own, n)
+            pick = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            start, gone = np.repeat(places, n) - place[pick], odd_least[pick] < np.repeat(own, n)
             np.add.at(cover, start[gone], 1)
             np.add.at(cover, start[gone] + LENGTH, -1)
         removed = np.cumsum(cover[:-1]) > 0
@@ -258,21 +236,21 @@ def _cut_out(texts: DataFrame, resolved: DataFrame) -> DataFrame:
         return pa.Table.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(spans, _SPANS), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.groupBy("shard").cogroup(resolved.groupBy("shard")).applyInArrow(textbytes.of_cogroup(apply), f"doc_id {kind}, n_bytes long, spans {SPANS}, kept binary")
+    return texts.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(textbytes.of_cogroup(apply), f"doc_id {kind}, n_bytes long, spans {SPANS}, kept binary")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT_SHARDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, parts: int = PARTS) -> DataFrame:
     """Cuts every byte that lies in a string of 50 bytes which also starts in a text with a smaller id: ``doc_id, n_bytes, spans, kept``.
 
     Texts are UTF-8 bytes; strings never cross texts; all are judged on the input. ``spans`` are the maximal removed runs (start and
     end), ``kept`` the other bytes in order. Equal texts are settled first, by their hash (repeated hashes are broadcast if at most
-    ``cuts.BROADCAST_ROWS``). The others are dealt out to shards by their id. Two exchanges of packed keys
-    follow, each between shards and ranges of hashes: which triggers occur in more than one document, and what the phrases around these share.
-    A shard names each trigger and phrase once, however often it occurs there. A trigger in more than ``hot`` shards has its phrases
-    parted into single strings that are dealt out by their own hashes.
+    ``cuts.BROADCAST_ROWS``). The others are dealt out to shards by their id; shards and buckets grow with the corpus. Two exchanges of packed keys and
+    phrases follow, each between shards and ranges of triggers. A shard names each key once, however often it occurs there. The strings of a
+    hot trigger (``hot`` times or more in one of ``parts`` parts of the documents) travel by their own keys, one by one.
 
     Ids are integers; a null id comes after all others. Rows with the same id count as one document, so they
-    leave each other alone. Null texts are empty. Texts under 50 bytes stay whole. Other columns are left out.
+    leave each other alone. Null texts are empty. Texts under 50 bytes stay whole; a text of any length is one row of one shard. No rows give no
+    rows. Other columns are left out.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
@@ -281,13 +259,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hashed = hashed.join(checked(twins), "sha", "left").withColumn("copy", F.coalesce(rank > F.col("first"), F.lit(False)))
     total = text_bytes(texts)
     own = sharded(hashed.filter("NOT copy"), total)
-    n = max(8, -(-total // (2 * BUCKET_BYTES)))
-    shared = _shared_triggers(own, n, hot)
-    parts = _cut_out(own, _resolved(_entries(own, shared, 3 * n)))
+    n = max(8, -(-total // scaled(BUCKET_BYTES, total)))
+    often = _hot(texts, hot, parts)
+    settled = cut(_settled(own, often, n))
+    told = settled.drop("asked").unionByName(_odd(own, settled, often, n), allowMissingColumns=True)
+    found = _cut_out(own, told, often)
     size, long = F.octet_length("text").cast("long"), F.octet_length("text") >= LENGTH
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("end")))
     copies = hashed.filter("copy").select("doc_id", size.alias("n_bytes"), F.when(long, whole).otherwise(F.array().cast(SPANS)).alias("spans"), F.when(long, F.lit("")).otherwise(F.col("text")).cast("binary").alias("kept"))
-    return parts.unionByName(copies)
+    return found.unionByName(copies)
 
 
 def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

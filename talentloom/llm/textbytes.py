@@ -16,10 +16,9 @@ import pyarrow as pa
 SLICE_BYTES = 2 << 20
 
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C13)  # odd, and 3 modulo 8, so that powers differ in their low bits
-_SHINGLE = _U(0xC2B2AE3D27D4EB4F)
-_TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_POWERS = np.ones(1, np.uint64)
+_SHINGLE, _CHUNK = _U(0xC2B2AE3D27D4EB4F), _U(0x9E3779B97F4A7C15)
+#: What keeps the first so many bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 #: Byte classes: what is not white space ``[\x20\x09-\x0D]``, and what is a digit, a letter or not ASCII.
 NOT_SPACE = np.ones(256, bool)
@@ -41,13 +40,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
-def powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        grown = np.full(max(n, 1024), _BASE, np.uint64)
-        grown[0] = 1
-        _POWERS = np.multiply.accumulate(grown)
-    return _POWERS
+def eights(raw: np.ndarray) -> np.ndarray:
+    """For each position the number that it and the seven bytes after it make, zeros behind the end: a view of a padded copy."""
+    return np.ndarray((len(raw),), "<u8", np.append(raw, np.zeros(8, np.uint8)), strides=(1,))
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,17 +87,24 @@ def words(raw: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray
     return starts, ends, np.searchsorted(starts, at)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words with A-Z lower-cased."""
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words with A-Z lower-cased.
+
+    Every eight bytes are mixed, with their place, before they are added up, so no pattern within words makes sums equal.
+    """
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    first = int(starts[0])
-    table = np.where(kind, _TABLE[LOWER], _U(0))
-    value = table[raw[first:]]
-    longest = int((ends - starts).max())
-    since = np.arange(first, len(raw), dtype=np.int64) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
-    value *= np.take(powers(longest), np.minimum(since, longest - 1, out=since))
-    return mix(np.add.reduceat(value, starts - first) + (ends - starts).astype(np.uint64) * _SHINGLE)
+    numbers, size = eights(LOWER[raw]), ends - starts
+    out = mix(numbers[starts] & _FIRST[np.minimum(size, 8)])
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        n = (size[long] - 1) // 8
+        first = np.cumsum(n) - n
+        k = np.arange(int(n.sum())) - np.repeat(first, n) + 1
+        at = np.repeat(starts[long], n) + 8 * k
+        rest = numbers[at] & _FIRST[np.minimum(np.repeat(ends[long], n) - at, 8)]
+        out[long] += np.add.reduceat(mix(mix(rest) + k.astype(np.uint64) * _CHUNK), first)
+    return mix(out + size.astype(np.uint64) * _SHINGLE)
 
 
 def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -120,7 +122,7 @@ def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
 def shingle_sets(raw: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of ``size`` words; of all its words where it has fewer; none without words."""
     starts, ends, first = words(raw, at, NOT_SPACE)
-    hashes = word_hashes(raw, starts, ends, NOT_SPACE)
+    hashes = word_hashes(raw, starts, ends)
     runs = run_hashes(hashes, size)
     out = []
     for low, high in zip(first[:-1].tolist(), first[1:].tolist()):

@@ -42,7 +42,7 @@ def test_repeats_against_brute_force(spark, small, monkeypatch):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     want = brute.repeats(unique(docs))
     assert removed(repeats.remove_repeats(docs)) == want
-    assert removed(repeats.remove_repeats(docs, hot=1)) == want
+    assert removed(repeats.remove_repeats(docs, hot=1, parts=1)) == want
 
 
 def test_repeats_of_short_periods(spark):
@@ -129,6 +129,10 @@ def test_passages_against_brute_force(spark, small, odd, none, monkeypatch):
     assert contaminated(decontaminate.contamination(odd, more)) == passages(unique(odd), pairs)
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 300)
     assert contaminated(decontaminate.contamination(docs, more)) == passages(unique(docs), pairs)
+    for words in (40, 7):  # long texts are indexed in stretches
+        monkeypatch.setattr(decontaminate, "SHARD_WORDS", words)
+        assert contaminated(decontaminate.contamination(docs.limit(60), items)) == passages(unique(docs.limit(60)), [(r.item_id, r.text) for r in items.collect()])
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 400_000)
     assert decontaminate.contamination(none, items).count() == 0
     assert contaminated(decontaminate.contamination(odd, items.filter("item_id < 0"))) == passages(unique(odd), [])
 
@@ -174,3 +178,31 @@ def test_overlapping_items_of_several_blocks_are_cut_once(spark, monkeypatch):
         got = decontaminate.decontaminate(docs, benchmark)
         assert got.columns == docs.columns
         assert sorted((r.doc_id, repr(r.text), r.ROW) for r in got.collect()) == want
+
+
+def test_words_that_a_linear_hash_confuses(spark):
+    pairs = []
+    for k in range(10, 14):
+        word = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << k))
+        pairs.append((word, word.translate(str.maketrans("ab", "ba"))))
+    rows = [(2 * k + side, f"some words around {w} and behind it") for k, pair in enumerate(pairs) for side, w in enumerate(pair)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs).collect()} == {i: i for i, _ in rows}
+    items = [(k, a) for k, (a, _) in enumerate(pairs)]
+    got = contaminated(decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")))
+    assert got == passages(rows, items) and sum(x[2] for x in got) == len(pairs)
+
+
+def test_words_with_one_hash_are_told_apart_by_bytes(spark, monkeypatch):
+    from talentloom.llm import textbytes
+
+    items = [(1, "alphas beta gam")]
+    monkeypatch.setattr(textbytes, "word_hashes", lambda raw, starts, ends: (ends - starts).astype("uint64"))
+    phrases = decontaminate.Phrases([("1", "alphas beta gam")])
+    shard = decontaminate.Shard(phrases)
+    import pyarrow as pa
+
+    rows = [(0, "deltas beta gam alphas BETA gam"), (1, "deltas zeta gam")]
+    shard.add(pa.RecordBatch.from_pydict({"text": [t for _, t in rows]}), "text")
+    spans, found = shard.found()
+    assert spans[:, :3].tolist() == [[0, 3, 6]] and found == [["1"], []] and [x[2] for x in passages(rows, items)] == [3, 0]
