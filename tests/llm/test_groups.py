@@ -18,12 +18,27 @@ def removed(df):
     return {r.doc_id: (r.n_bytes, r.n, r.s, r.k) for r in rows}
 
 
-def test_filters_merge_without_loss():
+def test_filters_merge_without_loss(monkeypatch):
     import numpy as np
 
-    a, b = (np.array(x, np.uint64) for x in ([5, 5, 2**63, 9], [2**63, 7, 5]))
-    keys, counts = exact_dedup.merge_filters([exact_dedup.build_filter(a), exact_dedup.build_filter(b)])
-    assert dict(zip(keys.tolist(), counts.tolist())) == {5: 3, 7: 1, 9: 1, 2**63: 2}
+    rng, made = np.random.default_rng(3), exact_dedup.QuotientFilter
+    monkeypatch.setattr(exact_dedup, "STRETCH", 64)
+    for prefix, n in ((0, 4), (0, 5000), (4, 3000), (9, 700)):
+        lead = np.uint64(5 << (64 - prefix)) if prefix else np.uint64(0)
+        space = rng.integers(0, 2 ** (63 - prefix), n, dtype=np.uint64)
+        space[: n // 3] = np.arange(n // 3)  # crowded quotients, and remainders that look like counters
+        parts, filters = [lead | rng.choice(space, n) for _ in range(5)], []
+        parts.append(np.full(200_000, lead, np.uint64))
+        for x in parts:
+            keys, counts = np.unique(x, return_counts=True)
+            stored = made.of(keys, counts, prefix).packed()
+            assert n < 500 or len(stored) < 8 * (len(keys) + 2 * (counts > 1).sum()) or len(x) > n
+            filters.append(made.unpacked(stored))
+            got = [np.concatenate(y) for y in zip(*exact_dedup.merged_filters(filters[-1:]))]
+            assert np.array_equal(got[0], keys) and np.array_equal(got[1], counts)
+        keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+        got = [np.concatenate(y) for y in zip(*exact_dedup.merged_filters(filters))]
+        assert np.array_equal(got[0], keys) and np.array_equal(got[1], counts)
 
 
 def test_exact_groups(odd, none):
