@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from talentloom.llm.cuts import cut
+from talentloom.llm.cuts import checked, cut
 
-#: Turns whose numbers fall into one block take their prefix sums together; the blocks' sums are added up afterwards.
-BLOCK = 512
+#: Turn numbers of a block, which is cut into windows by itself, and rows above which a block is parted further.
+BLOCK, CROWDED = 1024, 16384
+#: Bytes that a turn's marks and role may take in a part of a long turn.
+HEAD = 128
 
 #: Every control string starts with one of these; in texts and roles they are spelled with a backslash and a letter.
 ESCAPES = {"\\": "\\e", "<": "\\l", "[": "\\b", "|": "\\p"}
 OPEN, SHUT, END = "<|", "|>", "</s>"
+#: Stands where a part of a long turn carries on what the part before began.
+ON = "<+>"
 
 
 def escaped(text: Column) -> Column:
@@ -30,79 +32,119 @@ def unescaped(text: Column) -> Column:
     return text
 
 
-def pre_tokens(text: Column) -> Column:
-    """A turn's size: words, digits and runs of other characters, and two marks."""
-    return F.regexp_count(text, F.lit(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")) + 2
-
-
-def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 256, history_turns: int = 2, size: Callable[[Column], Column] = pre_tokens) -> DataFrame:
-    """Formats conversations (``conv_id, turn, role, text``): ``conv_id, window_id, first_turn, text, new_from, loss, n_tokens``, a row for each window.
-
-    A turn reads ``<|role|>text</s>``, with control characters escaped so that ``read_turns`` gives role and text back.
-    Prefix sums of turn sizes choose the windows: with room R for new turns (the budget without the
-    system turn and the history), a window holds the turns whose sums end in the same stretch of R/2, and a turn longer than R/2
-    stands alone. So windows end with turns and keep the budget, unless one turn alone exceeds R. Each later window
-    starts with the system turn and up to ``history_turns`` turns (``history`` tokens) that precede it. ``new_from`` is
-    the offset (from 0, in code points) of the first new turn; ``loss`` holds start and length of every new assistant text, so
-    that a repeated target never counts twice.
-
-    Sums are taken within blocks of turn numbers and then over the blocks, so a long conversation is spread over tasks; no window exceeds the budget in one row.
-    Null texts and roles are empty. Rows are ordered by turn (null first), then role, then escaped text; equal rows are all kept. A null ``conv_id`` is
-    a conversation like any other. The first system turn is the one that is retained. Other columns are left out; no rows give no windows.
+def _parts(long: Column, room: int) -> Column:
+    """An escaped text as parts of at most ``room`` bytes if it is long; no part ends within an escape."""
+    ascii_ = F.octet_length("shown") == F.length("shown")
+    unit = F.when(~ascii_, 4).when(F.contains("shown", F.lit("\\")), 2).otherwise(1)
+    pattern = F.concat(F.lit("(?s).{1,"), F.floor(F.lit(room) / unit).cast("string"), F.lit(r"}(?<!\\)"))
+    return F.when(long, F.regexp_extract_all("shown", pattern, F.lit(0))).otherwise(F.array("shown"))
+
+
+def _cuts(budget: int, history: int, history_turns: int) -> Column:
+    """The places (from 1) at which the windows of a block begin, and how many turns each repeats: a window is closed by the first turn that its room lacks."""
+    no_room = F.lit(2 * budget).cast("long")
+
+    def step(a: Column, x: Column) -> Column:
+        repeated, fits, old, sizes = F.lit(0).cast("long"), F.lit(True), F.lit(0), F.lit(0).cast("long")
+        for j in range(1, history_turns + 1):
+            sizes = sizes + F.coalesce(F.get("sizes", a["at"] - j)["repeats"], no_room)
+            fits = fits & (sizes <= history)
+            old, repeated = old + fits.cast("int"), F.when(fits, sizes).otherwise(repeated)
+        first = a["at"] == 0
+        room = F.when(first & F.col("prev").isNull(), F.lit(budget)).otherwise(F.lit(budget) - F.col("system_size") - F.when(first, F.lit(history)).otherwise(repeated)).cast("long")
+        opens = first | (x["size"] > a["left"])
+        here = F.struct((a["at"] + 1).alias("at"), old.alias("old"))
+        return F.struct((a["at"] + 1).alias("at"), (F.when(opens, room).otherwise(a["left"]) - x["size"]).alias("left"), F.when(opens, F.array_append(a["cuts"], here)).otherwise(a["cuts"]).alias("cuts"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("left"), F.array().cast("array<struct<at:int,old:int>>").alias("cuts"))
+    return F.aggregate("sizes", start, step)["cuts"]
+
+
+def chat_windows(turns: DataFrame, budget: int = 4096, history: int = 512, history_turns: int = 2, tokens: str | None = None) -> DataFrame:
+    """Formats conversations (``conv_id, turn, role, text``): ``conv_id, window_id, text, new_from, loss, n_tokens``, a row for each window.
+
+    A turn reads ``<|role|>text</s>``, with control characters escaped so that ``read_turns`` gives role and text back. Its size is the number of its UTF-8 bytes,
+    which no byte-level tokenizer exceeds; with ``tokens``, a column with the number of the text's tokens, it is that plus the bytes of the marks.
+    Running sums of sizes choose the windows: each takes whole turns in order until the next one does not fit. A window after the first starts with the
+    system turn (the conversation's first, if it takes at most a quarter of the budget) and up to ``history_turns`` turns (``history`` in all) that
+    precede it. A turn that takes more than the budget without that quarter and the history is split into parts, each with
+    marks of its own: ``<+>`` for all but the first. So no window exceeds the budget, as long as roles are short. ``new_from`` is the offset (from 0, in
+    code points) of the first new turn; ``loss`` holds start and length of every new assistant text, so that a repeated target never counts twice.
+    ``window_id`` orders a conversation's windows.
+
+    ``BLOCK`` turn numbers of a conversation are cut into windows by themselves, so that a long conversation is spread over tasks; blocks that repeated turn
+    numbers crowd are parted by ranges of number and hash. Texts are shuffled once, by conversation and block; all that follows keeps that partitioning. What a block's
+    first window repeats comes from the end of the block before by a join of a few turns for each block.
+
+    Null texts and roles are empty. Rows are ordered by turn (null first), then by a hash of role and text; equal rows are all kept. A null ``conv_id`` is
+    a conversation like any other. Other columns are left out; no rows give no windows.
     """
-    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
+    quarter, piece = budget // 4, budget - budget // 4 - history
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    head = F.concat(F.lit(OPEN), escaped(role), F.lit(SHUT))
+    marks = F.octet_length("head") + len(END)
     rows = turns.select(
-        "conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-(2**62))).alias("turn"), role.alias("role"), size(text).cast("long").alias("size"),
-        F.concat(F.lit(OPEN), escaped(role), F.lit(SHUT)).alias("head"), escaped(text).alias("shown"),
+        "conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("key"), F.col("conv_id").isNull().alias("none"), F.coalesce(F.col("turn").cast("long"), F.lit(-(2**62))).alias("turn"),
+        role.alias("role"), F.xxhash64(role, text).alias("hash"), head.alias("head"), escaped(text).alias("shown"), F.least(F.octet_length(text), F.col(tokens) if tokens else F.octet_length(escaped(text))).alias("least"),
     ).withColumn("block", F.floor(F.col("turn") / BLOCK))
-    order = ["turn", "role", "shown"]
-    system = rows.filter("role = 'system'").groupBy("conv_id").agg(F.min(F.struct(*order, "size", "head")).alias("system"))
-    same_conv = F.col("r.conv_id").eqNullSafe(F.col("s.conv_id"))
-    half = F.greatest(F.lit(1), F.floor((F.lit(budget - history) - F.coalesce("system.size", F.lit(0))) / 2))
-    rows = rows.alias("r").join(system.alias("s"), same_conv, "left").select("r.*", half.alias("half")).withColumn("long", (F.col("size") > F.col("half")).cast("long"))
-
-    # prefix sums in two levels
-    of_blocks = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("sizes"), F.sum("long").alias("longs"))
-    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = of_blocks.select("conv_id", "block", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("n", "sizes", "longs")))
-    within = Window.partitionBy("conv_id", "block").orderBy(*order)
-    running = within.rowsBetween(Window.unboundedPreceding, 0)
-    here = F.col("r.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("r.block") == F.col("b.block"))
-    placed = cut(
-        rows.withColumns({"at": F.row_number().over(within) - 1, "sum": F.sum("size").over(running), "longs": F.sum("long").over(running)})
-        .alias("r").join(before.alias("b"), here)
-        .select("r.conv_id", "role", "head", "shown", "size", (F.col("at") + F.col("n_before")).alias("idx"), F.floor((F.col("sum") + F.col("sizes_before") - 1) / F.col("half")).alias("cell"), (2 * (F.col("longs") + F.col("longs_before")) - F.col("long")).alias("parted"))
-    )
-    piece = F.struct(F.col("idx"), F.col("head"), F.col("shown"), F.col("size"), F.col("role"), F.lit(True).alias("new"))
-    new = placed.groupBy("conv_id", "cell", "parted").agg(F.array_sort(F.collect_list(piece)).alias("new")).withColumn("window_id", F.col("new")[0]["idx"])
-
-    # what later windows repeat
-    reach = new.select("conv_id", "window_id", F.explode(F.sequence(F.greatest(F.lit(0), F.col("window_id") - history_turns), F.col("window_id") - 1)).alias("idx")).where("window_id > 0")
-    there = F.col("h.conv_id").eqNullSafe(F.col("p.conv_id")) & (F.col("h.idx") == F.col("p.idx"))
-    back = Window.partitionBy("conv_id", "window_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
-    repeated = (
-        reach.alias("h").join(placed.alias("p"), there).select("h.conv_id", "h.window_id", "h.idx", "head", "shown", "size", "role")
-        .withColumn("back", F.sum("size").over(back)).where(F.col("back") <= history)
-        .groupBy("conv_id", "window_id")
-        .agg(F.array_sort(F.collect_list(F.struct("idx", "head", "shown", "size", "role", F.lit(False).alias("new")))).alias("old"))
+    rows = rows.withColumn("size", (marks + (F.least(F.octet_length("shown"), F.col("least")) if tokens else F.octet_length("shown"))).cast("long")).drop("least")
+
+    # blocks that turn numbers crowd are parted by ranges of turn number and hash
+    keys = ["key", "none", "block"]
+    crowded = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWDED).select(*keys, F.ceil(F.col("n") / BLOCK).alias("times")))
+    place = F.col("turn") - F.col("block") * BLOCK + F.shiftrightunsigned("hash", 32) / float(2**32)
+    rows = rows.join(checked(crowded), keys, "left").withColumn("sub", F.coalesce(F.floor(place * F.col("times")), F.lit(0).cast("long"))).drop("times")
+
+    long = F.col("size") > piece
+    rows = rows.withColumn("row", F.when(long, F.monotonically_increasing_id()).otherwise(0)).withColumn("long", long)
+    pieces = rows.select("*", F.posexplode(_parts(F.col("long"), piece - HEAD)).alias("part", "piece")).drop("shown").withColumnRenamed("piece", "shown")
+    pieces = pieces.withColumn("head", F.when(F.col("part") > 0, ON).otherwise(F.col("head"))).withColumn("size", F.when(F.col("long"), (marks + F.octet_length("shown")).cast("long")).otherwise(F.col("size")))
+
+    # slim: a conversation's blocks in order, with its first system turn
+    keys = ["key", "none", "block", "sub"]
+    system = rows.filter((F.col("role") == "system")).groupBy("key", "none").agg(F.min(F.struct("turn", "hash", "size", "head", F.when(F.col("size") <= quarter, F.col("shown")).alias("shown"))).alias("system"))
+    in_order = Window.partitionBy("key", "none").orderBy("block", "sub")
+    neighbour = F.struct("block", "sub")
+    blocks = rows.select(*keys).distinct().withColumns({"prev": F.lag(neighbour).over(in_order), "next": F.lead(neighbour).over(in_order)})
+    blocks = blocks.join(system, ["key", "none"], "left").withColumn("system", F.when(F.col("system.shown").isNotNull(), F.col("system"))).withColumn("system_size", F.coalesce("system.size", F.lit(0).cast("long")))
+
+    # a block's turns with the cuts between its windows
+    within = Window.partitionBy(*keys).orderBy("turn", "hash", "row", "part")
+    whole = within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    repeats = F.when(F.col("long"), F.lit(2 * budget).cast("long")).otherwise(F.col("size")).alias("repeats")
+    placed = (
+        pieces.withColumns({"at": F.row_number().over(within), "n": F.count(F.lit(1)).over(whole), "sizes": F.collect_list(F.struct("size", repeats)).over(whole)})
+        .withColumn("sizes", F.when(F.col("at") == 1, F.col("sizes")))
+        .join(blocks.hint("merge"), keys)
+        .withColumn("cuts", F.when(F.col("at") == 1, _cuts(budget, history, history_turns))).drop("sizes")
+        .withColumn("cuts", F.first("cuts", ignorenulls=True).over(whole))
     )
-    same_window = F.col("n.conv_id").eqNullSafe(F.col("o.conv_id")) & (F.col("n.window_id") == F.col("o.window_id"))
-    kind = "array<struct<idx:bigint,head:string,shown:string,size:bigint,role:string,new:boolean>>"
+    at = F.col("at")
+    window = F.size(F.filter("cuts", lambda c: c["at"] <= at))
+    behind = F.get("cuts", F.col("window"))  # the next window's cut
+    item = lambda new: F.struct(F.lit(new).alias("new"), F.col("at"), F.col("head"), F.col("shown"), F.col("size"), F.col("role"), F.col("turn"), F.col("hash"))
+    own = F.struct(F.col("window"), item(True).alias("item"))
+    again = F.struct((F.col("window") + 1).alias("window"), item(False).alias("item"))
     windows = (
-        new.alias("n").join(repeated.alias("o"), same_window, "left").select("n.conv_id", "n.window_id", "n.new", "o.old").alias("r")
-        .join(system.alias("s"), same_conv, "left").select("r.*", "s.system")
-        .withColumn("old", F.coalesce("old", F.array().cast(kind)))
-        .withColumn("all", F.concat("old", "new"))
-    )
-    is_system = lambda x: (x["head"] == F.col("system.head")) & (x["shown"] == F.col("system.shown"))
-    carried = F.struct(F.lit(-1).cast("long").alias("idx"), F.col("system.head").alias("head"), F.col("system.shown").alias("shown"), F.col("system.size").alias("size"), F.lit("system").alias("role"), F.lit(False).alias("new"))
-    # the system turn precedes the window if it is neither in it nor behind it
-    missing = F.col("system").isNotNull() & (F.col("window_id") > 0) & ~F.exists("all", is_system) & F.col("system_idx").isNotNull() & (F.col("system_idx") < F.col("window_id"))
-    system_at = placed.where("role = 'system'").groupBy("conv_id").agg(F.min("idx").alias("system_idx"))
-    windows = (
-        windows.alias("r").join(system_at.alias("s"), same_conv, "left").select("r.*", "s.system_idx")
-        .withColumn("all", F.when(missing, F.concat(F.array(carried), "all")).otherwise(F.col("all")))
+        placed.withColumn("window", window)
+        .select("conv_id", *keys, "prev", "system", F.inline(F.when(behind.isNotNull() & (at >= behind["at"] - behind["old"]), F.array(own, again)).otherwise(F.array(own))))
+        .groupBy("conv_id", *keys, "window").agg(F.first("prev").alias("prev"), F.first("system").alias("system"), F.array_sort(F.collect_list("item")).alias("items"))
     )
+
+    # what a block's first window repeats: the last turns of the block before
+    ends = placed.filter(F.col("next").isNotNull() & (at > F.col("n") - history_turns)).select("key", "none", "next.block", "next.sub", "conv_id", (F.col("n") - at).alias("back"), repeats, item(False).alias("item"))
+    last = Window.partitionBy(*keys).orderBy("back").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("used", F.sum("repeats").over(last)).filter(F.col("used") <= history).groupBy(*keys).agg(F.array_sort(F.collect_list("item")).alias("ends"))
+    windows = windows.join(ends.hint("merge"), keys, "left").withColumn("items", F.when((F.col("window") == 1) & F.col("ends").isNotNull(), F.concat("ends", "items")).otherwise(F.col("items")))
+
+    # the system turn precedes what lies behind it
+    first_new = F.get(F.filter("items", lambda x: x["new"]), F.lit(0))
+    earlier = F.col("system").isNotNull() & (F.struct("system.turn", "system.hash") < F.struct(first_new["turn"], first_new["hash"]))
+    there = F.exists("items", lambda x: (x["turn"] == F.col("system.turn")) & (x["hash"] == F.col("system.hash")))
+    carried = F.struct(F.lit(False).alias("new"), F.lit(0).alias("at"), F.col("system.head").alias("head"), F.col("system.shown").alias("shown"), F.col("system.size").alias("size"), F.lit("system").alias("role"), F.col("system.turn").alias("turn"), F.col("system.hash").alias("hash"))
+    old = lambda x: ~x["new"]
+    windows = windows.withColumn("all", F.concat(F.when(earlier & ~there, F.array(carried)).otherwise(F.array().cast(windows.schema["items"].dataType)), F.filter("items", old), F.filter("items", lambda x: x["new"])))
+
     length = lambda x: F.length(x["head"]) + F.length(x["shown"]) + len(END)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
     step = lambda a, x: F.struct(
@@ -111,35 +153,38 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 256, histo
     )
     return windows.select(
         "conv_id",
-        "window_id",
+        F.struct("block", "sub", "window").alias("window_id"),
         F.array_join(F.transform("all", lambda x: F.concat(x["head"], x["shown"], F.lit(END))), "").alias("text"),
-        F.aggregate(F.filter("all", lambda x: ~x["new"]), F.lit(0), lambda a, x: a + length(x)).alias("new_from"),
+        F.aggregate(F.filter("all", old), F.lit(0), lambda a, x: a + length(x)).alias("new_from"),
         F.aggregate("all", start, step)["spans"].alias("loss"),
         F.aggregate("all", F.lit(0).cast("long"), lambda a, x: a + x["size"]).alias("n_tokens"),
     )
 
 
 def read_turns(text: Column) -> Column:
-    """The turns of a formatted text, as an array of (role, text)."""
-    pieces = F.filter(F.split(text, END), lambda x: x != "")
+    """The turns of a formatted text, as an array of (role, text); the role is null where a text carries on the turn before."""
+    begins = lambda x: F.startswith(x, F.lit(OPEN))
     return F.transform(
-        pieces,
+        F.filter(F.split(text, END), lambda x: x != ""),
         lambda x: F.struct(
-            unescaped(F.substring_index(F.substring(x, 1 + len(OPEN), 2**30), SHUT, 1)).alias("role"),
-            unescaped(F.substr(x, F.locate(SHUT, x) + F.lit(len(SHUT)))).alias("text"),
+            F.when(begins(x), unescaped(F.substring_index(F.substring(x, 1 + len(OPEN), 2**30), SHUT, 1))).alias("role"),
+            unescaped(F.substr(x, F.when(begins(x), F.locate(SHUT, x) + len(SHUT)).otherwise(1 + len(ON)))).alias("text"),
         ),
     )
 
 
 def digest(windows: DataFrame) -> DataFrame:
-    """Per conversation, read back from the windows: turns, and texts under the loss mask."""
-    turns = read_turns(F.substr("text", F.col("new_from") + 1))
-    lost = F.transform("loss", lambda x: unescaped(F.substr(F.col("text"), x["start"] + 1, x["length"])))
-    read = windows.select("conv_id", "window_id", F.size(turns).cast("long").alias("n"), F.length("text").cast("long").alias("chars"), F.array_join(F.transform(turns, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "").alias("turns"), F.array_join(lost, "").alias("lost"))
-    whole = lambda c: F.array_join(F.transform("parts", lambda x: x[c]), "")
-    return (
-        read.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.array_sort(F.collect_list(F.struct("window_id", "turns", "lost"))).alias("parts"))
-        .select("conv_id", "n_turns", F.sha2(whole("turns"), 256).alias("turns_sha256"), F.length(whole("lost")).cast("long").alias("loss_chars"), F.sha2(whole("lost"), 256).alias("loss_sha256"), "formatted_chars")
+    """Per conversation, read back from the windows: turns, and texts under the loss mask. A conversation's new texts come together in one value; what is read from them is not shuffled."""
+    moved = F.transform("loss", lambda x: F.struct((x["start"] - F.col("new_from")).alias("start"), x["length"].alias("length")))
+    parts = windows.select("conv_id", F.length("text").cast("long").alias("chars"), F.struct("window_id", F.substr("text", F.col("new_from") + 1).alias("text"), moved.alias("loss")).alias("part"))
+    whole = parts.groupBy("conv_id").agg(F.sum("chars").alias("formatted_chars"), F.array_sort(F.collect_list("part")).alias("parts"))
+    turns = F.flatten(F.transform("parts", lambda p: read_turns(p["text"])))
+    said = F.array_join(F.transform("turns", lambda x: F.when(x["role"].isNull(), x["text"]).otherwise(F.concat(F.lit("\n"), x["role"], F.lit("\n"), x["text"]))), "")
+    lost = F.flatten(F.transform("parts", lambda p: F.transform(p["loss"], lambda x: unescaped(F.substr(p["text"], x["start"] + 1, x["length"])))))
+    whole = whole.select("conv_id", "formatted_chars", turns.alias("turns"), F.array_join(lost, "").alias("lost"))
+    return whole.select(
+        "conv_id", F.size(F.filter("turns", lambda x: x["role"].isNotNull())).cast("long").alias("n_turns"), F.sha2(F.concat(F.substr(said, F.lit(2)), F.lit("\n")), 256).alias("turns_sha256"),
+        F.length("lost").cast("long").alias("loss_chars"), F.sha2("lost", 256).alias("loss_sha256"), "formatted_chars",
     )
 
 

@@ -13,14 +13,15 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a new local one where it is unset, as in tests."""
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset and all runs on one machine, as in tests, a new local one; on a cluster it must be set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_before.isDefined():
             return set_before.get()
-        named = tempfile.mkdtemp(prefix="talentloom-")
-        spark.sparkContext.setCheckpointDir(named)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="talentloom-"))
         named = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return named
 

@@ -65,6 +65,7 @@ def load(path: str) -> tuple[Tokenizer, bool]:
     )
 
 
+@cache
 def whole_tokens(path: str) -> dict[str, int]:
     """Byte-spelled strings that stand for one pre-token and for which merging from scratch gives one token, with their ids."""
     tokenizer, known = load(path)
@@ -142,8 +143,52 @@ class Encoder:
             return b"".join(map(self.chunks.__getitem__, text.lower().split()))
         return b"".join([self.by_library(x) if _RARE.search(x) else self.chunks[x.lower()] for x in text.split()])
 
+
+
+class _WordCounts(dict):
+    """Numbers of tokens of pre-tokens: one for a proven whole token, else what merging gives."""
+
+    def __init__(self, encoder: Encoder):
+        self.tokenize, self.whole = encoder.tokenizer.model.tokenize, encoder.words.whole
+
+    def __missing__(self, word: str) -> int:
+        key = spelled(word)
+        self[word] = n = 1 if key in self.whole else len(self.tokenize(key))
+        return n
+
+
+class _ChunkCounts(dict):
+    """Numbers of tokens of lower-cased chunks between white space."""
+
+    def __init__(self, words: _WordCounts):
+        self.words = words
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = sum(map(self.words.__getitem__, _PRE_TOKEN.findall(chunk)))
+        return n
+
+
+class Counter:
+    """Counts tokens without making their ids: pre-tokens that are whole tokens count as one each, only the rest is merged."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+        self.words = _WordCounts(encoder)
+        self.chunks = _ChunkCounts(self.words)
+
     def count(self, text: str | None) -> int:
-        return len(self.encode(text)) // 4
+        if not text:
+            return 0
+        enc = self.encoder
+        if not enc.known or any(x in text for x in enc.added) or _SEPARATOR.search(text):
+            return len(enc.by_library(text)) // 4
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        if len(self.chunks) > REMEMBERED:
+            self.chunks.clear()
+        if _RARE.search(text) is None:
+            return sum(map(self.chunks.__getitem__, text.lower().split()))
+        return sum(len(enc.by_library(x)) // 4 if _RARE.search(x) else self.chunks[x.lower()] for x in text.split())
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -112,23 +112,56 @@ HARD = [
 ]
 
 
-@pytest.mark.parametrize("budget", [1024, 60, 24])
-def test_chat_round_trip(spark, small, budget):
+@pytest.mark.parametrize("budget", [4096, 900, 600])
+def test_chat_round_trip(spark, small, budget, monkeypatch):
     hard = spark.createDataFrame([(*r, 1, "clash") for r in HARD], "conv_id long, turn long, role string, text string, block long, head string")
-    assert read_back(chat_format.chat_windows(hard, budget, budget // 4)) == brute_chat(HARD)
+    assert read_back(chat_format.chat_windows(hard, budget, budget // 8)) == brute_chat(HARD)
     table = spark.read.parquet(f"{small}/conversations.parquet")
     rows = [tuple(r) for r in table.select("conv_id", "turn", "role", "text").collect()]
-    assert read_back(chat_format.chat_windows(table, budget, budget // 4)) == brute_chat(rows)
-
-
-def test_chat_windows_keep_the_budget(spark):
-    rows = [(1, 0, "system", "be kind")] + [(1, k, "user" if k % 2 else "assistant", f"turn {k} " * (k % 7)) for k in range(1, 1500)]
-    windows = chat_format.chat_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 100, 30).collect()
-    assert len(windows) > 100 and all(w.n_tokens <= 100 for w in windows)
+    monkeypatch.setattr(chat_format, "BLOCK", 3)
+    monkeypatch.setattr(chat_format, "CROWDED", 2 if budget == 600 else 4096)
+    windows = chat_format.chat_windows(table, budget, budget // 8)
+    assert read_back(windows) == brute_chat(rows)
+    assert all(w.n_tokens <= budget and len(w.text.encode()) == w.n_tokens for w in windows.collect())
+    chars = {r.conv_id: r.formatted_chars for r in chat_format.digest(windows).collect()}
+    assert chars == {r[0]: r[1] for r in windows.groupBy("conv_id").agg(F.sum(F.length("text"))).collect()}
+
+
+@pytest.mark.parametrize("block", [1024, 40])
+def test_chat_windows_keep_the_budget(spark, monkeypatch, block):
+    monkeypatch.setattr(chat_format, "BLOCK", block)
+    rows = [(1, 0, "system", "be kind")] + [(1, k, "user" if k % 2 else "assistant", f"turn {k} " * (k % 7)) for k in range(1, 3000)] + [(1, 3000, "assistant", "é\\<" * 3000), (1, 3001, "user", "\\" * 9000), (1, 3002, "assistant", "last")]
+    made = chat_format.chat_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 1200, 200)
+    windows = sorted(made.collect(), key=lambda w: w.window_id)
+    assert len(windows) > 100 and all(len(w.text.encode()) == w.n_tokens <= 1200 for w in windows)
+    whole = [w for w in windows if "<+>" not in w.text and "turn" in w.text]
+    assert sum(w.n_tokens for w in whole) / len(whole) > (0.9 if block == 1024 else 0.75) * 1200
     assert all(w.text.startswith("<|system|>be kind</s>") for w in windows)
-    later = [w for w in windows if w.window_id > 0]
-    assert sum(w.new_from > len("<|system|>be kind</s>") for w in later) > len(later) / 2
-    assert read_back(spark.createDataFrame(windows)) == brute_chat(rows)
+    assert all(w.new_from > len("<|system|>be kind</s>") for w in whole[1:])  # some history in every later window, also in a block's first
+    for before, after in zip(whole, whole[1:]):
+        repeated = after.text[len("<|system|>be kind</s>") : after.new_from]
+        assert before.text.endswith(repeated)
+    assert read_back(made) == brute_chat(rows)
+
+
+def test_chat_sizes_by_tokens(spark):
+    rows = [(1, k, "user", "some words here", 3) for k in range(100)]
+    windows = chat_format.chat_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n long"), 120, 20, tokens="n").collect()
+    assert all(w.n_tokens <= 120 for w in windows) and sum(w.text.count("</s>") for w in windows) > 100
+    assert max(w.text.count("</s>") for w in windows) == 8  # 12 bytes of marks and 3 tokens each
+
+
+def test_crowded_turn_numbers(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "BLOCK", 4)
+    monkeypatch.setattr(chat_format, "CROWDED", 10)
+    rows = [(1, k % 3, "assistant", f"text {k} " * 5) for k in range(300)] + [(1, 1, "assistant", "same")] * 20 + [(2, 0, "user", "other")]
+    made = chat_format.chat_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 400, 60)
+    got = {r.conv_id: r for r in chat_format.digest(made).collect()}
+    assert got[1].n_turns == 320 and got[1].loss_chars == sum(len(r[3]) for r in rows[:-1])
+    said = [t for w in sorted(made.filter("conv_id = 1").collect(), key=lambda w: w.window_id) for t in w.text[w.new_from :].split("</s>") if t]
+    order = [int(t.split()[1]) % 3 if "text" in t else 1 for t in said]
+    assert order == sorted(order) and len(set(said)) == 301
+    assert made.select("window_id.block", "window_id.sub").distinct().count() > 20
 
 
 def test_chat_of_nothing(spark):

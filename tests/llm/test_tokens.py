@@ -9,13 +9,14 @@ from talentloom.llm import packing, token_counts, wordbpe
 
 def test_encoder_equals_the_library(tokenizer):
     library, own = Tokenizer.from_file(tokenizer), wordbpe.Encoder(tokenizer)
+    counter = wordbpe.Counter(own)
     rng = random.Random(7)
     alphabet = [*"aAbB'sStT 019.,!?-_\n\t\x0b\x1c\x1f\x85\xa0éÉßÀÞİıªº²½¼ǅΣςΆѐ中文", "e\u0301", "\u0340", "\u200b", "\u3000", "😀", "\u00ad", "<|", "|>", "<|endoftext|>", "'re", "'LL", "don't", "the"]
     for _ in range(4000):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 30)))
         want = library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(own.encode(text), "<u4").tolist() == want, repr(text)
-        assert own.count(text) == len(want)
+        assert counter.count(text) == len(want)
 
 
 def test_whole_tokens_are_proven(tokenizer):
