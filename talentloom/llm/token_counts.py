@@ -15,7 +15,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     """Number of tokens of every whole text: ``doc_id, n_bytes, n_tokens, over_limit`` (``n_tokens > limit``).
 
     One narrow pass without a shuffle: each text is cut into pre-tokens, those proven to be single tokens count
-    directly, the rest are merged; equal chunks between white space are looked up once for each text. The proven strings are broadcast; the vocabulary
+    directly, the rest are merged and remembered up to a bound. The proven strings are broadcast; the vocabulary
     file bounds them. A null text is empty (0 bytes, 0 tokens). Ids may be null or repeat: there is one row for each input row. A text of
     any length is counted whole; no rows give no rows. Other columns are left out.
     """
