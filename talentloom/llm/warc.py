@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,24 @@ BLOCKS = "p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|nav|head
 REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&reg;": "®", "&middot;": "·", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&amp;": "&"}
 
 
+#: What follows the mark of a numeric character reference.
+NUMBERED = "^([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
+
+
+def _numbered(text: Column) -> Column:
+    """Numeric character references resolved; those of no character stay."""
+
+    def resolved(x: Column, i: Column) -> Column:
+        said = F.regexp_extract(x, NUMBERED, 1)
+        hexed = F.lower(F.substring(said, 1, 1)) == "x"
+        code = F.when(hexed, F.conv(F.substring(said, 2, 6), 16, 10)).otherwise(said).try_cast("int")
+        character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        sound = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(i == 0, x).when(sound, F.concat(character, F.substr(x, F.length(said) + 2))).otherwise(F.concat(F.lit("&#"), x))
+
+    return F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(F.split(text, "&#"), resolved), "")).otherwise(text)
+
+
 def plain_text(html: Column) -> Column:
     """The text of a page: no comments, silent elements or tags; blocks on lines of their own; references resolved; white space collapsed."""
     text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
@@ -22,6 +44,7 @@ def plain_text(html: Column) -> Column:
         text = F.regexp_replace(text, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", "")
     text = F.regexp_replace(text, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
+    text = _numbered(text)
     for reference, character in REFERENCES.items():
         text = F.replace(text, F.lit(reference), F.lit(character))
     text = F.regexp_replace(text, r"[ \t\x0B\f\r]+", " ")
@@ -63,7 +86,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
     refer to the response by id, URI and date, carry the source's payload digest, and name each other in
     ``WARC-Concurrent-To``. All is one narrow projection: no shuffle, rows in as rows times two out.
 
-    A null payload is empty and gives an empty conversion; a null URI, header or date leaves its line out. Repeated rows
+    Payloads of any length are handled whole. No rows give no records. A null payload is empty and gives an empty conversion; a null URI, header or date leaves its line out. Repeated rows
     give repeated records. Columns beyond those of ``responses`` are left out.
     """
     payload, source = F.coalesce("payload", F.lit("")), F.coalesce("http_header", F.lit(""))
@@ -91,9 +114,87 @@ def derivatives(responses: DataFrame) -> DataFrame:
     return rows.select("page_id", "record_type", "record_id", F.col("response_id").alias("refers_to"), header.alias("header"), "block", digest.alias("block_digest"))
 
 
+_FIELDS = ("response_id", "target_uri", "date", "http_header", "payload", "payload_digest")
+
+
+def _records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields (names in lower case) and blocks of a WARC file's records, plain or in gzip members; one that is cut short at the end is left out."""
+
+    def members() -> Iterator[bytes]:
+        rest = content
+        while rest:
+            if rest[:2] != b"\x1f\x8b":
+                yield rest
+                return
+            unpack = zlib.decompressobj(31)
+            yield unpack.decompress(rest)
+            rest = unpack.unused_data
+
+    held = b""
+    for member in members():
+        held, at = held + member, 0
+        while (at := held.find(b"WARC/", at)) >= 0 and (end := held.find(b"\r\n\r\n", at)) >= 0:
+            lines = held[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+            header = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+            after = end + 4 + int(header.get("content-length", 0))
+            if len(held) < after:
+                break
+            yield header, held[end + 4 : after]
+            at = after
+        held = held[at:] if at >= 0 else b""
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """The response records of WARC files, as ``responses`` has them: ``page_id`` (null), ids, URI, date, HTTP header, payload and digest, as the records say.
+
+    Files are plain or in gzip members; each file is read by one task. Other record types are passed over, and so is a record that is cut
+    short at the end. Payloads are taken as UTF-8, other bytes are replaced. Without a digest in the record the payload's is made.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                for header, block in _records(content.as_py()):
+                    if header.get("warc-type") == "response":
+                        said, _, payload = block.partition(b"\r\n\r\n")
+                        row = [header.get("warc-record-id"), header.get("warc-target-uri"), header.get("warc-date"), (said + b"\r\n").decode("utf-8", "replace"), payload.decode("utf-8", "replace"), header.get("warc-payload-digest")]
+                        yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in row], names=list(_FIELDS))
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    found = files.mapInArrow(run, ", ".join(f"{x} string" for x in _FIELDS))
+    digest = F.coalesce("payload_digest", F.concat(F.lit("sha256:"), F.sha2("payload", 256)))
+    return found.select(F.lit(None).cast("long").alias("page_id"), *_FIELDS[:-1], digest.alias("payload_digest"))
+
+
+def response_records(responses: DataFrame) -> DataFrame:
+    """Responses as records with ``header`` and ``block``, to be written."""
+    block = F.concat(F.coalesce("http_header", F.lit("")), F.lit(CRLF), F.coalesce("payload", F.lit("")))
+    named = fields(WARC_Type=F.lit("response"), WARC_Record_ID=F.col("response_id"), WARC_Date=F.col("date"), WARC_Target_URI=F.col("target_uri"), WARC_Payload_Digest=F.col("payload_digest"), Content_Type=F.lit("application/http; msgtype=response"), Content_Length=F.octet_length("block"))
+    return responses.withColumn("block", block).select(F.concat(F.lit("WARC/1.1" + CRLF), named).alias("header"), "block")
+
+
+#: Bytes of a record that one gzip member holds: below this the last byte of a member is zero.
+MEMBER_BYTES = (1 << 24) - 1
+
+
 def write_warc(records: DataFrame, path: str) -> None:
-    """Writes records as gzipped WARC files, one for each partition."""
-    records.select(F.concat("header", F.lit(CRLF), "block")).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
+    """Writes records (``header``, ``block``) as WARC files, one for each partition, with a gzip member for each record (more for one above 16 MB).
+
+    Spark's text sink reaches any store but ends each value with a separator. A member ends with its size, whose last byte is zero; it is left
+    off, and the separator is that byte.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for record in batch.column("record"):
+                raw = record.as_py().encode()
+                for low in range(0, len(raw), MEMBER_BYTES):
+                    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+                    member = pack.compress(raw[low : low + MEMBER_BYTES]) + pack.flush()
+                    yield pa.RecordBatch.from_arrays([pa.array([member[:-1]], pa.binary())], names=["member"])
+
+    whole = records.select(F.concat("header", F.lit(CRLF), "block", F.lit(CRLF * 2)).alias("record"))
+    whole.mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
 
 
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +206,10 @@ def _oracle() -> str:
     for name in SILENT:
         text = rf"regexp_replace({text}, '(?is)<{name}\b[^>]*>.*?</{name}\s*>', '', 'g')"
     text = rf"regexp_replace(regexp_replace({text}, '(?i)</?(?:{BLOCKS})\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+    said = f"regexp_extract(x, '{NUMBERED}', 1)"
+    code = f"CASE WHEN lower({said}) LIKE 'x%' THEN try_cast('0x' || substr({said}, 2) AS int) ELSE try_cast({said} AS int) END"
+    one = f"CASE WHEN i = 1 THEN x WHEN ({code}) BETWEEN 1 AND 1114111 AND ({code}) NOT BETWEEN 55296 AND 57343 THEN chr({code}) || substr(x, length({said}) + 2) ELSE '&#' || x END"
+    text = f"array_to_string(list_transform(string_split({text}, '&#'), lambda x, i: {one}), '')"
     for reference, character in REFERENCES.items():
         text = f"replace({text}, '{reference}', '{character.replace(chr(39), chr(39) * 2)}')"
     text = rf"trim(regexp_replace(regexp_replace({text}, '[ \t\x0B\f\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"

@@ -99,14 +99,34 @@ def test_warc_records(spark):
         assert f"WARC-Concurrent-To: {other.record_id}\r\n" in r.header and f"Content-Length: {len(r.block.encode())}\r\n" in r.header
 
 
-def test_warc_files(spark, tmp_path):
-    pages = spark.createDataFrame([(1, "u", "<p>x</p>")], "page_id long, url string, html string")
-    warc.write_warc(warc.derivatives(warc.responses(pages)).coalesce(1), str(tmp_path / "w"))
+def test_character_references(spark):
+    texts = {"a&#8217;b": "a\u2019b", "&#x1F600;&#X41;": "\U0001f600A", "&#39;&amp;#39;": "'&#39;", "&#0; &#xD800; &#1114112; &#12 &#;": "&#0; &#xD800; &#1114112; &#12 &#;", "&# &#65": "&# &#65"}
+    rows = spark.createDataFrame([(t,) for t in texts], "html string").select("html", warc.plain_text(F.col("html")).alias("text")).collect()
+    assert {r.html: r.text for r in rows} == texts
+
+
+def test_warc_files_round_trip(spark, tmp_path, monkeypatch):
     import glob
     import gzip
 
-    text = gzip.open(glob.glob(f"{tmp_path}/w/*.gz")[0]).read().decode()
-    assert text.count("WARC/1.1\r\n") == 2 and text.endswith("\r\n\r\n")
+    pages = spark.createDataFrame([(1, "http://a.org/", "<p>x \u00e9 \x00</p>\r\n\r\nWARC/1.1 in the text"), (2, None, None), (3, "u", "long " * 900)], "page_id long, url string, html string")
+    made = warc.responses(pages)
+    for k, most in enumerate((warc.MEMBER_BYTES, 1000)):
+        monkeypatch.setattr(warc, "MEMBER_BYTES", most)
+        warc.write_warc(warc.response_records(made).coalesce(1), str(tmp_path / f"r{k}"))
+        raw = open(glob.glob(f"{tmp_path}/r{k}/part*")[0], "rb").read()
+        assert raw.count(b"\x1f\x8b\x08") >= 3 and gzip.decompress(raw).count(b"WARC-Type: response\r\n") == 3
+        plain = tmp_path / f"p{k}"
+        plain.mkdir()
+        (plain / "x.warc").write_bytes(gzip.decompress(raw) + b"WARC/1.1\r\nContent-Length: 99\r\n\r\ncut short")
+        want = sorted(map(str, made.select(*warc._FIELDS).collect()))
+        assert sorted(map(str, warc.read_responses(spark, str(plain)).select(*warc._FIELDS).collect())) == want
+        back = warc.read_responses(spark, str(tmp_path / f"r{k}"))
+        assert sorted(map(str, back.select(*warc._FIELDS).collect())) == want
+        assert back.columns == made.columns and warc.derivatives(back).count() == 6
+    warc.write_warc(warc.derivatives(made).coalesce(1), str(tmp_path / "d"))
+    text = gzip.decompress(open(glob.glob(f"{tmp_path}/d/part*")[0], "rb").read()).decode()
+    assert text.count("WARC/1.1\r\n") == 6 and text.endswith("\r\n\r\n")
 
 
 def brute_chat(rows):
