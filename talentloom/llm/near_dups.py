@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from talentloom.llm import textbytes
 from talentloom.llm.components import components
 from talentloom.llm.cuts import checked, cut
-from talentloom.llm.shards import batch_of, buckets, member, packed, runs, sharded, text_bytes, unpacked
+from talentloom.llm.shards import batch_of, buckets, member, packed, runs, scaled, sharded, text_bytes, unpacked
 from talentloom.llm.textbytes import mix
 
 SIZE = 5
@@ -21,6 +22,8 @@ SIZE = 5
 BUCKET_BYTES = 5 << 20
 #: Shingles of the sets that one verifying task holds, about, and that one part of a large group holds.
 TASK_SHINGLES, PART_SHINGLES = 1_000_000, 400_000
+#: Rounds in which the sets of a large cluster are compared with one of them, and rows of such representatives that are broadcast.
+ROUNDS, REPRESENTATIVES = 3, 2000
 #: Seeds of the further token orders.
 ORDERS = (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47)
 
@@ -140,17 +143,20 @@ class Postings:
         return np.bincount(self.owners[at], minlength=n)
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], side: np.ndarray | None = None, groups: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (set, least set of its group) that connect whatever the similar pairs among the sets connect.
 
     A pair is a candidate if it shares prefix tokens under each further order too; only candidates from different groups
-    so far are verified, by the exact overlap. ``side``: only pairs of sets from different sides count.
+    so far are verified, by the exact overlap. ``side``: only pairs of sets from different sides count. ``groups``: what is connected already.
     """
     n = len(sets)
     size = np.array([len(x) for x in sets])
     filters = [Postings([np.sort(mix(x ^ _U(seed)))[: prefix_length(len(x))] for x in sets]) for seed in ORDERS]
     whole = Postings(sets)
     root = np.arange(n)
+    if groups is not None and n:
+        _, first, which = np.unique(groups, return_index=True, return_inverse=True)
+        root = first[which]
     for i in range(n - 1):
         open_ = root != root[i]
         open_[: i + 1] = False
@@ -165,37 +171,89 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple
             both = whole.counts(i, n)
             similar = np.flatnonzero(open_ & (100 * both >= 80 * (size + size[i] - both)))
             if len(similar):
-                groups = np.unique(np.append(root[similar], root[i]))
-                root[np.isin(root, groups)] = groups[0]
+                met = np.unique(np.append(root[similar], root[i]))
+                root[np.isin(root, met)] = met[0]
     return [(i, int(r)) for i, r in enumerate(root) if r != i]
 
 
+def _represented(large: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``class, label`` for the sets of large clusters: the representative that a set is similar to, itself where there is none.
+
+    In each round one set of each cluster, chosen by a hash among those without a label, is compared with all others without one: linear in the cluster, and
+    near copies of one text are all settled by it.
+    """
+    open_, found = cut(large.join(nodes.select("class", "n", "shingles"), "class")), []
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stored, theirs, reps = (batch.column(c) for c in ("shingles", "rep_shingles", "rep"))
+            label = []
+            for i in range(batch.num_rows):
+                a, b = (np.frombuffer(x[i].as_py(), np.uint64) for x in (stored, theirs))
+                both = int(member(a, b)[0].sum())
+                label.append(reps[i].as_py() if 100 * both >= 80 * (len(a) + len(b) - both) else None)
+            left = pa.array([None if x else y.as_py() for x, y in zip(label, stored)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("cluster"), batch.column("n"), left, pa.array(label, pa.string())], names=["class", "cluster", "n", "shingles", "label"])
+
+    for k in range(ROUNDS):
+        chosen = open_.groupBy("cluster").agg(F.min_by("class", F.xxhash64("class", F.lit(k))).alias("rep"))
+        chosen = cut(chosen.join(nodes.select(F.col("class").alias("rep"), F.col("shingles").alias("rep_shingles")), "rep"))
+        joined = open_.join(checked(chosen, REPRESENTATIVES), "cluster").select("class", "cluster", "n", "shingles", "rep", "rep_shingles")
+        judged = cut(joined.mapInArrow(textbytes.of_batches(compare), "class string, cluster string, n long, shingles binary, label string"))
+        found.append(judged.filter("label IS NOT NULL").select("class", "label"))
+        open_ = judged.filter("label IS NULL").drop("label")
+    return cut(reduce(DataFrame.unionByName, [*found, open_.select("class", F.col("class").alias("label"))]))
+
+
+def _parted(shared: DataFrame, large: DataFrame, labels: DataFrame) -> DataFrame:
+    """``class, label, token, cluster, part, low, high``: the sets of large clusters by token, in parts of which each pair is a task's work.
+
+    Tokens whose sets all have one label are done. Of the others' sets those of the most common label are parted by themselves and meet only parts of the rest.
+    """
+    own = cut(shared.select("class", "n", "token").join(labels, "class").join(large, "class"))
+    by_label = own.groupBy("token", "label").agg(F.sum("n").alias("w"))
+    tokens = by_label.groupBy("token").agg(F.max_by("label", F.struct("w", "label")).alias("major"), F.sum("w").alias("all"), F.max("w").alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    parts = lambda w: F.ceil(w / PART_SHINGLES).cast("int")
+    some = F.col("all") > PART_SHINGLES
+    tokens = cut(tokens.select("token", F.when(some, F.col("major")).alias("major"), F.when(some, parts(F.col("most"))).otherwise(0).alias("common"), F.when(some, parts(F.col("all") - F.col("most"))).otherwise(1).alias("rest")))
+    rows = own.join(checked(tokens), "token").withColumn("is_common", F.col("label").eqNullSafe(F.col("major")))
+    deal = lambda k: F.pmod(F.xxhash64("class", "token"), F.greatest(F.lit(1), k)).cast("int")
+    part = F.when(F.col("is_common"), deal(F.col("common"))).otherwise(F.col("common") + deal(F.col("rest")))
+    rows = rows.withColumn("part", part)
+    with_ = F.sequence(F.when(F.col("is_common"), F.col("common")).otherwise(0), F.col("common") + F.col("rest") - 1)
+    pairs = F.transform(with_, lambda j: F.struct(F.least(F.col("part"), j).alias("low"), F.greatest(F.col("part"), j).alias("high")))
+    return rows.select("class", "label", "token", "cluster", "part", F.inline(pairs))
+
+
 def _links(nodes: DataFrame) -> DataFrame:
     """``u, v``: links between classes, enough to connect what similar pairs connect.
 
     Classes meet at the tokens of their prefixes; tokens with the same classes count once. What hangs together by such tokens is a cluster, which
-    travels to one task, each set once, if it has at most ``TASK_SHINGLES``. The tokens of a larger cluster are tasks of their own; one with more
-    shingles than ``PART_SHINGLES`` is parted by class, and each pair of parts is a task's work.
+    travels to one task, each set once, if it has at most ``TASK_SHINGLES``. The sets of a larger cluster are compared with a few representatives
+    first; what that leaves open is verified token by token, and part by part where a token has more shingles than ``PART_SHINGLES``.
     """
     met = nodes.select("class", "n", F.explode("prefix").alias("token"))
-    groups = met.groupBy("token").agg(F.count(F.lit(1)).alias("classes"), F.min("class").alias("hub"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(7))).alias("y")).filter("classes > 1")
-    groups = cut(groups.groupBy("classes", "hub", "weight", "x", "y").agg(F.min("token").alias("token")).select("token", "hub", F.ceil(F.col("weight") / PART_SHINGLES).cast("int").alias("parts")))
+    groups = met.groupBy("token").agg(F.count(F.lit(1)).alias("classes"), F.min("class").alias("hub"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(7))).alias("y")).filter("classes > 1")
+    groups = cut(groups.groupBy("classes", "hub", "x", "y").agg(F.min("token").alias("token")).select("token", "hub"))
     shared = cut(met.join(checked(groups), "token"))
     cluster = components(shared.select(F.col("class").alias("u"), F.col("hub").alias("v"))).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
     sizes = cut(cluster.join(nodes.select("class", "n"), "class").groupBy("cluster").agg(F.sum("n").alias("whole")))
     placed = cut(cluster.join(sizes, "cluster"))
-    whole = placed.filter(F.col("whole") <= TASK_SHINGLES).select("class", F.lit(0).cast("long").alias("token"), "cluster", F.lit(0).alias("part"), F.lit(0).alias("low"), F.lit(0).alias("high"))
-    part = F.pmod(F.xxhash64("class", "token"), F.col("parts")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(part, j).alias("low"), F.greatest(part, j).alias("high")))
-    large = shared.join(placed.filter(F.col("whole") > TASK_SHINGLES).select("class", "cluster"), "class").select("class", "token", "cluster", part.alias("part"), F.explode(pairs).alias("pair")).select("class", "token", "cluster", "part", "pair.low", "pair.high")
-    total = sizes.agg(F.sum("whole")).first()[0] or 0
-    task = F.pmod(F.xxhash64("token", "low", "high", F.when(F.col("token") == 0, F.col("cluster"))), F.lit(max(1, -(-2 * total // TASK_SHINGLES))))
-    work = whole.unionByName(large).join(nodes.select("class", "shingles"), "class").withColumn("key", F.xxhash64("cluster")).withColumn("task", task)
+    whole = placed.filter(F.col("whole") <= TASK_SHINGLES).select("class", F.lit(None).cast("string").alias("label"), F.lit(0).cast("long").alias("token"), "cluster", F.lit(0).alias("part"), F.lit(0).alias("low"), F.lit(0).alias("high"))
+    large = placed.filter(F.col("whole") > TASK_SHINGLES).select("class", "cluster")
+    links, work = None, whole
+    if large.limit(1).count():
+        labels = _represented(large, nodes)
+        links = labels.filter(F.col("class") != F.col("label")).select(F.col("class").alias("u"), F.col("label").alias("v"))
+        work = cut(whole.unionByName(_parted(shared, large, labels)))
+    total = work.join(nodes.select("class", "n"), "class").agg(F.sum("n")).first()[0] or 0
+    task = F.pmod(F.xxhash64("token", "low", "high", "cluster"), F.lit(max(1, -(-2 * total // TASK_SHINGLES))))
+    work = work.join(nodes.select("class", "shingles"), "class").withColumn("key", F.xxhash64("cluster")).withColumn("task", task)
 
     def verify(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         keys = np.column_stack([table.column(c).to_numpy() for c in ("key", "token", "low", "high")])
-        classes, part, stored = table.column("class").to_pylist(), table.column("part").to_numpy(), table.column("shingles")
+        labels, classes, part, stored = table.column("label").to_pylist(), table.column("class").to_pylist(), table.column("part").to_numpy(), table.column("shingles")
         order = np.lexsort(keys.T)
         new = np.flatnonzero(np.concatenate(([True], (keys[order][1:] != keys[order][:-1]).any(1))))
         out = []
@@ -203,10 +261,12 @@ def _links(nodes: DataFrame) -> DataFrame:
             rows = order[a:z]
             sets = [np.frombuffer(stored[int(i)].as_py(), np.uint64) for i in rows]
             side = part[rows] if keys[rows[0], 2] != keys[rows[0], 3] else None
-            out += [(classes[rows[i]], classes[rows[j]]) for i, j in linked(sets, side)]
+            groups = np.array([labels[i] for i in rows]) if labels[rows[0]] else None
+            out += [(classes[rows[i]], classes[rows[j]]) for i, j in linked(sets, side, groups)]
         return pa.Table.from_arrays([pa.array(x, pa.string()) for x in (zip(*out) if out else ((), ()))], names=["u", "v"])
 
-    return work.groupBy("task").applyInArrow(textbytes.of_group(verify), "u string, v string")
+    verified = work.groupBy("task").applyInArrow(textbytes.of_group(verify), "u string, v string")
+    return verified if links is None else verified.unionByName(links)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,12 +280,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     throughout, so copies are never compared. No group is capped; components are found by distributed star steps.
 
     Null texts, and texts without words, have no shingles and link with nothing. A null id is no candidate for
-    ``component_id`` (null where a component has no other). Rows that repeat an id are kept. Other columns are left out.
+    ``component_id`` (null where a component has no other). Rows that repeat an id are kept. A text of any length is one set, in one task's
+    memory. No rows give no rows. Other columns are left out.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = text_bytes(texts)
     own = sharded(texts, total)
-    found = cut(_prefixes(own, _token_counts(own, max(8, -(-total // (2 * BUCKET_BYTES))))))
+    found = cut(_prefixes(own, _token_counts(own, max(8, -(-total // scaled(2 * BUCKET_BYTES, total))))))
     nodes = cut(found.filter("prefix IS NOT NULL").select("class", "n", "prefix", "shingles").dropDuplicates(["class"]))
     roots = components(_links(nodes))
     ids = found.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("docs"))
