@@ -15,7 +15,7 @@ PLACES = LENGTH - TRIGGER + 1
 #: Bytes of a string of LENGTH bytes beside its trigger.
 SIDE = LENGTH - TRIGGER
 #: A position is a trigger if its hash is 0 modulo this power of two.
-MODULUS = 16
+MODULUS = 32
 
 
 def rolling_hashes(raw: np.ndarray) -> np.ndarray:
@@ -30,6 +30,16 @@ def rolling_hashes(raw: np.ndarray) -> np.ndarray:
     return h
 
 
+def least_places(values: np.ndarray) -> np.ndarray:
+    """For each run of PLACES values the place of the least one in it, the first of equal ones, by doubling."""
+    place = np.zeros(len(values), np.int8)
+    for step in (1, 2, 4, 8, PLACES - 16):
+        less = values[step:] < values[:-step]
+        place = np.where(less, place[step:] + np.int8(step), place[:-step])
+        values = np.minimum(values[step:], values[:-step])
+    return place
+
+
 def parse(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Triggers, their keys, and the first and last start of the strings of LENGTH bytes that belong to each.
 
@@ -58,7 +68,7 @@ def parse(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     for end in at[1:]:
         open_[max(0, end - LENGTH + 1) : end] = False
     starts = np.flatnonzero(open_)
-    least = starts + np.lib.stride_tricks.sliding_window_view(hashes, PLACES)[starts].argmin(axis=1)
+    least = starts + least_places(hashes)[starts] if len(starts) else none
     first = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1)))) if len(starts) else none
     last = np.append(first[1:], len(starts)) - 1
     found, low, high = np.concatenate([found, least[first]]), np.concatenate([low, starts[first]]), np.concatenate([high, starts[last]])

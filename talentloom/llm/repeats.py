@@ -21,7 +21,8 @@ from talentloom.llm.cuts import BROADCAST_ROWS, checked, cut
 from talentloom.llm.phrases import LENGTH, SIDE, TRIGGER, padded_rows, parse, phrase_keys, single, string_minima
 from talentloom.llm.shards import LAST_ID, batch_of, buckets, ids_of, member, of_planes, packed, planes, runs, scaled, sharded, text_bytes, unpacked
 
-SLICE = 1 << 19
+#: Bytes of text that are parsed at once: what that takes fits a processor's cache.
+SLICE = 1 << 16
 #: Bytes of keys that one bucket's task sees, about, for a corpus of up to a GB.
 BUCKET_BYTES = 10 << 20
 #: A trigger that occurs so often in one of so many parts of the documents is hot: its strings are dealt out one by one.
@@ -107,11 +108,12 @@ def _settled(texts: DataFrame, hot: np.ndarray, n: int) -> DataFrame:
         once = order[start]
         by_trigger = np.argsort(triggers[once], kind="stable")
         triggers, keys, first = triggers[once][by_trigger], keys[once][by_trigger], first[by_trigger]
-        rows = [(b, shard, packed(triggers[s]), keys[s].tobytes(), planes(first[s])) for b, s in _by_bucket(triggers, n)]
+        # within a bucket four bytes tell triggers apart well enough: where they don't, a few bytes are sent for nothing
+        rows = [(b, shard, packed(triggers[s], 4), keys[s].tobytes(), planes(first[s])) for b, s in _by_bucket(triggers, n)]
         return _table(rows, bucket=pa.int32(), shard=pa.int32(), triggers=_BINARY, keys=_BINARY, firsts=_BINARY)
 
     def meet(table: pa.Table) -> pa.Table:
-        triggers, keys, first = _keys(table, "triggers", 6), _keys(table, "keys"), _ids(table, "firsts")
+        triggers, keys, first = _keys(table, "triggers", 4), _keys(table, "keys"), _ids(table, "firsts")
         order = np.argsort(keys, kind="stable")
         start = runs(keys[order])
         entry = np.empty(len(keys), np.int64)
@@ -261,7 +263,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = sharded(hashed.filter("NOT copy"), total)
     n = max(8, -(-total // scaled(BUCKET_BYTES, total)))
     often = _hot(texts, hot, parts)
-    settled = cut(_settled(own, often, n))
+    settled = _settled(own, often, n)
     told = settled.drop("asked").unionByName(_odd(own, settled, often, n), allowMissingColumns=True)
     found = _cut_out(own, told, often)
     size, long = F.octet_length("text").cast("long"), F.octet_length("text") >= LENGTH
