@@ -125,17 +125,6 @@ def tidy_list(value: Column) -> Column:
     return F.filter(parts, lambda x, i: ~F.exists(F.slice(parts, F.lit(1), i), lambda y: F.lower(y) == F.lower(x)))
 
 
-def penalties(age: Column, years: Column, graduated: Column, pay: Column, as_of_year: int) -> Column:
-    """Product of the multipliers of rules between fields: too much experience for the age, an odd age at graduation, salary out of bounds."""
-    one = F.lit(1.0)
-    born = F.lit(as_of_year) - age
-    return (
-        F.coalesce(F.when(years > age - 16 + 2, 0.7), one)
-        * F.coalesce(F.when(~(graduated - born).between(16, 35), 0.9), one)
-        * F.coalesce(F.when(~pay.between(50_000, 10_000_000), 0.95), one)
-    )
-
-
 def completeness(critical: list[Column], important: list[Column], optional: list[Column]) -> Column:
     share = lambda xs: sum((F.coalesce((x.isNotNull() & (x.cast("string") != "")).cast("int"), F.lit(0)) for x in xs), F.lit(0)) / len(xs)
     return share(critical) * 0.6 + share(important) * 0.3 + share(optional) * 0.1
