@@ -47,6 +47,15 @@ def absent(candidates: DataFrame, vocabulary: DataFrame, value: str) -> DataFram
     return candidates.select(norm.alias(value)).filter(F.col(value) != "").distinct().join(vocabulary.select(norm.alias(value)), value, "left_anti")
 
 
+def upsert_counts(candidates: DataFrame, vocabulary: DataFrame, value: str) -> DataFrame:
+    """``outcome, n``: how many distinct normalised candidates a vocabulary lacks (added) and has (existing)."""
+    norm = F.lower(F.trim(F.col(value)))
+    distinct = lambda df: df.select(norm.alias("__v")).filter("__v <> ''").distinct()
+    met = distinct(candidates).join(distinct(vocabulary).withColumn("__there", F.lit(True)), "__v", "left")
+    sums = met.agg(F.count_if(F.col("__there").isNull()).alias("added"), F.count_if(F.col("__there")).alias("existing"))
+    return sums.select(F.inline(F.array(*(F.struct(F.lit(c).alias("outcome"), F.col(c).alias("n")) for c in ("added", "existing")))))
+
+
 def scoped(df: DataFrame, users: DataFrame, requester: int, user: str = "user_id") -> DataFrame:
     """All rows for a requester that the table of users knows, else the requester's own."""
     known = users.filter(F.col(user) == requester).limit(1).select(F.lit(True).alias("__known"))
