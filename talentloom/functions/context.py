@@ -78,7 +78,8 @@ def read_request(query: str) -> Request:
             break
     said["domain"] = next((d for d, words in DOMAINS.items() if any(w in q for w in words)), None)
     listed = re.search(r"(?:with|having|knows?|experience in|skilled in)\s+([a-z\s,&+-]+?)(?:\s+(?:experience|skills?)|$|[.\n])", q)
-    own = re.split(r"[,&+]|\s+and\s+", listed[1]) if listed else []
+    labelled = re.search(r"skills?\s*[:\-]\s*([a-z\s,&+-]+?)(?:\n|$|[.])", q)
+    own = [part for found in (listed, labelled) if found for part in re.split(r"[,&+]|\s+and\s+", found[1])]
     said["skills"] = tuple(dict.fromkeys([s for s in SKILLS if s in q] + [s.strip() for s in own if len(s.strip()) > 1]))
     if len(span := _numbers(q, YEARS_FROM_TO)) == 2:
         said["min_years"], said["max_years"] = span

@@ -4,9 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 from pyspark.sql.window import Window
 
 
+#: How many rows a list of the newest shows. Fixed values.
+DEFAULT_ROWS, MOST_ROWS = 10, 50
+
+
+def shown_rows(limit: int | None) -> int:
+    """A limit between 1 and 50, 10 without one; below 1 also 10."""
+    return DEFAULT_ROWS if limit is None or limit < 1 else min(MOST_ROWS, limit)
+
+
+def without_suffix(df: DataFrame, suffix: str = "_vector") -> DataFrame:
+    """The table without columns whose names end so."""
+    return df.drop(*(c for c in df.columns if c.endswith(suffix)))
+
+
+def as_text(df: DataFrame) -> DataFrame:
+    """Every column as trimmed text; arrays, maps and structs as JSON."""
+    nested = lambda t: isinstance(t, (ArrayType, MapType, StructType))
+    return df.select(*((F.to_json(f.name) if nested(f.dataType) else F.trim(F.col(f.name).cast("string"))).alias(f.name) for f in df.schema.fields))
+
+
+def at_least(df: DataFrame, score: str, least: float | None) -> DataFrame:
+    """Rows whose score reaches a threshold; all of them where it is 0 or missing."""
+    return df.filter(F.col(score) >= least) if least else df
+
+
+def others_with(df: DataFrame, column: str, value: str, key: str, but: int) -> DataFrame:
+    """Rows other than one's own that have a value."""
+    return df.filter((F.col(column) == value) & (F.col(key) != but))
+
+
+def embedded(df: DataFrame, embed: Column, vector: str) -> DataFrame:
+    """The table with a vector column made anew; where that fails (null) the old vector stays, and ``failed`` says so."""
+    old = F.col(vector) if vector in df.columns else F.lit(None)
+    made = df.withColumn("__made", embed)
+    return made.withColumn("failed", F.col("__made").isNull()).withColumn(vector, F.coalesce("__made", old)).drop("__made")
+
+
 def page(df: DataFrame, order: list, skip: int = 0, limit: int = 100) -> DataFrame:
     """Rows ``skip`` and on in a total order; the limit is kept between 1 and 100."""
     return df.orderBy(*order).offset(max(0, skip)).limit(min(100, max(1, limit)))

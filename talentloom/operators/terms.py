@@ -53,6 +53,22 @@ def keyword_relevance(vocabulary: DataFrame, term: str, keywords: list[str]) ->
     return vocabulary.withColumn("relevance", F.when(t.isin(*[k.lower() for k in keywords]), 10.0).otherwise(score)).filter("relevance > 0")
 
 
+#: Weight of how many profiles have a skill. Fixed value.
+POPULARITY_WEIGHT = 0.5
+
+
+def position_keywords(position: str, keywords: dict[str, list[str]]) -> list[str]:
+    """The keywords of the first entry that a position's name contains or is contained in; the words of the name else."""
+    name = position.lower().strip()
+    return next((words for entry, words in keywords.items() if entry in name or (name and name in entry)), name.split())
+
+
+def recommended(vocabulary: DataFrame, term: str, keywords: list[str], popularity: DataFrame, limit: int) -> DataFrame:
+    """``term, score``: a vocabulary's entries by their relevance to keywords, and half a point for each profile that has them. ``popularity`` holds ``term, n``."""
+    found = keyword_relevance(vocabulary, term, keywords).join(popularity.select(F.col("term").alias("__t"), "n"), F.lower(F.trim(F.col(term))) == F.col("__t"), "left")
+    return found.select(F.col(term), (F.col("relevance") + F.coalesce("n", F.lit(0)) * POPULARITY_WEIGHT).alias("score")).orderBy(F.desc("score"), term).limit(limit)
+
+
 GENERIC = ("and", "the", "with", "for", "from", "this", "that", "have", "will", "can")
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from talentloom.functions.similarity import cosine
+from talentloom.functions.text import preview
 
 #: Rows to retrieve and rows to read closely, by preset. Fixed values.
 PRESETS = {"fast": (20, 3), "balanced": (50, 10), "comprehensive": (100, 20), "exhaustive": (200, 30)}
@@ -13,6 +15,25 @@ PRESETS = {"fast": (20, 3), "balanced": (50, 10), "comprehensive": (100, 20), "e
 FIELD_BOOSTS = {"combined": (1.0, 2), "skills": (0.8, 1), "experience": (0.9, 1)}
 
 
+#: The vector column that each field of a search looks in. Fixed values.
+VECTOR_OF_FIELD = {"skills": "skills_vector", "experience": "experience_text_vector", "education": "education_text_vector", "projects": "projects_text_vector", "full_text": "combined_resume_vector"}
+
+
+def vector_of(field: str) -> str:
+    """The vector column of a field; an error that names the choices for any other."""
+    if field not in VECTOR_OF_FIELD:
+        raise ValueError(f"Invalid field name. Choose from: {', '.join(VECTOR_OF_FIELD)}")
+    return VECTOR_OF_FIELD[field]
+
+
+def retrieved(df: DataFrame, query: Column, preset: str, key: str, text: str, vector: str = "embedding") -> DataFrame:
+    """``key, score, preview, read``: as many nearest rows as a preset retrieves, with the start of their texts; the first few of them are to be read closely."""
+    found, read = PRESETS[preset]
+    rows = nearest(df, query, found, key, vector)
+    place = F.row_number().over(Window.orderBy(F.desc("cosine"), key))  # of at most 200 rows
+    return rows.select(key, "score", preview(F.col(text)).alias("preview"), (place <= read).alias("read"))
+
+
 def literal(vector: list[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in vector)).cast("array<float>")
 

@@ -261,6 +261,22 @@ def derived_fields(spark, sf_dir):
     return rows.select("c_custkey", name.alias("n"), normalise.location(F.when(k % 2 == 0, "Goa"), F.lit(None).cast("string"), F.lit("India")).alias("location"), *(made[x].alias(x) for x in ("contact", "work")), F.round(made["completeness"], 1).alias("completeness")).select("c_custkey", "n.*", "location", "contact", "work", "completeness")
 
 
+@query(f"WITH r AS ({_ROW}), e AS (SELECT unnest([CASE WHEN name IS NULL THEN 'name missing' END, CASE WHEN email = '' THEN 'email missing' END, CASE WHEN phone IS NULL THEN 'phone missing' END]) AS message FROM r) SELECT message, count(*) AS n FROM e WHERE message IS NOT NULL GROUP BY 1 ORDER BY n DESC, message LIMIT 2")
+def top_errors(spark, sf_dir):
+    """The most frequent messages about rows."""
+    missing = lambda c: F.when(text.filled(F.col(c)).isNull(), F.lit(f"{c} missing"))
+    messages = F.explode(F.array_compact(F.array(missing("name"), missing("email"), missing("phone"))))
+    return _rows(spark, sf_dir).select(messages.alias("message")).groupBy("message").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "message").limit(2)
+
+
+@query(f"WITH r AS ({_ROW}), c AS (SELECT (name IS NOT NULL)::int + (email <> '')::int + (phone IS NOT NULL)::int + 1 AS n FROM r) SELECT count(*) AS n_rows, round(count(*) FILTER (n >= 3) / count(*) * 100, 2) AS success_rate, round(avg(n), 4) AS fields_per_row, round(avg(n / 4.0::double) * 100, 2) AS completeness FROM c")
+def extraction_overview(spark, sf_dir):
+    """How many rows gave three fields or more, fields for each row, and how complete rows are."""
+    n = sum((text.filled(F.col(c)).isNotNull().cast("int") for c in ("name", "email", "phone", "role")), F.lit(0))
+    rows = _rows(spark, sf_dir).select(n.alias("n"))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg((F.col("n") >= 3).cast("int")) * 100, 2).alias("success_rate"), F.round(F.avg("n"), 4).alias("fields_per_row"), F.round(F.avg(F.col("n") / 4) * 100, 2).alias("completeness"))
+
+
 @query("SELECT DISTINCT p_type, upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) AS tidy FROM part")
 def tidy_names(spark, sf_dir):
     """Names in one case get capitals."""

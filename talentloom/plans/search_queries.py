@@ -251,3 +251,12 @@ def context_relevance(spark, sf_dir):
     """Profiles by their graded relevance to a request."""
     parts = context.relevance(REQUEST, domains=THINGS)
     return profiles(spark, sf_dir).select("profile_id", F.round(parts["relevance"], 5).alias("relevance"))
+
+
+@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, list_cosine_similarity(embedding::double[], (SELECT e FROM q)::double[]) AS c FROM embeddings), k AS (SELECT *, row_number() OVER (ORDER BY c DESC, vec_id) AS place FROM s WHERE c IS NOT NULL)
+SELECT vec_id, round((1 + c) / 2, 6) AS score, 'label ' || label AS preview, place <= 10 AS read FROM k WHERE place <= 50""")
+def retrieved_rows(spark, sf_dir):
+    """The rows that a preset retrieves for a vector, with previews, and those to be read closely."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("said", F.concat(F.lit("label "), F.col("label").cast("string")))
+    asked = vectors.literal(rows.filter("vec_id = 0").first()["embedding"])
+    return vectors.retrieved(rows, asked, "balanced", "vec_id", "said").withColumn("score", F.round("score", 6))

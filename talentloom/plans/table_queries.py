@@ -158,7 +158,7 @@ def streamed_history(spark, sf_dir):
 @query("SELECT event_id, event_type FROM events WHERE user_id = 3 ORDER BY ts DESC, event_id DESC LIMIT 50")
 def recent_searches(spark, sf_dir):
     """A user's newest rows, with the limit kept between 1 and 50."""
-    limit = min(50, max(1, 500))
+    limit = tables.shown_rows(500)
     return table(spark, sf_dir, "events").filter("user_id = 3").orderBy(F.desc("ts"), F.desc("event_id")).limit(limit).select("event_id", "event_type")
 
 
@@ -211,3 +211,31 @@ def json_properties(spark, sf_dir):
     """Values read out of JSON strings."""
     rows = table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k int")["k"].alias("k"))
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
+
+
+@query("SELECT c_custkey::varchar AS c_custkey, trim(c_name) AS c_name, '[\"' || c_mktsegment || '\",' || '\"x\"]' AS tags, '{\"n\":' || c_nationkey || '}' AS place FROM customer")
+def stringified_rows(spark, sf_dir):
+    """All columns as text, nested ones as JSON, without vectors."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.array("c_mktsegment", F.lit("x")).alias("tags"), F.struct(F.col("c_nationkey").alias("n")).alias("place"), F.array(F.lit(0.5)).alias("text_vector"))
+    return tables.as_text(tables.without_suffix(rows))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount >= 0.05")
+def thresholds(spark, sf_dir):
+    """Rows that reach a score; a threshold of 0 lets all pass."""
+    rows = tables.at_least(table(spark, sf_dir, "lineitem").withColumn("score", F.col("l_discount")), "score", 0.05)
+    return tables.at_least(rows, "score", 0).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey = 7 AND o_orderkey <> 33")
+def others_of_a_value(spark, sf_dir):
+    """Rows other than one's own with a value."""
+    return tables.others_with(table(spark, sf_dir, "orders"), "o_custkey", 7, "o_orderkey", 33).select("o_orderkey")
+
+
+@query("SELECT vec_id, vec_id % 10 = 0 AS failed, round(CASE WHEN vec_id % 10 = 0 THEN embedding[1]::double ELSE length(vec_id::varchar) END, 5) AS lead FROM embeddings")
+def embedded_again(spark, sf_dir):
+    """Vectors made anew by an embedding function; where it fails the old one stays."""
+    size = F.length(F.col("vec_id").cast("string")).cast("float")
+    made = F.when(F.col("vec_id") % 10 != 0, F.array(size, size))
+    return tables.embedded(table(spark, sf_dir, "embeddings"), made, "embedding").select("vec_id", "failed", F.round(F.col("embedding")[0].cast("double"), 5).alias("lead"))

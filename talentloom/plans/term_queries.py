@@ -202,3 +202,24 @@ def distinct_jobs(spark, sf_dir):
 def skill_counts(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     return p.select(F.explode(F.array(F.struct(F.lit("f").alias("k"), F.lower("p_name").alias("v")), F.struct(F.lit("d").alias("k"), F.lower("p_type").alias("v")))).alias("x")).agg(F.countDistinct(F.when(F.col("x.k") == "f", F.col("x.v"))).alias("file_skills"), F.countDistinct(F.when(F.col("x.k") == "d", F.col("x.v"))).alias("database_skills"), F.countDistinct("x.v").alias("all_skills"))
+
+
+@query(f"WITH {PROFILES_SQL} SELECT upper(substr(skill, 1, 1)) || substr(skill, 2) AS skill, n FROM (SELECT lower(trim(s)) AS skill, count(*) AS n FROM (SELECT unnest(list_concat(skills, may_also)) AS s FROM profiles) WHERE trim(s) <> '' GROUP BY 1 ORDER BY n DESC, skill LIMIT 8) WHERE length(skill) > 2")
+def trending_profile_skills(spark, sf_dir):
+    """The most frequent of what profiles know and may also know, then those of more than two letters, capitalised."""
+    both = F.concat("skills", "may_also")
+    top = terms.term_counts(profiles(spark, sf_dir), both).orderBy(F.desc("n"), "term").limit(8)
+    return top.filter(F.length("term") > 2).select(F.concat(F.upper(F.substring("term", 1, 1)), F.substring("term", 2, 100)).alias("skill"), "n")
+
+
+#: Keywords by position, for the test tables.
+POSITIONS = {"steel": ["steel", "brass"], "copper": ["economy", "large"]}
+
+
+@query("""WITH v AS (SELECT lower(trim(p_type)) AS t, count(*) AS n FROM part GROUP BY 1), w AS (SELECT t, n, list_filter(string_split(t, ' '), lambda x: length(x) > 2) AS parts FROM v),
+s AS (SELECT t, n, CASE WHEN t IN ('economy', 'large') THEN 10.0 ELSE CASE WHEN contains(t, 'economy') THEN 8 WHEN contains('economy', t) THEN 6 WHEN len(list_filter(parts, lambda x: contains('economy', x))) > 0 THEN 3 ELSE 0 END + CASE WHEN contains(t, 'large') THEN 8 WHEN contains('large', t) THEN 6 WHEN len(list_filter(parts, lambda x: contains('large', x))) > 0 THEN 3 ELSE 0 END END AS relevance FROM w)
+SELECT t AS p_type, (relevance + n * 0.5)::double AS score FROM s WHERE relevance > 0 ORDER BY score DESC, p_type LIMIT 15""")
+def recommended_skills(spark, sf_dir):
+    """A position's skills: vocabulary by relevance to its keywords, raised by how common each is."""
+    counts = table(spark, sf_dir, "part").groupBy(F.lower(F.trim("p_type")).alias("p_type")).agg(F.count(F.lit(1)).alias("n"))
+    return terms.recommended(counts.select("p_type"), "p_type", terms.position_keywords("Senior Copper Smith", POSITIONS), counts.withColumnRenamed("p_type", "term"), 15)

@@ -12,20 +12,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentloom.functions.ingest import clean_headers
+from talentloom.functions.ingest import clean_headers, kept_headers
 from talentloom.functions.text import collapsed
 from talentloom.operators.tables import first_spelling
 
 SPREADSHEETS = (".csv", ".xlsx", ".xlsm")
 TEXTS = (".txt", ".docx")
 _CELLS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _WORDS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file with cleaned column names; cells are strings, blank ones null, and rows without any value are left out."""
     df = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    df = df.toDF(*clean_headers(df.columns))
+    heads = spark.read.option("header", False).csv(path).first()
+    named = [str(x) if x is not None else f"column {i}" for i, x in enumerate(heads)] if heads else df.columns
+    kept = kept_headers(named)
+    df = df.toDF(*(str(i) for i in range(len(df.columns)))).select(*(F.col(str(i)) for i in kept)).toDF(*clean_headers([named[i] for i in kept]))
     return df.select(*(F.nullif(F.trim(c), F.lit("")).alias(c) for c in df.columns)).dropna("all")
 
 
@@ -36,12 +40,20 @@ def _column(reference: str) -> int:
     return n - 1
 
 
-def _sheet(content: bytes) -> list[list[str | None]]:
-    """Rows of a workbook's first sheet."""
+def _sheets(book: zipfile.ZipFile) -> dict[str, str]:
+    """The file of each sheet by its name, in the workbook's order."""
+    links = {x.get("Id"): x.get("Target") for x in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))} if "xl/_rels/workbook.xml.rels" in book.namelist() else {}
+    sheets = [(x.get("name"), links.get(x.get(_LINK), f"worksheets/sheet{i}.xml")) for i, x in enumerate(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_CELLS}sheet"), 1)] if "xl/workbook.xml" in book.namelist() else []
+    found = {name: target.lstrip("/") if target.startswith("/") else f"xl/{target}" for name, target in sheets}
+    return found or {n: n for n in sorted(book.namelist()) if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)}
+
+
+def _sheet(content: bytes, sheet: str | None = None) -> list[list[str | None]]:
+    """Rows of a workbook's sheet, the first one if none is named."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        names = book.namelist()
-        texts = ["".join(t.text or "" for t in s.iter(f"{_CELLS}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-        first = sorted(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))[0]
+        texts = ["".join(t.text or "" for t in s.iter(f"{_CELLS}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in book.namelist() else []
+        sheets = _sheets(book)
+        first = sheets[sheet] if sheet is not None else next(iter(sheets.values()))
         rows = []
         for row in ElementTree.fromstring(book.read(first)).iter(f"{_CELLS}row"):
             cells: list[str | None] = []
@@ -55,16 +67,41 @@ def _sheet(content: bytes) -> list[list[str | None]]:
         return rows
 
 
-def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
-    """``path, row, cells`` (a map by cleaned header) of the first sheets of workbooks; a file that can't be read has one row with an ``error``."""
+def sheet_names(spark: SparkSession, path: str) -> DataFrame:
+    """``path, at, sheet`` of every workbook, in its order; files that are no workbooks have no rows."""
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for name, content in zip(part["path"], part["content"]):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as book:
+                        out += [(name, i, s) for i, s in enumerate(_sheets(book))]
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError):
+                    pass
+            yield pd.DataFrame(out, columns=["path", "at", "sheet"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, at long, sheet string")
+
+
+def file_kinds(spark: SparkSession, path: str) -> DataFrame:
+    """``path, size, kind, is_supported``: what a file is taken for, by the end of its name; files without content are passed over."""
+    end = F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1))
+    kind = F.when(end.isin(*SPREADSHEETS), "spreadsheet").when(end.isin(*TEXTS), "text").otherwise("other")
+    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), kind.alias("kind"), (kind != "other").alias("is_supported"))
+
+
+def workbook_rows(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """``path, row, cells`` (a map by cleaned header) of workbooks' sheets of a name, or their first ones; a file that can't be read has one row with an ``error``. Of repeated headers the first stays."""
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for name, content in zip(part["path"], part["content"]):
                 try:
-                    rows = _sheet(content)
-                    heads = clean_headers([h or "" for h in rows[0]]) if rows else []
-                    out = [(name, i, {h: v.strip() for h, v in zip(heads, r) if h and v and v.strip()}, None) for i, r in enumerate(rows[1:], 1)]
+                    rows = _sheet(content, sheet)
+                    kept = kept_headers([h or "" for h in rows[0]]) if rows else []
+                    heads = clean_headers([rows[0][i] or "" for i in kept])
+                    out = [(name, i, {h: v.strip() for h, v in zip(heads, (r[i] if i < len(r) else None for i in kept)) if h and v and v.strip()}, None) for i, r in enumerate(rows[1:], 1)]
                     out = [x for x in out if x[2]]
                 except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, ValueError) as bad:
                     out = [(name, 0, {}, f"{type(bad).__name__}: {bad}")]

@@ -1,12 +1,13 @@
 import random
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from talentloom.functions import durations, ingest, scoring, text
+from talentloom.functions import context, durations, ingest, resumes, scoring, text, validation
 from talentloom.functions.similarity import sequence_ratio
-from talentloom.operators import tables, terms
+from talentloom.operators import tables, terms, vectors
 from talentloom.operators.similar_texts import similar_texts
 from talentloom.plans import ingest_queries, table_queries
 
@@ -86,7 +87,64 @@ def test_normalised(spark):
 
 def test_headers():
     assert ingest.clean_headers(["Full Name ", "E-Mail", "e mail", "Salary (INR)"]) == ["full_name", "e_mail", "e_mail_2", "salary_inr"]
-    assert ingest.map_headers(["Full Name", "Mail", "Phone No"], {"name": ["full name"], "email": ["e-mail", "mail"], "phone": ["phone number", "mobile"]}) == {"Full Name": "name", "Mail": "email", "Phone No": "phone"}
+    assert ingest.kept_headers(["Name", " name ", "Mail", "NAME"]) == [0, 2]
+
+
+def test_header_mapping():
+    synonyms = {"name": ["full name"], "email": ["e-mail", "mail"], "phone": ["phone number", "mobile"], "skills": ["key skills"], "current_salary": ["ctc"]}
+    mapped = ingest.map_headers(["Candidate Full Name", "Mail", "Phone No", "Tech Stack", "Package", "xyz"], synonyms)
+    assert {h: f for h, (f, _) in mapped.items()} == {"Candidate Full Name": "name", "Mail": "email", "Phone No": "phone", "Tech Stack": "skills", "Package": "salary"}
+    assert mapped["Mail"][1] == 1.0 and mapped["Tech Stack"][1] == ingest.PATTERN_SHARE
+    assert ingest.header_scores("career", {})["current_role"] == ingest.AREA_SHARE
+    # a field that is held goes to a header that fits it more than a tenth better; else that header takes its next best field
+    assert ingest.map_headers(["Mailing", "email"], synonyms)["email"] == ("email", 1.0)
+    assert ingest.map_headers(["email", "mail"], synonyms) == {"email": ("email", 1.0), "mail": ("phone", 0.6)}
+    assert ingest.unmapped(["Mail", "xyz"], {"Mail": ("email", 1.0)}, ["email", "name"]) == (["xyz"], ["name"])
+
+
+MINIMAL = "Jane Smith\njane@email.com\n+1-555-123-4567\n\nWORK EXPERIENCE\nSoftware Developer at Tech Company\nJan 2020 - Present\n\nSKILLS\nPython, Java"
+
+
+def test_parsed_resumes(spark):
+    row = spark.createDataFrame([(MINIMAL,)], "t string").select(resumes.contact(F.col("t")).alias("c"), resumes.jobs(F.col("t"), "2025-06-15").alias("j"), resumes.skills(F.col("t"), ("java", "perl")).alias("s"), resumes.months_by_spans(F.col("t"), "2025-06-15").alias("m"), resumes.degrees(F.col("t"), 2025).alias("d")).first()
+    assert (row.c.name, row.c.email, row.c.phone, row.c.city) == ("Jane Smith", "jane@email.com", "+15551234567", resumes.NO_CITY)
+    assert (row.j[0].title, row.j[0].company, row.j[0].from_date, row.j[0].is_current) == ("Software Developer", "Tech Company", "2020-01", True)
+    assert {"Python", "Java"} <= set(row.s) and row.m == 65 and row.d == []
+    assert not value(spark, text.resume_like(F.col("s")), s="This is a recipe for bread. Mix flour and water.")
+
+
+def test_months_of_entries(spark):
+    entry = lambda d, a, z: value(spark, resumes.months_of_entry(F.col("d"), F.col("a"), F.col("z"), "2025-06-15"), d=d, a=a, z=z)
+    said = {("2 years 3 months", "", ""): 27, ("", "March 2020", "Mar 2021"): 12, ("", "03/2020", "present"): 63, ("until present", "2020-01-15", "current"): 65, ("", "3 years ago", ""): 36, ("", "5 months ago", "x"): 5, ("", "15 March 2019", "15-03-2020"): 12, ("", "Mar 5,2019", "March 4, 2020"): 11, ("", "03/19", "2020"): 10, ("", "soon", "2020"): 0}
+    assert {k: entry(*k) for k in said} == said
+    assert [value(spark, resumes.spelled_out(F.col("m")), m=m) for m in (0, 1, 12, 25)] == ["No experience", "1 month", "1 year", "2 years and 1 month"]
+
+
+def test_vector_fields():
+    assert vectors.vector_of("projects") == "projects_text_vector"
+    with pytest.raises(ValueError, match="Choose from: skills, experience"):
+        vectors.vector_of("hobbies")
+
+
+def test_limits_and_thresholds(spark):
+    assert [tables.shown_rows(x) for x in (None, 0, -3, 1, 50, 51)] == [10, 10, 10, 1, 50, 50]
+    rows = spark.createDataFrame([(1, 0.5), (2, 0.0)], "k int, s double")
+    assert [tables.at_least(rows, "s", x).count() for x in (None, 0, 0.1)] == [2, 2, 1]
+    failed = tables.embedded(rows, F.when(F.col("k") == 1, F.array(F.lit(1.0))), "v").filter("failed").collect()
+    assert [(r.k, r.v) for r in failed] == [(2, None)]
+
+
+def test_validation_by_hand(spark):
+    ok = lambda v, k: tuple(value(spark, validation.validated(F.col("v"), k), v=v))
+    assert ok("Jane Smith", "name") == (True, 1.0) and ok("  ", "name") == (True, 0.0) and ok("x", None) == (True, 1.0)
+    assert ok("JANE", "name") == (True, pytest.approx(0.9 * 0.9)) and ok("jane2", "name")[0] is False
+    assert ok("a@b.org", "email") == (True, 1.0) and ok("a b@c.org", "email") == (False, pytest.approx(0.3 * 0.6 * 0.9))
+    assert ok("75", "age") == (True, 0.9) and ok("17 years", "age") == (True, 0.95) and ok("none", "age")[0] is False
+    assert [validation.kind_of(x) for x in ("full_name", "CGPA", "home_address", "hobby")] == ["name", "percentage", "location", None]
+
+
+def test_request_with_labelled_skills():
+    assert {"spark", "scala"} <= set(context.read_request("need a data engineer. skills: spark, scala").skills)
 
 
 def test_similar_texts(spark):

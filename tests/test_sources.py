@@ -9,6 +9,8 @@ def test_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Full Name,E-Mail,e mail\nAnn, a@b.c ,x\n,,\nBob,,\n")
     rows = readers.csv_rows(spark, str(tmp_path / "a.csv"))
     assert rows.columns == ["full_name", "e_mail", "e_mail_2"]
+    (tmp_path / "b.csv").write_text("Name,NAME ,x\na,b,c\n")
+    assert [r.asDict() for r in readers.csv_rows(spark, str(tmp_path / "b.csv")).collect()] == [{"name": "a", "x": "c"}]
     assert sorted(tuple(r) for r in rows.collect()) == [("Ann", "a@b.c", "x"), ("Bob", None, None)]
 
 
@@ -25,6 +27,26 @@ def test_workbook(spark, tmp_path):
     assert rows["b.xlsx"].error.startswith("BadZipFile")
 
 
+def test_named_sheets_and_repeated_headers(spark, tmp_path):
+    cell = lambda r, v: f'<c r="{r}" t="inlineStr"><is><t>{v}</t></is></c>'
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    sheet = lambda *rows: f"<worksheet {space}><sheetData>" + "".join("<row>" + "".join(cell(f"{'ABC'[i]}{k}", v) for i, v in enumerate(r)) + "</row>" for k, r in enumerate(rows, 1)) + "</sheetData></worksheet>"
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as f:
+        f.writestr("xl/workbook.xml", f'<workbook {space} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Notes" r:id="r2"/><sheet name="People" r:id="r1"/></sheets></workbook>')
+        f.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        f.writestr("xl/worksheets/sheet1.xml", sheet(("Name", "name ", "Age"), ("Ann", "other", "7")))
+        f.writestr("xl/worksheets/sheet2.xml", sheet(("Note",), ("n",)))
+    (tmp_path / "b.pdf").write_text("x")
+    (tmp_path / "c.txt").write_text("x")
+    path = str(tmp_path / "a.xlsx")
+    assert [(r["at"], r.sheet) for r in readers.sheet_names(spark, path).orderBy("at").collect()] == [(0, "Notes"), (1, "People")]
+    assert [r.cells for r in readers.workbook_rows(spark, path).collect()] == [{"note": "n"}]
+    assert [r.cells for r in readers.workbook_rows(spark, path, "People").collect()] == [{"name": "Ann", "age": "7"}]
+    assert readers.workbook_rows(spark, path, "None").first().error.startswith("KeyError")
+    kinds = {r.path.rsplit("/", 1)[1]: (r.kind, r.is_supported) for r in readers.file_kinds(spark, str(tmp_path)).collect()}
+    assert kinds == {"a.xlsx": ("spreadsheet", True), "b.pdf": ("other", False), "c.txt": ("text", True)}
+
+
 def test_document_texts(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\n  two")
     with zipfile.ZipFile(tmp_path / "b.docx", "w") as f:
