@@ -18,6 +18,9 @@ THRESHOLD = 0.70
 BLOCK_BYTES = 16 << 20
 #: Pairs after which a task hands on what it has found.
 PAIRS = 50_000
+#: Which of 27 counters a byte belongs to: letters of either case by themselves, all else together.
+LETTER = np.full(256, 26)
+LETTER[0x61:0x7B] = LETTER[0x41:0x5B] = np.arange(26)
 
 
 def reached(matcher: SequenceMatcher, threshold: float) -> float | None:
@@ -41,8 +44,14 @@ def reached(matcher: SequenceMatcher, threshold: float) -> float | None:
     return ratio if ratio >= threshold else None
 
 
+def letters(text: str) -> np.ndarray:
+    """How often each letter occurs, and all else together: two texts match in no more characters than they have letters in common."""
+    out = np.bincount(LETTER[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)], minlength=27)
+    return out.astype(np.int32)
+
+
 class Block:
-    """New texts by owner and length."""
+    """New texts by owner and length, with their letters."""
 
     def __init__(self, table: pa.Table):
         self.keys = table.column(1).combine_chunks()
@@ -53,13 +62,18 @@ class Block:
         self.texts = texts
         self.rows = {owner: sorted(own, key=lambda row: len(texts[row])) for owner, own in rows.items()}
         self.lengths = {owner: np.array([len(texts[row]) for row in own]) for owner, own in self.rows.items()}
+        self.letters = {owner: np.array([letters(texts[row]) for row in own]) for owner, own in self.rows.items()}
 
-    def candidates(self, owner: str, length: int, threshold: float) -> list[int]:
-        """The owner's rows whose length allows the threshold."""
+    def candidates(self, owner: str, text: str, threshold: float) -> list[int]:
+        """The owner's rows whose length, and then whose letters, allow the threshold."""
         if owner not in self.rows:
             return []
-        lengths = self.lengths[owner]
-        some = np.flatnonzero((lengths + length == 0) | (2.0 * np.minimum(lengths, length) / np.maximum(lengths + length, 1) >= threshold))
+        lengths, n = self.lengths[owner], len(text)
+        low = np.searchsorted(lengths, np.floor(n * threshold / (2 - threshold)) - 1) if threshold > 0 else 0
+        high = np.searchsorted(lengths, np.ceil(n * (2 - threshold) / threshold) + 1, "right") if threshold > 0 else len(lengths)
+        common = np.minimum(self.letters[owner][low:high], letters(text)).sum(1)
+        total = lengths[low:high] + n
+        some = low + np.flatnonzero((total == 0) | (2.0 * common >= threshold * total - 1e-9 * total))
         return [self.rows[owner][k] for k in some]
 
 
@@ -67,8 +81,8 @@ def similar_texts(new: DataFrame, stored: DataFrame, owner: list[str], key: str,
     """``key, match, ratio`` for each new text and each stored one of the same owner whose ratio reaches the threshold.
 
     Without owner columns all are compared with all; a null owner is an owner. Rows without a key or text have no pairs.
-    Two texts of lengths a <= b reach a ratio of 2a / (a + b) at most, so others are not compared. New text first: the
-    ratio is not symmetric. Stored rows are dealt out to tasks by a hash of key and text, so an owner with many is
+    Two texts of lengths a <= b reach a ratio of 2a / (a + b) at most, and twice the letters that they have in common over a + b, so others are not
+    compared. New text first: the ratio is not symmetric. Stored rows are dealt out to tasks by a hash of key and text, so an owner with many is
     spread; new texts are broadcast in blocks of about ``BLOCK_BYTES``.
     """
     whose = F.to_json(F.struct(*owner), {"ignoreNullFields": "false"}) if owner else F.lit("")
@@ -96,7 +110,7 @@ def similar_texts(new: DataFrame, stored: DataFrame, owner: list[str], key: str,
 
                 for at, (own, match, old) in enumerate(zip(*(x.to_pylist() for x in batch.columns))):
                     matcher = SequenceMatcher(None, "", "")
-                    some = block.candidates(own, len(old), threshold)
+                    some = block.candidates(own, old, threshold)
                     if some:
                         matcher.set_seq2(old)
                     for row in some:
