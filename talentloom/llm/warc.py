@@ -34,7 +34,9 @@ def _numbered(text: Column) -> Column:
         sound = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         return F.when(i == 0, x).when(sound, F.concat(character, F.substr(x, F.length(said) + 2))).otherwise(F.concat(F.lit("&#"), x))
 
-    return F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(F.split(text, "&#"), resolved), "")).otherwise(text)
+    # within a lambda, so that what makes the text is worked out once
+    some = lambda t: F.when(F.contains(t, F.lit("&#")), F.array_join(F.transform(F.split(t, "&#"), resolved), "")).otherwise(t)
+    return F.get(F.transform(F.array(text), some), F.lit(0))
 
 
 def plain_text(html: Column) -> Column:
