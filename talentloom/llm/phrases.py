@@ -70,7 +70,7 @@ def parse(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     starts = np.flatnonzero(open_)
     least = starts + least_places(hashes)[starts] if len(starts) else none
     first = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1)))) if len(starts) else none
-    last = np.append(first[1:], len(starts)) - 1
+    last = np.append(first[1:], len(starts))[: len(first)] - 1
     found, low, high = np.concatenate([found, least[first]]), np.concatenate([low, starts[first]]), np.concatenate([high, starts[last]])
     return found, mix(hashes[found]), low, high
 

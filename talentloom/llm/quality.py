@@ -17,6 +17,8 @@ DIMENSIONS = 32
 NEIGHBOURS = 15
 
 TRIGRAMS = 4096
+#: Bytes of a text whose trigrams are counted at once.
+STRETCH = 1 << 20
 _REST = 8  # further terms: see terms()
 
 #: The shape of a byte: a letter's case, digit, white space, line end, or the mark itself.
@@ -36,13 +38,10 @@ def terms(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """
     n = len(at) - 1
     out = np.zeros((n, TRIGRAMS + _REST), np.float32)
-    if len(raw) > 2:
-        shape = _SHAPE[raw]
-        code = (shape[:-2] * 5003 + shape[1:-1] * 71 + shape[2:]) % TRIGRAMS
-        for i in range(n):
-            a, b = at[i], at[i + 1] - 2
-            if b > a:
-                out[i, :TRIGRAMS] = np.bincount(code[a:b], minlength=TRIGRAMS)
+    for i in range(n):
+        for low in range(int(at[i]), int(at[i + 1]) - 2, STRETCH):
+            shape = _SHAPE[raw[low : min(low + STRETCH + 2, at[i + 1])]]
+            out[i, :TRIGRAMS] += np.bincount((shape[:-2] * 5003 + shape[1:-1] * 71 + shape[2:]) % TRIGRAMS, minlength=TRIGRAMS)
     starts, ends, first = textbytes.words(raw, at, textbytes.NOT_SPACE)
     hashes, length = textbytes.word_hashes(raw, starts, ends), ends - starts
     for i in range(n):

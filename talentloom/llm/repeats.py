@@ -23,6 +23,8 @@ from talentloom.llm.shards import LAST_ID, batch_of, buckets, ids_of, member, of
 
 #: Bytes of text that are parsed at once: what that takes fits a processor's cache.
 SLICE = 1 << 16
+#: Bytes of a text that are parsed at once; the strings that start behind them are parsed with the bytes that follow.
+STRETCH = 2 << 20
 #: Bytes of keys that one bucket's task sees, about, for a corpus of up to a GB.
 BUCKET_BYTES = 10 << 20
 #: A trigger that occurs so often in one of so many parts of the documents is hot: its strings are dealt out one by one.
@@ -77,18 +79,25 @@ def occurrences(batch: pa.RecordBatch, hot: np.ndarray) -> Iterator[tuple]:
     """
     text = byte = 0
     for part in textbytes.slices(batch, "text", SLICE):
-        raw, at = textbytes.buffers(part.column("text"))
-        places, triggers, low, high = parse(raw, at)
-        warm = member(triggers >> np.uint64(16), hot)[0]
-        cold = len(warm) - int(warm.sum())
-        if cold < len(warm):
-            which, start = single(places[warm], low[warm], high[warm])
-            places, low, high = (np.concatenate(x) for x in ((places[~warm], places[warm][which]), (low[~warm], start), (high[~warm], start)))
-        keys = phrase_keys(raw, places, low, high)
-        triggers = np.concatenate([triggers[~warm], keys[cold:]])
-        yield raw, byte, np.searchsorted(at, low, "right") - 1 + text, places, triggers, low, high, keys
+        whole, every = textbytes.buffers(part.column("text"))
+        for begin in range(0, len(whole), STRETCH) if part.num_rows == 1 and len(whole) > STRETCH + LENGTH else (0,):
+            end = len(whole) if part.num_rows > 1 or len(whole) <= STRETCH + LENGTH else min(len(whole), begin + STRETCH + LENGTH - 1)
+            raw, at = whole[begin:end], every if end - begin == len(whole) else np.array([0, end - begin])
+            yield raw, byte + begin, *_of_slice(raw, at, text, hot)
         text += part.num_rows
-        byte += len(raw)
+        byte += len(whole)
+
+
+def _of_slice(raw: np.ndarray, at: np.ndarray, text: int, hot: np.ndarray) -> tuple:
+    places, triggers, low, high = parse(raw, at)
+    warm = member(triggers >> np.uint64(16), hot)[0]
+    cold = len(warm) - int(warm.sum())
+    if cold < len(warm):
+        which, start = single(places[warm], low[warm], high[warm])
+        places, low, high = (np.concatenate(x) for x in ((places[~warm], places[warm][which]), (low[~warm], start), (high[~warm], start)))
+    keys = phrase_keys(raw, places, low, high)
+    triggers = np.concatenate([triggers[~warm], keys[cold:]])
+    return np.searchsorted(at, low, "right") - 1 + text, places, triggers, low, high, keys
 
 
 def _settled(texts: DataFrame, hot: np.ndarray, n: int) -> DataFrame:
@@ -251,7 +260,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hot trigger (``hot`` times or more in one of ``parts`` parts of the documents) travel by their own keys, one by one.
 
     Ids are integers; a null id comes after all others. Rows with the same id count as one document, so they
-    leave each other alone. Null texts are empty. Texts under 50 bytes stay whole; a text of any length is one row of one shard. No rows give no
+    leave each other alone. Null texts are empty. Texts under 50 bytes stay whole; a text of any length is one row of one shard, parsed in stretches. No rows give no
     rows. Other columns are left out.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -67,6 +67,32 @@ def test_repeats_of_short_periods(spark):
     assert removed(repeats.remove_repeats(docs)) == brute.repeats(rows)
 
 
+def test_stretches_of_a_text_hold_its_strings_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    pool = ["".join(rng.choice("abcd e") for _ in range(rng.randint(20, 160))) for _ in range(30)]
+    texts = ["".join(rng.choice(pool) for _ in range(60)) + "z" * 200, "short", "".join(rng.choice("ab") for _ in range(3000))]
+
+    def strings():
+        batch = pa.RecordBatch.from_pydict({"text": texts})
+        out = {}
+        for _, byte, doc, places, triggers, low, high, _ in repeats.occurrences(batch, np.zeros(0, np.uint64)):
+            for d, p, t, a, z in zip(doc.tolist(), places.tolist(), triggers.tolist(), low.tolist(), high.tolist()):
+                for k in range(a, z + 1):
+                    assert (key := k + byte) not in out
+                    out[key] = d, t, p - k
+        return out
+
+    monkeypatch.setattr(repeats, "SLICE", 10)
+    whole = strings()
+    assert len(whole) == sum(max(0, len(t) - 49) for t in texts)
+    for size in (70, 333, 1000):
+        monkeypatch.setattr(repeats, "STRETCH", size)
+        assert strings() == whole
+
+
 def test_repeats_of_odd_rows(odd, none):
     got = repeats.remove_repeats(odd)
     assert got.count() == odd.count() and repeats.remove_repeats(none).count() == 0
@@ -144,10 +170,6 @@ def test_passages_against_brute_force(spark, small, odd, none, monkeypatch):
     assert contaminated(decontaminate.contamination(odd, more)) == passages(unique(odd), pairs)
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 300)
     assert contaminated(decontaminate.contamination(docs, more)) == passages(unique(docs), pairs)
-    for words in (40, 7):  # long texts are indexed in stretches
-        monkeypatch.setattr(decontaminate, "SHARD_WORDS", words)
-        assert contaminated(decontaminate.contamination(docs.limit(60), items)) == passages(unique(docs.limit(60)), [(r.item_id, r.text) for r in items.collect()])
-    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 400_000)
     assert decontaminate.contamination(none, items).count() == 0
     assert contaminated(decontaminate.contamination(odd, items.filter("item_id < 0"))) == passages(unique(odd), [])
 
@@ -195,6 +217,23 @@ def test_overlapping_items_of_several_blocks_are_cut_once(spark, monkeypatch):
         assert sorted((r.doc_id, repr(r.text), r.ROW) for r in got.collect()) == want
 
 
+def test_long_texts_are_indexed_in_stretches(spark, small, monkeypatch):
+    import pyarrow as pa
+
+    docs, items = unique(spark.read.parquet(f"{small}/documents.parquet")), [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    phrases = decontaminate.Phrases([(str(i), t or "") for i, t in items])
+    want = {i: (hit, found) for i, _, hit, found in passages(docs, items)}
+    for words in (400_000, 5000, 300):
+        monkeypatch.setattr(decontaminate, "SHARD_WORDS", words)
+        shard = decontaminate.Shard(phrases)
+        shard.add(pa.RecordBatch.from_pydict({"text": [t for _, t in docs]}), "text")
+        spans, found = shard.found()
+        hits = [0] * len(docs)
+        for d, first, last, _, _ in spans.tolist():
+            hits[d] += last - first
+        assert {str(i): (hits[k], found[k]) for k, (i, _) in enumerate(docs)} == want
+
+
 def test_words_that_a_linear_hash_confuses(spark):
     pairs = []
     for k in range(10, 14):
