@@ -18,7 +18,7 @@ TITLES = ("engineer", "developer", "manager", "analyst", "consultant")
 DEGREE = r"(?i)(?:B\.?Tech|Bachelor|B\.?E\.?|M\.?Tech|Master|MBA|M\.?S\.?|Ph\.?D\.?|Diploma|Certificate)[^\n]*"
 DATE = r"(?i)\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{4}\b|\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b\d{4}[-/]\d{1,2}[-/]\d{1,2}\b|\b\d{4}\b"
 DATE_FORMS = ("MMMM yyyy", "MMM yyyy", "MM/yyyy", "yyyy-MM-dd", "dd/MM/yyyy", "yyyy", "MM-yyyy", "MMMM d, yyyy", "d MMMM yyyy", "dd-MM-yyyy", "MMM d,yyyy", "MM/yy")
-SPANS = (r"(\w+\s+\d{4})\s*[-–]\s*(\w+\s+\d{4}|present|current)", r"(\d{1,2}/\d{4})\s*[-–]\s*(\d{1,2}/\d{4}|present|current)", r"(?<![A-Za-z.]\s)(?<![/\d])(\d{4})\s*[-–]\s*(\d{4}|present|current)")
+SPANS = (r"(\w+\s+\d{4})\s*[-–]\s*(\w+\s+\d{4}|present|current)", r"(\d{1,2}/\d{4})\s*[-–]\s*(\d{1,2}/\d{4}|present|current)", r"(?<![A-Za-z.][ \t])(?<![/\d])(\d{4})\s*[-–]\s*(\d{4}|present|current)")
 OPEN_ENDS = ("present", "current", "now")
 LEAST_ENTRY, SECTION_LINES = 20, 10
 
