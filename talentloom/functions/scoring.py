@@ -47,14 +47,19 @@ def total(items: Column, value) -> Column:
     return F.aggregate(F.coalesce(items, F.array().cast("array<string>")) if isinstance(items, str) else items, F.lit(0), lambda a, x: a + value(x))
 
 
-def hits(text: Column, words: tuple[str, ...]) -> Column:
-    """How many of the words the text contains."""
+def hits(low: Column, words: tuple[str, ...]) -> Column:
+    """How many of the words a text in lower case contains."""
     out = F.lit(0)
     for w in words:
-        out = out + F.contains(F.lower(text), F.lit(w.lower())).cast("int")
+        out = out + F.contains(low, F.lit(w.lower())).cast("int")
     return out
 
 
+def all_hits(items: Column | str, words: tuple[str, ...]) -> Column:
+    """How many of the words the texts of an array contain, summed."""
+    return F.aggregate(F.transform(items, F.lower), F.lit(0), lambda a, x: a + hits(x, words))
+
+
 def first_level(text: Column, levels: dict[str, int]) -> Column:
     out = F
     for name, level in levels.items():
@@ -75,20 +80,26 @@ def salary() -> Column:
     return F.when(F.coalesce("expected_salary", F.lit(0.0)) > 0, F.col("expected_salary")).otherwise(F.col("current_salary"))
 
 
-def criteria_score(c: Criteria) -> dict[str, Column]:
-    """Points by criterion, fields matched, single matches, and the score out of 100 with its bonus for diversity."""
-    n_titles = F.aggregate("experience", F.lit(0), lambda a, e: a + hits(F.coalesce(e["title"], F.lit("")), c.titles))
-    lower = F.transform(all_skills(), F.lower)
-    n_skills = sum((F.array_contains(lower, w.lower()).cast("int") for w in c.skills), F.lit(0))
-    n_education = F.aggregate("education", F.lit(0), lambda a, e: a + hits(e, c.education))
-    levels = F.aggregate("education", F.lit(0), lambda a, e: a + hits(e, c.education) * first_level(F.lower(e), CRITERIA_LEVELS))
-    months = months_of(F.col("total_experience"))
+def criteria_facts(c: Criteria) -> dict[str, Column]:
+    """What the score is made of, each read once from a profile: matches by criterion, levels of education, months, salary."""
+    return {
+        "n_titles": all_hits(F.transform("experience", lambda e: F.coalesce(e["title"], F.lit(""))), c.titles),
+        "n_skills": F.size(F.array_intersect(F.transform(all_skills(), F.lower), F.array(*(F.lit(w.lower()) for w in c.skills)).cast("array<string>"))),
+        "n_education": all_hits("education", c.education),
+        "levels": F.aggregate(F.transform("education", F.lower), F.lit(0), lambda a, e: a + hits(e, c.education) * first_level(e, CRITERIA_LEVELS)) if c.education else F.lit(0),
+        "months": months_of(F.col("total_experience")),
+        "city": hits(F.lower(F.coalesce("current_city", F.lit(""))), c.locations),
+        "wishes": all_hits("looking_for", c.locations),
+        "pay": salary(),
+    }
+
+
+def criteria_score(c: Criteria, facts: dict[str, Column] | None = None) -> dict[str, Column]:
+    """Points by criterion, fields matched, single matches, and the score out of 100 with its bonus for diversity. ``facts`` may be columns that hold them already."""
+    n_titles, n_skills, n_education, levels, months, city, wishes, pay = (facts or criteria_facts(c)).values()
     ranged = c.min_months > 0 or c.max_months is not None
     in_range = (months >= c.min_months) & ((months <= c.max_months) if c.max_months is not None else F.lit(True)) if ranged else F.lit(False)
     close = (months >= c.min_months * 0.8) if ranged else F.lit(False)
-    city = hits(F.coalesce("current_city", F.lit("")), c.locations)
-    wishes = F.aggregate("looking_for", F.lit(0), lambda a, x: a + hits(x, c.locations))
-    pay = salary()
     asked = c.min_salary is not None or c.max_salary is not None
     paid = (pay > 0) & (pay >= c.min_salary if c.min_salary is not None else F.lit(True)) & (pay <= c.max_salary if c.max_salary is not None else F.lit(True)) if asked else F.lit(False)
     paid = F.coalesce(paid, F.lit(False))

@@ -38,7 +38,9 @@ def any_of(conditions) -> Column:
 
 def holds(text: Column, *words: str) -> Column:
     """Whether the text contains one of the words, whatever their case."""
-    return any_of(F.contains(F.lower(text), F.lit(w.lower())) for w in words)
+    if len(words) == 1:
+        return F.contains(F.lower(text), F.lit(words[0].lower()))
+    return F.lower(text).rlike("|".join(re.escape(w.lower()) for w in words)) if words else F.lit(False)
 
 
 def mask_pii(text: Column) -> Column:

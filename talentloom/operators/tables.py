@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 #: How many rows a list of the newest shows. Fixed values.
 DEFAULT_ROWS, MOST_ROWS = 10, 50
+#: Shares that a group is summed in, and letters of a name that ranks are grouped by.
+SHARES, BEGINNING = 1024, 3
 
 
 def shown_rows(limit: int | None) -> int:
@@ -118,9 +120,27 @@ def conflicts(df: DataFrame, key: str, identities: list[str]) -> DataFrame:
 
 
 def within_budget(df: DataFrame, per: list[str], order: list, size: Column, budget: int) -> DataFrame:
-    """The leading rows whose sizes add up to at most the budget, stopping at the first that does not fit."""
-    w = Window.partitionBy(*per).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("used", F.sum(size).over(w)).filter(F.col("used") <= budget)
+    """The leading rows whose sizes (not negative) add up to at most the budget, stopping at the first that does not fit.
+
+    The order has to be total, of columns. What follows the first row that does not fit in a share of its group fits
+    nowhere; so a hot group meets in one task only with what fits within each of its shares, and the row after that.
+    """
+    up_to = lambda last, *by: F.sum(size).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, last))
+    shares = df.withColumn("__share", F.pmod(F.hash(*order), F.lit(SHARES)))
+    led = shares.withColumn("__before", up_to(-1, *per, "__share")).filter(F.coalesce(F.col("__before") <= budget, F.lit(True))).drop("__share", "__before")
+    return led.withColumn("used", up_to(0, *per)).filter(F.col("used") <= budget)
+
+
+def ranked(df: DataFrame, score: str, name: str, rank: str = "rank") -> DataFrame:
+    """Ranks of all rows by descending score, then name: places among the rows with one score and beginning of the name, after the sizes of all such groups before. Only these sizes meet in one task."""
+    group = [F.col(score).alias("__score"), F.substring(name, 1, BEGINNING).alias("__begin")]
+    rows = df.select("*", *group)
+    sizes = rows.groupBy("__score", "__begin").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy(F.desc("__score"), "__begin").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(F.col("__score").alias("__s"), F.col("__begin").alias("__b"), F.coalesce(before, F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__score", "__begin").orderBy(name))
+    met = rows.withColumn("__own", own).join(offsets, F.col("__score").eqNullSafe(F.col("__s")) & F.col("__begin").eqNullSafe(F.col("__b")))
+    return met.select(*df.columns, (F.col("__before") + F.col("__own")).alias(rank))
 
 
 def merged_periods(df: DataFrame, key: str, start: str, end: str) -> DataFrame:

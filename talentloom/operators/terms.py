@@ -106,13 +106,9 @@ def adaptive(df: DataFrame, score: str, order: list) -> DataFrame:
     s = F.col(score)
     band = F.when(s >= 3, "high").when(s >= 1.5, "medium").when(s >= 0.5, "low")
     good = F.broadcast(df.agg(F.count_if(s >= 3).alias("__high")))
-    w = Window.partitionBy("band").orderBy(*order)
-    out = df.withColumn("band", band).filter("band IS NOT NULL").crossJoin(good).withColumn("__at", F.row_number().over(w))
+    banded = df.withColumn("band", band).filter("band IS NOT NULL")
+    best = banded.withColumn("__at", F.row_number().over(Window.partitionBy("band").orderBy(*order))).filter("__at <= 80").crossJoin(good)  # no task sends more than 80 of a band
     high, at = F.col("__high"), F.col("__at")
-    keep = (
-        F.when(high >= 30, (F.col("band") == "high") & (at <= 80))
-        .when(high >= 15, (F.col("band") == "high") | ((F.col("band") == "medium") & (at <= 50)))
-        .when(high >= 5, (F.col("band") != "low") | (at <= 30))
-        .otherwise(s > 0.5)
-    )
-    return out.filter(keep).drop("__high", "__at")
+    few = F.when(F.col("band") == "high", high >= 5).when(F.col("band") == "medium", high.between(15, 29) & (at <= 50)).otherwise(high.between(5, 14) & (at <= 30))
+    all_of = F.when(high < 5, s > 0.5).otherwise((F.col("band") == "medium") & (high < 15))
+    return best.filter(few).drop("__high", "__at").unionByName(banded.crossJoin(good).filter(all_of).drop("__high"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from talentloom.functions import context, scoring
 from talentloom.functions.durations import months_of, years_of
-from talentloom.operators import tables, vectors
+from talentloom.operators import searches, tables, vectors
 from talentloom.plans.profiles import PROFILES_SQL, profiles, table
 
 QUERIES: dict = {}
@@ -64,8 +64,7 @@ FROM q WHERE least(100.0, base_score + least(10, fields_matched * 2)) >= 40 ORDE
 @query(_criteria_sql(CRITERIA))
 def criteria_search(spark, sf_dir):
     """Profiles that meet any criterion, scored; the best 50 of those with 40 points or more."""
-    found = profiles(spark, sf_dir).filter(scoring.recalled(CRITERIA)).select("profile_id", *(c.alias(k) for k, c in scoring.criteria_score(CRITERIA).items()))
-    return found.filter("match_score >= 40").orderBy(F.desc("fields_matched"), F.desc("match_score"), F.desc("single_matches"), "profile_id").limit(50)
+    return searches.by_criteria(profiles(spark, sf_dir), CRITERIA, "profile_id")
 
 
 STRICT = scoring.Criteria(titles=("high",), skills=("low",), locations=("nation_1",), min_months=60)
@@ -79,10 +78,10 @@ SELECT profile_id, (t * 10 + s * 10 + lv + 10 + CASE WHEN city > 0 THEN 5 ELSE 3
 WHERE t > 0 AND s > 0 AND months >= 60 AND city + wish > 0 ORDER BY score DESC, profile_id LIMIT 100""")
 def strict_search(spark, sf_dir):
     """Every criterion must be met: ten points for each fitting job, ten for the share of skills, the highest level of education, ten for the range, five or three for the place. Sorted, then cut."""
-    titles = F.aggregate("experience", F.lit(0), lambda a, e: a + scoring.hits(e["title"], STRICT.titles))
+    titles = scoring.all_hits(F.transform("experience", lambda e: e["title"]), STRICT.titles)
     own = F.transform(scoring.all_skills(), F.lower)
     share = sum((F.array_contains(own, s).cast("int") for s in STRICT.skills), F.lit(0)) / len(STRICT.skills)
-    city, wish = scoring.hits(F.col("current_city"), STRICT.locations), F.aggregate("looking_for", F.lit(0), lambda a, x: a + scoring.hits(x, STRICT.locations))
+    city, wish = scoring.hits(F.lower("current_city"), STRICT.locations), scoring.all_hits("looking_for", STRICT.locations)
     level = F.aggregate("education", F.lit(0), lambda a, e: F.greatest(a, scoring.highest_level(F.lower(e), scoring.CRITERIA_LEVELS)))
     rows = profiles(spark, sf_dir).filter((titles > 0) & (share > 0) & (months_of(F.col("total_experience")) >= STRICT.min_months) & (city + wish > 0))
     score = titles * 10 + share * 10 + level + 10 + F.when(city > 0, 5).otherwise(3)

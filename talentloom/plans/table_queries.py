@@ -87,7 +87,7 @@ def _comparable_sql(x: str) -> str:
 def repeated_texts(spark, sf_dir):
     """Groups of texts that are the same for the comparison of near-copies."""
     rows = table(spark, sf_dir, "documents").select("doc_id", text.comparable(F.col("text")).alias("t"))
-    return rows.groupBy("t").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("t")
+    return rows.groupBy(F.sha2("t", 256).alias("sha")).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("sha")
 
 
 @query()
@@ -195,9 +195,11 @@ def durations_of_profiles(spark, sf_dir):
 _RESUME = lambda ws: "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + ")"
 
 
-@query(f"SELECT doc_id FROM documents WHERE {_RESUME(text.RESUME_WORDS['contact'])} AND ({_RESUME(text.RESUME_WORDS['experience'])} OR {_RESUME(text.RESUME_WORDS['education'])} OR {_RESUME(text.RESUME_WORDS['skills'])})")
+@query(f"SELECT doc_id, contact, experience, education, skills, contact AND (experience OR education OR skills) AS resume_like FROM (SELECT doc_id, {', '.join(f'{_RESUME(ws)} AS {k}' for k, ws in text.RESUME_WORDS.items())} FROM documents)")
 def resume_like_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter(text.resume_like(F.col("text"))).select("doc_id")
+    """Which kinds of words of a resume each text holds, and whether they make it look like one."""
+    has = {k: text.holds(F.col("text"), *ws).alias(k) for k, ws in text.RESUME_WORDS.items()}
+    return table(spark, sf_dir, "documents").select("doc_id", *has.values(), text.resume_like(F.col("text")).alias("resume_like"))
 
 
 @query(r"""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '(?i)[,;|/&]|\sand\s|\sor\s'), lambda x: trim(regexp_replace(regexp_replace(x, '^[:\-\s]+|[:\-\s]+$', '', 'g'), '\s+', ' ', 'g'))), lambda x: length(x) BETWEEN 2 AND 50 AND NOT regexp_full_match(x, '\d+') AND lower(x) NOT IN ('others', 'and', 'in', 'of', 'the', 'with', 'using', 'etc', 'various')), '|') AS skills FROM documents""")

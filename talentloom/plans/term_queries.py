@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from talentloom.functions import text
 from talentloom.operators import tables, terms
@@ -175,20 +174,20 @@ def merged_suggestions(spark, sf_dir):
     return tables.first_spelling(first.unionByName(second), "value", ["pr", "value"]).select("value", "src")
 
 
-@query("""SELECT term FROM (SELECT DISTINCT w AS term FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part WHERE p_size > 25)) WHERE term <> '' AND term NOT IN (SELECT w FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part WHERE p_size <= 1))""")
+@query("""SELECT term FROM (SELECT DISTINCT w AS term FROM (SELECT unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS w FROM part WHERE p_size > 25)) WHERE term <> '' AND term NOT IN (SELECT w FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part WHERE p_size <= 1))""")
 def vocabulary_additions(spark, sf_dir):
     """New values that a vocabulary lacks."""
-    words = lambda df: df.select(F.explode(F.split(F.lower("p_name"), " ")).alias("term"))
+    words = lambda df, said: df.select(F.explode(F.split(F.lower(said), " ")).alias("term"))
     p = table(spark, sf_dir, "part")
-    return tables.absent(words(p.filter("p_size > 25")), words(p.filter("p_size <= 1")), "term")
+    return tables.absent(words(p.filter("p_size > 25"), F.concat_ws(" ", "p_name", "p_type")), words(p.filter("p_size <= 1"), F.col("p_name")), "term")
 
 
 @query("SELECT term, n, count(*) OVER () - row_number() OVER (ORDER BY n DESC, term) + 1 AS pseudo FROM (SELECT p_type AS term, count(*) AS n FROM part GROUP BY 1)")
 def position_frequency(spark, sf_dir):
     """Frequencies that stand for positions in a list."""
     counts = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("term")).agg(F.count(F.lit(1)).alias("n"))
-    every, ranked = Window.partitionBy(), Window.orderBy(F.desc("n"), "term")
-    return counts.withColumn("pseudo", (F.count(F.lit(1)).over(every) - F.row_number().over(ranked) + 1).cast("long"))
+    every = F.broadcast(counts.agg(F.count(F.lit(1)).alias("terms")))
+    return tables.ranked(counts, "n", "term").crossJoin(every).select("term", "n", (F.col("terms") - F.col("rank") + 1).alias("pseudo"))
 
 
 @query(f"""WITH {PROFILES_SQL} SELECT profile_id, title, company, from_date FROM (SELECT DISTINCT profile_id, lower(x.title) AS title, lower(x.company) AS company, x.from_date AS from_date FROM (SELECT profile_id, unnest(experience) AS x FROM profiles))""")

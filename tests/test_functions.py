@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talentloom.functions import context, durations, ingest, resumes, scoring, text, validation
 from talentloom.functions.similarity import sequence_ratio
-from talentloom.operators import tables, terms, vectors
+from talentloom.operators import searches, tables, terms, vectors
 from talentloom.operators.similar_texts import similar_texts
 from talentloom.plans import ingest_queries, table_queries
 
@@ -204,3 +204,56 @@ def test_scoped(spark):
     rows = spark.createDataFrame([("admin",), ("user",), ("other",)], "user_id string")
     assert tables.scoped(rows, users, "admin").count() == 3
     assert [r[0] for r in tables.scoped(rows, users, "user").collect()] == ["user"]
+
+
+def test_leading_rows_within_a_budget(spark, monkeypatch):
+    pick = random.Random(5)
+    rows = [(pick.choice(["hot", "hot", "hot", "b", None]), k, pick.choice([0, 1, 3, 40, 90, None])) for k in range(400)]
+    pick.shuffle(rows)
+    df = spark.createDataFrame(rows, "per string, k int, size int")
+    for budget, shares in ((100, 3), (1000, 16), (0, 2)):
+        monkeypatch.setattr(tables, "SHARES", shares)
+        want, used = set(), {}
+        for per, k, size in sorted(rows, key=lambda r: r[1]):
+            if size is not None:
+                used[per] = used.get(per, 0) + size
+            if used.get(per, budget + 1) <= budget:
+                want.add((per, k, used[per]))
+        got = [(r.per, r.k, r.used) for r in tables.within_budget(df, ["per"], ["k"], F.col("size"), budget).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert tables.within_budget(df.limit(0), ["per"], ["k"], F.col("size"), 5).count() == 0
+
+
+def test_ranks_of_all_rows(spark):
+    pick = random.Random(6)
+    names = [None, "", "a", "ab", "abc", "abcd", "abce", "\u00e9t\u00e9"] + ["".join(pick.choices("abc", k=5)) for _ in range(60)]
+    rows = [(x, pick.choice([1, 1, 1, 2, 7, None])) for x in dict.fromkeys(names)]
+    df = spark.createDataFrame(rows, "name string, score int")
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0] is not None, (r[0] or "").encode()))
+    assert {(r.name, r.score): r.rank for r in tables.ranked(df, "score", "name").collect()} == {r: k + 1 for k, r in enumerate(order)}
+    assert tables.ranked(df.limit(0), "score", "name").count() == 0
+
+
+def test_as_many_rows_as_their_quality_allows(spark):
+    scores = {"good": 5.0, "fair": 2.0, "weak": 0.7, "half": 0.5, "bad": 0.1}
+    for good, want in ((100, {"good": 80}), (30, {"good": 30}), (29, {"good": 29, "fair": 50}), (15, {"good": 15, "fair": 50}), (14, {"good": 14, "fair": 120, "weak": 30}), (5, {"good": 5, "fair": 120, "weak": 30}), (4, {"good": 4, "fair": 120, "weak": 90})):
+        rows = [(k, i, s) for k, s in scores.items() for i in range({"good": good, "fair": 120, "weak": 90}.get(k, 7))]
+        got = terms.adaptive(spark.createDataFrame(rows, "kind string, i int, score double"), "score", [F.desc("score"), "kind", "i"]).collect()
+        counts = {k: [r.i for r in got if r.kind == k] for k in scores}
+        assert {k: len(v) for k, v in counts.items() if v} == want, good
+        assert all(sorted(v) == list(range(len(v))) for v in counts.values())
+
+
+def test_words_held(spark):
+    cases = [("C++ and (so) on", ("c++", "(so)"), True), ("plain", ("c++", "[x]"), False), ("a.b", ("a.c", "x"), False), ("TWO words", ("two words", "zz"), True), (None, ("a", "b"), None), (None, ("a",), None), ("x", (), False), ("\u00c9t\u00e9 #1", ("\u00e9t\u00e9 #1", "q"), True)]
+    for said, words, want in cases:
+        df = spark.createDataFrame([(said,)], "s string")
+        assert df.select(text.holds(F.col("s"), *words)).first()[0] is want, (said, words)
+
+
+def test_columns_worked_out_once(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k int, s string")
+    out = searches.once(df, {"n": F.length("s"), "m": F.col("k") * 2}, "k")
+    assert sorted(tuple(r) for r in out.collect() if r.n) == [(1, 1, 2)] and out.count() == 2
+    plan = out.filter("m > 2 AND m < 9")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") < plan.index("Generate"), plan
