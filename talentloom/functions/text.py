@@ -86,9 +86,20 @@ def category(skill: Column) -> Column:
 
 
 def clean_prefix(prefix: str) -> str:
+    """What a user typed, without signs that names of skills and titles lack."""
     return re.sub(r"[^\w\s\-\+\#\.]", "", prefix).strip()
 
 
+def matches_typed(text: Column, typed: str) -> Column:
+    """Whether the text contains what was typed, cleaned; a dot and a plus work as in a pattern, unless no pattern comes of it."""
+    pattern = clean_prefix(typed)
+    try:
+        re.compile(pattern)
+    except re.error:
+        pattern = re.escape(pattern)
+    return text.rlike("(?i)" + pattern)
+
+
 def starts(text: Column, prefix: str) -> Column:
     return F.startswith(F.lower(text), F.lit(prefix.lower()))
 
@@ -118,18 +129,6 @@ def filled(value: Column) -> Column:
     return F.nullif(F.nullif(F.trim(value), F.lit("")), F.lit("N/A"))
 
 
-def valid_pan(value: Column) -> Column:
-    return value.rlike(r"^[A-Z]{5}[0-9]{4}[A-Z]$")
-
-
-def valid_aadhaar(value: Column) -> Column:
-    return F.regexp_replace(value, r"\D", "").rlike(r"^\d{12}$")
-
-
-def valid_email(value: Column) -> Column:
-    return value.rlike(r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$")
-
-
 def json_object(text: Column) -> Column:
     """The outermost braces of a text that an assistant wrapped in prose or fences."""
     return F.nullif(F.regexp_extract(F.regexp_replace(text, r"```(?:json)?", ""), r"(?s)(\{.*\})", 1), F.lit(""))

@@ -129,3 +129,47 @@ def quality(critical: list[Column], important: list[Column], optional: list[Colu
     """The five parts of a row's quality, from 0 to 1, and ``overall``, their weighted sum."""
     parts = {"completeness": completeness(critical, important, optional), "accuracy": accuracy_of(results), "consistency": consistent, "richness": rich, "reliability": F.lit(RELIABILITY) if reliability is None else reliability}
     return parts | {"overall": sum((parts[k] * w for k, w in QUALITY_WEIGHTS.items()), F.lit(0.0))}
+
+
+# What stands for an absent field of a record, and what takes its place.
+ABSENT = {"email": ("email_not_provided@example.com", "noemail@notprovided.com"), "name": ("Name Not Found", "null", "N/A"), "city": ("Location not specified", "City not specified")}
+INSTEAD = {"email": "email.not.found@placeholder.com", "phone": "+91-0000000000", "name": "Name Not Extracted", "city": "Location Not Specified"}
+PAN, COUNTRY = "^[A-Z]{5}[0-9]{4}[A-Z]$", "91"
+
+
+def _or_instead(value: Column, kind: str, kept: Column) -> Column:
+    """``kept`` for a value that is there, the placeholder for one that is null, empty or says that it is absent."""
+    gone = value.isNull() | value.isin("", *ABSENT.get(kind, ()))
+    return F.when(gone, INSTEAD[kind]).otherwise(F.coalesce(F.nullif(kept, F.lit("")), F.lit(INSTEAD[kind])))
+
+
+def record_email(value: Column) -> Column:
+    return _or_instead(value, "email", value)
+
+
+def record_name(value: Column) -> Column:
+    """Letters, dots and blanks of a name."""
+    return _or_instead(value, "name", F.regexp_replace(F.regexp_replace(value, r"[^a-zA-Z\s.]", ""), r"^\s+|\s+$", ""))
+
+
+def record_city(value: Column) -> Column:
+    return _or_instead(value, "city", F.trim(value))
+
+
+def record_phone(value: Column) -> Column:
+    """Digits behind a country code; twelve digits may begin with it."""
+    digits = F.regexp_replace(value, r"[^\d+]", "")
+    coded = F.startswith(digits, F.lit(COUNTRY)) & (F.length(digits) == 12)
+    return _or_instead(value, "phone", F.when(F.startswith(digits, F.lit("+")), digits).when(coded, F.concat(F.lit("+"), digits)).otherwise(F.concat(F.lit("+" + COUNTRY), digits)))
+
+
+def record_pan(value: Column) -> Column:
+    """A tax number in capitals; null for anything else."""
+    said = F.upper(F.trim(value))
+    return F.when(said.rlike(PAN), said)
+
+
+def record_aadhaar(value: Column) -> Column:
+    """The twelve digits of an identity number; null for another count of digits."""
+    digits = F.regexp_replace(value, r"\D", "")
+    return F.when(F.length(digits) == 12, digits)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from talentloom.functions import extraction, text
+from talentloom.functions import extraction, scoring, text, validation
 from talentloom.plans.profiles import PROFILES_SQL, profiles, table
+from talentloom.streaming.history import windowed_counts
 
 QUERIES: dict = {}
 
@@ -89,3 +90,44 @@ def deleted_history(spark, sf_dir):
 
     e = table(spark, sf_dir, "events")
     return delete(e.select("event_id", "user_id"), e.filter("event_id % 10 = 0"), "event_id")
+
+
+#: Fields of a record for each customer, some absent, some spelled oddly.
+_FIELDS = {
+    "email": "CASE c_custkey % 4 WHEN 0 THEN 'noemail@notprovided.com' WHEN 1 THEN NULL ELSE concat('c', c_custkey, '@mail.example') END",
+    "phone": "CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN concat('98765-4', 1000 + c_custkey % 9000) WHEN 2 THEN concat('91 98765 4', 1000 + c_custkey % 9000) WHEN 3 THEN '+44 (20) 7946' ELSE '12-34' END",
+    "name": "CASE c_custkey % 3 WHEN 0 THEN concat(' Dr. Ann ', c_custkey) WHEN 1 THEN 'N/A' ELSE '#1' END",
+    "city": "CASE c_custkey % 3 WHEN 0 THEN 'City not specified' WHEN 1 THEN concat('  ', c_mktsegment, ' ') END",
+    "pan": "CASE c_custkey % 3 WHEN 0 THEN concat(' abcde', 1000 + c_custkey % 9000, 'f') WHEN 1 THEN 'ABCDE12345' END",
+    "aadhaar": "CASE c_custkey % 3 WHEN 0 THEN concat('1234 5678 ', 1000 + c_custkey % 9000) WHEN 1 THEN '1234-5678' END",
+}
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 < 2 THEN 'email.not.found@placeholder.com' ELSE concat('c', c_custkey, '@mail.example') END AS email,
+CASE c_custkey % 5 WHEN 0 THEN '+91-0000000000' WHEN 1 THEN concat('+91987654', 1000 + c_custkey % 9000) WHEN 2 THEN concat('+91987654', 1000 + c_custkey % 9000) WHEN 3 THEN '+44207946' ELSE '+911234' END AS phone,
+CASE WHEN c_custkey % 3 = 0 THEN 'Dr. Ann' ELSE 'Name Not Extracted' END AS name, CASE WHEN c_custkey % 3 = 1 THEN c_mktsegment ELSE 'Location Not Specified' END AS city,
+CASE WHEN c_custkey % 3 = 0 THEN concat('ABCDE', 1000 + c_custkey % 9000, 'F') END AS pan, CASE WHEN c_custkey % 3 = 0 THEN concat('12345678', 1000 + c_custkey % 9000) END AS aadhaar FROM customer""")
+def checked_records(spark, sf_dir):
+    """Fields of records in one spelling, with placeholders for absent ones."""
+    rules = {"email": validation.record_email, "phone": validation.record_phone, "name": validation.record_name, "city": validation.record_city, "pan": validation.record_pan, "aadhaar": validation.record_aadhaar}
+    said = table(spark, sf_dir, "customer").select("c_custkey", *(F.expr(v).alias(k) for k, v in _FIELDS.items()))
+    return said.select("c_custkey", *(rule(F.col(k)).alias(k) for k, rule in rules.items()))
+
+
+@query("SELECT p_partkey, p_brand FROM part WHERE regexp_matches(p_brand, '(?i)brand#1.')")
+def typed_filter(spark, sf_dir):
+    """Values that contain what a user typed, as it stands without brackets and commas."""
+    return table(spark, sf_dir, "part").filter(text.matches_typed(F.col("p_brand"), " (brand#1.)!")).select("p_partkey", "p_brand")
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_discount * 100, 2) AS discount, round(CASE WHEN l_quantity <= 1 THEN l_quantity * 100 ELSE l_quantity END, 2)::double AS quantity FROM lineitem")
+def scores_as_percent(spark, sf_dir):
+    """Scores of up to 1 as percentages; others are some already."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scoring.as_percent(F.col("l_discount")).alias("discount"), scoring.as_percent(F.col("l_quantity")).cast("double").alias("quantity"))
+
+
+@query("SELECT strftime(date_trunc('hour', ts::timestamp), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_events(spark, sf_dir):
+    """Events by type and hour; a stream of them counts alike, with rows up to ten minutes late."""
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.to_timestamp("ts"))
+    return windowed_counts(rows).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")

@@ -257,3 +257,19 @@ def test_columns_worked_out_once(spark):
     assert sorted(tuple(r) for r in out.collect() if r.n) == [(1, 1, 2)] and out.count() == 2
     plan = out.filter("m > 2 AND m < 9")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Filter") < plan.index("Generate"), plan
+
+
+def test_record_fields(spark):
+    one = lambda f, v: value(spark, f(F.col("v")), v=v)
+    phones = {"9876543210": "+919876543210", "919876543210": "+919876543210", "(0) 12": "+91012", "+1 2": "+12", "none": "+91"}
+    assert {k: one(validation.record_phone, k) for k in phones} == phones
+    assert [one(validation.record_name, x) for x in ("null", " J. O'Neil 3", "42")] == ["Name Not Extracted", "J. ONeil", "Name Not Extracted"]
+    assert [one(validation.record_pan, x) for x in ("abcde1234f", "abcd1234f", "")] == ["ABCDE1234F", None, None]
+    assert [one(validation.record_aadhaar, x) for x in ("1234-5678-9012", "123", "x")] == ["123456789012", None, None]
+    blank = spark.createDataFrame([(None,)], "v string")
+    assert tuple(blank.select(*(f(F.col("v")) for f in (validation.record_email, validation.record_phone, validation.record_name, validation.record_city, validation.record_pan, validation.record_aadhaar))).first()) == ("email.not.found@placeholder.com", "+91-0000000000", "Name Not Extracted", "Location Not Specified", None, None)
+
+
+def test_typed_text(spark):
+    typed = lambda v, t: value(spark, text.matches_typed(F.col("v"), t), v=v)
+    assert typed("Knows C++ well", "c++") is True and typed("C#", "(c#)") is True and typed("ab", "a.b") is False and typed("a+b", "+b") is True

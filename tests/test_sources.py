@@ -3,6 +3,7 @@ import zipfile
 
 from talentloom.functions.context import expanded, read_request
 from talentloom.sources import readers, sinks
+from talentloom.streaming import history
 
 
 def test_csv(spark, tmp_path):
@@ -68,6 +69,22 @@ def test_sinks(spark, tmp_path):
     assert {(r.user_id, r.search_type, r.is_saved) for r in rows} == {("u", "ai", False), ("v", "manual", True)} and len({r.search_id for r in rows}) == 2
 
 
+def test_report(spark, tmp_path):
+    sinks.report(spark.createDataFrame([(1, "ok")], "row int, outcome string"), str(tmp_path / "r"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "r")).select("row", "outcome").collect()] == [(1, "ok")]
+
+
+def test_windowed_counts_of_a_stream(spark, small):
+    from pyspark.sql import functions as F
+
+    path = f"{small}/events.parquet"
+    rows = lambda df: history.windowed_counts(df.withColumn("ts", F.to_timestamp("ts")))
+    sink = rows(history.events_stream(spark, path)).writeStream.outputMode("complete").format("memory").queryName("windowed").trigger(availableNow=True).start()
+    sink.awaitTermination()
+    want = sorted(map(tuple, rows(spark.read.parquet(path)).collect()))
+    assert len(want) > 1 and sorted(map(tuple, spark.table("windowed").collect())) == want
+
+
 def test_requests():
     r = read_request("Looking for a sales manager with python, sql in Mumbai, minimum 5 years, budget up to 12 lakh, immediate joiner, MBA")
     assert (r.role, r.location, r.min_years, r.max_years, r.max_lakh, r.notice, r.education) == ("sales manager", "mumbai", 5.0, None, 12.0, "immediate", ("MBA",))
