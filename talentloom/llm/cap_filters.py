@@ -16,9 +16,9 @@ from talentloom.llm.cuts import checked, cut
 
 THRESHOLD = 0.95
 #: Pairs at exactly the threshold, made up at random, on which codes are added until so many of them share a filter.
-PAIRS, RECALL, MOST_CODES = 1000, 0.995, 63
+PAIRS, RECALL, MOST_CODES = 3000, 0.998, 63
 #: Directions that a code would list for a vector if they were independent; bounds of a cap's height, in standard deviations of a random score and as a cosine.
-LISTED, HIGHEST, NARROWEST = 24, 5.0, 0.625
+LISTED, HIGHEST, NARROWEST = 3, 5.0, 0.625
 #: Rows that a unit of verification has of one side, at most; rows of a verifying task, about; representatives that are broadcast.
 BLOCK, TASK_ROWS, REPRESENTATIVES = 1024, 20_000, 20_000
 #: Vectors that are decoded at once.
@@ -208,9 +208,14 @@ def _verified(work: DataFrame, met: DataFrame, kind: str) -> DataFrame:
         order = np.lexsort(keys.T)
         row, block = table.column("row").to_numpy(), table.column("block").to_numpy()
         ball = table.column("ball").fill_null(-1).to_numpy()
-        vectors, filters = table.column("vector"), table.column("filters")
+        filters = table.column("filters")
         start = np.flatnonzero(np.concatenate(([True], (keys[order][1:] != keys[order][:-1]).any(1))))
-        known, number = np.unique(row, return_inverse=True)
+        known, one, number = np.unique(row, return_index=True, return_inverse=True)
+        stored = table.column("vector").take(pa.array(one)).to_pylist()
+        length, units, place = np.array([len(x) for x in stored]), {}, np.zeros(len(stored), np.int64)
+        for d in np.unique(length).tolist():
+            own = np.flatnonzero(length == d)
+            units[d], place[own] = _units([stored[i] for i in own], kind), np.arange(len(own))
         count, root = np.zeros(len(known), np.int64), np.arange(len(known))
 
         def find(i: int) -> int:
@@ -219,35 +224,44 @@ def _verified(work: DataFrame, met: DataFrame, kind: str) -> DataFrame:
                 i = int(root[i])
             return i
 
-        for a, z in zip(start, np.append(start[1:], len(order))):
-            at = order[a:z]
-            if len(at) < 2:
-                continue
-            units = _units(vectors.take(pa.array(at)).to_pylist(), kind)
+        def settle(at: np.ndarray, open_: np.ndarray) -> None:
+            """Counts and connects the near pairs of one unit's rows that no earlier unit has."""
             low, high, f = keys[at[0], 1], keys[at[0], 0], keys[at[0], 2]
-            open_ = units @ units.T >= THRESHOLD
             np.fill_diagonal(open_, False)
             own = ball[at]
             open_ &= (own[:, None] != own[None]) | (own == -1)[:, None]
             if low != high:
                 open_ &= block[at][:, None] != block[at][None]
-            if open_.any():
-                some = np.flatnonzero(open_.any(1))
-                open_ = open_[np.ix_(some, some)]
-                at = at[some]
-                open_ &= ~_shared_before([np.array(x, np.int64) for x in filters.take(pa.array(at)).to_pylist()], f)
-                count[number[at]] += open_.sum(1)  # a row is in a unit once
-                left = np.ones(len(at), bool)
-                for i in range(len(at)):  # each connected part once: from a row to all that it reaches
-                    if left[i]:
-                        reached, edge = np.zeros(len(at), bool), np.zeros(len(at), bool)
-                        edge[i] = True
-                        while edge.any():
-                            reached |= edge
-                            edge = open_[edge].any(0) & ~reached
-                        left &= ~reached
-                        met_ = [find(int(x)) for x in np.unique(number[at[reached]])]
-                        root[met_] = min(met_)
+            some = np.flatnonzero(open_.any(1))
+            if not len(some):
+                return
+            at, open_ = at[some], open_[np.ix_(some, some)]
+            open_ &= ~_shared_before([np.array(x, np.int64) for x in filters.take(pa.array(at)).to_pylist()], f)
+            count[number[at]] += open_.sum(1)  # a row is in a unit once
+            left = open_.any(1)
+            while left.any():  # each connected part once: from a row to all that it reaches
+                reached, edge = np.zeros(len(at), bool), np.zeros(len(at), bool)
+                edge[np.argmax(left)] = True
+                while edge.any():
+                    reached |= edge
+                    edge = open_[edge].any(0) & ~reached
+                left &= ~reached
+                roots = [find(int(x)) for x in np.unique(number[at[reached]])]
+                root[roots] = min(roots)
+
+        size = np.diff(np.append(start, len(order)))
+        for n in np.unique(size[size > 1]).tolist():  # units of one size are multiplied at once
+            every = start[size == n]
+            step = max(1, TASK_ROWS // (n * n))
+            for k in range(0, len(every), step):
+                at = order[every[k : k + step, None] + np.arange(n)]
+                lengths = length[number[at[:, 0]]]
+                for d in np.unique(lengths).tolist():
+                    own = at[lengths == d]
+                    x = units[d][place[number[own]]]
+                    near = x @ x.transpose(0, 2, 1) >= THRESHOLD
+                    for i in np.flatnonzero(near.sum((1, 2)) > n).tolist():
+                        settle(own[i], near[i])
         root = np.array([find(i) for i in range(len(known))])
         some = count > 0
         return pa.Table.from_arrays([pa.array(known[some]), pa.array(count[some]), pa.array(known[root[some]])], names=["row", "n_links", "root"])
@@ -259,7 +273,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """``vec_id, n_links, component_id, kept`` for every vector: the others that it links with at a cosine of 0.95 or more, and the smallest id that it reaches by links.
 
     Every vector is decoded to all directions of some random product codes that it exceeds. Vectors meet at the filters they share; filters of a single vector drop out before any vector
-    travels. Each pair that shares a filter is compared in double precision, once. Of random pairs at the threshold 99.5 in 100 share a filter, of nearer ones more; so a link may be missed, and none is made up.
+    travels. Each pair that shares a filter is compared in double precision, once. Of random pairs at the threshold 998 in 1000 share a filter, of nearer ones more; so a link may be missed, and none is made up.
 
     Where more than ``BLOCK`` vectors share a filter, those within half the threshold's angle of one of them are a ball: all of them link with each other, which is counted and not compared.
     What is not in one ball is compared in blocks. So a large group of near copies costs what its size is, not the square. Links are counted in the tasks; components are found by star steps.
