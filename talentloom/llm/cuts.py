@@ -36,3 +36,11 @@ def cut(df: DataFrame) -> DataFrame:
 def checked(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A written table with a broadcast hint if it has at most ``limit`` rows; without one, so that Spark shuffles, if it has more."""
     return F.broadcast(small) if small.count() <= limit else small
+
+
+def free(name: str, taken: list[str]) -> str:
+    """A column name that is not taken: ``name``, with underscores behind it where it is."""
+    lowered = {x.lower() for x in taken}
+    while name in lowered:
+        name += "_"
+    return name

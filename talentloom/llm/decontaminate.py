@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentloom.llm import textbytes
-from talentloom.llm.cuts import checked, cut
+from talentloom.llm.cuts import checked, cut, free
 
 WINDOW = 10
 #: Words of a shard, and bytes of its texts, after which it is closed; a longer text is indexed stretch by stretch.
@@ -325,7 +325,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     n, blocks = _blocks(benchmark, "item_id", "text", window)
     if n == 1:
         return _without(docs, next(blocks), text_col)
-    row, spans = (_free(x, docs.columns) for x in ("row", "spans"))
+    row, spans = (free(x, docs.columns) for x in ("row", "spans"))
     numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
     texts = numbered.select(F.lit(0).cast("long").alias("doc_id"), F.col(row).alias("row"), F.col(text_col).alias("text"))
     found = cut(_spans(texts, blocks).filter(F.size("spans") > 0).select(F.col("row").alias(row), F.col("spans").alias(spans)))
@@ -341,13 +341,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     return joined.mapInArrow(textbytes.of_batches(run), schema)
 
 
-def _free(name: str, taken: list[str]) -> str:
-    lowered = {x.lower() for x in taken}
-    while name in lowered:
-        name += "_"
-    return name
-
-
 def _cut_out(column: pa.Array, ranges: dict[int, list[tuple[int, int]]]) -> pa.Array:
     """The texts without byte ranges, by the text's place."""
     texts = column.to_pylist()

@@ -58,17 +58,17 @@ def first_prefix(shingles: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -
     return np.unique(out)
 
 
-def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+def _sets(batch: pa.RecordBatch, secret: tuple) -> Iterator[np.ndarray]:
     for part in textbytes.slices(batch, "text"):
-        yield from textbytes.shingle_sets(*textbytes.buffers(part.column("text")), SIZE)
+        yield from textbytes.shingle_sets(*textbytes.buffers(part.column("text")), SIZE, secret)
 
 
-def _token_counts(texts: DataFrame, n: int) -> DataFrame:
+def _token_counts(texts: DataFrame, n: int, secret: tuple) -> DataFrame:
     """``shard, tokens, counts``: the counted tokens of a shard that occur in more than one set, with the number of sets."""
 
     def gather(table: pa.Table) -> pa.Table:
         seen, parts = set(), []
-        for s in _sets(batch_of(table)):
+        for s in _sets(batch_of(table), secret):
             if len(s) and (key := hashlib.blake2b(s.tobytes(), digest_size=16).digest()) not in seen:
                 seen.add(key)
                 parts.append(s[counted(s)] >> _U(16))
@@ -96,7 +96,7 @@ def _token_counts(texts: DataFrame, n: int) -> DataFrame:
     return texts.groupBy("shard").applyInArrow(textbytes.of_group(gather), "bucket int, shard int, tokens binary, counts binary").groupBy("bucket").applyInArrow(textbytes.of_group(meet), "shard int, tokens binary, counts binary")
 
 
-def _prefixes(texts: DataFrame, told: DataFrame) -> DataFrame:
+def _prefixes(texts: DataFrame, told: DataFrame, secret: tuple) -> DataFrame:
     """``doc_id, class, n, prefix, shingles``: every document's set as a class of equal sets, its size; the first of a class in its shard with what may link it."""
 
     def gather(table: pa.Table, known: pa.Table) -> pa.Table:
@@ -105,7 +105,7 @@ def _prefixes(texts: DataFrame, told: DataFrame) -> DataFrame:
         order = np.argsort(tokens, kind="stable")
         tokens, counts = tokens[order], counts[order]
         batch, seen, out = batch_of(table), set(), []
-        for s in _sets(batch):
+        for s in _sets(batch, secret):
             name = hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None
             prefix = None
             if name and name not in seen:
@@ -278,6 +278,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in common with any other and drop out. What is left meets by prefix token; candidates must share prefix tokens under two further
     orders as well, and only pairs that are not connected yet are verified, exactly. Equal sets are one class
     throughout, so copies are never compared. No group is capped; components are found by distributed star steps.
+    Shingles are 64-bit hashes out of numbers drawn for each run: nobody can write texts whose shingles collide, and by chance two of a pair of texts with
+    100,000 shingles each do once in two thousand million pairs, which changes their overlap by one.
 
     Null texts, and texts without words, have no shingles and link with nothing. A null id is no candidate for
     ``component_id`` (null where a component has no other). Rows that repeat an id are kept. A text of any length is one set, in one task's
@@ -286,7 +288,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = text_bytes(texts)
     own = sharded(texts, total)
-    found = cut(_prefixes(own, _token_counts(own, max(8, -(-total // scaled(2 * BUCKET_BYTES, total))))))
+    secret = textbytes.drawn()
+    found = cut(_prefixes(own, _token_counts(own, max(8, -(-total // scaled(2 * BUCKET_BYTES, total))), secret), secret))
     nodes = cut(found.filter("prefix IS NOT NULL").select("class", "n", "prefix", "shingles").dropDuplicates(["class"]))
     roots = components(_links(nodes))
     ids = found.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("docs"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 
 from talentloom.llm.textbytes import _FIRST, eights, mix
 
 _U = np.uint64
-_A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
+#: Odd multipliers of the hashes; ``drawn`` gives others.
+FIXED = _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
 
 #: Bytes of a repeat and of a trigger string, and the places that a trigger can have in a string of LENGTH bytes.
 LENGTH, TRIGGER = 50, 24
@@ -18,14 +21,21 @@ SIDE = LENGTH - TRIGGER
 MODULUS = 32
 
 
-def rolling_hashes(raw: np.ndarray) -> np.ndarray:
+def drawn() -> tuple[np.uint64, np.uint64, np.uint64]:
+    """Random multipliers for one run in place of ``FIXED``. Who writes texts can't know them, so texts can't be made to collide."""
+    a, b, c = np.frombuffer(os.urandom(24), np.uint64) | _U(1)
+    return a, b, c
+
+
+def rolling_hashes(raw: np.ndarray, secret: tuple = FIXED) -> np.ndarray:
     """Hashes of the TRIGGER bytes from each position on, out of three numbers of eight bytes."""
+    a, b, c = secret
     n = len(raw) - TRIGGER + 1
-    h = eights(raw) * _A
+    h = eights(raw) * a
     h ^= h >> _U(32)
-    h = h[:n] * _A + h[8 : n + 8] * _B + h[16 : n + 16] * _C
+    h = h[:n] * a + h[8 : n + 8] * b + h[16 : n + 16] * c
     h ^= h >> _U(29)
-    h *= _B
+    h *= b
     h ^= h >> _U(32)
     return h
 
@@ -40,7 +50,7 @@ def least_places(values: np.ndarray) -> np.ndarray:
     return place
 
 
-def parse(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def parse(raw: np.ndarray, at: np.ndarray, secret: tuple = FIXED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Triggers, their keys, and the first and last start of the strings of LENGTH bytes that belong to each.
 
     A string belongs to its first trigger whose hash is 0 modulo MODULUS. Strings without one, within long phrases, belong to their least hash (the first of
@@ -50,7 +60,7 @@ def parse(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     none = np.zeros(0, np.int64)
     if len(raw) < LENGTH:
         return none, none.astype(np.uint64), none, none
-    hashes = rolling_hashes(raw)
+    hashes = rolling_hashes(raw, secret)
     found = np.flatnonzero((hashes & _U(MODULUS - 1)) == 0)
     doc = np.searchsorted(at, found, "right") - 1
     inside = found + TRIGGER <= at[doc + 1]
@@ -75,16 +85,17 @@ def parse(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return found, mix(hashes[found]), low, high
 
 
-def phrase_keys(raw: np.ndarray, places: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+def phrase_keys(raw: np.ndarray, places: np.ndarray, low: np.ndarray, high: np.ndarray, secret: tuple = FIXED) -> np.ndarray:
     """64-bit keys of the bytes that the strings from ``low`` to ``high`` cover, and of the trigger's place in them."""
+    a, b, c = secret
     padded, size = eights(np.append(raw, np.zeros(LENGTH + SIDE, np.uint8))), high + LENGTH - low
-    out = mix((places - low).astype(np.uint64) * _A + size.astype(np.uint64) * _C)
+    out = mix((places - low).astype(np.uint64) * a + size.astype(np.uint64) * c)
     for k in range(0, LENGTH + SIDE, 8):
         number = padded[low + k] & _FIRST[np.clip(size - k, 0, 8)]
-        number *= _B
+        number *= b
         number ^= number >> _U(31)
         number += out
-        out = number * _A
+        out = number * a
         out ^= out >> _U(33)
     return mix(out)
 

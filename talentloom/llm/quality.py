@@ -129,24 +129,24 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, id_col: st
     return Space(counts, np.array([x.label for x in found]))
 
 
-def score(docs: DataFrame, space: Space, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``score`` (0 to 1) for every document, next to its columns. Space and votes are broadcast; ``LABELLED`` and ``DIMENSIONS`` bound them.
+def score(docs: DataFrame, space: Space, id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
+    """``score`` (0 to 1; the column is called ``name``) for every document, next to its columns. Space and votes are broadcast; ``LABELLED`` and ``DIMENSIONS`` bound them.
 
     A null text is empty; empty texts are scored like others. Without any labelled row every score is 0.5. A
-    column named ``score`` is replaced.
+    column that is called ``name`` is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(space)
-    docs = docs.drop("score")
+    docs = docs.drop(name)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, counts in counted(iter([batch]), text_col):
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(shared.value.vote(counts))], names=[*names, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(shared.value.vote(counts))], names=[*names, name])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(textbytes.of_batches(run), StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(textbytes.of_batches(run), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 THRESHOLD = 0.3

@@ -13,12 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentloom.llm import textbytes
 from talentloom.llm.cuts import BROADCAST_ROWS, checked, cut
-from talentloom.llm.phrases import LENGTH, SIDE, TRIGGER, padded_rows, parse, phrase_keys, single, string_minima
+from talentloom.llm.phrases import FIXED, LENGTH, SIDE, TRIGGER, drawn, padded_rows, parse, phrase_keys, single, string_minima
 from talentloom.llm.shards import LAST_ID, batch_of, buckets, ids_of, member, of_planes, packed, planes, runs, scaled, sharded, text_bytes, unpacked
 
 #: Bytes of text that are parsed at once: what that takes fits a processor's cache.
@@ -50,6 +51,16 @@ def _ids(table: pa.Table, column: str) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *map(of_planes, _joined(table, column))])
 
 
+def alike(keys: np.ndarray, triggers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which rows with the same key and trigger follow each other, and where each such group starts."""
+    order = np.argsort(keys, kind="stable")
+    same, other = keys[order][1:] == keys[order][:-1], triggers[order][1:] != triggers[order][:-1]
+    if (same & other).any():  # keys collide
+        order = np.lexsort((triggers, keys))
+        same, other = keys[order][1:] == keys[order][:-1], triggers[order][1:] != triggers[order][:-1]
+    return order, np.flatnonzero(np.concatenate(([True], ~same | other)))[: len(keys)]
+
+
 def _by_bucket(triggers: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
     """Ranges of sorted triggers that fall into one bucket."""
     b = buckets(triggers, n)
@@ -58,13 +69,13 @@ def _by_bucket(triggers: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
         yield int(b[a]), slice(a, z)
 
 
-def _hot(texts: DataFrame, least: int, parts: int) -> np.ndarray:
+def _hot(texts: DataFrame, least: int, parts: int, secret: tuple) -> np.ndarray:
     """Triggers that occur ``least`` times or more in one of ``parts`` parts of the documents, at most ``cuts.BROADCAST_ROWS``: which ones only decides how their strings travel."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textbytes.slices(batch, "text", SLICE):
-                keys, n = np.unique(parse(*textbytes.buffers(part.column("text")))[1] >> np.uint64(16), return_counts=True)
+                keys, n = np.unique(parse(*textbytes.buffers(part.column("text")), secret)[1] >> np.uint64(16), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], names=["key", "n"])
 
     some = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) == 0).select("text")
@@ -72,10 +83,10 @@ def _hot(texts: DataFrame, least: int, parts: int) -> np.ndarray:
     return np.sort(np.array([x.key for x in counts.orderBy(F.desc("n"), "key").limit(BROADCAST_ROWS).collect()], np.uint64))
 
 
-def occurrences(batch: pa.RecordBatch, hot: np.ndarray) -> Iterator[tuple]:
+def occurrences(batch: pa.RecordBatch, hot: np.ndarray, secrets: tuple = (FIXED, FIXED)) -> Iterator[tuple]:
     """Slices of the shard's texts: bytes, the number of their first byte, and of every trigger its document, place, key, first and last start, and the key of all that its strings cover.
 
-    The strings of a hot trigger stand one by one, each with its own key for a trigger.
+    The strings of a hot trigger stand one by one, each with a second key of its own for a trigger.
     """
     text = byte = 0
     for part in textbytes.slices(batch, "text", SLICE):
@@ -83,31 +94,30 @@ def occurrences(batch: pa.RecordBatch, hot: np.ndarray) -> Iterator[tuple]:
         for begin in range(0, len(whole), STRETCH) if part.num_rows == 1 and len(whole) > STRETCH + LENGTH else (0,):
             end = len(whole) if part.num_rows > 1 or len(whole) <= STRETCH + LENGTH else min(len(whole), begin + STRETCH + LENGTH - 1)
             raw, at = whole[begin:end], every if end - begin == len(whole) else np.array([0, end - begin])
-            yield raw, byte + begin, *_of_slice(raw, at, text, hot)
+            yield raw, byte + begin, *_of_slice(raw, at, text, hot, *secrets)
         text += part.num_rows
         byte += len(whole)
 
 
-def _of_slice(raw: np.ndarray, at: np.ndarray, text: int, hot: np.ndarray) -> tuple:
-    places, triggers, low, high = parse(raw, at)
+def _of_slice(raw: np.ndarray, at: np.ndarray, text: int, hot: np.ndarray, secret: tuple, second: tuple) -> tuple:
+    places, triggers, low, high = parse(raw, at, secret)
     warm = member(triggers >> np.uint64(16), hot)[0]
     cold = len(warm) - int(warm.sum())
     if cold < len(warm):
         which, start = single(places[warm], low[warm], high[warm])
         places, low, high = (np.concatenate(x) for x in ((places[~warm], places[warm][which]), (low[~warm], start), (high[~warm], start)))
-    keys = phrase_keys(raw, places, low, high)
-    triggers = np.concatenate([triggers[~warm], keys[cold:]])
+    keys = phrase_keys(raw, places, low, high, secret)
+    triggers = np.concatenate([triggers[~warm], phrase_keys(raw, places[cold:], low[cold:], high[cold:], second)])
     return np.searchsorted(at, low, "right") - 1 + text, places, triggers, low, high, keys
 
 
-def _settled(texts: DataFrame, hot: np.ndarray, n: int) -> DataFrame:
+def _settled(texts: DataFrame, shared: Broadcast, n: int) -> DataFrame:
     """``shard, keys, firsts, asked``: for a shard the keys that a document of another shard with a smaller id has too, with that id; and the keys of which it shall send the bytes."""
-    hot_keys = texts.sparkSession.sparkContext.broadcast(hot)
 
     def gather(table: pa.Table) -> pa.Table:
         batch = batch_of(table)
         ids, shard = ids_of(batch), table.column("shard")[0].as_py()
-        found = [(triggers >> np.uint64(16), keys, ids[doc]) for _, _, doc, _, triggers, _, _, keys in occurrences(batch, hot_keys.value)]
+        found = [(triggers >> np.uint64(16), keys, ids[doc]) for _, _, doc, _, triggers, _, _, keys in occurrences(batch, *shared.value)]
         if not found:
             return _table([], bucket=pa.int32(), shard=pa.int32(), triggers=_BINARY, keys=_BINARY, firsts=_BINARY)
         triggers, keys, first = (np.concatenate(x) for x in zip(*found))
@@ -117,14 +127,13 @@ def _settled(texts: DataFrame, hot: np.ndarray, n: int) -> DataFrame:
         once = order[start]
         by_trigger = np.argsort(triggers[once], kind="stable")
         triggers, keys, first = triggers[once][by_trigger], keys[once][by_trigger], first[by_trigger]
-        # within a bucket four bytes tell triggers apart well enough: where they don't, a few bytes are sent for nothing
+        # within a bucket four bytes tell triggers apart: what differs there and has one key is not the same
         rows = [(b, shard, packed(triggers[s], 4), keys[s].tobytes(), planes(first[s])) for b, s in _by_bucket(triggers, n)]
         return _table(rows, bucket=pa.int32(), shard=pa.int32(), triggers=_BINARY, keys=_BINARY, firsts=_BINARY)
 
     def meet(table: pa.Table) -> pa.Table:
         triggers, keys, first = _keys(table, "triggers", 4), _keys(table, "keys"), _ids(table, "firsts")
-        order = np.argsort(keys, kind="stable")
-        start = runs(keys[order])
+        order, start = alike(keys, triggers)
         entry = np.empty(len(keys), np.int64)
         entry[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(keys))))
         least, trigger = np.minimum.reduceat(first[order], start), triggers[order[start]]
@@ -148,9 +157,8 @@ def _settled(texts: DataFrame, hot: np.ndarray, n: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(textbytes.of_group(meet), "shard int, keys binary, firsts binary, asked binary")
 
 
-def _odd(texts: DataFrame, settled: DataFrame, hot: np.ndarray, n: int) -> DataFrame:
+def _odd(texts: DataFrame, settled: DataFrame, shared: Broadcast, n: int) -> DataFrame:
     """``shard, odd_keys, odd_places, odd_firsts``: single strings, by the key of what they lie in and the bytes before the trigger, that a smaller document has than that of the key."""
-    hot_keys = texts.sparkSession.sparkContext.broadcast(hot)
     kinds = {"bucket": pa.int32(), "shard": pa.int32()} | dict.fromkeys(("triggers", "keys", "firsts", "phrases", "parse"), _BINARY)
 
     def gather(table: pa.Table, told: pa.Table) -> pa.Table:
@@ -159,7 +167,7 @@ def _odd(texts: DataFrame, settled: DataFrame, hot: np.ndarray, n: int) -> DataF
             return _table([], **kinds)
         batch = batch_of(table)
         ids, found = ids_of(batch), []
-        for raw, _, doc, places, triggers, low, high, keys in occurrences(batch, hot_keys.value):
+        for raw, _, doc, places, triggers, low, high, keys in occurrences(batch, *shared.value):
             some = np.flatnonzero(member(keys, asked)[0])
             order = some[np.lexsort((ids[doc[some]], keys[some]))]
             once = order[runs(keys[order])]
@@ -205,14 +213,13 @@ SPANS = "array<struct<start:bigint,end:bigint>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _cut_out(texts: DataFrame, told: DataFrame, hot: np.ndarray) -> DataFrame:
+def _cut_out(texts: DataFrame, told: DataFrame, shared: Broadcast) -> DataFrame:
     """``doc_id, n_bytes, spans, kept`` of every text of the shards."""
-    hot_keys = texts.sparkSession.sparkContext.broadcast(hot)
 
     def apply(table: pa.Table, told: pa.Table) -> pa.Table:
         batch = batch_of(table)
         ids, (data, at) = ids_of(batch), textbytes.buffers(batch.column("text"))
-        found = [(keys, low + byte, high + byte, places + byte, ids[doc]) for _, byte, doc, places, _, low, high, keys in occurrences(batch, hot_keys.value)]
+        found = [(keys, low + byte, high + byte, places + byte, ids[doc]) for _, byte, doc, places, _, low, high, keys in occurrences(batch, *shared.value)]
         cover = np.zeros(len(data) + 1, np.int32)
         if found:
             keys, low, high, places, own = (np.concatenate(x) for x in zip(*found))
@@ -258,6 +265,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``cuts.BROADCAST_ROWS``). The others are dealt out to shards by their id; shards and buckets grow with the corpus. Two exchanges of packed keys and
     phrases follow, each between shards and ranges of triggers. A shard names each key once, however often it occurs there. The strings of a
     hot trigger (``hot`` times or more in one of ``parts`` parts of the documents) travel by their own keys, one by one.
+    Hashes use numbers drawn for each run, so nobody can write texts that collide. Strings count as equal when 64 bits of all that a phrase covers and 48 of its trigger (of the string
+    by another hash, where the trigger is hot) agree.
 
     Ids are integers; a null id comes after all others. Rows with the same id count as one document, so they
     leave each other alone. Null texts are empty. Texts under 50 bytes stay whole; a text of any length is one row of one shard, parsed in stretches. No rows give no
@@ -271,7 +280,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = text_bytes(texts)
     own = sharded(hashed.filter("NOT copy"), total)
     n = max(8, -(-total // scaled(BUCKET_BYTES, total)))
-    often = _hot(texts, hot, parts)
+    secrets = drawn(), drawn()
+    often = texts.sparkSession.sparkContext.broadcast((_hot(texts, hot, parts, secrets[0]), secrets))
     settled = _settled(own, often, n)
     told = settled.drop("asked").unionByName(_odd(own, settled, often, n), allowMissingColumns=True)
     found = _cut_out(own, told, often)

@@ -7,6 +7,7 @@ All helpers run inside Spark tasks on one slice of an Arrow batch at a time, so
 from __future__ import annotations
 
 import ctypes
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ SLICE_BYTES = 2 << 20
 
 _U = np.uint64
 _SHINGLE, _CHUNK = _U(0xC2B2AE3D27D4EB4F), _U(0x9E3779B97F4A7C15)
+#: What word hashes start from, and their multipliers; ``drawn`` gives others.
+FIXED = (_U(0), _CHUNK, _SHINGLE)
 #: What keeps the first so many bytes of a little-endian number.
 _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
@@ -31,6 +34,12 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+def drawn() -> tuple[np.uint64, np.uint64, np.uint64]:
+    """Random numbers for one run in place of ``FIXED``; the multipliers are odd. Who writes texts can't know them, so texts can't be made to collide."""
+    a, b, c = np.frombuffer(os.urandom(24), np.uint64)
+    return a, b | _U(1), c | _U(1)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64-bit values."""
     h = h ^ (h >> _U(33))
@@ -87,15 +96,15 @@ def words(raw: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray
     return starts, ends, np.searchsorted(starts, at)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, secret: tuple = FIXED) -> np.ndarray:
     """64-bit hashes of the words with A-Z lower-cased.
 
     Every eight bytes are mixed, with their place, before they are added up, so no pattern within words makes sums equal.
     """
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    numbers, size = eights(LOWER[raw]), ends - starts
-    out = mix(numbers[starts] & _FIRST[np.minimum(size, 8)])
+    (begin, chunk, last), numbers, size = secret, eights(LOWER[raw]), ends - starts
+    out = mix((numbers[starts] & _FIRST[np.minimum(size, 8)]) ^ begin)
     long = np.flatnonzero(size > 8)
     if len(long):
         n = (size[long] - 1) // 8
@@ -103,27 +112,27 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         k = np.arange(int(n.sum())) - np.repeat(first, n) + 1
         at = np.repeat(starts[long], n) + 8 * k
         rest = numbers[at] & _FIRST[np.minimum(np.repeat(ends[long], n) - at, 8)]
-        out[long] += np.add.reduceat(mix(mix(rest) + k.astype(np.uint64) * _CHUNK), first)
-    return mix(out + size.astype(np.uint64) * _SHINGLE)
+        out[long] += np.add.reduceat(mix(mix(rest ^ begin) + k.astype(np.uint64) * chunk), first)
+    return mix(out + size.astype(np.uint64) * last)
 
 
-def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+def run_hashes(hashes: np.ndarray, size: int, secret: tuple = FIXED) -> np.ndarray:
     """Hash of every run of ``size`` consecutive values; runs do not heed text borders."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.full(n, _U(size))
     for j in range(size):
-        out *= _SHINGLE
+        out *= secret[2]
         out += hashes[j : j + n]
     return mix(out)
 
 
-def shingle_sets(raw: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
+def shingle_sets(raw: np.ndarray, at: np.ndarray, size: int, secret: tuple = FIXED) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of ``size`` words; of all its words where it has fewer; none without words."""
     starts, ends, first = words(raw, at, NOT_SPACE)
-    hashes = word_hashes(raw, starts, ends)
-    runs = run_hashes(hashes, size)
+    hashes = word_hashes(raw, starts, ends, secret)
+    runs = run_hashes(hashes, size, secret)
     out = []
     for low, high in zip(first[:-1].tolist(), first[1:].tolist()):
         n = high - low
@@ -131,7 +140,7 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]
             s = np.sort(runs[low : high - size + 1])
             out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
         else:
-            out.append(run_hashes(hashes[low:high], n) if n else hashes[:0])
+            out.append(run_hashes(hashes[low:high], n, secret) if n else hashes[:0])
     return out
 
 

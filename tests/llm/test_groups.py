@@ -60,6 +60,25 @@ def test_repeats_against_brute_force(spark, small, monkeypatch):
     assert removed(repeats.remove_repeats(docs, hot=1, parts=1)) == want
 
 
+def test_texts_written_to_collide_stay(spark):
+    """Each pair has one key under hashes with fixed numbers."""
+    pair = [(1, "V4b5GKSu(duAOCjdadk)nT1quEs(m,47iBSIUVUe?N;t .ne V"), (2, "r)Ry.mCF\"Ej@~I2!adk)nT1quEs(m,47iBSIUVUe?N;t .ne V")]
+    got = removed(repeats.remove_repeats(spark.createDataFrame(pair, "doc_id long, text string")))
+    assert got == brute.repeats(pair) and got[2][1] == 0
+    pair = [(1, "rs18bf38 il5pj3jo xtda514t 3lq2ekeq 9eno6hsj"), (2, "882jyouh il5pj3jo xtda514t 3lq2ekeq :q8g+o,y")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(spark.createDataFrame(pair, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 2)} == brute.components(pair)
+
+
+def test_colliding_keys_with_other_triggers_differ():
+    import numpy as np
+
+    keys, triggers = (np.array(x, np.uint64) for x in ([3, 1, 3, 3, 1, 7], [5, 2, 6, 5, 2, 0]))
+    order, start = repeats.alike(keys, triggers)
+    groups = [sorted(x.tolist()) for x in np.split(order, start[1:])]
+    assert groups == [[1, 4], [0, 3], [2], [5]]
+
+
 def test_repeats_of_short_periods(spark):
     rng = random.Random(1)
     rows = [(i, "".join(rng.choice("ab") for _ in range(30)) * rng.randint(0, 9) + "ñ" * rng.randint(0, 60)) for i in range(40)] + [(77, "a" * 50), (78, "a" * 51), (79, "a" * 49)]
