@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentloom.llm import decontaminate, exact_dedup, near_dups, packing, quality
-from talentloom.llm.cuts import checked, cut
+from talentloom.llm.cuts import checked, cut, free
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +28,8 @@ def _without(docs: DataFrame, judged: DataFrame, stays: str) -> DataFrame:
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what nearest labelled documents vote for; labels of held-out rows teach nothing."""
     space = quality.learned(docs, _table(spark, sf_dir, "labels"))
-    return quality.score(docs, space).filter(F.col("score") >= quality.THRESHOLD).select(docs.columns)
+    name = free("score", docs.columns)
+    return quality.score(docs, space, name=name).filter(F.col(name) >= quality.THRESHOLD).select(docs.columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
