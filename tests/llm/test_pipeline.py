@@ -44,3 +44,17 @@ def test_odd_rows(spark, odd, none, small):
         assert not ids & {7, 12, 14} and (not ids or {None, 6, 9, 11, 13} <= ids)  # 14 shares 21 of 23 shingles with 13
         assert p.STAGES[-1][1](spark, docs, small).select("doc_id").distinct().count() == len(ids)
     assert p.STAGES[0][1](spark, odd, small).columns == odd.columns
+
+
+def test_extra_columns_keep_their_values(spark, small):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    taken = "score", "score_", "row", "spans", "stays", "kept", "sha", "class", "shard", "n", "fp", "shingles", "component_id"
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in taken})
+    for name, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, small)
+        rows = docs.collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in taken), name
+        docs = spark.createDataFrame(rows, docs.schema)
+    assert p.STAGES[-1][1](spark, docs, small).count()
