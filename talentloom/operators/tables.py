@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 from pyspark.sql.window import Window
 
+from talentloom.operators.scans import before, in_ranges
+
 
 #: How many rows a list of the newest shows. Fixed values.
 DEFAULT_ROWS, MOST_ROWS = 10, 50
-#: Shares that a group is summed in, and letters of a name that ranks are grouped by.
-SHARES, BEGINNING = 1024, 3
+#: Shares that a group is summed in.
+SHARES = 1024
 
 
 def shown_rows(limit: int | None) -> int:
@@ -132,21 +134,25 @@ def within_budget(df: DataFrame, per: list[str], order: list, size: Column, budg
 
 
 def ranked(df: DataFrame, score: str, name: str, rank: str = "rank") -> DataFrame:
-    """Ranks of all rows by descending score, then name: places among the rows with one score and beginning of the name, after the sizes of all such groups before. Only these sizes meet in one task."""
-    group = [F.col(score).alias("__score"), F.substring(name, 1, BEGINNING).alias("__begin")]
-    rows = df.select("*", *group)
-    sizes = rows.groupBy("__score", "__begin").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.orderBy(F.desc("__score"), "__begin").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(F.col("__score").alias("__s"), F.col("__begin").alias("__b"), F.coalesce(before, F.lit(0)).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__score", "__begin").orderBy(name))
-    met = rows.withColumn("__own", own).join(offsets, F.col("__score").eqNullSafe(F.col("__s")) & F.col("__begin").eqNullSafe(F.col("__b")))
-    return met.select(*df.columns, (F.col("__before") + F.col("__own")).alias(rank))
+    """Ranks of all rows by descending score, then name: places in ranges of that order, after the sizes of the ranges before. Only these sizes meet in one task.
+
+    Rows with a null score come last, those with a null name first among their score. Rows that agree in both share a range.
+    """
+    order = ["__none", "__down", name]
+    rows = in_ranges(df.withColumns({"__none": F.col(score).isNull(), "__down": -F.col(score)}), order)
+    found = before(rows, [], order, {"__n": ("sum", F.lit(1))})
+    return found.select(*df.columns, (F.coalesce("__n", F.lit(0)) + 1).alias(rank))
 
 
 def merged_periods(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Periods (whole units, ends included) joined where they overlap or touch: ``key, start, end``."""
-    ordered = Window.partitionBy(key).orderBy(start, end)
-    latest = F.max(end).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum("__new").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    out = df.withColumn("__new", F.when(F.col(start) > latest + 1, 1).otherwise(0)).withColumn("__island", island)
-    return out.groupBy(key, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
+    """Periods (whole units, ends included) joined where they overlap or touch: ``key, start, end``.
+
+    Of periods with one start the latest end is all that matters, so they are one row before anything is ordered. Ranges of (key, start) are scanned by
+    themselves and joined by what each range adds up to, so a key with all rows is spread over tasks. A null key is a key; periods without a start
+    are one period; a null end is the earliest.
+    """
+    starts = in_ranges(df.groupBy(key, start).agg(F.max(end).alias(end)), [key, start])
+    led = before(starts, [key], [start], {"__latest": ("max", F.col(end))})
+    new = F.when(F.col(start) > F.col("__latest") + 1, 1).otherwise(0)
+    islands = before(led.withColumn("__new", new), [key], [start], {"__island": ("sum", F.col("__new"))}).withColumn("__island", F.coalesce("__island", F.lit(0)) + F.col("__new"))
+    return islands.groupBy(key, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
