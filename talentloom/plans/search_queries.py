@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from talentloom.functions import context, scoring
 from talentloom.functions.durations import months_of, years_of
-from talentloom.operators import searches, tables, vectors
+from talentloom.operators import searches, tables, vector_index, vectors
 from talentloom.plans.profiles import PROFILES_SQL, profiles, table
+from talentloom.streaming.checkpoints import folder
 
 QUERIES: dict = {}
 
@@ -259,3 +262,14 @@ def retrieved_rows(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").withColumn("said", F.concat(F.lit("label "), F.col("label").cast("string")))
     asked = vectors.literal(rows.filter("vec_id = 0").first()["embedding"])
     return vectors.retrieved(rows, asked, "balanced", "vec_id", "said").withColumn("score", F.round("score", 6))
+
+
+@query("""WITH s AS (SELECT a.vec_id AS query, b.vec_id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) AS c FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, vec_id) AS rank FROM s)
+SELECT query, vec_id, round(c, 6) AS cosine, rank FROM r WHERE rank <= 10""")
+def nearest_of_many(spark, sf_dir):
+    """The 10 nearest vectors of every vector whose id is divisible by 20, by an exact index over all of them."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = vector_index.build(rows, "vec_id", "embedding", f"{folder(spark)}/index-{uuid.uuid4().hex}")
+    found, _ = vector_index.nearest_of_many(index, rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding"), "query", "embedding", 10)
+    return found.select("query", "vec_id", F.round("cosine", 6).alias("cosine"), "rank")

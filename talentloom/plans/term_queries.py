@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talentloom.functions import text
-from talentloom.operators import tables, terms
+from talentloom.operators import containment, tables, terms
 from talentloom.plans.profiles import PROFILES_SQL, profiles, table
 
 QUERIES: dict = {}
@@ -222,3 +222,24 @@ def recommended_skills(spark, sf_dir):
     """A position's skills: vocabulary by relevance to its keywords, raised by how common each is."""
     counts = table(spark, sf_dir, "part").groupBy(F.lower(F.trim("p_type")).alias("p_type")).agg(F.count(F.lit(1)).alias("n"))
     return terms.recommended(counts.select("p_type"), "p_type", terms.position_keywords("Senior Copper Smith", POSITIONS), counts.withColumnRenamed("p_type", "term"), 15)
+
+
+@query("""SELECT doc_id, term FROM documents JOIN (SELECT DISTINCT w AS term FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part UNION ALL SELECT lower(p_name) FROM part) WHERE w <> '') ON contains(lower(text), term)""")
+def mentioned_terms(spark, sf_dir):
+    """Which entries of a vocabulary, and which of their words, each text contains."""
+    p = table(spark, sf_dir, "part")
+    vocabulary = p.select(F.explode(F.split("p_name", " ")).alias("w")).unionByName(p.select(F.col("p_name").alias("w")))
+    return containment.contained(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary, "w")
+
+
+@query("""WITH t AS (SELECT DISTINCT lower(trim(v)) AS t FROM (SELECT p_name AS v FROM part UNION ALL SELECT p_type FROM part)), w AS (SELECT t, list_filter(string_split(t, ' '), lambda x: length(x) > 2) AS parts FROM t),
+o AS (SELECT DISTINCT p_brand AS position, k FROM (SELECT p_brand, lower(CASE WHEN p_size < 10 THEN p_name WHEN p_size < 25 THEN string_split(p_name, ' ')[1] ELSE left(p_type, 4) || ' ' || string_split(p_name, ' ')[2] END) AS k FROM part)),
+s AS (SELECT position, t, k, CASE WHEN contains(t, k) THEN 8 WHEN contains(k, t) THEN 6 WHEN len(list_filter(string_split(k, ' '), lambda x: length(x) > 2 AND contains(t, x))) > 0 THEN 4 WHEN len(list_filter(parts, lambda x: contains(k, x))) > 0 THEN 3 ELSE 0 END AS points FROM o, w)
+SELECT position, t AS skill, (CASE WHEN bool_or(t = k) THEN 10 ELSE sum(points) END)::double AS relevance FROM s GROUP BY 1, 2 HAVING sum(points) > 0""")
+def relevance_by_positions(spark, sf_dir):
+    """A vocabulary's relevance to the keywords of every position, both of them tables."""
+    p = table(spark, sf_dir, "part")
+    vocabulary = p.select(F.explode(F.array("p_name", "p_type")).alias("skill"))
+    words = F.split("p_name", " ")
+    keyword = F.when(F.col("p_size") < 10, F.col("p_name")).when(F.col("p_size") < 25, words[0]).otherwise(F.concat(F.left("p_type", F.lit(4)), F.lit(" "), words[1]))
+    return containment.keyword_relevance(vocabulary, "skill", p.select(F.col("p_brand").alias("position"), keyword.alias("keyword")), "position", "keyword")
