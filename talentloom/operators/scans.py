@@ -2,30 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Ranges that rows are parted in, and rows looked at for each border between them. They spread the work; no result depends on them.
-PARTS, LOOKED_AT = 256, 20
+from talentloom.streaming.checkpoints import folder
 
+#: Ranges that rows are parted in; None: as many as a shuffle has partitions. They spread the work; no result depends on them.
+PARTS: int | None = None
 
-def in_ranges(df: DataFrame, order: list[str], part: str = "__part", parts: int = PARTS) -> DataFrame:
+
+def in_ranges(df: DataFrame, order: list[str], part: str = "__part") -> DataFrame:
     """The rows with the number of their range of the ascending order, so that a range holds what lies between two borders.
 
-    Borders come from a bounded number of rows, chosen by a hash, whatever the table's size. Rows that agree in the whole order share a range.
+    Rows that agree in the whole order share a range. Where borders lie depends on a sample that Spark draws, so the rows are written to the shared folder: whatever is worked out
+    from the result sees the same ranges, also after an executor is lost.
     """
-    key = F.struct(*order)
-    some = df.select(*order).orderBy(F.xxhash64(*order)).limit(parts * LOOKED_AT)
-    borders = [x[0] for x in some.select(key.alias("k")).distinct().orderBy("k").collect()][LOOKED_AT::LOOKED_AT]
-    if not borders:
-        return df.withColumn(part, F.lit(0))
-    kinds = {c: df.schema[c].dataType for c in order}
-    as_struct = lambda row: F.struct(*(F.lit(row[c]).cast(kinds[c]).alias(c) for c in order))
-    below = F.filter(F.array(*map(as_struct, borders)), lambda b: b <= key)
-    return df.withColumn(part, F.size(below))
+    spark = df.sparkSession
+    n = PARTS or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{folder(spark)}/ranges-{uuid.uuid4().hex}"
+    rows = df.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id())
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def before(df: DataFrame, groups: list[str], order: list, values: dict[str, tuple[str, Column]], part: str = "__part") -> DataFrame:

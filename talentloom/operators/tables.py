@@ -12,8 +12,8 @@ from talentloom.operators.scans import before, in_ranges
 
 #: How many rows a list of the newest shows. Fixed values.
 DEFAULT_ROWS, MOST_ROWS = 10, 50
-#: Shares that a group is summed in.
-SHARES = 1024
+#: Shares that a group is summed in, and units of a stretch of periods.
+SHARES, STRETCH = 1024, 1024
 
 
 def shown_rows(limit: int | None) -> int:
@@ -147,12 +147,17 @@ def ranked(df: DataFrame, score: str, name: str, rank: str = "rank") -> DataFram
 def merged_periods(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """Periods (whole units, ends included) joined where they overlap or touch: ``key, start, end``.
 
-    Of periods with one start the latest end is all that matters, so they are one row before anything is ordered. Ranges of (key, start) are scanned by
-    themselves and joined by what each range adds up to, so a key with all rows is spread over tasks. A null key is a key; periods without a start
-    are one period; a null end is the earliest.
+    Of periods with one start the latest end is all that matters, so they are one row before anything is ordered; then a stretch of ``STRETCH`` units holds at most so many rows of a key,
+    however many periods it has. Stretches are joined by themselves, and what is left of them by running maxima and sums over stretches. A null key is a key; periods
+    without a start are one period; a null end is the earliest.
     """
-    starts = in_ranges(df.groupBy(key, start).agg(F.max(end).alias(end)), [key, start])
-    led = before(starts, [key], [start], {"__latest": ("max", F.col(end))})
-    new = F.when(F.col(start) > F.col("__latest") + 1, 1).otherwise(0)
-    islands = before(led.withColumn("__new", new), [key], [start], {"__island": ("sum", F.col("__new"))}).withColumn("__island", F.coalesce("__island", F.lit(0)) + F.col("__new"))
+    starts = df.groupBy(key, start).agg(F.max(end).alias(end)).withColumn("__part", F.floor(F.col(start) / STRETCH))
+    within = Window.partitionBy(key, "__part").orderBy(start)
+    opens = lambda latest: F.when(F.col(start) > latest + 1, 1).otherwise(0)
+    latest = F.max(end).over(within.rowsBetween(Window.unboundedPreceding, -1))
+    own = starts.withColumn("__new", opens(latest)).withColumn("__island", F.sum("__new").over(within))
+    own = own.groupBy(key, "__part", "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
+    own = own.repartition(key, "__part")  # one exchange, which all that reads the few rows left shares
+    led = before(own, [key], [start], {"__latest": ("max", F.col(end))}).withColumn("__new", opens(F.col("__latest")))
+    islands = before(led, [key], [start], {"__island": ("sum", F.col("__new"))}).withColumn("__island", F.coalesce("__island", F.lit(0)) + F.col("__new"))
     return islands.groupBy(key, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")

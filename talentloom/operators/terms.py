@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from talentloom.functions.similarity import sequence_ratio
+from talentloom.operators import fuzzy
 
 
 def term_counts(df: DataFrame, terms: Column) -> DataFrame:
@@ -69,35 +70,44 @@ def recommended(vocabulary: DataFrame, term: str, keywords: list[str], popularit
     return found.select(F.col(term), (F.col("relevance") + F.coalesce("n", F.lit(0)) * POPULARITY_WEIGHT).alias("score")).orderBy(F.desc("score"), term).limit(limit)
 
 
+#: Terms that say little. Fixed values.
 GENERIC = ("and", "the", "with", "for", "from", "this", "that", "have", "will", "can")
 
 
-def completion_score(text: Column, prefix: str, semantic: Column | None = None) -> Column:
-    """How well a text completes a prefix: equal, beginning, containing, similar, or with its characters in order."""
+def completion_score(text: Column, prefix: str, semantic: Column | None = None, alike: Column | None = None) -> Column:
+    """How well a text completes a prefix: equal, beginning, containing, similar, or with its characters in order.
+
+    ``alike`` is the sequence ratio where it matters, as ``fuzzy.similar`` finds it. Without it the ratio is worked out here, for texts that neither begin with the prefix nor contain it and whose length allows it.
+    """
     semantic = F.lit(0.0) if semantic is None else semantic
     low, p = F.lower(text), prefix.lower()
     at = F.locate(p, low)
-    alike = sequence_ratio(F.lit(p), low)
+    fits = (at == 0) & (2.0 * F.least(F.length(low), F.lit(len(p))) > fuzzy.SIMILAR * (F.length(low) + len(p)))
+    alike = sequence_ratio(F.when(fits, p), low) if alike is None else alike
     in_order = F.replace(low, F.lit(" "), F.lit("")).rlike(".*".join(("\\" + c if not c.isalnum() else c) for c in p)) if len(p) >= 2 else F.lit(False)
     return (
         F.when(low == p, F.greatest(F.lit(1.0), semantic + 0.5))
         .when(at == 1, F.greatest(F.lit(0.9) - (F.length(text) - len(p)) * 0.01, semantic + 0.3))
         .when(at > 1, F.greatest(F.lit(0.7) - (at - 1) * 0.01, semantic + 0.2))
-        .when(alike > 0.7, F.greatest(alike * 0.5, semantic + 0.1))
+        .when(alike > fuzzy.SIMILAR, F.greatest(alike * 0.5, semantic + 0.1))
         .when(in_order, F.greatest(F.lit(0.3), semantic))
         .otherwise(semantic)
     )
 
 
 def completions(counts: DataFrame, relations: DataFrame, prefix: str, limit: int = 50) -> DataFrame:
-    """``term, n, score``: terms for a prefix, with bonuses for relation to it and frequency, and a penalty for being generic."""
+    """``term, n, score``: terms for a prefix, with bonuses for relation to it and frequency, and a penalty for being generic.
+
+    Which terms are merely similar to the prefix comes from postings of letters and letter pairs; no other term's ratio is worked out.
+    """
     p = prefix.lower()
     totals = F.broadcast(counts.agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("terms")))
     near = relations.filter((F.col("term") == p) | (F.col("other") == p)).select(F.when(F.col("term") == p, F.col("other")).otherwise(F.col("term")).alias("term"), F.least(F.col("strength") * 2, F.lit(0.3)).alias("bonus")).groupBy("term").agg(F.max("bonus").alias("bonus"))
     generic = F.when(F.col("term").isin(*GENERIC), -0.3).when(F.col("n") > F.col("terms") * 0.1, -0.1).otherwise(0.0)
-    base = completion_score(F.col("term"), p)
+    alike = fuzzy.similar(fuzzy.postings(counts, "term"), p).select(F.col("term").alias("__low"), "alike")
+    base = completion_score(F.col("term"), p, alike=F.col("alike"))
     score = base + F.coalesce("bonus", F.lit(0.0)) + F.least(F.col("n") / F.col("most") * 0.2, F.lit(0.2)) + generic
-    scored = counts.crossJoin(totals).join(near, "term", "left").filter(base > 0).select("term", "n", F.greatest(F.lit(0.0), F.least(F.lit(2.0), score)).alias("score"))
+    scored = counts.crossJoin(totals).join(near, "term", "left").join(alike, F.lower("term") == F.col("__low"), "left").filter(base > 0).select("term", "n", F.greatest(F.lit(0.0), F.least(F.lit(2.0), score)).alias("score"))
     return scored.orderBy(F.desc("score"), F.length("term"), "term").limit(limit)
 
 

@@ -20,8 +20,6 @@ def joined(periods):
 @pytest.mark.parametrize("parts", [1, 7, 256])
 def test_periods_of_a_hot_key(spark, monkeypatch, parts):
     monkeypatch.setattr(scans, "PARTS", parts)
-    monkeypatch.setattr(scans, "LOOKED_AT", 3)
-    monkeypatch.setattr(scans.in_ranges, "__defaults__", ("__part", parts))
     rng = random.Random(parts)
     rows = [("hot", s, s + rng.choice([0, 1, 3, 5000])) for s in (rng.randrange(60_000) for _ in range(3000))]
     rows += [(rng.choice(["a", "b", None]), s, s + rng.randrange(9)) for s in (rng.randrange(200) for _ in range(60))] + [("long", 0, 10**6), ("long", 5, 6), ("long", 10**6 + 1, 10**6 + 2), ("long", 10**6 + 4, 10**6 + 4)]
@@ -33,18 +31,20 @@ def test_periods_of_a_hot_key(spark, monkeypatch, parts):
     assert tables.merged_periods(df.limit(0), "k", "s", "e").count() == 0
 
 
-def test_a_hot_key_is_in_many_ranges(spark):
+def test_a_hot_key_is_in_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(scans, "PARTS", 32)
     df = spark.range(20_000).select(F.lit("hot").alias("k"), F.col("id").alias("s"))
-    sizes = [r["count"] for r in scans.in_ranges(df, ["k", "s"], parts=32).groupBy("__part").count().collect()]
+    sizes = [r["count"] for r in scans.in_ranges(df, ["k", "s"]).groupBy("__part").count().collect()]
     assert len(sizes) >= 28 and max(sizes) < 3000
-    order = [r["__part"] for r in scans.in_ranges(df, ["k", "s"], parts=32).orderBy("k", "s").collect()]
+    order = [r["__part"] for r in scans.in_ranges(df, ["k", "s"]).orderBy("k", "s").collect()]
     assert order == sorted(order)
 
 
-def test_sums_and_maxima_before(spark):
+def test_sums_and_maxima_before(spark, monkeypatch):
+    monkeypatch.setattr(scans, "PARTS", 9)
     rng = random.Random(8)
     rows = [(g, i, rng.choice([None, 1, 5, -2])) for g in ("x", None) for i in range(300)]
-    df = scans.in_ranges(spark.createDataFrame(rows, "g string, i int, v int"), ["g", "i"], parts=9)
+    df = scans.in_ranges(spark.createDataFrame(rows, "g string, i int, v int"), ["g", "i"])
     got = {(r.g, r.i): (r.total, r.top) for r in scans.before(df, ["g"], ["i"], {"total": ("sum", F.col("v")), "top": ("max", F.col("v"))}).collect()}
     for g in ("x", None):
         seen = []
