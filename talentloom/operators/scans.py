@@ -15,18 +15,21 @@ from talentloom.streaming.checkpoints import folder
 PARTS: int | None = None
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The table, written once into the shared folder and read from there by all that needs it."""
+    path = f"{folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def in_ranges(df: DataFrame, order: list[str], part: str = "__part") -> DataFrame:
     """The rows with the number of their range of the ascending order, so that a range holds what lies between two borders.
 
     Rows that agree in the whole order share a range. Where borders lie depends on a sample that Spark draws, so the rows are written to the shared folder: whatever is worked out
     from the result sees the same ranges, also after an executor is lost.
     """
-    spark = df.sparkSession
-    n = PARTS or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = f"{folder(spark)}/ranges-{uuid.uuid4().hex}"
-    rows = df.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id())
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    n = PARTS or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()))
 
 
 def before(df: DataFrame, groups: list[str], order: list, values: dict[str, tuple[str, Column]], part: str = "__part") -> DataFrame:

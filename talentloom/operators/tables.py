@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 from pyspark.sql.window import Window
 
-from talentloom.operators.scans import before, in_ranges
+from talentloom.operators.scans import before, in_ranges, written
 
 
 #: How many rows a list of the newest shows. Fixed values.
@@ -157,7 +157,7 @@ def merged_periods(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
     latest = F.max(end).over(within.rowsBetween(Window.unboundedPreceding, -1))
     own = starts.withColumn("__new", opens(latest)).withColumn("__island", F.sum("__new").over(within))
     own = own.groupBy(key, "__part", "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
-    own = own.repartition(key, "__part")  # one exchange, which all that reads the few rows left shares
+    own = written(own)
     led = before(own, [key], [start], {"__latest": ("max", F.col(end))}).withColumn("__new", opens(F.col("__latest")))
     islands = before(led, [key], [start], {"__island": ("sum", F.col("__new"))}).withColumn("__island", F.coalesce("__island", F.lit(0)) + F.col("__new"))
     return islands.groupBy(key, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
