@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from talentloom.functions import durations, text
 from talentloom.operators import tables
 from talentloom.operators.similar_texts import similar_texts
 from talentloom.plans.profiles import PROFILES_SQL, profiles, table
+from talentloom.sources.buckets import BucketTable
+from talentloom.streaming.checkpoints import folder
 from talentloom.streaming.history import ring_buffer_replay
 
 QUERIES: dict = {}
@@ -241,3 +245,17 @@ def embedded_again(spark, sf_dir):
     size = F.length(F.col("vec_id").cast("string")).cast("float")
     made = F.when(F.col("vec_id") % 10 != 0, F.array(size, size))
     return tables.embedded(table(spark, sf_dir, "embeddings"), made, "embedding").select("vec_id", "failed", F.round(F.col("embedding")[0].cast("double"), 5).alias("lead"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 3 THEN 'X' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 50 = 3 AND o_totalprice > 100000 THEN 0.0 ELSE o_totalprice END AS price FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50 AND l_discount > 0.09)
+UNION ALL SELECT -o_orderkey, 'new', NULL FROM orders WHERE o_orderkey % 50 = 3 AND o_totalprice > 100000 AND -o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50 AND l_discount > 0.09)""")
+def updated_buckets(spark, sf_dir):
+    """A stored table after new values, new keys and deletions, each of which rewrites the buckets it touches."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    stored = BucketTable.create(orders, f"{folder(spark)}/buckets-{uuid.uuid4().hex}", "o_orderkey", 16)
+    some = orders.filter("o_orderkey % 50 = 3")
+    dear = F.col("price") > 100_000
+    stored = stored.upsert(some.select("o_orderkey", F.lit("X").alias("status"), F.when(dear, 0.0).alias("price")))
+    stored = stored.upsert(some.filter(dear).select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit("new").alias("status")))
+    gone = table(spark, sf_dir, "lineitem").filter("l_quantity = 50 AND l_discount > 0.09").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    return stored.delete(gone).rows()
