@@ -16,8 +16,8 @@ from talentloom.llm.cuts import checked, cut, free
 
 WINDOW = 10
 #: Words of a shard, and bytes of its texts, after which it is closed; a longer text is indexed stretch by stretch.
-SHARD_WORDS = 400_000
-SHARD_BYTES = 24 << 20
+SHARD_WORDS = 250_000
+SHARD_BYTES = 16 << 20
 #: Words of benchmark items that are searched for at once; more are searched for block by block.
 BLOCK_WORDS = 1_000_000
 #: Every so many-th suffix position is kept.
