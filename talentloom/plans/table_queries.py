@@ -11,8 +11,8 @@ from talentloom.operators import tables
 from talentloom.operators.similar_texts import similar_texts
 from talentloom.plans.profiles import PROFILES_SQL, profiles, table
 from talentloom.sources.buckets import BucketTable
+from talentloom.streaming import history
 from talentloom.streaming.checkpoints import folder
-from talentloom.streaming.history import ring_buffer_replay
 
 QUERIES: dict = {}
 
@@ -156,7 +156,20 @@ def newest_events(spark, sf_dir):
 @query("SELECT event_id, user_id FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events) WHERE rank <= 100")
 def streamed_history(spark, sf_dir):
     """The same buffer kept by a stream: state holds at most 100 rows of a user."""
-    return ring_buffer_replay(spark, f"{sf_dir}/events.parquet", 100)
+    return history.ring_buffer_replay(spark, f"{sf_dir}/events.parquet", 100)
+
+
+@query("""WITH e AS (SELECT user_id, event_id AS search_id, CASE WHEN event_type = 'purchase' THEN 'saved' ELSE 'recent' END AS list, ts FROM events)
+SELECT user_id, list, search_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, list ORDER BY ts DESC, search_id DESC) AS place FROM e) WHERE place <= CASE list WHEN 'saved' THEN 10 ELSE 40 END AND search_id % 7 <> 0""")
+def streamed_deletions(spark, sf_dir):
+    """Recent and saved searches kept by a stream, with their own bounds; every seventh search is deleted, half of these before they come."""
+    e = history.events_stream(spark, f"{sf_dir}/events.parquet")
+    kind = F.when(F.col("event_type") == "purchase", "saved").otherwise("recent")
+    change = lambda c: F.struct(F.col("user_id"), F.col("event_id").alias("search_id"), F.unix_micros(F.to_timestamp("ts")).alias("ts_us"), c.alias("change"))
+    put, gone = change(kind), change(F.lit("delete"))
+    each = F.when(F.col("event_id") % 14 == 0, F.array(gone, put)).when(F.col("event_id") % 7 == 0, F.array(put, gone)).otherwise(F.array(put))
+    base = f"{folder(spark)}/searches/{uuid.uuid4().hex}"
+    return history.search_lists_replay(e.select(F.inline(each)), base, {"recent": 40, "saved": 10}).select("user_id", "list", "search_id")
 
 
 @query("SELECT event_id, event_type FROM events WHERE user_id = 3 ORDER BY ts DESC, event_id DESC LIMIT 50")
