@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from talentloom.functions import extraction, scoring, text, validation
+from talentloom.functions import dates, extraction, loose_json, scoring, text, validation
 from talentloom.plans.profiles import PROFILES_SQL, profiles, table
 from talentloom.streaming.history import windowed_counts
 
@@ -131,3 +131,41 @@ def windowed_events(spark, sf_dir):
     """Events by type and hour; a stream of them counts alike, with rows up to ten minutes late."""
     rows = table(spark, sf_dir, "events").withColumn("ts", F.to_timestamp("ts"))
     return windowed_counts(rows).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+
+
+#: Spellings of an order's date, by the remainder of its key.
+_SPELLINGS = ("MMMM yyyy", "d MMM yy", "'Since' MMM d, yyyy", "MM/dd/yyyy", "yyyy-MM-dd'T'HH:mm:ss", "yyyyMMdd", "''yy-MM", "dd.MM.yyyy", "MM-yy", "'in' yyyy", "'some day'")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 11 WHEN 10 THEN NULL WHEN 9 THEN strftime(o_orderdate, '%Y-01') WHEN 7 THEN CASE WHEN day(o_orderdate) <= 12 THEN strftime(o_orderdate, '%Y-') || lpad(day(o_orderdate)::varchar, 2, '0') ELSE strftime(o_orderdate, '%Y-%m') END ELSE strftime(o_orderdate, '%Y-%m') END AS month FROM orders")
+def written_months(spark, sf_dir):
+    """Months out of dates in eleven spellings, with names, ordinals, short years and text around them."""
+    at, key = F.col("o_orderdate"), F.col("o_orderkey")
+    said = F
+    for k, form in enumerate(_SPELLINGS):
+        said = said.when(key % len(_SPELLINGS) == k, F.date_format(at, form))
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.written_month(said, 2026).alias("month"))
+
+
+#: Ten kinds of damage to ``{"id": .., "kind": "..", "parts": [.., ".."], "at": {"user": .., "big": ..}}``, by the remainder of an event's id.
+_DAMAGE = (
+    """concat('{"id": ', e, ', "kind": "', k, '", "parts": [', u, ', "', k, '"], "at": {"user": ', u, ', "big": ', b, '}}')""",
+    """concat('Sure:\\n```json\\n{"id": ', e, ', "kind": "', k, '", "parts": [', u, ', "', k, '"], "at": {"user": ', u, ', "big": ', b, '}}\\n```\\nMore {braces}?')""",
+    """concat('{"id": ', e, ', "kind": "', k, '", "parts": [', u, ', "', k, '",], "at": {"user": ', u, ', "big": ', b, ',},}')""",
+    """concat("{'id': ", e, ", 'kind': '", k, "', 'parts': [", u, ", '", k, "'], 'at': {'user': ", u, ", 'big': ", initcap(b), "}}")""",
+    """concat('{id: ', e, ', kind: ', k, ', parts: [', u, ', ', k, '], at: {user: ', u, ', big: ', b, '}}')""",
+    """concat('{"id": ', e, ', "kind": "', k, '", "parts": [', u, ', "', k, '"], "at": {"user": ', u, ', "big": ', b)""",
+    """concat('{"id": ', e, ' "kind": "', k, '" "parts": [', u, ' "', k, '"] "at": {"user": ', u, ' "big": ', b, '}}')""",
+    """concat('{"id": ', e, ', // the kind\\n "kind": "', k, '", /* } */ "parts": [', u, ', "', k, '"], "at": {"user": ', u, ', "big": ', b, '}}')""",
+    """concat('{"id": ', e, ', "at": {"user": ', u, ', "big": ', b, '}, "kind": "', k, '", "parts": [', u, ', "', k)""",
+    """concat('{"id": ', e, ', "kind": “', k, '”, "at": {"user": ', u, ', "big": ', b, '}, "parts": [', u, ', "', k, '"}')""",
+)
+
+
+@query("SELECT event_id, event_id AS id, event_type AS kind, user_id AS \"user\", value > 100 AS big, user_id::varchar AS first, event_type AS last FROM events")
+def tolerant_json(spark, sf_dir):
+    """Objects of three levels in ten kinds of damage, read back."""
+    e = table(spark, sf_dir, "events").select("event_id", F.expr("cast(event_id as string) e"), F.expr("event_type k"), F.expr("cast(user_id as string) u"), F.expr("cast(value > 100 as string) b"))
+    said = F.expr("CASE event_id % 10 " + " ".join(f"WHEN {k} THEN {d}" for k, d in enumerate(_DAMAGE)) + " END")
+    read = e.select("event_id", F.from_json(loose_json.tolerant_json(said), "id long, kind string, parts array<string>, at struct<user: long, big: boolean>").alias("x"))
+    return read.select("event_id", "x.id", "x.kind", "x.at.user", "x.at.big", F.element_at("x.parts", 1).alias("first"), F.element_at("x.parts", 2).alias("last"))
