@@ -10,6 +10,8 @@ from talentloom.llm.cuts import checked, cut
 
 #: Turn numbers of a block, which is cut into windows by itself, and rows above which a block is parted further.
 BLOCK, CROWDED = 1024, 16384
+#: Parts of long turns after which a block's next stretch begins.
+STRETCH = 1024
 #: Bytes that a turn's marks and role may take in a part of a long turn.
 HEAD = 128
 
@@ -41,7 +43,7 @@ def _parts(long: Column, room: int) -> Column:
 
 
 def _cuts(budget: int, history: int, history_turns: int) -> Column:
-    """The places (from 1) at which the windows of a block begin, and how many turns each repeats: a window is closed by the first turn that its room lacks."""
+    """The places (from 1) at which the windows of a stretch begin, and how many turns each repeats: a window is closed by the first turn that its room lacks."""
     no_room = F.lit(2 * budget).cast("long")
 
     def step(a: Column, x: Column) -> Column:
@@ -51,7 +53,8 @@ def _cuts(budget: int, history: int, history_turns: int) -> Column:
             fits = fits & (sizes <= history)
             old, repeated = old + fits.cast("int"), F.when(fits, sizes).otherwise(repeated)
         first = a["at"] == 0
-        room = F.when(first & F.col("prev").isNull(), F.lit(budget)).otherwise(F.lit(budget) - F.col("system_size") - F.when(first, F.lit(history)).otherwise(repeated)).cast("long")
+        enters = first & (F.col("stretch") == 0)
+        room = F.when(enters & F.col("prev").isNull(), F.lit(budget)).otherwise(F.lit(budget) - F.col("system_size") - F.when(enters, F.lit(history)).otherwise(repeated)).cast("long")
         opens = first | (x["size"] > a["left"])
         here = F.struct((a["at"] + 1).alias("at"), old.alias("old"))
         return F.struct((a["at"] + 1).alias("at"), (F.when(opens, room).otherwise(a["left"]) - x["size"]).alias("left"), F.when(opens, F.array_append(a["cuts"], here)).otherwise(a["cuts"]).alias("cuts"))
@@ -73,7 +76,8 @@ def chat_windows(turns: DataFrame, budget: int = 4096, history: int = 512, histo
     ``window_id`` orders a conversation's windows.
 
     ``BLOCK`` turn numbers of a conversation are cut into windows by themselves, so that a long conversation is spread over tasks; blocks that repeated turn
-    numbers crowd are parted by ranges of number and hash. Texts are shuffled once, by conversation and block; all that follows keeps that partitioning. What a block's
+    numbers crowd are parted by ranges of number and hash. Where long turns give a block many parts, ``STRETCH`` of these end a stretch, which is cut by itself too: behind a part
+    nothing is repeated, so stretches know nothing of each other, and time grows with a turn's length, not with its square. Texts are shuffled once, by conversation and block; all that follows keeps that partitioning. What a block's
     first window repeats comes from the end of the block before by a join of a few turns for each block.
 
     Null texts and roles are empty. Rows are ordered by turn (null first), then by a hash of role and text; equal rows are all kept. A null ``conv_id`` is
@@ -95,21 +99,27 @@ def chat_windows(turns: DataFrame, budget: int = 4096, history: int = 512, histo
     place = F.col("turn") - F.col("block") * BLOCK + F.shiftrightunsigned("hash", 32) / float(2**32)
     rows = rows.join(checked(crowded), keys, "left").withColumn("sub", F.coalesce(F.floor(place * F.col("times")), F.lit(0).cast("long"))).drop("times")
 
-    long = F.col("size") > piece
+    # parts of long turns are counted in the block's order, so that a stretch of it ends behind so many
+    long, keys = F.col("size") > piece, ["key", "none", "block", "sub"]
     rows = rows.withColumn("row", F.when(long, F.monotonically_increasing_id()).otherwise(0)).withColumn("long", long)
-    pieces = rows.select("*", F.posexplode(_parts(F.col("long"), piece - HEAD)).alias("part", "piece")).drop("shown").withColumnRenamed("piece", "shown")
+    in_block = Window.partitionBy(*keys).orderBy("turn", "hash", "row")
+    before, block = in_block.rowsBetween(Window.unboundedPreceding, -1), in_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parted = rows.withColumn("parts", _parts(F.col("long"), piece - HEAD)).drop("shown")
+    n_parts = F.when(F.col("long"), F.size("parts")).otherwise(0)
+    last = F.floor((F.sum(n_parts).over(block) - F.last("long").over(block).cast("int")) / STRETCH)
+    parted = parted.withColumns({"before": F.coalesce(F.sum(n_parts).over(before), F.lit(0).cast("long")), "last_stretch": last})
+    pieces = parted.select("*", F.posexplode("parts").alias("part", "shown")).withColumn("stretch", F.floor((F.col("before") + F.col("part")) / STRETCH)).drop("parts", "before")
     pieces = pieces.withColumn("head", F.when(F.col("part") > 0, ON).otherwise(F.col("head"))).withColumn("size", F.when(F.col("long"), (marks + F.octet_length("shown")).cast("long")).otherwise(F.col("size")))
 
     # slim: a conversation's blocks in order, with its first system turn
-    keys = ["key", "none", "block", "sub"]
     system = rows.filter((F.col("role") == "system")).groupBy("key", "none").agg(F.min(F.struct("turn", "hash", "size", "head", F.when(F.col("size") <= quarter, F.col("shown")).alias("shown"))).alias("system"))
     in_order = Window.partitionBy("key", "none").orderBy("block", "sub")
     neighbour = F.struct("block", "sub")
     blocks = rows.select(*keys).distinct().withColumns({"prev": F.lag(neighbour).over(in_order), "next": F.lead(neighbour).over(in_order)})
     blocks = blocks.join(system, ["key", "none"], "left").withColumn("system", F.when(F.col("system.shown").isNotNull(), F.col("system"))).withColumn("system_size", F.coalesce("system.size", F.lit(0).cast("long")))
 
-    # a block's turns with the cuts between its windows
-    within = Window.partitionBy(*keys).orderBy("turn", "hash", "row", "part")
+    # a stretch's turns with the cuts between its windows
+    within = Window.partitionBy(*keys, "stretch").orderBy("turn", "hash", "row", "part")
     whole = within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     repeats = F.when(F.col("long"), F.lit(2 * budget).cast("long")).otherwise(F.col("size")).alias("repeats")
     placed = (
@@ -127,15 +137,15 @@ def chat_windows(turns: DataFrame, budget: int = 4096, history: int = 512, histo
     again = F.struct((F.col("window") + 1).alias("window"), item(False).alias("item"))
     windows = (
         placed.withColumn("window", window)
-        .select("conv_id", *keys, "prev", "system", F.inline(F.when(behind.isNotNull() & (at >= behind["at"] - behind["old"]), F.array(own, again)).otherwise(F.array(own))))
-        .groupBy("conv_id", *keys, "window").agg(F.first("prev").alias("prev"), F.first("system").alias("system"), F.array_sort(F.collect_list("item")).alias("items"))
+        .select("conv_id", *keys, "stretch", "prev", "system", F.inline(F.when(behind.isNotNull() & (at >= behind["at"] - behind["old"]), F.array(own, again)).otherwise(F.array(own))))
+        .groupBy("conv_id", *keys, "stretch", "window").agg(F.first("prev").alias("prev"), F.first("system").alias("system"), F.array_sort(F.collect_list("item")).alias("items"))
     )
 
     # what a block's first window repeats: the last turns of the block before
-    ends = placed.filter(F.col("next").isNotNull() & (at > F.col("n") - history_turns)).select("key", "none", "next.block", "next.sub", "conv_id", (F.col("n") - at).alias("back"), repeats, item(False).alias("item"))
+    ends = placed.filter(F.col("next").isNotNull() & (F.col("stretch") == F.col("last_stretch")) & (at > F.col("n") - history_turns)).select("key", "none", "next.block", "next.sub", "conv_id", (F.col("n") - at).alias("back"), repeats, item(False).alias("item"))
     last = Window.partitionBy(*keys).orderBy("back").rowsBetween(Window.unboundedPreceding, 0)
     ends = ends.withColumn("used", F.sum("repeats").over(last)).filter(F.col("used") <= history).groupBy(*keys).agg(F.array_sort(F.collect_list("item")).alias("ends"))
-    windows = windows.join(ends.hint("merge"), keys, "left").withColumn("items", F.when((F.col("window") == 1) & F.col("ends").isNotNull(), F.concat("ends", "items")).otherwise(F.col("items")))
+    windows = windows.join(ends.hint("merge"), keys, "left").withColumn("items", F.when((F.col("window") == 1) & (F.col("stretch") == 0) & F.col("ends").isNotNull(), F.concat("ends", "items")).otherwise(F.col("items")))
 
     # the system turn precedes what lies behind it
     first_new = F.get(F.filter("items", lambda x: x["new"]), F.lit(0))
@@ -153,7 +163,7 @@ def chat_windows(turns: DataFrame, budget: int = 4096, history: int = 512, histo
     )
     return windows.select(
         "conv_id",
-        F.struct("block", "sub", "window").alias("window_id"),
+        F.struct("block", "sub", "stretch", "window").alias("window_id"),
         F.array_join(F.transform("all", lambda x: F.concat(x["head"], x["shown"], F.lit(END))), "").alias("text"),
         F.aggregate(F.filter("all", old), F.lit(0), lambda a, x: a + length(x)).alias("new_from"),
         F.aggregate("all", start, step)["spans"].alias("loss"),

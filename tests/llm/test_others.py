@@ -203,6 +203,23 @@ def test_crowded_turn_numbers(spark, monkeypatch):
     assert made.select("window_id.block", "window_id.sub").distinct().count() > 20
 
 
+@pytest.mark.parametrize("stretch", [1, 3, 1024])
+def test_chat_stretches_of_long_turns(spark, monkeypatch, stretch):
+    """Long turns between, at the start and at the end of blocks; what stretches of any length give reads back whole, and windows keep the budget."""
+    monkeypatch.setattr(chat_format, "STRETCH", stretch)
+    monkeypatch.setattr(chat_format, "BLOCK", 4)
+    sizes = [3, 9000, 5, 60, 7, 2, 4000, 4000, 5000, 1, 2, 3, 40, 50, 30, 7000]
+    rows = [(1, t, "assistant" if t % 2 else "user", "é<" * (n // 2) + str(t)) for t, n in enumerate(sizes)] + [(2, 0, "system", "be brief"), (2, 1, "user", "x" * 20_000), (2, 9, "assistant", "short"), (3, 0, None, None)]
+    made = chat_format.chat_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 1200, 200)
+    assert read_back(made) == brute_chat(rows)
+    windows = made.collect()
+    assert max(len(r.text.encode()) for r in windows) <= 1200
+    stretches = {r.window_id.stretch for r in windows}
+    assert stretches == {0} if stretch == 1024 else len(stretches) > 2
+    monkeypatch.undo()
+    assert read_back(chat_format.chat_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 1200, 200)) == brute_chat(rows)
+
+
 def test_chat_of_nothing(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_format.chat_windows(empty).count() == 0
