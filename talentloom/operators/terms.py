@@ -111,6 +111,31 @@ def completions(counts: DataFrame, relations: DataFrame, prefix: str, limit: int
     return scored.orderBy(F.desc("score"), F.length("term"), "term").limit(limit)
 
 
+# Weights of a skill's share of the titles and of its frequency, lengths of usual names, terms that say little and what they lose, the least score.
+COVERAGE_WEIGHT, FREQUENCY_WEIGHT, RARE, COMMON = 2, 1.5, 0.01, 0.1
+USUAL_LENGTHS, LENGTH_BONUS, GENERIC_PENALTY, LEAST_SKILL = (3, 15), 0.5, -2, 0.5
+GENERIC_SKILLS = (
+    "experience", "knowledge", "understanding", "ability", "skill", "working", "good", "excellent", "strong", "basic", "advanced", "years", "work", "team", "project",
+    "development", "application", "system", "business", "management", "communication", "problem", "solving", "analytical", "technical",
+)
+
+
+def title_skills(rows: DataFrame, counts: DataFrame, n_titles: int) -> DataFrame:
+    """``skill, titles, score`` of the skills that ``rows`` (``title, skill``) name for ``n_titles`` chosen titles.
+
+    A skill scores a point for each title, its share of the titles twice, up to 1.5 for its frequency in ``counts`` (``term, n``) against the most frequent one, half a point for a name of usual length;
+    a generic one loses two. Frequencies of at most a hundredth of the highest, and counts of a tenth of the number of terms or more, add nothing. Skills of one letter, null ones and scores up to 0.5 are left out.
+    """
+    skill = F.lower(F.trim("skill"))
+    named = rows.filter(F.col("title").isNotNull()).select("title", skill.alias("skill")).filter(F.length("skill") >= 2)
+    titles = named.groupBy("skill").agg(F.countDistinct("title").alias("titles"))
+    ratio = F.col("n") / counts.agg(F.max("n")).scalar()
+    telling = (ratio > RARE) & (F.col("n") < counts.agg(F.count(F.lit(1))).scalar() * COMMON)
+    frequencies = counts.select(F.col("term").alias("__term"), F.when(telling, F.least(ratio * FREQUENCY_WEIGHT, F.lit(FREQUENCY_WEIGHT))).otherwise(0.0).alias("__bonus"))
+    score = F.col("titles") + F.col("titles") / n_titles * COVERAGE_WEIGHT + F.coalesce("__bonus", F.lit(0.0)) + F.when(F.length("skill").between(*USUAL_LENGTHS), LENGTH_BONUS).otherwise(0.0) + F.when(F.col("skill").isin(*GENERIC_SKILLS), GENERIC_PENALTY).otherwise(0)
+    return titles.join(frequencies, F.col("skill") == F.col("__term"), "left").select("skill", "titles", score.alias("score")).filter(F.col("score") > LEAST_SKILL)
+
+
 def adaptive(df: DataFrame, score: str, order: list) -> DataFrame:
     """As many rows as their quality allows: from 30 good ones (3 and up) the best 80; from 15 the good ones and 50 middling (1.5 and up); from 5 those, all middling and 30 weak (0.5 and up); else all above 0.5."""
     s = F.col(score)

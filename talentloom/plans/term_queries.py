@@ -261,3 +261,19 @@ def autocomplete_misspelt(spark, sf_dir):
     counts = terms.term_counts(table(spark, sf_dir, "part"), F.array("p_name"))
     related = terms.related(_orders_types(spark, sf_dir), "l_orderkey", F.col("names"))
     return terms.completions(counts, related, "smal rign").withColumn("score", F.round("score", 6))
+
+
+_GENERIC_SKILLS = ", ".join(f"'{w}'" for w in terms.GENERIC_SKILLS)
+
+
+@query(f"""WITH w AS (SELECT DISTINCT doc_id, source AS title, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS skill FROM documents), c AS (SELECT skill, count(*) AS n FROM w GROUP BY 1),
+t AS (SELECT skill, count(DISTINCT title) AS titles FROM w WHERE title IS NOT NULL AND length(skill) >= 2 GROUP BY 1),
+s AS (SELECT t.skill, titles, titles + titles / 8::double * 2 + CASE WHEN n / (SELECT max(n) FROM c)::double > 0.01::double AND n < (SELECT count(*) FROM c) * 0.1::double THEN least(n / (SELECT max(n) FROM c)::double * 1.5::double, 1.5::double) ELSE 0 END
+ + CASE WHEN length(t.skill) BETWEEN 3 AND 15 THEN 0.5::double ELSE 0 END + CASE WHEN t.skill IN ({_GENERIC_SKILLS}) THEN -2 ELSE 0 END AS score FROM t JOIN c ON t.skill = c.skill)
+SELECT skill, titles, round(score, 6) AS score FROM s WHERE score > 0.5""")
+def scored_title_skills(spark, sf_dir):
+    """Words by how many sources have them, their share of eight, their frequency, length and how generic they are."""
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))))
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("title"), words.alias("skill"))
+    counts = rows.groupBy(F.col("skill").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+    return terms.title_skills(rows, counts, 8).select("skill", "titles", F.round("score", 6).alias("score"))
