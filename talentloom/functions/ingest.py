@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from difflib import SequenceMatcher
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType, StringType
 
 from talentloom.functions.text import any_of, collapsed
 
@@ -198,3 +199,17 @@ def grade(score: Column) -> Column:
     for name, least in GRADES.items():
         out = out.when(score >= least, F.lit(name))
     return out.otherwise("F")
+
+
+def finite_rows(df: DataFrame, keys: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Not-a-number and infinities as null, strings trimmed and blank ones null; rows that are null in all columns but ``keys`` are left out. Names may hold dots."""
+
+    def clean(name: str, kind: object) -> Column:
+        value = F.col("`" + name.replace("`", "``") + "`")
+        if isinstance(kind, (DoubleType, FloatType)):
+            return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value).alias(name)
+        return F.nullif(F.regexp_replace(value, r"^\s+|\s+$", ""), F.lit("")).alias(name) if isinstance(kind, StringType) else value.alias(name)
+
+    out = df.select(*(clean(f.name, f.dataType) for f in df.schema))
+    rest = [F.col("`" + n.replace("`", "``") + "`").isNotNull() for n in df.columns if n not in keys]
+    return out.filter(any_of(rest)) if rest else out

@@ -296,3 +296,11 @@ def profile_texts(spark, sf_dir):
     jobs = F.array_join(F.transform("experience", lambda e: F.concat(e["title"], F.lit(" at "), e["company"], F.lit(" from "), e["from_date"])), "; ")
     line = lambda label, value: F.concat(F.lit(f"{label}: "), value)
     return profiles(spark, sf_dir).select("profile_id", F.concat_ws("\n", line("Name", F.col("name")), line("City", F.col("current_city")), line("Skills", F.array_join("skills", ", ")), line("Experience", jobs)).alias("body"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 4 > 1 THEN p_size * 1.5::double END AS price, CASE WHEN p_size % 3 > 0 THEN p_name END AS name FROM part WHERE p_size % 4 > 1 OR p_size % 3 > 0")
+def finite_rows(spark, sf_dir):
+    """Rows of a sheet without what is no number, and without those that have nothing but their key."""
+    price = "CASE p_size % 4 WHEN 0 THEN double('NaN') WHEN 1 THEN double(CASE WHEN p_size % 8 = 1 THEN '-Infinity' ELSE 'Infinity' END) ELSE p_size * 1.5D END AS price"
+    said = table(spark, sf_dir, "part").select("p_partkey", F.expr(price), F.expr("CASE WHEN p_size % 3 = 0 THEN ' \t' ELSE concat(' ', p_name) END AS name"))
+    return ingest.finite_rows(said, ["p_partkey"])

@@ -23,10 +23,14 @@ _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id
 _WORDS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with cleaned column names; cells are strings, blank ones null, and rows without any value are left out."""
-    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    heads = spark.read.option("header", False).csv(path).first()
+def csv_rows(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A CSV file with cleaned column names; cells are strings, blank ones null, and rows without any value are left out.
+
+    With ``multi_line`` quoted cells may hold line ends and doubled quotes; a file is one task's then, as its rows can't be told apart from the middle.
+    """
+    reader = spark.read.option("multiLine", multi_line).option("escape", '"' if multi_line else "\\")
+    df = reader.option("header", True).option("inferSchema", False).csv(path)
+    heads = reader.option("header", False).csv(path).first()
     named = [str(x) if x is not None else f"column {i}" for i, x in enumerate(heads)] if heads else df.columns
     kept = kept_headers(named)
     df = df.toDF(*(str(i) for i in range(len(df.columns)))).select(*(F.col(str(i)) for i in kept)).toDF(*clean_headers([named[i] for i in kept]))
