@@ -120,7 +120,7 @@ _FIELDS = ("response_id", "target_uri", "date", "http_header", "payload", "paylo
 
 
 def _records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and blocks of a WARC file's records, plain or in gzip members; one that is cut short at the end is left out."""
+    """Header fields (names in lower case) and blocks of a WARC file's records, plain or in gzip members; one that is cut short at the end, broken members and records without a readable length are left out."""
 
     def members() -> Iterator[bytes]:
         rest = content
@@ -129,8 +129,12 @@ def _records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
                 yield rest
                 return
             unpack = zlib.decompressobj(31)
-            yield unpack.decompress(rest)
-            rest = unpack.unused_data
+            try:
+                yield unpack.decompress(rest)
+                rest = unpack.unused_data
+            except zlib.error:  # a broken member: go on with the next
+                following = rest.find(b"\x1f\x8b\x08", 2)
+                rest = rest[following:] if following > 0 else b""
 
     held = b""
     for member in members():
@@ -138,7 +142,11 @@ def _records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         while (at := held.find(b"WARC/", at)) >= 0 and (end := held.find(b"\r\n\r\n", at)) >= 0:
             lines = held[at:end].decode("utf-8", "replace").split("\r\n")[1:]
             header = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-            after = end + 4 + int(header.get("content-length", 0))
+            length = header.get("content-length", "0")
+            if not (length.isascii() and length.isdigit()):  # where its block ends is unknown: go on with the next record
+                at = end + 4
+                continue
+            after = end + 4 + int(length)
             if len(held) < after:
                 break
             yield header, held[end + 4 : after]
@@ -150,7 +158,7 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """The response records of WARC files, as ``responses`` has them: ``page_id`` (null), ids, URI, date, HTTP header, payload and digest, as the records say.
 
     Files are plain or in gzip members; each file is read by one task. Other record types are passed over, and so is a record that is cut
-    short at the end. Payloads are taken as UTF-8, other bytes are replaced. Without a digest in the record the payload's is made.
+    short at the end, one whose length is no number, and a gzip member that is broken. Payloads are taken as UTF-8, other bytes are replaced. Without a digest in the record the payload's is made.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

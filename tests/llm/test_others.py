@@ -129,6 +129,19 @@ def test_warc_files_round_trip(spark, tmp_path, monkeypatch):
     assert text.count("WARC/1.1\r\n") == 6 and text.endswith("\r\n\r\n")
 
 
+def test_broken_warc_files(spark, tmp_path):
+    """A length that is no number and a broken member cost their own record only."""
+    import gzip
+
+    record = lambda k, length=None: (f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: {k}\r\nContent-Length: {length or 9}\r\n\r\nA\r\n\r\nbody\r\n\r\n").encode()
+    broken = bytearray(gzip.compress(record("c") * 50))
+    broken[12:20] = b"\xff" * 8
+    (tmp_path / "a.warc").write_bytes(record("a") + record("x", "many") + record("y", "-5") + record("b"))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(record("d")) + bytes(broken) + gzip.compress(record("e")))
+    got = sorted((r.response_id, r.payload) for r in warc.read_responses(spark, str(tmp_path)).collect())
+    assert got == [(k, "body") for k in "abde"]
+
+
 def brute_chat(rows):
     out = {}
     spelled = lambda t: t.replace("\\", "\\e").replace("<", "\\l").replace("[", "\\b").replace("|", "\\p")
