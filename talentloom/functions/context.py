@@ -105,19 +105,35 @@ def expanded(r: Request) -> str:
     return " ".join(x for x in (r.role, r.domain, *DOMAINS.get(r.domain or "", ()), *r.skills, r.location, *r.education) if x)
 
 
-def _designation(r: Request, domain_words: tuple[str, ...]) -> Column:
-    titles = F.transform("experience", lambda e: F.lower(F.coalesce(e["title"], F.lit(""))))
+def facts() -> dict[str, Column]:
+    """What a relevance is made of, whatever the request, each read once from a profile: titles, labels, skills and what jobs say in lower case, places, years, salary."""
+    pay = F.coalesce("expected_salary", F.lit(0.0))
+    said = F.flatten(F.transform("experience", lambda e: F.array(*(F.lower(F.coalesce(e[k], F.lit(""))) for k in ("title", "company", "from_date", "until")))))
+    return {
+        "titles": F.transform("experience", lambda e: F.lower(F.coalesce(e["title"], F.lit("")))),
+        "labels": F.transform("labels", F.lower),
+        "own": F.transform(all_skills(), F.lower),
+        "said": said,
+        "city": F.lower("current_city"),
+        "wishes": F.transform("looking_for", F.lower),
+        "years": years_of(F.col("total_experience")),
+        "pay": F.when(pay > 1_000_000, pay / 100_000).otherwise(pay),
+    }
+
+
+def _designation(r: Request, domain_words: tuple[str, ...], at: dict[str, Column]) -> Column:
+    titles = at["titles"]
     parts = {}
     if r.role:
         whole, words = (lambda x: F.contains(x, F.lit(r.role))), r.role.split()
         some = lambda x: any_of(F.contains(x, F.lit(w)) for w in words)
         latest, recent = F.get(titles, F.lit(0)), F.slice(titles, 1, 3)
         parts["role"] = (
-            F.when(F.coalesce(whole(latest) | some(latest), F.lit(False)), 1.0).when(F.exists(recent, whole), 0.8).when(F.exists("labels", lambda x: whole(F.lower(x))), 0.7)
-            .when(F.exists(recent, some), 0.6).when(F.exists(all_skills(), lambda x: some(F.lower(x))), 0.4).otherwise(0.0)
+            F.when(F.coalesce(whole(latest) | some(latest), F.lit(False)), 1.0).when(F.exists(recent, whole), 0.8).when(F.exists(at["labels"], whole), 0.7)
+            .when(F.exists(recent, some), 0.6).when(F.exists(at["own"], some), 0.4).otherwise(0.0)
         )
     if r.domain:
-        said = F.concat(F.flatten(F.transform("experience", lambda e: F.array(*(F.lower(F.coalesce(e[k], F.lit(""))) for k in ("title", "company", "from_date", "until"))))), F.transform(F.concat(all_skills(), F.col("labels")), F.lower))
+        said = F.concat(at["said"], at["own"], at["labels"])
         hits = F.aggregate(said, F.lit(0), lambda a, x: a + sum((F.contains(x, F.lit(w)).cast("int") for w in domain_words), F.lit(0)))
         parts["domain"] = F.least(F.lit(1.0), hits / max(1, len(domain_words)))
     if len(parts) == 2:
@@ -125,8 +141,8 @@ def _designation(r: Request, domain_words: tuple[str, ...]) -> Column:
     return next(iter(parts.values()), F.lit(0.0))
 
 
-def _experience(r: Request) -> Column:
-    own, low, high = years_of(F.col("total_experience")), r.min_years, r.max_years
+def _experience(r: Request, own: Column) -> Column:
+    low, high = r.min_years, r.max_years
     below = lambda: F.greatest(F.lit(0.0), 1 - (low - own) / low)
     if low and high:
         graded = F.when(own.between(low, high), 1.0).when(own < low, below()).when(own - high <= 2, 0.9).otherwise(0.7)
@@ -139,29 +155,28 @@ def _experience(r: Request) -> Column:
     return F.when(own.isNull(), 0.0).otherwise(graded)
 
 
-def _skills(r: Request) -> Column:
+def _skills(r: Request, at: dict[str, Column]) -> Column:
     if not r.skills:
         return F.lit(0.0)
-    words = F.flatten(F.transform("experience", lambda e: F.flatten(F.array(*(F.filter(F.split(F.lower(F.coalesce(e[k], F.lit(""))), r"\s+"), lambda w: F.length(w) > 2) for k in ("title", "company", "from_date", "until"))))))
-    own = F.concat(F.transform(F.concat(all_skills(), F.col("labels")), F.lower), words)
-    wanted = F.array(*map(F.lit, r.skills))
-    return F.size(F.filter(wanted, lambda s: F.exists(own, lambda c: either_way(s, c)))) / len(r.skills)
+    words = F.filter(F.flatten(F.transform(at["said"], lambda x: F.split(x, r"\s+"))), lambda w: F.length(w) > 2)
+    held = F.concat(at["own"], at["labels"])
+    fits = lambda s: F.exists(held, lambda c: either_way(s, c)) | F.exists(words, lambda c: either_way(s, c))
+    return sum((fits(F.lit(s)).cast("int") for s in r.skills), F.lit(0)) / len(r.skills)
 
 
-def _salary(r: Request) -> Column:
+def _salary(r: Request, pay: Column) -> Column:
     if not r.max_lakh:
         return F.lit(0.0)
-    pay = F.coalesce("expected_salary", F.lit(0.0))
-    pay = F.when(pay > 1_000_000, pay / 100_000).otherwise(pay)
     return F.when(pay == 0, 0.0).when(pay <= r.max_lakh, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - (pay - r.max_lakh) / r.max_lakh))
 
 
-def relevance(r: Request, similarity: Column | None = None, domains: dict[str, tuple[str, ...]] = DOMAINS) -> dict[str, Column]:
-    """Parts from 0 to 1, and their weighted sum with a share of the similarity; the similarity alone where nothing fits."""
+def relevance(r: Request, similarity: Column | None = None, domains: dict[str, tuple[str, ...]] = DOMAINS, at: dict[str, Column] | None = None) -> dict[str, Column]:
+    """Parts from 0 to 1, and their weighted sum with a share of the similarity; the similarity alone where nothing fits. ``at`` may be columns that hold ``facts`` already."""
+    at = at or facts()
     similarity = F.lit(0.0) if similarity is None else similarity
     place = F.lit(r.location or "")
-    located = F.when(F.contains(F.lower("current_city"), place), 1.0).when(F.exists("looking_for", lambda x: F.contains(F.lower(x), place)), 0.8).otherwise(0.0) if r.location else F.lit(0.0)
-    parts = {"designation": _designation(r, domains.get(r.domain or "", ())), "location": located, "skills": _skills(r), "experience": _experience(r), "salary": _salary(r)}
+    located = F.when(F.contains(at["city"], place), 1.0).when(F.exists(at["wishes"], lambda x: F.contains(x, place)), 0.8).otherwise(0.0) if r.location else F.lit(0.0)
+    parts = {"designation": _designation(r, domains.get(r.domain or "", ()), at), "location": located, "skills": _skills(r, at), "experience": _experience(r, at["years"]), "salary": _salary(r, at["pay"])}
     total = sum((parts[k] * w for k, w in PRIORITY_WEIGHTS.items()), F.lit(0.0))
     score = F.when(total > 0, F.when(similarity > 0, total * 0.7 + similarity * 0.3).otherwise(total)).otherwise(similarity)
     return parts | {"relevance": F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))}

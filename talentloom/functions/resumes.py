@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from talentloom.functions.extraction import EMAIL
-from talentloom.functions.text import any_of, holds
+from talentloom.functions.text import holds
 
 # Defaults, section heads, and how names, cities, titles, degrees and dates are written.
 NO_EMAIL, NO_PHONE, NO_NAME, NO_CITY, NO_TITLE, NO_COLLEGE = "noemail@notprovided.com", "+91-0000000000", "Name Not Found", "City not specified", "Position not specified", "Institution not specified"
@@ -174,7 +174,3 @@ def highlights(years: Column, own: Column, expected: Column, wanted: tuple[str,
         years.alias("experience_years"), F.when(years.isNotNull(), fit).alias("experience_match"), matched.alias("matched_skills"), (F.size(matched) / max(1, len(wanted))).alias("skills_match_ratio"),
         pay.alias("expected_lakhs"), (pay <= lakhs if lakhs else F.lit(None).cast("boolean")).alias("within_budget"),
     )
-
-
-def any_job(items: Column, *words: str) -> Column:
-    return F.exists(items, lambda j: any_of(holds(j[c], *words) for c in ("title", "company")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from talentloom.functions.durations import months_of, years_of
+from talentloom.functions.loose_json import tolerant_json
 from talentloom.functions.text import any_of, holds
 
 # Levels of education, in the order in which they are looked for.
@@ -135,6 +136,12 @@ def recalled(c: Criteria) -> Column:
     return F.coalesce(any_of(some), F.lit(False)) if some else F.lit(True)
 
 
+def _weighed(parts: dict[str, Column]) -> dict[str, Column]:
+    score = sum((parts[k] * w for k, w in PRIORITY_WEIGHTS.items()), F.lit(0.0))
+    said = F.concat_ws("; ", *(F.when(parts[k] > 0, F.lit(f"{k.capitalize()} match")) for k in PRIORITY_WEIGHTS))
+    return {"priority": score, "reason": F.when(said == "", "Basic vector similarity").otherwise(said)}
+
+
 def priority_score(query: str, cities: tuple[str, ...] = CITIES) -> dict[str, Column]:
     """Weighted parts of a free query: designation, location, skills, experience, salary; and the reasons. The query is read once, on the driver."""
     query = query.lower()
@@ -156,9 +163,27 @@ def priority_score(query: str, cities: tuple[str, ...] = CITIES) -> dict[str, Co
         target, pay = float(found[1]), F.coalesce("expected_salary", F.lit(0.0))
         pay = F.when(pay > 1_000_000, pay / 100_000).otherwise(pay)
         parts["salary"] = F.when(pay <= target, 1.0).when(pay <= target * 1.2, 0.8).otherwise(0.0)
-    score = sum((parts[k] * w for k, w in PRIORITY_WEIGHTS.items()), F.lit(0.0))
-    said = F.concat_ws("; ", *(F.when(parts[k] > 0, F.lit(f"{k.capitalize()} match")) for k in PRIORITY_WEIGHTS))
-    return {"priority": score, "reason": F.when(said == "", "Basic vector similarity").otherwise(said)}
+    return _weighed(parts)
+
+
+def priority_of(query: Column, cities: tuple[str, ...] = CITIES) -> dict[str, Column]:
+    """``priority_score`` for a column of queries, such as the texts of job files: words, places, years and lakhs are read in each row."""
+    low = F.lower(query)
+    words = F.array_distinct(F.filter(F.split(low, r"\s+"), lambda w: F.length(w) > 2))
+    says = lambda x: F.exists(words, lambda w: F.contains(x, w))
+    recent = F.transform(F.slice("experience", 1, 3), lambda e: F.lower(F.coalesce(e["title"], F.lit(""))))
+    same = F.exists(F.slice("experience", 1, 3), lambda e: (e == F.get("experience", F.lit(0))) & says(F.lower(F.coalesce(e["title"], F.lit("")))))
+    parts = {"designation": F.when(same, 1.0).when(F.exists(recent, says), 0.8).when(F.exists("labels", lambda x: says(F.lower(x))), 0.7).otherwise(0.0)}
+    asked = F.filter(F.array(*map(F.lit, cities)).cast("array<string>"), lambda c: F.contains(low, c))
+    within = lambda x: F.exists(asked, lambda c: F.contains(F.lower(x), c))
+    parts["location"] = F.when(within(F.col("current_city")), 1.0).when(F.exists("looking_for", within), 0.8).otherwise(0.0)
+    parts["skills"] = F.when(F.exists(all_skills(), lambda x: says(F.lower(x))), 1.0).otherwise(0.0)
+    target, own = F.regexp_extract(low, r"(\d+)\s*(?:year|yr|yrs|years|exp|experience)", 1).try_cast("double"), years_of(F.col("total_experience"))
+    parts["experience"] = F.when(F.abs(own - target) <= 1, 1.0).when(F.abs(own - target) <= 2, 0.8).when(own >= target * 0.8, 0.6).otherwise(0.0)
+    lakhs, pay = F.regexp_extract(low, r"(\d+(?:\.\d+)?)\s*(?:lakh|lac|l)", 1).try_cast("double"), F.coalesce("expected_salary", F.lit(0.0))
+    pay = F.when(pay > 1_000_000, pay / 100_000).otherwise(pay)
+    parts["salary"] = F.when(pay <= lakhs, 1.0).when(pay <= lakhs * 1.2, 0.8).otherwise(0.0)
+    return _weighed(parts)
 
 
 def blend(priority: Column, similarity: Column) -> Column:
@@ -174,27 +199,64 @@ def either_way(a: Column, b: Column) -> Column:
     return F.contains(a, b) | F.contains(b, a)
 
 
-def ranking(job: Job) -> dict[str, Column]:
-    """A profile's match with a job: skills, experience, education, location, salary, overall, verdict, missing skills."""
-    lower = lambda xs: tuple(x.lower().strip() for x in xs)
-    required, preferred = lower(job.required), lower(job.preferred)
-    wanted = F.array(*map(F.lit, required + preferred)).cast("array<string>")
-    own = F.transform(all_skills(), lambda s: F.lower(F.trim(s)))
-    met = lambda s: F.exists(own, lambda c: either_way(s, c))
-    skills = F.size(F.filter(wanted, met)) / max(1, len(required + preferred)) * 100
-    missing = F.filter(F.array(*map(F.lit, required)).cast("array<string>"), lambda s: ~met(s))
-    titles = F.array(*map(F.lit, lower(job.titles))).cast("array<string>")
-    fits = F.exists(titles, lambda t: F.exists("experience", lambda e: either_way(t, F.lower(F.trim(e["title"])))))
-    years = F.coalesce(years_of(F.col("total_experience")), F.lit(0.0))
-    relevant = F.when(fits & (years > 0), years * 0.7).otherwise(0.0)
-    experience = F.least(F.lit(100.0), relevant / job.years * 100) if job.years > 0 else F.when(relevant > 0, 100.0).otherwise(0.0)
-    needed = max((v for r in job.education for k, v in RANKING_LEVELS.items() if k in r.lower()), default=0)
-    level = F.aggregate("education", F.lit(0), lambda a, e: F.greatest(a, highest_level(F.lower(e), RANKING_LEVELS)))
-    education = F.when(F.size("education") == 0, 0.0).when(level >= needed, 100.0).otherwise(level / max(1, needed) * 100) if needed else F.lit(100.0)
-    location = F.when(F.size("looking_for") > 0, 100.0).when(F.coalesce("current_city", F.lit("")) != "", 80.0).otherwise(50.0)
+#: What a model's answer about a job holds. Fixed names.
+REQUIREMENTS = "required_skills array<string>, preferred_skills array<string>, experience_years string, job_titles array<string>, education_requirements array<string>"
+
+
+def requirements(answer: Column) -> Column:
+    """A job's requirements out of a model's answer: ``required, preferred, titles, education`` (texts) and ``years``. What the answer lacks is empty, and so is all of it without an object in the answer."""
+    said = F.from_json(tolerant_json(answer), REQUIREMENTS)
+    none = F.array().cast("array<string>")
+    listed = lambda name: F.array_compact(F.coalesce(said[name], none))
+    return F.struct(
+        listed("required_skills").alias("required"), listed("preferred_skills").alias("preferred"), listed("job_titles").alias("titles"),
+        listed("education_requirements").alias("education"), F.coalesce(years_of(said["experience_years"]), F.lit(0.0)).alias("years"),
+    )
+
+
+def _bare(items: Column) -> Column:
+    return F.transform(items, lambda x: F.lower(F.trim(x)))
+
+
+def _level(items: Column) -> Column:
+    return F.aggregate(items, F.lit(0), lambda a, e: F.greatest(a, highest_level(F.lower(e), RANKING_LEVELS)))
+
+
+def ranking_facts() -> dict[str, Column]:
+    """What every match of a profile is made of, whatever the job: skills and titles as they are compared, years, level of education, points for location and salary."""
     now, then = F.coalesce("current_salary", F.lit(0.0)), F.coalesce("expected_salary", F.lit(0.0))
     hike = (then - now) / F.nullif(now, F.lit(0.0)) * 100
-    pay = F.when((then > 0) & (now > 0), F.when(hike <= 30, 100.0).when(hike <= 50, 80.0).otherwise(60.0)).when((then > 0) | (now > 0), 70.0).otherwise(90.0)
+    return {
+        "own": _bare(all_skills()),
+        "held": F.transform("experience", lambda e: F.lower(F.trim(e["title"]))),
+        "years": F.coalesce(years_of(F.col("total_experience")), F.lit(0.0)),
+        "level": _level(F.col("education")),
+        "schools": F.size("education"),
+        "location": F.when(F.size("looking_for") > 0, 100.0).when(F.coalesce("current_city", F.lit("")) != "", 80.0).otherwise(50.0),
+        "pay": F.when((then > 0) & (now > 0), F.when(hike <= 30, 100.0).when(hike <= 50, 80.0).otherwise(60.0)).when((then > 0) | (now > 0), 70.0).otherwise(90.0),
+    }
+
+
+def ranking(job: Job | Column, facts: dict[str, Column] | None = None) -> dict[str, Column]:
+    """A profile's match with a job: skills, experience, education, location, salary, overall, verdict, missing skills.
+
+    A job may be a struct of ``requirements``. One that asks for nothing gives no points for skills, all for education, and those for experience to whom its titles
+    fit: no one. ``facts`` may be columns that hold ``ranking_facts`` already.
+    """
+    own, held, years, level, schools, location, pay = (facts or ranking_facts()).values()
+    if isinstance(job, Job):
+        text = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+        job = F.struct(text(job.required).alias("required"), text(job.preferred).alias("preferred"), text(job.titles).alias("titles"), text(job.education).alias("education"), F.lit(float(job.years)).alias("years"))
+    required = _bare(job["required"])
+    wanted = F.concat(required, _bare(job["preferred"]))
+    met = F.filter(wanted, lambda s: F.exists(own, lambda c: either_way(s, c)))
+    skills = F.size(met) / F.greatest(F.lit(1), F.size(wanted)) * 100
+    missing = F.filter(required, lambda s: ~F.array_contains(met, s))
+    fits = F.exists(_bare(job["titles"]), lambda t: F.exists(held, lambda e: either_way(t, e)))
+    relevant = F.when(fits & (years > 0), years * 0.7).otherwise(0.0)
+    experience = F.when(job["years"] > 0, F.least(F.lit(100.0), relevant / F.nullif(job["years"], F.lit(0.0)) * 100)).when(relevant > 0, 100.0).otherwise(0.0)
+    needed = _level(job["education"])
+    education = F.when(needed == 0, 100.0).when(schools == 0, 0.0).when(level >= needed, 100.0).otherwise(level / F.greatest(F.lit(1), needed) * 100)
     parts = {"skills": F.round(skills, 2), "experience": F.round(experience, 2), "education": education, "location": location, "salary": pay}
     overall = sum((parts[k] * w for k, w in RANKING_WEIGHTS.items()), F.lit(0.0))
     band = F.when(overall >= 80, "Excellent match").when(overall >= 60, "Good match").when(overall >= REJECTED_BELOW, "Partial match").otherwise("Poor match")

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from talentloom.functions.scoring import Criteria, criteria_facts, criteria_score, recalled
+from talentloom.functions.scoring import Criteria, Job, blend, criteria_facts, criteria_score, priority_of, ranking, ranking_facts, recalled
+from talentloom.operators import vector_index
+from talentloom.operators.vectors import OVERFETCH
 
 #: Points that a match needs, and how many matches a search shows. Fixed values.
 LEAST_SCORE, SHOWN = 40, 50
+#: Blended score, out of 100, that a profile found for a file needs. Fixed value.
+RELEVANT = 40.0
 
 
 def once(df: DataFrame, columns: dict[str, Column], *keep: str) -> DataFrame:
@@ -21,3 +26,38 @@ def by_criteria(df: DataFrame, c: Criteria, key: str, least: float = LEAST_SCORE
     facts = once(df.filter(recalled(c)), criteria_facts(c), key)
     scored = facts.select(key, *(v.alias(k) for k, v in criteria_score(c, {k: F.col(k) for k in facts.columns if k != key}).items()))
     return scored.filter(F.col("match_score") >= least).orderBy(F.desc("fields_matched"), F.desc("match_score"), F.desc("single_matches"), key).limit(limit)
+
+
+def ranked_for(df: DataFrame, job: Job, key: str, *keep: str) -> DataFrame:
+    """Every profile's match with one job, as ``scoring.ranking`` has it; what the match is made of is read once from a profile."""
+    facts = ranking_facts()
+    parts = ranking(job, {k: F.col(k) for k in facts})
+    return once(df, facts, key, *keep).select(key, *keep, *(v.alias(k) for k, v in parts.items()))
+
+
+def ranked_for_jobs(df: DataFrame, jobs: DataFrame, key: str, job: str, asked: str) -> DataFrame:
+    """``key, job`` and the match of every profile with every job of a table; ``asked`` is a column of ``scoring.requirements``.
+
+    The jobs are the set of questions, the profiles all rows: each is read once, and what a match is made of is worked out before the jobs come in.
+    """
+    facts = ranking_facts()
+    parts = ranking(F.col("__asked"), {k: F.col(k) for k in facts})
+    pairs = once(df, facts, key).crossJoin(jobs.select(F.col(job), F.col(asked).alias("__asked")))
+    return pairs.select(key, job, *(v.alias(k) for k, v in parts.items()))
+
+
+def by_files(index: vector_index.Index, profiles: DataFrame, files: DataFrame, file: str, text: str, vector: str, n: int = 10, least: float = 0.0, relevant: float = RELEVANT, keep: Column | None = None) -> DataFrame:
+    """``file, key, similarity, priority, reason, final_score``: for each file of a table (its text, and a vector that any embedder made of it) the profiles that suit it.
+
+    All files are searched for at once in an exact index, five times as far as ``n``. What is similar enough and passes ``keep`` (the caller's own rows; its columns may be those of profiles and files) is
+    cut to the ``n`` most similar, scored by the file's words, blended with the similarity, and kept from ``relevant`` up. Files without a vector find nothing; a file
+    whose text is null or blank is left out, as is one that could not be read.
+    """
+    said = files.filter(F.trim(F.regexp_replace(text, r"\s+", " ")) != "").withColumnRenamed(text, "__text")
+    hits, _ = vector_index.nearest_of_many(index, said, file, vector, n * OVERFETCH)
+    similar = hits.select(file, index.key, ((1 + F.col("cosine")) / 2).alias("similarity")).filter(F.col("similarity") >= least)
+    rows = similar.join(said.drop(vector), file).join(profiles, index.key)
+    rows = rows if keep is None else rows.filter(keep)
+    best = rows.withColumn("__place", F.row_number().over(Window.partitionBy(file).orderBy(F.desc("similarity"), index.key))).filter(F.col("__place") <= n)
+    scored = best.select(file, index.key, "similarity", *(v.alias(k) for k, v in priority_of(F.col("__text")).items()))
+    return scored.withColumn("final_score", blend(F.col("priority"), F.col("similarity"))).filter(F.col("final_score") >= relevant)

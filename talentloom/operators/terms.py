@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from talentloom.functions.similarity import sequence_ratio
+from talentloom.functions.text import split_skills
 from talentloom.operators import fuzzy
 
 
@@ -111,6 +112,34 @@ def completions(counts: DataFrame, relations: DataFrame, prefix: str, limit: int
     return scored.orderBy(F.desc("score"), F.length("term"), "term").limit(limit)
 
 
+# Words of descriptions that say nothing, how many titles are read, the least frequency and relevance, and what relevance weighs.
+SILENT = (
+    "and", "the", "for", "with", "this", "that", "have", "will", "are", "was", "been", "from", "they", "were",
+    "but", "not", "what", "can", "had", "her", "his", "she", "has", "him",
+)
+TITLES_READ, LEAST_FREQUENCY, LEAST_RELEVANCE, RELEVANCE_WEIGHT = 3, 2, 0.01, 10
+
+
+def co_occurring(df: DataFrame, prefix: str, skills: Column, titles: Column, descriptions: Column) -> DataFrame:
+    """``term, n, relevance, score``: terms around a prefix, by frequency and how well they complete it. Skills, titles and descriptions are arrays of texts.
+
+    Where a skill or title contains the prefix, the row's skills (lists are split) and the words of its first three titles count, words from three characters; of every description that contains the prefix its words of
+    three letters or more, without the silent ones. The prefix itself, terms of one character, those that occur once and those of no relevance are left out.
+    """
+    p, none = prefix.lower(), F.array().cast("array<string>")
+    low = lambda items: F.transform(F.array_compact(F.coalesce(items, none)), F.lower)
+    says = lambda x: F.contains(x, F.lit(p))
+    words = lambda x, kind: F.regexp_extract_all(x, F.lit(rf"(?U)\b{kind}{{3,}}\b"), F.lit(0))
+    around = F.concat(F.flatten(F.transform("__skills", split_skills)), F.flatten(F.transform(F.slice("__titles", 1, TITLES_READ), lambda x: words(x, r"\w"))))
+    told = F.filter(F.flatten(F.transform(F.filter("__descriptions", says), lambda x: words(x, "[a-z]"))), lambda w: ~w.isin(*SILENT))
+    rows = df.select(low(skills).alias("__skills"), low(titles).alias("__titles"), low(descriptions).alias("__descriptions"))
+    terms = F.concat(F.when(F.exists("__skills", says) | F.exists("__titles", says), around).otherwise(none), told)
+    counts = rows.select(F.explode(terms).alias("term")).filter((F.col("term") != p) & (F.length("term") >= 2)).groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_FREQUENCY)
+    alike = fuzzy.similar(fuzzy.postings(counts, "term"), p).select(F.col("term").alias("__low"), "alike")
+    scored = counts.join(alike, F.col("term") == F.col("__low"), "left").select("term", "n", completion_score(F.col("term"), p, alike=F.col("alike")).alias("relevance"))
+    return scored.filter(F.col("relevance") > LEAST_RELEVANCE).withColumn("score", F.col("n") + F.col("relevance") * RELEVANCE_WEIGHT)
+
+
 # Weights of a skill's share of the titles and of its frequency, lengths of usual names, terms that say little and what they lose, the least score.
 COVERAGE_WEIGHT, FREQUENCY_WEIGHT, RARE, COMMON = 2, 1.5, 0.01, 0.1
 USUAL_LENGTHS, LENGTH_BONUS, GENERIC_PENALTY, LEAST_SKILL = (3, 15), 0.5, -2, 0.5

@@ -13,6 +13,8 @@ from talentloom.functions.text import preview
 PRESETS = {"fast": (20, 3), "balanced": (50, 10), "comprehensive": (100, 20), "exhaustive": (200, 30)}
 #: Weight and reach of each vector field in a search over several. Fixed values.
 FIELD_BOOSTS = {"combined": (1.0, 2), "skills": (0.8, 1), "experience": (0.9, 1)}
+#: How many times as far a search reaches whose hits are filtered afterwards. Fixed value.
+OVERFETCH = 5
 
 
 #: The vector column that each field of a search looks in. Fixed values.
@@ -38,7 +40,7 @@ def literal(vector: list[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in vector)).cast("array<float>")
 
 
-def nearest(df: DataFrame, query: Column, k: int, key: str, vector: str = "embedding", keep: Column | None = None, after: bool = False, overfetch: int = 5) -> DataFrame:
+def nearest(df: DataFrame, query: Column, k: int, key: str, vector: str = "embedding", keep: Column | None = None, after: bool = False, overfetch: int = OVERFETCH) -> DataFrame:
     """The ``k`` rows nearest to one query vector, with ``cosine`` and ``score`` (from 0 to 1): a scan that keeps k rows from each task.
 
     ``keep`` filters rows before the search. With ``after`` the search takes ``overfetch`` times k rows of all and
@@ -53,10 +55,16 @@ def nearest(df: DataFrame, query: Column, k: int, key: str, vector: str = "embed
     return scored.filter(keep).orderBy(*order).limit(k)
 
 
-def best_of(searches: list[tuple[DataFrame, float]], key: str, n: int) -> DataFrame:
-    """Several searches as one: each row's highest boosted score."""
-    out = None
-    for df, boost in searches:
-        part = df.select(key, (F.col("score") * boost).alias("boosted"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy(key).agg(F.max("boosted").alias("boosted")).orderBy(F.desc("boosted"), key).limit(n)
+def nearest_by_fields(df: DataFrame, searches: list[tuple[str, Column, float, int]], key: str, n: int) -> DataFrame:
+    """``key, boosted``: searches over several fields (vector column, query, boost, reach) in one scan; each row keeps its highest boosted score.
+
+    Every task keeps what each field's reach allows before anything is shuffled. Ties go to the smaller key.
+    """
+    each = F.array(*(F.struct(F.lit(at).alias("__at"), cosine(F.col(vector), query).alias("__cosine")) for at, (vector, query, _, _) in enumerate(searches)))
+    scored = df.select(key, F.inline(each)).filter("__cosine IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("__at").orderBy(F.desc("__cosine"), key))
+    far = scored.withColumn("__place", place).filter(F.col("__place") <= max(reach for *_, reach in searches))
+    pick = lambda values: F.array(*map(F.lit, values))[F.col("__at")]
+    near = far.filter(F.col("__place") <= pick([reach for *_, reach in searches]))
+    boosted = (1 + F.col("__cosine")) / 2 * pick([float(boost) for _, _, boost, _ in searches])
+    return near.groupBy(key).agg(F.max(boosted).alias("boosted")).orderBy(F.desc("boosted"), key).limit(n)

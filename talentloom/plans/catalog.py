@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentloom.plans import ingest_queries, parse_queries, record_queries, resume_queries, search_queries, table_queries, term_queries
+from talentloom.plans import answer_queries, ingest_queries, parse_queries, record_queries, resume_queries, search_queries, table_queries, term_queries
 
 FLAGSHIP = "criteria_search"
-_MODULES = (search_queries, term_queries, table_queries, ingest_queries, parse_queries, record_queries, resume_queries)
+_MODULES = (search_queries, term_queries, table_queries, ingest_queries, parse_queries, record_queries, resume_queries, answer_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

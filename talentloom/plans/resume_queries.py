@@ -77,6 +77,15 @@ def merged_jobs(spark, sf_dir):
     return _texts(spark, sf_dir).select("c_custkey", jobs.alias("j")).select("c_custkey", F.size("j").cast("long").alias("jobs"), F.col("j")[0]["title"].alias("first_title"))
 
 
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'a' || c_custkey || '@b.org' WHEN 1 THEN 'c@d.org' ELSE 'noemail@notprovided.com' END AS email, CASE c_custkey % 3 WHEN 0 THEN '+91-0000000000' WHEN 1 THEN '+917' ELSE '+91-0000000000' END AS phone FROM customer")
+def merged_contacts(spark, sf_dir):
+    """The contact of the first of three readings that has one: a line of text, another method's, defaults."""
+    k = F.col("c_custkey")
+    read = F.when(k % 3 == 0, resumes.contact(F.concat(F.lit("a"), k.cast("string"), F.lit("@b.org"))))
+    other = F.when(k % 3 == 1, F.struct(F.lit("c@d.org").alias("email"), F.lit("+917").alias("phone"), F.lit("Ann").alias("name"), F.lit("Goa").alias("city")))
+    return table(spark, sf_dir, "customer").select("c_custkey", resumes.merged_contact(read, other, resumes.contact(F.lit(""))).alias("c")).select("c_custkey", "c.email", "c.phone")
+
+
 @query("SELECT c_custkey FROM customer WHERE (c_custkey % 3 <> 0 OR c_custkey % 4 = 0 OR (c_mktsegment = 'AUTOMOBILE' AND (c_custkey % 5 <> 0 OR c_custkey % 7 <> 0))) AND (c_custkey % 5 <> 0 OR c_custkey % 2 = 0 OR c_custkey % 7 <> 0)")
 def resume_like_texts(spark, sf_dir):
     """Texts that name a contact, and work, studies or skills."""

@@ -146,8 +146,7 @@ r AS (SELECT *, 0.0::double + skills_score * 0.40::double + experience_score * 0
 SELECT profile_id, skills_score, experience_score, education_score, location_score, salary_score, round(overall, 4) AS overall, CASE WHEN overall >= 80 THEN 'Excellent match' WHEN overall >= 60 THEN 'Good match' WHEN overall >= 40 THEN 'Partial match' ELSE 'Poor match' END AS band, CASE WHEN overall >= 40 THEN 'accepted' ELSE 'rejected' END AS status, missing FROM r""")
 def candidate_ranking(spark, sf_dir):
     """Every profile's match with a job: weighted parts, a verdict and what is missing."""
-    parts = scoring.ranking(JOB)
-    return profiles(spark, sf_dir).select("profile_id", *(c.alias(k) for k, c in parts.items())).withColumn("overall", F.round("overall", 4))
+    return searches.ranked_for(profiles(spark, sf_dir), JOB, "profile_id").withColumn("overall", F.round("overall", 4))
 
 
 @query(f"""WITH {PROFILES_SQL}, b AS (SELECT CASE WHEN years < 2 OR years IS NULL THEN '0-2' WHEN years < 5 THEN '2-5' WHEN years < 10 THEN '5-10' ELSE '10+' END AS bucket, len(skills) + len(may_also) AS n FROM (SELECT *, try_cast(regexp_extract(total_experience, '(\\d+(?:\\.\\d+)?)', 1) AS double) AS years FROM profiles))
@@ -171,8 +170,7 @@ def boosted_matches(spark, sf_dir):
 
 
 def candidate_scores(spark, sf_dir):
-    parts = scoring.ranking(JOB)
-    return profiles(spark, sf_dir).select("profile_id", parts["overall"].alias("overall"), parts["skills_score"].alias("skills_score"))
+    return searches.ranked_for(profiles(spark, sf_dir), JOB, "profile_id").select("profile_id", "overall", "skills_score")
 
 
 _COS = "list_sum(list_transform(list_zip(embedding, q), lambda x: x[1]::double * x[2]::double)) / (sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(q, lambda x: x::double * x::double))))"
@@ -212,8 +210,9 @@ def _field(of: int, boost: float, k: int) -> str:
 def multi_vector_search(spark, sf_dir):
     """Searches over three vector fields with boosts; each row keeps its best."""
     e = table(spark, sf_dir, "embeddings")
-    found = [(vectors.nearest(e, _query_vector(spark, sf_dir, of), 20 * reach, "vec_id"), boost) for of, (boost, reach) in zip((7, 8, 9), vectors.FIELD_BOOSTS.values())]
-    return vectors.best_of(found, "vec_id", 20).withColumn("boosted", F.round("boosted", 6))
+    asked = dict(e.filter(F.col("vec_id").isin(7, 8, 9)).select("vec_id", "embedding").collect())
+    fields = [("embedding", vectors.literal(asked[of]), boost, 20 * reach) for of, (boost, reach) in zip((7, 8, 9), vectors.FIELD_BOOSTS.values())]
+    return vectors.nearest_by_fields(e, fields, "vec_id", 20).withColumn("boosted", F.round("boosted", 6))
 
 
 @query("SELECT event_id, user_id, event_type FROM events WHERE user_id = 11 OR EXISTS (SELECT 1 FROM (VALUES (7), (8)) u(user_id) WHERE u.user_id = 11)")
@@ -251,8 +250,10 @@ s AS (SELECT profile_id, CASE WHEN coalesce(contains(experience[1].title, 'urgen
 SELECT profile_id, round(least(1.0, greatest(0.0, (role * 0.6 + domain * 0.4) * 0.4 + location * 0.3 + skills * 0.15 + experience * 0.1 + salary * 0.05)), 5) AS relevance FROM s""")
 def context_relevance(spark, sf_dir):
     """Profiles by their graded relevance to a request."""
-    parts = context.relevance(REQUEST, domains=THINGS)
-    return profiles(spark, sf_dir).select("profile_id", F.round(parts["relevance"], 5).alias("relevance"))
+    parts = context.facts()
+    facts = searches.once(profiles(spark, sf_dir), parts, "profile_id")
+    scored = context.relevance(REQUEST, domains=THINGS, at={k: F.col(k) for k in parts})
+    return facts.select("profile_id", F.round(scored["relevance"], 5).alias("relevance"))
 
 
 @query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, list_cosine_similarity(embedding::double[], (SELECT e FROM q)::double[]) AS c FROM embeddings), k AS (SELECT *, row_number() OVER (ORDER BY c DESC, vec_id) AS place FROM s WHERE c IS NOT NULL)

@@ -245,13 +245,14 @@ def relevance_by_positions(spark, sf_dir):
     return containment.keyword_relevance(vocabulary, "skill", p.select(F.col("p_brand").alias("position"), keyword.alias("keyword")), "position", "keyword")
 
 
-#: The matching runs of a term and a misspelt prefix, found as the longest one (the earliest of equally long ones) and then those on either side of it.
-_RUNS = """m(term, a, b, n) AS (SELECT term, 'smal rign', term, 0::bigint FROM k UNION ALL
- SELECT term, x.a, x.b, x.n FROM (SELECT term, unnest([{'a': substr(a, 1, -best.i - 1), 'b': substr(b, 1, -best.j - 1), 'n': best.n}, {'a': substr(a, best.n - best.i), 'b': substr(b, best.n - best.j), 'n': 0::bigint}]) AS x FROM
-  (SELECT term, a, b, list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(list_filter(range(1, length(a) - i + 2), lambda n: contains(b, substr(a, i, n))), lambda n: {'n': n, 'i': -i, 'j': -strpos(b, substr(a, i, n))})))) AS best FROM m WHERE a <> '' AND b <> '') WHERE best IS NOT NULL))"""
+def matching_runs(prefix: str, terms_of: str) -> str:
+    """The matching runs of a term and a misspelt prefix, found as the longest one (the earliest of equally long ones) and then those on either side of it."""
+    return f"""m(term, a, b, n) AS (SELECT term, '{prefix}', term, 0::bigint FROM {terms_of} UNION ALL
+ SELECT term, x.a, x.b, x.n FROM (SELECT term, unnest([{{'a': substr(a, 1, -best.i - 1), 'b': substr(b, 1, -best.j - 1), 'n': best.n}}, {{'a': substr(a, best.n - best.i), 'b': substr(b, best.n - best.j), 'n': 0::bigint}}]) AS x FROM
+  (SELECT term, a, b, list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(list_filter(range(1, length(a) - i + 2), lambda n: contains(b, substr(a, i, n))), lambda n: {{'n': n, 'i': -i, 'j': -strpos(b, substr(a, i, n))}})))) AS best FROM m WHERE a <> '' AND b <> '') WHERE best IS NOT NULL))"""
 
 
-@query(f"""WITH RECURSIVE {_RELATED}, k AS (SELECT lower(p_name) AS term, count(*) AS n FROM part GROUP BY 1), {_RUNS},
+@query(f"""WITH RECURSIVE {_RELATED}, k AS (SELECT lower(p_name) AS term, count(*) AS n FROM part GROUP BY 1), {matching_runs('smal rign', 'k')},
 q AS (SELECT term, 2.0::double * sum(n) / (length(term) + 9) AS alike FROM m GROUP BY term),
 x AS (SELECT k.term, n, (CASE WHEN alike > 0.7 THEN alike * 0.5 WHEN regexp_matches(replace(k.term, ' ', ''), 's.*m.*a.*l.* .*r.*i.*g.*n') THEN 0.3 ELSE 0 END)::double AS base,
  least(n / max(n) OVER () * 0.2::double, 0.2) + CASE WHEN n > count(*) OVER () * 0.1 THEN -0.1 ELSE 0 END AS more FROM k JOIN q ON k.term = q.term)
