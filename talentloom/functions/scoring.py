@@ -166,21 +166,29 @@ def priority_score(query: str, cities: tuple[str, ...] = CITIES) -> dict[str, Co
     return _weighed(parts)
 
 
-def priority_of(query: Column, cities: tuple[str, ...] = CITIES) -> dict[str, Column]:
-    """``priority_score`` for a column of queries, such as the texts of job files: words, places, years and lakhs are read in each row."""
+def query_facts(query: Column, cities: tuple[str, ...] = CITIES) -> dict[str, Column]:
+    """What a free query asks for: its words from three characters, places, years and lakhs. A long text's words are dear: work them out once for a query, not for each row it meets."""
     low = F.lower(query)
-    words = F.array_distinct(F.filter(F.split(low, r"\s+"), lambda w: F.length(w) > 2))
+    return {
+        "words": F.array_distinct(F.filter(F.split(low, r"\s+"), lambda w: F.length(w) > 2)),
+        "places": F.filter(F.array(*map(F.lit, cities)).cast("array<string>"), lambda c: F.contains(low, c)),
+        "target": F.regexp_extract(low, r"(\d+)\s*(?:year|yr|yrs|years|exp|experience)", 1).try_cast("double"),
+        "lakhs": F.regexp_extract(low, r"(\d+(?:\.\d+)?)\s*(?:lakh|lac|l)", 1).try_cast("double"),
+    }
+
+
+def priority_of(asked: dict[str, Column]) -> dict[str, Column]:
+    """``priority_score`` for queries that are a column, such as the texts of job files; ``asked`` are columns of ``query_facts``."""
+    words, places, target, lakhs = asked.values()
     says = lambda x: F.exists(words, lambda w: F.contains(x, w))
     recent = F.transform(F.slice("experience", 1, 3), lambda e: F.lower(F.coalesce(e["title"], F.lit(""))))
     same = F.exists(F.slice("experience", 1, 3), lambda e: (e == F.get("experience", F.lit(0))) & says(F.lower(F.coalesce(e["title"], F.lit("")))))
     parts = {"designation": F.when(same, 1.0).when(F.exists(recent, says), 0.8).when(F.exists("labels", lambda x: says(F.lower(x))), 0.7).otherwise(0.0)}
-    asked = F.filter(F.array(*map(F.lit, cities)).cast("array<string>"), lambda c: F.contains(low, c))
-    within = lambda x: F.exists(asked, lambda c: F.contains(F.lower(x), c))
+    within = lambda x: F.exists(places, lambda c: F.contains(F.lower(x), c))
     parts["location"] = F.when(within(F.col("current_city")), 1.0).when(F.exists("looking_for", within), 0.8).otherwise(0.0)
     parts["skills"] = F.when(F.exists(all_skills(), lambda x: says(F.lower(x))), 1.0).otherwise(0.0)
-    target, own = F.regexp_extract(low, r"(\d+)\s*(?:year|yr|yrs|years|exp|experience)", 1).try_cast("double"), years_of(F.col("total_experience"))
+    own, pay = years_of(F.col("total_experience")), F.coalesce("expected_salary", F.lit(0.0))
     parts["experience"] = F.when(F.abs(own - target) <= 1, 1.0).when(F.abs(own - target) <= 2, 0.8).when(own >= target * 0.8, 0.6).otherwise(0.0)
-    lakhs, pay = F.regexp_extract(low, r"(\d+(?:\.\d+)?)\s*(?:lakh|lac|l)", 1).try_cast("double"), F.coalesce("expected_salary", F.lit(0.0))
     pay = F.when(pay > 1_000_000, pay / 100_000).otherwise(pay)
     parts["salary"] = F.when(pay <= lakhs, 1.0).when(pay <= lakhs * 1.2, 0.8).otherwise(0.0)
     return _weighed(parts)

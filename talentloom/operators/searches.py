@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from talentloom.functions.scoring import Criteria, Job, blend, criteria_facts, criteria_score, priority_of, ranking, ranking_facts, recalled
+from talentloom.functions.scoring import Criteria, Job, blend, criteria_facts, criteria_score, priority_of, query_facts, ranking, ranking_facts, recalled
 from talentloom.operators import vector_index
 from talentloom.operators.vectors import OVERFETCH
 
@@ -53,11 +53,13 @@ def by_files(index: vector_index.Index, profiles: DataFrame, files: DataFrame, f
     cut to the ``n`` most similar, scored by the file's words, blended with the similarity, and kept from ``relevant`` up. Files without a vector find nothing; a file
     whose text is null or blank is left out, as is one that could not be read.
     """
-    said = files.filter(F.trim(F.regexp_replace(text, r"\s+", " ")) != "").withColumnRenamed(text, "__text")
-    hits, _ = vector_index.nearest_of_many(index, said, file, vector, n * OVERFETCH)
+    told = files.filter(F.trim(F.regexp_replace(text, r"\s+", " ")) != "")
+    asked = {f"__{k}": v for k, v in query_facts(F.col(text)).items()}
+    said = once(told, asked, *(c for c in files.columns if c not in (text, vector)))
+    hits, _ = vector_index.nearest_of_many(index, told, file, vector, n * OVERFETCH)
     similar = hits.select(file, index.key, ((1 + F.col("cosine")) / 2).alias("similarity")).filter(F.col("similarity") >= least)
-    rows = similar.join(said.drop(vector), file).join(profiles, index.key)
+    rows = similar.join(said, file).join(profiles, index.key)
     rows = rows if keep is None else rows.filter(keep)
     best = rows.withColumn("__place", F.row_number().over(Window.partitionBy(file).orderBy(F.desc("similarity"), index.key))).filter(F.col("__place") <= n)
-    scored = best.select(file, index.key, "similarity", *(v.alias(k) for k, v in priority_of(F.col("__text")).items()))
+    scored = best.select(file, index.key, "similarity", *(v.alias(k) for k, v in priority_of({k: F.col(k) for k in asked}).items()))
     return scored.withColumn("final_score", blend(F.col("priority"), F.col("similarity"))).filter(F.col("final_score") >= relevant)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from talentloom.functions import cleaning, scoring
-from talentloom.operators import answers, searches, terms, vector_index
+from talentloom.operators import answers, scans, searches, terms, vector_index
 from talentloom.plans.profiles import PROFILES_SQL, profiles, table
 from talentloom.plans.search_queries import _ANY
 from talentloom.plans.term_queries import matching_runs
@@ -39,7 +39,7 @@ def _found(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     questions = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question"), "embedding")
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    return questions, texts, answers.retrieved(_index(spark, e), questions, "question", "embedding", texts, "text", "balanced")
+    return questions, texts, scans.written(answers.retrieved(_index(spark, e), questions, "question", "embedding", texts, "text", "balanced"))
 
 
 @query(f"WITH {_FOUND} SELECT question, vec_id, round(score, 6) AS score, rank, CASE WHEN size > 200 THEN left(text, 200) || '...' ELSE text END AS preview, read FROM f")
@@ -67,7 +67,7 @@ ELSE concat('{"total_candidates": 2, "matches": [{"_id": "', c_custkey, '", "rel
 @query("""WITH a AS (SELECT c_custkey AS k, c_custkey % 7 AS kind, c_nationkey AS n, c_name, c_mktsegment FROM customer),
 m AS (SELECT k, 1 AS place, k AS id, CASE kind WHEN 1 THEN ('0.' || n)::double WHEN 2 THEN n ELSE 0.5 END::double AS relevance, CASE kind WHEN 1 THEN c_mktsegment WHEN 2 THEN 'No reason provided' ELSE c_name END AS reason, CASE WHEN kind = 2 THEN n ELSE 2 END AS total_candidates FROM a WHERE kind > 0
 UNION ALL SELECT k, 2, CASE WHEN kind = 1 THEN k + 1 ELSE k - 1 END, CASE WHEN kind = 1 THEN 0.0 ELSE 0.25 END, 'No reason provided', 2 FROM a WHERE kind NOT IN (0, 2))
-SELECT k AS question, place, id::varchar AS key, relevance, reason, CASE WHEN id % 3 = 0 THEN id / 10.0::double END AS score, total_candidates::bigint AS total_candidates FROM m""")
+SELECT k AS question, place, id::varchar AS key, relevance, reason, CASE WHEN id % 3 = 0 AND id IN (SELECT k FROM a) THEN id / 10.0::double END AS score, total_candidates::bigint AS total_candidates FROM m""")
 def ranked_answers(spark, sf_dir):
     """Matches that models' answers rank, whole and damaged, with the scores of those that were retrieved."""
     c = table(spark, sf_dir, "customer")

@@ -60,7 +60,7 @@ def test_a_job_as_a_column_is_scored_like_a_literal(spark, small):
 def test_a_column_of_queries_is_scored_like_a_literal(spark, small, asked):
     rows = profiles(spark, small)
     score = lambda parts: {tuple(r) for r in rows.select("profile_id", F.round(parts["priority"], 9), parts["reason"]).collect()}
-    assert score(scoring.priority_score(asked)) == score(scoring.priority_of(F.lit(asked)))
+    assert score(scoring.priority_score(asked)) == score(scoring.priority_of(scoring.query_facts(F.lit(asked))))
 
 
 def test_relevance_from_facts_that_were_read_before(spark, small):
