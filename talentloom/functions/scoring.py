@@ -245,25 +245,29 @@ def ranking_facts() -> dict[str, Column]:
     }
 
 
-def ranking(job: Job | Column, facts: dict[str, Column] | None = None) -> dict[str, Column]:
-    """A profile's match with a job: skills, experience, education, location, salary, overall, verdict, missing skills.
+def job_facts(job: Job | Column) -> dict[str, Column]:
+    """What a match compares profiles with: required and all wanted skills, titles, level of education, years. Literals for a ``Job``; for a struct of ``requirements`` columns, to be worked out once for a job."""
+    if isinstance(job, Job):
+        low = lambda xs: F.array(*(F.lit(x.lower().strip()) for x in xs)).cast("array<string>")
+        needed = max((v for r in job.education for k, v in RANKING_LEVELS.items() if k in r.lower()), default=0)
+        return {"required": low(job.required), "wanted": low(job.required + job.preferred), "titles": low(job.titles), "needed": F.lit(needed), "least": F.lit(float(job.years))}
+    required = _bare(job["required"])
+    return {"required": required, "wanted": F.concat(required, _bare(job["preferred"])), "titles": _bare(job["titles"]), "needed": _level(job["education"]), "least": job["years"]}
+
 
-    A job may be a struct of ``requirements``. One that asks for nothing gives no points for skills, all for education, and those for experience to whom its titles
-    fit: no one. ``facts`` may be columns that hold ``ranking_facts`` already.
+def ranking(asked: dict[str, Column], facts: dict[str, Column] | None = None) -> dict[str, Column]:
+    """A profile's match with a job (``job_facts``): skills, experience, education, location, salary, overall, verdict, missing skills.
+
+    A job that asks for nothing gives no points for skills, all for education, and those for experience to whom its titles fit: no one. ``facts`` may be columns that hold ``ranking_facts`` already.
     """
     own, held, years, level, schools, location, pay = (facts or ranking_facts()).values()
-    if isinstance(job, Job):
-        text = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
-        job = F.struct(text(job.required).alias("required"), text(job.preferred).alias("preferred"), text(job.titles).alias("titles"), text(job.education).alias("education"), F.lit(float(job.years)).alias("years"))
-    required = _bare(job["required"])
-    wanted = F.concat(required, _bare(job["preferred"]))
+    required, wanted, titles, needed, least = asked.values()
     met = F.filter(wanted, lambda s: F.exists(own, lambda c: either_way(s, c)))
     skills = F.size(met) / F.greatest(F.lit(1), F.size(wanted)) * 100
     missing = F.filter(required, lambda s: ~F.array_contains(met, s))
-    fits = F.exists(_bare(job["titles"]), lambda t: F.exists(held, lambda e: either_way(t, e)))
+    fits = F.exists(titles, lambda t: F.exists(held, lambda e: either_way(t, e)))
     relevant = F.when(fits & (years > 0), years * 0.7).otherwise(0.0)
-    experience = F.when(job["years"] > 0, F.least(F.lit(100.0), relevant / F.nullif(job["years"], F.lit(0.0)) * 100)).when(relevant > 0, 100.0).otherwise(0.0)
-    needed = _level(job["education"])
+    experience = F.when(least > 0, F.least(F.lit(100.0), relevant / F.nullif(least, F.lit(0.0)) * 100)).when(relevant > 0, 100.0).otherwise(0.0)
     education = F.when(needed == 0, 100.0).when(schools == 0, 0.0).when(level >= needed, 100.0).otherwise(level / F.greatest(F.lit(1), needed) * 100)
     parts = {"skills": F.round(skills, 2), "experience": F.round(experience, 2), "education": education, "location": location, "salary": pay}
     overall = sum((parts[k] * w for k, w in RANKING_WEIGHTS.items()), F.lit(0.0))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from talentloom.functions.scoring import Criteria, Job, blend, criteria_facts, criteria_score, priority_of, query_facts, ranking, ranking_facts, recalled
+from talentloom.functions.scoring import Criteria, Job, blend, criteria_facts, criteria_score, job_facts, priority_of, query_facts, ranking, ranking_facts, recalled
 from talentloom.operators import vector_index
 from talentloom.operators.vectors import OVERFETCH
 
@@ -30,9 +30,10 @@ def by_criteria(df: DataFrame, c: Criteria, key: str, least: float = LEAST_SCORE
 
 def ranked_for(df: DataFrame, job: Job, key: str, *keep: str) -> DataFrame:
     """Every profile's match with one job, as ``scoring.ranking`` has it; what the match is made of is read once from a profile."""
-    facts = ranking_facts()
-    parts = ranking(job, {k: F.col(k) for k in facts})
-    return once(df, facts, key, *keep).select(key, *keep, *(v.alias(k) for k, v in parts.items()))
+    facts, asked = ranking_facts(), job_facts(job)
+    rows = once(df, facts, key, *keep)
+    parts = ranking(asked, {k: F.col(k) for k in facts})
+    return rows.select(key, *keep, *(v.alias(k) for k, v in parts.items()))
 
 
 def ranked_for_jobs(df: DataFrame, jobs: DataFrame, key: str, job: str, asked: str) -> DataFrame:
@@ -41,8 +42,9 @@ def ranked_for_jobs(df: DataFrame, jobs: DataFrame, key: str, job: str, asked: s
     The jobs are the set of questions, the profiles all rows: each is read once, and what a match is made of is worked out before the jobs come in.
     """
     facts = ranking_facts()
-    parts = ranking(F.col("__asked"), {k: F.col(k) for k in facts})
-    pairs = once(df, facts, key).crossJoin(jobs.select(F.col(job), F.col(asked).alias("__asked")))
+    wanted = job_facts(F.col(asked))
+    parts = ranking({k: F.col(f"__{k}") for k in wanted}, {k: F.col(k) for k in facts})
+    pairs = once(df, facts, key).crossJoin(once(jobs, {f"__{k}": v for k, v in wanted.items()}, job))
     return pairs.select(key, job, *(v.alias(k) for k, v in parts.items()))
 
 
