@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from talentloom.functions.extraction import EMAIL
-from talentloom.functions.text import holds
+from talentloom.functions.text import holds, once
 
 # Defaults, section heads, and how names, cities, titles, degrees and dates are written.
 NO_EMAIL, NO_PHONE, NO_NAME, NO_CITY, NO_TITLE, NO_COLLEGE = "noemail@notprovided.com", "+91-0000000000", "Name Not Found", "City not specified", "Position not specified", "Institution not specified"
@@ -142,9 +142,9 @@ def merged_skills(*methods: Column) -> Column:
 
 def merged_jobs(*methods: Column) -> Column:
     """The jobs of several methods, in the methods' order; of those with the same company and title, whatever their case, the first."""
-    every = F.flatten(F.array(*methods))
-    same = lambda a, b: (F.lower(F.trim(a["company"])) == F.lower(F.trim(b["company"]))) & (F.lower(F.trim(a["title"])) == F.lower(F.trim(b["title"])))
-    return F.filter(every, lambda x, i: ~F.exists(F.slice(every, F.lit(1), i), lambda y: same(x, y)))
+    name = lambda x: F.struct(F.lower(F.trim(x["company"])).alias("company"), F.lower(F.trim(x["title"])).alias("title"))
+    firsts = lambda named: F.filter(named["jobs"], lambda x, i: F.array_position(named["names"], F.get(named["names"], i)) == i + 1)
+    return once(F.flatten(F.array(*methods)), lambda every: once(F.struct(every.alias("jobs"), F.transform(every, name).alias("names")), firsts))
 
 
 def merged_contact(*methods: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from talentloom.functions import resumes, scoring, text
 from talentloom.functions.durations import years_of
 from talentloom.operators import tables
-from talentloom.plans.profiles import PROFILES_SQL, profiles, table
+from talentloom.plans.profiles import PROFILES_SQL, profiles, spread, table
 
 QUERIES: dict = {}
 AS_OF = "2025-06-15"
@@ -34,7 +34,8 @@ VOCABULARY = ("python", "excel", "sql", "clerk")
 
 
 def _texts(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.expr(_RESUME).alias("text"))
+    customers = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
+    return customers.select("c_custkey", "c_mktsegment", F.expr(_RESUME).alias("text"))
 
 
 @query(f"""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'noemail@notprovided.com' ELSE 'c' || c_custkey || '@mail.example' END AS email,
