@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,11 +25,20 @@ OPEN_ENDS = ("present", "current", "now")
 LEAST_ENTRY, SECTION_LINES = 20, 10
 
 
+def shape(form: str) -> str:
+    """A pattern that every text fits which a form of date reads; some others may fit it too."""
+    parts = {"M": lambda n: r"\p{L}+" if n > 2 else r"\d{2}", "y": lambda n: r"[+-]?\d{4,}" if n > 2 else r"\d{2}", "d": lambda n: r"\d{2}" if n > 1 else r"[+-]?\d+"}
+    return "^" + "".join(parts[x[0]](len(x)) if x[0] in parts else re.escape(x) for x in re.findall(r"M+|y+|d+|.", form)) + "$"
+
+
 def day(text: Column, as_of: str) -> Column:
-    """A date of one of twelve spellings, or ``as_of`` for one that means now; null for others."""
-    said = F.trim(text)
-    read = F.coalesce(*(F.try_to_timestamp(said, F.lit(w)) for w in DATE_FORMS)).cast("date")
-    return F.when(F.lower(said).isin(*OPEN_ENDS), F.to_date(F.lit(as_of))).otherwise(read)
+    """A date of one of twelve spellings, or ``as_of`` for one that means now; null for others. Only forms whose shape a text has are tried, as a failure to read costs far more than a look."""
+
+    def read(said: Column) -> Column:
+        found = F.coalesce(*(F.when(said.rlike(shape(w)), F.try_to_timestamp(said, F.lit(w))) for w in DATE_FORMS)).cast("date")
+        return F.when(F.lower(said).isin(*OPEN_ENDS), F.to_date(F.lit(as_of))).otherwise(found)
+
+    return once(F.trim(text), read)
 
 
 def whole_months(start: Column, end: Column) -> Column:
@@ -55,14 +66,17 @@ def spelled_out(months: Column) -> Column:
 
 def months_by_spans(text: Column, as_of: str) -> Column:
     """Months summed over the spans of dates that the section on experience names, or the whole text where there is none; each span counts once."""
+
+    def added(said: Column) -> Column:
+        total = F.lit(0)
+        for pattern in SPANS:
+            starts, ends = (F.regexp_extract_all(said, F.lit(f"(?i){pattern}"), F.lit(k)) for k in (1, 2))
+            months = F.zip_with(starts, ends, lambda a, b: F.coalesce(whole_months(day(a, as_of), day(b, as_of)), F.lit(0)))
+            total = total + F.aggregate(months, F.lit(0), lambda s, m: s + m)
+        return total
+
     section = F.regexp_extract(text, r"(?is)(?:EXPERIENCE|EMPLOYMENT)(.+?)(?=EDUCATION|SKILLS|PROJECTS|$)", 1)
-    said = F.initcap(F.lower(F.when(section != "", section).otherwise(text)))
-    total = F.lit(0)
-    for pattern in SPANS:
-        starts, ends = (F.regexp_extract_all(said, F.lit(f"(?i){pattern}"), F.lit(k)) for k in (1, 2))
-        months = F.zip_with(starts, ends, lambda a, b: F.coalesce(whole_months(day(a, as_of), day(b, as_of)), F.lit(0)))
-        total = total + F.aggregate(months, F.lit(0), lambda s, m: s + m)
-    return total
+    return once(F.initcap(F.lower(once(section, lambda x: F.when(x != "", x).otherwise(text)))), added)
 
 
 def _lines(text: Column) -> Column:
@@ -84,19 +98,21 @@ def contact(text: Column) -> Column:
 
 
 def _job(entry: Column, as_of: str) -> Column:
-    lines = _lines(entry)
-    first = F.trim(F.element_at(lines, 1))
-    at, dash = F.split(first, " at "), F.split(first, " - ")
-    below = F.get(F.filter(F.slice(lines, 2, 2), lambda x: holds(x, *TITLES)), F.lit(0))
-    dates = F.regexp_extract_all(entry, F.lit(DATE), F.lit(0))
-    month = lambda x: F.date_format(day(x, as_of), "yyyy-MM")
-    start, end = month(F.get(dates, F.lit(0))), month(F.get(dates, F.lit(1)))
-    two = F.size(at) > 1
-    return F.struct(
-        F.trim(F.when(two, at[0]).when(F.size(dash) > 1, dash[1]).otherwise(F.coalesce(below, F.lit(NO_TITLE)))).alias("title"),
-        F.trim(F.when(two, at[1]).otherwise(dash[0])).alias("company"),
-        F.coalesce(start, F.lit("2020-01")).alias("from_date"), end.alias("until"), end.isNull().alias("is_current"),
-    )
+    def read(e: Column) -> Column:
+        lines, at, dash = e["lines"], e["at"], e["dash"]
+        below = F.get(F.filter(F.slice(lines, 2, 2), lambda x: holds(x, *TITLES)), F.lit(0))
+        start, end = F.get(e["months"], F.lit(0)), F.get(e["months"], F.lit(1))
+        two = F.size(at) > 1
+        return F.struct(
+            F.trim(F.when(two, at[0]).when(F.size(dash) > 1, dash[1]).otherwise(F.coalesce(below, F.lit(NO_TITLE)))).alias("title"),
+            F.trim(F.when(two, at[1]).otherwise(dash[0])).alias("company"),
+            F.coalesce(start, F.lit("2020-01")).alias("from_date"), end.alias("until"), end.isNull().alias("is_current"),
+        )
+
+    first = F.trim(F.substring_index(entry, "\n", 1))
+    dates = F.slice(F.regexp_extract_all(entry, F.lit(DATE), F.lit(0)), 1, 2)
+    months = F.transform(dates, lambda x: F.date_format(day(x, as_of), "yyyy-MM"))
+    return once(F.struct(_lines(entry).alias("lines"), F.split(first, " at ").alias("at"), F.split(first, " - ").alias("dash"), months.alias("months")), read)
 
 
 def jobs(text: Column, as_of: str) -> Column:
