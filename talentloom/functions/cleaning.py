@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talentloom.functions.text import collapsed
+from talentloom.functions.text import collapsed, once
 
 # Kinds with the step that each is named by, units of money, separators in the order in which they are looked for, and scores.
 STEPS = {
@@ -54,17 +54,20 @@ def clean_location(text: Column) -> Column:
 
 def clean_number(text: Column, kind: str) -> Column:
     """The first number of a text; null without one. Of money, lakh, lac and crore multiply wherever they stand and k right behind a number; a percentage that is nothing but a number keeps its sign. Commas between digits are left out."""
-    bare = F.regexp_replace(text, r"(?<=\d),(?=\d)", "")
-    n = F.regexp_extract(bare, r"(\d+(?:\.\d+)?)", 1).try_cast("double")
-    if kind == "percentage":
-        whole = F.regexp_extract(F.replace(bare, F.lit("%"), F.lit("")), r"^\s*([+-]?\d+(?:\.\d+)?)\s*$", 1).try_cast("double")
-        return F.when(F.contains(text, F.lit("%")), F.coalesce(whole, n)).otherwise(n)
-    if kind != "salary":
-        return n
-    low, unit = F.lower(bare), F
-    for word, factor in UNITS.items():
-        unit = unit.when(F.contains(low, F.lit(word)), factor)
-    return n * unit.when(low.rlike(THOUSANDS), 1000.0).otherwise(1.0)
+
+    def read(bare: Column) -> Column:
+        n = F.regexp_extract(bare, r"(\d+(?:\.\d+)?)", 1).try_cast("double")
+        if kind == "percentage":
+            whole = F.regexp_extract(F.replace(bare, F.lit("%"), F.lit("")), r"^\s*([+-]?\d+(?:\.\d+)?)\s*$", 1).try_cast("double")
+            return F.when(F.contains(text, F.lit("%")), F.coalesce(whole, n)).otherwise(n)
+        if kind != "salary":
+            return n
+        low, unit = F.lower(bare), F
+        for word, factor in UNITS.items():
+            unit = unit.when(F.contains(low, F.lit(word)), factor)
+        return n * unit.when(low.rlike(THOUSANDS), 1000.0).otherwise(1.0)
+
+    return once(F.regexp_replace(text, r"(?<=\d),(?=\d)", ""), read)
 
 
 def clean_skills(text: Column, aggressive: bool = False) -> Column:
@@ -83,18 +86,26 @@ def cleaned(value: Column, kind: str, aggressive: bool = False) -> Column:
     White space is trimmed and collapsed first. Then a kind's own rules follow: ``STEPS`` names the kinds; any other has none. Where a number or a list can't be
     read the text stays. The score is 1 where nothing changed, else 0.8 and a tenth for each step. Null and blank values stay, with score 1.
     """
-    blank = value.isNull() | (F.trim(F.regexp_replace(value, r"\s+", " ")) == "")
-    text = collapsed(value)
-    number = clean_number(text, kind) if kind in ("experience", "salary", "percentage") else F.lit(None).cast("double")
-    items = clean_skills(text, aggressive) if kind == "skills" else F.lit(None).cast("array<string>")
-    rules = {"name": lambda: clean_name(text, aggressive), "email": lambda: clean_email(text, aggressive), "phone": lambda: clean_phone(text, aggressive), "location": lambda: clean_location(text)}
-    said = rules[kind]() if kind in rules else text
-    own = F.when(number.isNotNull() | items.isNotNull() | (said != value), F.lit(STEPS[kind])) if kind in STEPS else F.lit(None).cast("string")
-    steps = F.array_compact(F.array(F.when(text != value, F.lit(WHITE_SPACE)), own))
-    score = F.when(F.size(steps) == 0, 1.0).otherwise(F.least(F.lit(1.0), CHANGED + FOR_EACH_STEP * F.size(steps)))
     none = F.array().cast("array<string>")
-    changed = F.struct(F.when(number.isNull() & items.isNull(), said).alias("text"), number.alias("number"), items.alias("items"), steps.alias("steps"), score.alias("score"))
-    return F.when(blank, F.struct(value.alias("text"), F.lit(None).cast("double").alias("number"), F.lit(None).cast("array<string>").alias("items"), none.alias("steps"), F.lit(1.0).alias("score"))).otherwise(changed)
+    rules = {"name": clean_name, "email": clean_email, "phone": clean_phone, "location": lambda t, _: clean_location(t)}
+
+    def read(text: Column) -> Column:
+        number = clean_number(text, kind) if kind in ("experience", "salary", "percentage") else F.lit(None).cast("double")
+        items = clean_skills(text, aggressive) if kind == "skills" else F.lit(None).cast("array<string>")
+        said = rules[kind](text, aggressive) if kind in rules else text
+        return F.struct(text.alias("text"), number.alias("number"), items.alias("items"), said.alias("said"))
+
+    def stepped(x: Column) -> Column:
+        own = F.when(x["number"].isNotNull() | x["items"].isNotNull() | (x["said"] != value), F.lit(STEPS[kind])) if kind in STEPS else F.lit(None).cast("string")
+        return F.array_compact(F.array(F.when(x["text"] != value, F.lit(WHITE_SPACE)), own))
+
+    def changed(x: Column, steps: Column) -> Column:
+        score = F.when(F.size(steps) == 0, 1.0).otherwise(F.least(F.lit(1.0), CHANGED + FOR_EACH_STEP * F.size(steps)))
+        return F.struct(F.when(x["number"].isNull() & x["items"].isNull(), x["said"]).alias("text"), x["number"].alias("number"), x["items"].alias("items"), steps.alias("steps"), score.alias("score"))
+
+    as_it_is = F.struct(value.alias("text"), F.lit(None).cast("double").alias("number"), F.lit(None).cast("array<string>").alias("items"), none.alias("steps"), F.lit(1.0).alias("score"))
+    parts = lambda text: once(read(text), lambda x: once(stepped(x), lambda steps: changed(x, steps)))
+    return once(collapsed(value), lambda text: F.when(value.isNull() | (text == ""), as_it_is).otherwise(parts(text)))
 
 
 def cleaned_fields(df: DataFrame, keys: list[str], kinds: dict[str, str], aggressive: bool = False) -> DataFrame:

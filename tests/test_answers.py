@@ -115,3 +115,10 @@ def test_blank_fields_stay_and_names_may_hold_dots(spark):
     hard = spark.createDataFrame([("919876543210", "Ann1 Lee", "Mail: A@b.org now")], "p string, n string, m string")
     r = hard.select(cleaning.clean_phone(F.col("p"), True), cleaning.clean_name(F.col("n"), True), cleaning.clean_email(F.col("m"), True)).first()
     assert tuple(r) == ("+91 98765 43210", "Ann Lee", "a@b.orgnow")
+
+
+def test_a_field_is_collapsed_once(spark):
+    df = spark.createDataFrame([(1, " a, b ")], "n long, c string")
+    for kind in (*cleaning.STEPS, "other"):
+        plan = df.select(cleaning.cleaned(F.col("c"), kind).alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("trim(regexp_replace(c#") == 1, kind
