@@ -75,3 +75,25 @@ def test_many_blocks_of_queries_and_few_rows(spark, tmp_path, monkeypatch):
     assert len(rows) == 30 and [r["id"] for r in sorted(rows, key=lambda r: (r.q, r["rank"]))][:3] == [1, 3, 2]
     none = vector_index.build(df.limit(0), "id", "vector", str(tmp_path / "b"))
     assert vector_index.nearest_of_many(none, queries.withColumnRenamed("id", "q"), "q", "v", 5)[0].count() == 0
+
+
+def test_the_driver_starts_few_jobs(spark, index):
+    _, built = index
+    queries = spark.range(600).select("id", F.transform(F.sequence(F.lit(1), F.lit(16)), lambda x: F.sin(F.col("id") * x + x)).alias("v"))
+    sc = spark.sparkContext
+    sc.setJobGroup("few", "few")
+    try:
+        found, _ = vector_index.nearest_of_many(built, queries.withColumnRenamed("id", "q"), "q", "v", 5)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("few"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 6 and found.count() == 3000
+
+
+def test_chunks_of_queries(spark, index, monkeypatch):
+    _, built = index
+    queries = spark.range(40).select(F.col("id").alias("q"), F.transform(F.sequence(F.lit(1), F.lit(16)), lambda x: F.sin(F.col("id") * x + x)).alias("v"))
+    rows = lambda: sorted((r.q, r["rank"], r["id"], round(r.cosine, 9)) for r in vector_index.nearest_of_many(built, queries, "q", "v", 7)[0].collect())
+    whole = rows()
+    monkeypatch.setattr(vector_index, "CHUNK", 9)
+    assert rows() == whole and len(whole) == 280
