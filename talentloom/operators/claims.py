@@ -100,8 +100,10 @@ def unpivoted(df: DataFrame, claims: list[Claim], keys: list[str]) -> DataFrame:
 def resolved_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The winner of each key and field in a table like ``unpivoted``'s, whatever number of rows claim it: ``keys, field, value, source, quality, n_claims``.
 
-    The same rule as ``resolved`` as one aggregate with map-side combining: of the highest quality the last sure claim wins, or the first if none but it is sure. Claims of one place are told apart by source and value.
+    The same rule as ``resolved`` as one aggregate, combined before the second of two shuffles: of the highest quality the last sure claim wins, or the first if none but it is sure. Claims of one place are told apart by source and value.
+    The first shuffle deals claims out by all that they hold: the combining sorts a task's rows, and a small file may hold very many; a key with many claims is spread too.
     """
+    rows = rows.repartition(*keys, "field", "place", "source", "value")
     order = F.struct("place", "source", "value")
     # of equally good claims a sure one displaces what came before; where none follows the first, the first stays
     rank = F.struct(F.col("quality"), F.when(F.col("sure"), 1).otherwise(0).alias("is_sure"))

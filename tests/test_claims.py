@@ -71,3 +71,10 @@ def test_no_shuffle_within_rows(spark):
     plan = resolved(spark.createDataFrame(rows(5), SCHEMA), CLAIMS, ["id"])._jdf.queryExecution().toString()
     assert "Exchange" not in plan
     assert resolved_rows(unpivoted(spark.createDataFrame([], SCHEMA), CLAIMS, ["id"]), ["id"]).filter(F.lit(True)).count() == 0
+
+
+def test_claims_are_dealt_out_before_they_are_sorted(spark):
+    hot = spark.range(4000, numPartitions=1).selectExpr("1 AS id", "'email' AS field", "'mail' AS source", "0 AS place", "concat('a', id, '@b.org') AS value", "10 AS quality", "true AS sure")
+    found = resolved_rows(hot, ["id"])
+    assert [(r.value, r.n_claims) for r in found.collect()] == [("a9@b.org", 4000)]
+    assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString()
