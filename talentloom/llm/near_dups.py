@@ -24,8 +24,12 @@ BUCKET_BYTES = 5 << 20
 TASK_SHINGLES, PART_SHINGLES = 1_000_000, 400_000
 #: Rounds in which the sets of a large cluster are compared with one of them, and rows of such representatives that are broadcast.
 ROUNDS, REPRESENTATIVES = 3, 2000
+#: Tokens of so many sets, and of one in so many, are frequent among sets that are compared; rows of products made at a time.
+OFTEN, OFTEN_SHARE, ROWS = 32, 8, 64
 #: Seeds of the further token orders.
 ORDERS = (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47)
+#: Stands for the token where a cluster's sets meet as one group; tokens are not negative.
+NO_TOKEN = -1
 
 _U = np.uint64
 
@@ -121,18 +125,30 @@ def _prefixes(texts: DataFrame, told: DataFrame, secret: tuple) -> DataFrame:
 
 
 class Postings:
-    """For each token of some sets the sets that have it."""
+    """For each token of some sets the sets that have it. Tokens of many sets are columns of a table of zeros and ones instead; products of its rows count them."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.of = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
         every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(sets)), np.diff(self.of))
         order = np.argsort(every, kind="stable")
-        self.owners = owner[order]
         starts = runs(every[order])
-        self.low = np.empty(len(every), np.int64)
-        self.size = np.empty(len(every), np.int64)
         length = np.diff(np.append(starts, len(every)))
+        often = (length >= OFTEN) & (OFTEN_SHARE * length >= len(sets))
+        self.table, self.block, self.products = None, -1, None
+        if often.any():
+            hot = np.repeat(often, length)
+            self.table = np.zeros((len(sets), int(often.sum())), np.float32)
+            self.table[owner[order[hot]], np.repeat(np.cumsum(often) - 1, length)[hot]] = 1
+            rare = np.ones(len(every), bool)
+            rare[order[hot]] = False
+            self.of = np.concatenate(([0], np.cumsum(rare)))[self.of]
+            order = np.cumsum(rare)[order[~hot]] - 1
+            owner, length = owner[rare], length[~often]
+            starts = np.cumsum(length) - length
+        self.owners = owner[order]
+        self.low = np.empty(len(owner), np.int64)
+        self.size = np.empty(len(owner), np.int64)
         self.low[order], self.size[order] = np.repeat(starts, length), np.repeat(length, length)
 
     def counts(self, i: int, n: int) -> np.ndarray:
@@ -140,7 +156,15 @@ class Postings:
         own = slice(self.of[i], self.of[i + 1])
         low, size = self.low[own], self.size[own]
         at = np.repeat(low - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum()))
-        return np.bincount(self.owners[at], minlength=n)
+        found = np.bincount(self.owners[at], minlength=n)
+        return found if self.table is None else found + self._often(i)
+
+    def _often(self, i: int) -> np.ndarray:
+        """How many of the frequent tokens of set i each set has; products are made for ``ROWS`` sets at a time, when one of them is asked for."""
+        block = i // ROWS
+        if block != self.block:
+            self.block, self.products = block, self.table[block * ROWS : (block + 1) * ROWS] @ self.table.T
+        return self.products[i - block * ROWS].astype(np.int64)
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray | None = None, groups: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -182,7 +206,7 @@ def _represented(large: DataFrame, nodes: DataFrame) -> DataFrame:
     In each round one set of each cluster, chosen by a hash among those without a label, is compared with all others without one: linear in the cluster, and
     near copies of one text are all settled by it.
     """
-    open_, found = cut(large.join(nodes.select("class", "n", "shingles"), "class")), []
+    open_, found = cut(large.select("class", "cluster").join(nodes.select("class", "n", "shingles"), "class")), []
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,15 +232,20 @@ def _represented(large: DataFrame, nodes: DataFrame) -> DataFrame:
 def _parted(shared: DataFrame, large: DataFrame, labels: DataFrame) -> DataFrame:
     """``class, label, token, cluster, part, low, high``: the sets of large clusters by token, in parts of which each pair is a task's work.
 
-    Tokens whose sets all have one label are done. Of the others' sets those of the most common label are parted by themselves and meet only parts of the rest.
+    Tokens whose sets all have one label are done. Where the others would send a cluster's sets more often than its parts meet (families of texts with the same tokens), its sets meet as one
+    group, in place of a group for each token. Of a group's sets those of the most common label are parted by themselves and meet only parts of the rest.
     """
-    own = cut(shared.select("class", "n", "token").join(labels, "class").join(large, "class"))
-    by_label = own.groupBy("token", "label").agg(F.sum("n").alias("w"))
-    tokens = by_label.groupBy("token").agg(F.max_by("label", F.struct("w", "label")).alias("major"), F.sum("w").alias("all"), F.max("w").alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
     parts = lambda w: F.ceil(w / PART_SHINGLES).cast("int")
+    own = cut(shared.select("class", "n", "token").join(labels, "class").join(large, "class"))
+    open_ = cut(own.groupBy("cluster", "whole", "token").agg(F.sum("n").alias("w"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("cluster", "whole", "token", "w"))
+    at_once = cut(open_.groupBy("cluster", "whole").agg(F.sum(F.col("w") * parts(F.col("w"))).alias("sent")).filter(F.col("whole") * parts(F.col("whole")) <= F.col("sent")).select("cluster", F.lit(True).alias("at_once")))
+    own = own.join(checked(open_.select("cluster", "token")), ["cluster", "token"]).join(checked(at_once), "cluster", "left").withColumn("token", F.when(F.col("at_once"), NO_TOKEN).otherwise(F.col("token")))
+    own = cut(own.select("class", "n", "label", "cluster", "token").distinct())
+    by_label = own.groupBy("cluster", "token", "label").agg(F.sum("n").alias("w"))
+    tokens = by_label.groupBy("cluster", "token").agg(F.max_by("label", F.struct("w", "label")).alias("major"), F.sum("w").alias("all"), F.max("w").alias("most"))
     some = F.col("all") > PART_SHINGLES
-    tokens = cut(tokens.select("token", F.when(some, F.col("major")).alias("major"), F.when(some, parts(F.col("most"))).otherwise(0).alias("common"), F.when(some, parts(F.col("all") - F.col("most"))).otherwise(1).alias("rest")))
-    rows = own.join(checked(tokens), "token").withColumn("is_common", F.col("label").eqNullSafe(F.col("major")))
+    tokens = cut(tokens.select("cluster", "token", F.when(some, F.col("major")).alias("major"), F.when(some, parts(F.col("most"))).otherwise(0).alias("common"), F.when(some, parts(F.col("all") - F.col("most"))).otherwise(1).alias("rest")))
+    rows = own.join(checked(tokens), ["cluster", "token"]).withColumn("is_common", F.col("label").eqNullSafe(F.col("major")))
     deal = lambda k: F.pmod(F.xxhash64("class", "token"), F.greatest(F.lit(1), k)).cast("int")
     part = F.when(F.col("is_common"), deal(F.col("common"))).otherwise(F.col("common") + deal(F.col("rest")))
     rows = rows.withColumn("part", part)
@@ -230,7 +259,7 @@ def _links(nodes: DataFrame) -> DataFrame:
 
     Classes meet at the tokens of their prefixes; tokens with the same classes count once. What hangs together by such tokens is a cluster, which
     travels to one task, each set once, if it has at most ``TASK_SHINGLES``. The sets of a larger cluster are compared with a few representatives
-    first; what that leaves open is verified token by token, and part by part where a token has more shingles than ``PART_SHINGLES``.
+    first; what that leaves open is verified token by token, or at once where that sends less, and part by part where either has more shingles than ``PART_SHINGLES``.
     """
     met = nodes.select("class", "n", F.explode("prefix").alias("token"))
     groups = met.groupBy("token").agg(F.count(F.lit(1)).alias("classes"), F.min("class").alias("hub"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(7))).alias("y")).filter("classes > 1")
@@ -240,7 +269,7 @@ def _links(nodes: DataFrame) -> DataFrame:
     sizes = cut(cluster.join(nodes.select("class", "n"), "class").groupBy("cluster").agg(F.sum("n").alias("whole")))
     placed = cut(cluster.join(sizes, "cluster"))
     whole = placed.filter(F.col("whole") <= TASK_SHINGLES).select("class", F.lit(None).cast("string").alias("label"), F.lit(0).cast("long").alias("token"), "cluster", F.lit(0).alias("part"), F.lit(0).alias("low"), F.lit(0).alias("high"))
-    large = placed.filter(F.col("whole") > TASK_SHINGLES).select("class", "cluster")
+    large = placed.filter(F.col("whole") > TASK_SHINGLES).select("class", "cluster", "whole")
     links, work = None, whole
     if large.limit(1).count():
         labels = _represented(large, nodes)
