@@ -38,15 +38,23 @@ def postings(vocabulary: DataFrame, term: str) -> DataFrame:
     return rows.select(F.explode(tokens(F.col("term"))).alias("token"), "term", F.length("term").alias("length"))
 
 
-def candidates(posted: DataFrame, prefix: str, threshold: float = SIMILAR) -> DataFrame:
-    """``term``: those that have enough letters and letter pairs of the prefix. Only postings of the prefix's own tokens are read, and added up before they are shuffled."""
+def _met(posted: DataFrame, prefix: str, threshold: float) -> DataFrame:
+    """``term, enough``: terms that share tokens with the prefix, and whether enough of them."""
     p = prefix.lower()
     own = posted.sparkSession.range(1).select(F.explode(tokens(F.lit(p))).alias("token"))
     met = posted.join(F.broadcast(own), "token").groupBy("term", "length").agg(F.count_if(F.startswith("token", F.lit("1"))).alias("letters"), F.count_if(F.startswith("token", F.lit("2"))).alias("pairs"))
     letters, pairs = least_common(F.col("length") + len(p), threshold)
-    return met.filter((F.col("letters") >= letters) & (F.col("pairs") >= pairs)).select("term")
+    return met.select("term", ((F.col("letters") >= letters) & (F.col("pairs") >= pairs)).alias("enough"))
+
+
+def candidates(posted: DataFrame, prefix: str, threshold: float = SIMILAR) -> DataFrame:
+    """``term``: those that have enough letters and letter pairs of the prefix. Only postings of the prefix's own tokens are read, and added up before they are shuffled."""
+    return _met(posted, prefix, threshold).filter("enough").select("term")
 
 
 def similar(posted: DataFrame, prefix: str, threshold: float = SIMILAR) -> DataFrame:
-    """``term, alike``: terms whose sequence ratio to the prefix exceeds the threshold; it is worked out for candidates only."""
-    return candidates(posted, prefix, threshold).select("term", sequence_ratio(F.lit(prefix.lower()), F.col("term")).alias("alike")).filter(F.col("alike") > threshold)
+    """``term, alike``: terms whose sequence ratio to the prefix exceeds the threshold; it is worked out for candidates only.
+
+    The ratio hangs on what the aggregation counts, so Spark can't take the filter on it below the aggregation, where it would be worked out for every row.
+    """
+    return _met(posted, prefix, threshold).select("term", sequence_ratio(F.when(F.col("enough"), F.lit(prefix.lower())), F.col("term")).alias("alike")).filter(F.col("alike") > threshold)
